@@ -1 +1,6 @@
+"""All queries of the library over the given tables."""
 
+from . import event_queries, policy_queries, text_queries
+
+QUERIES = text_queries.QUERIES | event_queries.QUERIES | policy_queries.QUERIES
+ORACLES = text_queries.ORACLES | event_queries.ORACLES | policy_queries.ORACLES
