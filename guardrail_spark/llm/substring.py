@@ -138,10 +138,12 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         known = at >= KNOWN
         yield _pairs(row[known], at[known] - KNOWN)
         h, row, at = h[~known], row[~known], at[~known]
+        if not len(h):
+            continue
         same = h[1:] == h[:-1]
         shared = np.r_[False, same] | np.r_[same, False]
         # the last row waits for its successor, with one equal before it if there is one
-        keep = 0 if not len(h) else 2 if len(h) > 1 and same[-1] else 1
+        keep = 2 if len(h) > 1 and same[-1] else 1
         out = shared.copy()
         if keep == 1:
             out[-1:] = False
@@ -295,7 +297,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                     whole = b" ".join(words)
                     out.append((len(words), 0, hashlib.sha256(whole).hexdigest(), [], data if keep is not None else whole))
                     continue
-                refs = {f["start"]: (f["ref_row"], f["ref_start"]) for f in factors}
+                skip = lambda f: (f["mask"] & -f["mask"]).bit_length() - 1  # noqa: E731  the first marked window
+                refs = {f["start"] + skip(f): (f["ref_row"], f["ref_start"] + skip(f)) for f in factors}
                 spans = spans_of([f["start"] for f in factors], [f["mask"] for f in factors])
                 left, done = [], 0
                 for a, e in spans:
