@@ -3,8 +3,8 @@
 A naive Bayes classifier with normal features, learnt by SQL aggregates from all labelled rows, gives each document a
 posterior over the domains of the labelled table. Then document rates are fitted: with n tokens and posterior p of a
 document, the sums of rate * n * p over all documents, one for each domain, shall match the targets. Projected gradient
-descent on the squared relative errors, scaled by tokens and by domain: each step adds the domains' errors, weighted by
-the document's posterior, and projects on [0, most]. A step's sums are one distributed aggregate; the driver holds the
+descent on the squared errors, scaled by tokens and by the domains' overlap: each step adds the domains' scaled errors,
+weighted by the document's posterior, and projects on [0, most]. A step's sums are one distributed aggregate; the driver holds the
 domains' errors alone, a few numbers a step, and a document's rate is the fold of its posterior over them.
 
 Rows are emitted by rate: floor(rate + u) copies with u uniform in [0, 1) from a hash of the id.
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,19 +86,25 @@ def _rate(errors: list[list[float]], size: int, most: float) -> Column:
 
 
 def fit_rates(known: DataFrame, targets: list[float], most: float, relative: bool) -> list[list[float]]:
-    """The errors of all steps for rows (n, p); `_rate` folds a posterior over them."""
+    """The scaled errors of all steps for rows (n, p); `_rate` folds a posterior over them. Errors are scaled by the
+    inverse of the sum of n p p': a step then solves the squares at once but for rates that meet a bound."""
     size = len(targets)
-    now = known.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("p")[i]) for i in range(size)]).first()
-    total, has = now[0] or 0, [x or 0.0 for x in now[1:]]
-    goal = [t * h if relative else t * total for t, h in zip(targets, has)]
-    errors: list[list[float]] = []
-    while total and len(errors) < STEPS:
-        sums = known.select("n", "p", _rate(errors, size, most).alias("w")).agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("w")) for i in range(size)]).first()
-        errors.append([(s - g) / h if h else 0.0 for s, g, h in zip(sums, goal, has)])
-        still = len(errors) > 1 and max(abs(a - b) for a, b in zip(errors[-1], errors[-2])) < ENOUGH / 10
-        if still or max(map(abs, errors[-1])) < ENOUGH:
+    pairs = [(i, j) for i in range(size) for j in range(size)]
+    first = known.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("p")[i]) for i in range(size)], *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
+    total, has = first[0] or 0, np.array([x or 0.0 for x in first[1 : size + 1]])
+    scale = np.linalg.pinv(np.array([x or 0.0 for x in first[size + 1 :]]).reshape(size, size))
+    goal = np.array(targets) * (has if relative else total)
+    steps: list[list[float]] = []
+    before = None
+    while total and len(steps) < STEPS:
+        sums = known.select("n", "p", _rate(steps, size, most).alias("w")).agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("w")) for i in range(size)]).first()
+        error = np.array([x or 0.0 for x in sums]) - goal
+        share = np.abs(error) / np.maximum(has, 1e-9)
+        if share.max() < ENOUGH or before is not None and np.abs(share - before).max() < ENOUGH / 10:
             break
-    return errors
+        before = share
+        steps.append([float(x) for x in scale @ error])
+    return steps
 
 
 @dataclass(frozen=True)
