@@ -116,8 +116,8 @@ _N = substring.WINDOW
 ORACLES["op7_substring"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d),
-k AS (SELECT r, unnest(range(1, len(ws) - {_N - 2})) AS i, ws FROM d WHERE len(ws) >= {_N}),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(ws[i : i + {_N - 1}], ' ')) AS n FROM k),
+k AS (SELECT r, unnest(range(1, len(ws) - {_N - 2})) AS i, unnest(list_transform(range(1, len(ws) - {_N - 2}), lambda i: md5(array_to_string(ws[i : i + {_N - 1}], ' ')))) AS h FROM d WHERE len(ws) >= {_N}),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM k),
 c AS (SELECT p.r, p.i, p.w, coalesce(max(g.n) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN {_N - 1} PRECEDING AND CURRENT ROW), 1) > 1 AS gone
   FROM p LEFT JOIN g ON p.r = g.r AND p.i = g.i),
 s AS (SELECT r, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY r)
