@@ -27,6 +27,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH = "8m"  # bytes of an Arrow batch: what a task holds in the JVM, on its way and in Python, each
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default limit on the bytes of an Arrow batch; whole texts are long, and tasks share an executor.
+    A limit that the session sets itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -41,6 +52,7 @@ def per_text(
     """One output row for each input row: the columns `keep`, then what the function that `start` makes in each
     task returns for the row's text as UTF-8 bytes (null: empty). Texts go to Python in Arrow batches, which Spark
     bounds by bytes; a row's result depends on its own text alone, so any task can be run again anywhere."""
+    small_batches(docs.sparkSession)
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int", pa.binary(): "binary"}
     kinds |= {pa.list_(pa.string()): "array<string>", pa.list_(pa.int64()): "array<bigint>"}
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("__text"))

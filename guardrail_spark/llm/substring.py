@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small_batches
 
 WINDOW, GRAM = 35, 12
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -280,6 +280,7 @@ def duplicate_factors(rows: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row's id, n_words, n_removed, kept_sha256, and its duplicate spans as word offsets [start, end) with the
     reference that the span's first factor points at. With `keep` (other columns) also those and the kept text."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text, keep)
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "__row")  # one exchange serves both joins
     with_factors = rows.join(duplicate_factors(rows), F.col("__row") == F.col("row"), "left").drop("row", "__row")
