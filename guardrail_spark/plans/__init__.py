@@ -1,6 +1,7 @@
 """All queries of the library over the given tables."""
 
-from . import event_queries, policy_queries, text_queries
+from . import event_queries, policy_queries, stream_queries, text_queries
 
-QUERIES = text_queries.QUERIES | event_queries.QUERIES | policy_queries.QUERIES
-ORACLES = text_queries.ORACLES | event_queries.ORACLES | policy_queries.ORACLES
+_MODULES = (text_queries, event_queries, policy_queries, stream_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

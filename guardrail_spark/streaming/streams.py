@@ -46,7 +46,7 @@ def stream_rates(stream: DataFrame, keys: list[str], window: str = "5 minutes",
 
 def stream_incidents(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     errors = stream.where("verdict = 'ERROR'").withWatermark("ts", late).groupBy("tenant", "app", "guard_id", F.session_window("ts", gap).alias("w"))
-    return errors.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n_errors"))
+    return errors.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n_errors")).drop("w")
 
 
 def replay(spark: SparkSession, path: str, files_a_batch: int = 50) -> DataFrame:
