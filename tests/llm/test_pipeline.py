@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections import Counter
 from pathlib import Path
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from guardrail_spark.llm import bpe, neardup, substring, toxicity
+from guardrail_spark.llm import bpe, toxicity
 from guardrail_spark.llm.common import settled
 
 SF = "/root/testdata/sf0.001"
