@@ -38,15 +38,16 @@ def domain_of_labels() -> Column:
 def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with id, n (tokens) and x (features): length, word length, variety of words, signs, marks, lines."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{id_col}`").alias("id"), t.alias("t"), F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w"))
-    chars, n = F.length("t"), F.size("w")
-    share = lambda c: (chars - F.length(F.replace("t", F.lit(c), F.lit("")))) / F.greatest(chars, F.lit(1))
+    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], t.alias("__t"), words.alias("__w"))
+    chars, n = F.length("__t"), F.size("__w")
+    share = lambda c: (chars - F.length(F.replace("__t", F.lit(c), F.lit("")))) / F.greatest(chars, F.lit(1))
     signs = sum((share(c) for c in "#$%*&"), F.lit(0.0))
     x = F.array(
-        F.log1p(chars.cast("double")), chars / F.greatest(n, F.lit(1)), F.size(F.array_distinct("w")) / F.greatest(n, F.lit(1)),
+        F.log1p(chars.cast("double")), chars / F.greatest(n, F.lit(1)), F.size(F.array_distinct("__w")) / F.greatest(n, F.lit(1)),
         F.sqrt(signs), F.sqrt(share("|")), F.sqrt(share("!")), F.sqrt(share("\n")),
     )
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("id", "n", "x", "t", "w")], "id", n.cast("long").alias("n"), x.alias("x"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("id", "n", "x")], F.col(f"`{id_col}`").alias("id"), n.cast("long").alias("n"), x.alias("x"))
 
 
 def fit_classifier(rows: DataFrame, labels: DataFrame, id_col: str, domain: Column, domains: tuple[str, ...]) -> list[tuple[float, list[float], list[float]]]:
@@ -148,8 +149,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: flo
 
 def mixed_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float = 1.0, relative: bool = True, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, each as often as its copies say."""
-    rows = settled(features(docs, id_col, text))
-    kept = fit(rows, labels, targets, most, relative, id_col).columns(rows, [f"`{c}`" for c in docs.columns]).where("copies > 0")
+    # whole rows travel in one column, so that none of theirs clashes with the features
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    rows = settled(features(whole, id_col, text).select("__row", "id", "n", "x"))
+    kept = fit(rows, labels, targets, most, relative, id_col).columns(rows, ["__row"]).where("copies > 0")
     if most > 1:
         kept = kept.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return kept.select("__row.*")

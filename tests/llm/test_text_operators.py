@@ -200,5 +200,7 @@ def test_mixing_tables(spark):
     assert len(mixing.mix(odd, labels, mixing.TARGETS).collect()) == 4
     assert [r.rate for r in mixing.mix(odd, labels.limit(0), mixing.TARGETS).collect()] == [1.0] * 4
     assert mixing.mix(odd.limit(0), labels, mixing.TARGETS).count() == 0
-    kept = mixing.mixed_rows(docs, labels, {"low": 0.5, "good": 1.0})
-    assert kept.columns == docs.columns
+    clash = docs.selectExpr("doc_id", "text", "7 AS n", "'x' AS id", "'y' AS x", "'z' AS p", "'r' AS rate")
+    kept = mixing.mixed_rows(clash, labels, {"low": 0.5, "good": 1.0})
+    assert kept.columns == clash.columns
+    assert {(r.n, r.id, r.x, r.p, r.rate) for r in kept.collect()} == {(7, "x", "y", "z", "r")}
