@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-STEPS, ENOUGH, LEAST_VARIANCE = 60, 1e-6, 1e-4
+STEPS, ENOUGH, LEAST_VARIANCE = 30, 1e-4, 1e-4
 DOMAINS = ("low", "good")
 #: Production targets as shares of all tokens.
 TARGETS = {"low": 0.05, "good": 0.95}
@@ -81,9 +81,12 @@ def posteriors(rows: DataFrame, model: list[tuple[float, list[float], list[float
 
 def _rate(errors: list[list[float]], size: int, most: float) -> Column:
     """1, moved by each step's errors in turn and kept in [0, most]."""
+    if not errors:
+        return F.lit(1.0)
     steps = "array(" + ", ".join("array(" + ", ".join(f"{e!r}D" for e in step) + ")" for step in errors) + ")"
-    dot = " + ".join(f"p[{i}] * s[{i}]" for i in range(size))
-    return F.expr(f"aggregate({steps}, 1D, (w, s) -> least({most!r}D, greatest(0D, w - ({dot}))))") if errors else F.lit(1.0)
+    dot = " + ".join(f"q[{i}] * s[{i}]" for i in range(size))
+    # q binds the posterior, so that a pushed-down filter computes it once and not in every step
+    return F.expr(f"get(transform(array(p), q -> aggregate({steps}, 1D, (w, s) -> least({most!r}D, greatest(0D, w - ({dot}))))), 0)")
 
 
 def fit_rates(known: DataFrame, targets: list[float], most: float, relative: bool) -> list[list[float]]:
