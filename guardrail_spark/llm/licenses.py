@@ -42,7 +42,8 @@ def words_of(text: Column) -> Column:
 
 def template_grams(spark) -> DataFrame:
     """(hash, template, at, size, label): every gram's place in its template."""
-    rows = spark.createDataFrame([(i, label, text.split()) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, words array<string>")
+    values = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+    rows = spark.sql(f"SELECT template, label, split(text, ' ') AS words FROM VALUES {values} AS t(template, label, text)")
     rows = rows.select("template", "label", F.size("words").alias("size"), "words", F.explode(F.expr(f"sequence(0, size(words) - {GRAM})")).alias("at"))
     return rows.select(F.expr("xxhash64(" + ", ".join(f"words[at + {i}]" for i in range(GRAM)) + ")").alias("hash"), "template", "at", "size", "label")
 
