@@ -1,10 +1,10 @@
 """MinHash near-dedup with an LSH forest.
 
 A text's set holds its distinct shingles of words (fewer words than one shingle: the whole sequence). Rows with equal
-sets form a class, of which one goes on. Each class has TREES signatures of DEPTH min-hashes. A tree sorts the classes by
-their signatures; those that share a prefix of MIN_DEPTH form a region, and in sorted order the next REGION neighbours,
-which have the longest common prefixes, are candidates: all pairs of a small region, and the deeper the prefix the denser
-the region. A region of more than PIECE classes is dealt out by a hash that differs from tree to tree.
+sets form a class, of which one goes on. Each class has TREES signatures of DEPTH min-hashes. In a tree the classes
+that share a prefix of MIN_DEPTH form a region, and all pairs of a region are compared by their signatures. A region of
+more than PIECE classes is first dealt out by a hash that differs from tree to tree, which finds most of its clusters;
+then the classes outside the region's largest cluster meet all classes of the region, block by block.
 
 Candidates whose signatures agree too seldom for the threshold (by SLACK standard errors) drop out; the rest join classes
 to clusters. Each cluster's texts then meet, and links are confirmed on the full sets: within a cluster of up to PIECE
@@ -31,7 +31,7 @@ from .common import per_text, settled, shuffle_partitions
 from .components import components
 from .substring import Rolling
 
-TREES, DEPTH, MIN_DEPTH, REGION, PIECE, SLACK = 16, 8, 3, 8, 1024, 5.0
+TREES, DEPTH, MIN_DEPTH, PIECE, SLACK = 16, 8, 3, 1024, 5.0
 HASHES = TREES * DEPTH
 _ROLLING = Rolling()
 _rng = np.random.default_rng(20240229)
@@ -98,31 +98,31 @@ def described(docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
     return per_text(rows, ["id", "k"], [("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())], start)
 
 
-def candidate_links(reps: DataFrame, least: float) -> DataFrame:
-    """(a, b): links that join the classes (k, sig) which the forest finds to agree at least so often."""
-    n = shuffle_partitions(reps.sparkSession)
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    region = F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * MIN_DEPTH})"))
-    places = reps.select("k", "sig", numbers).select("k", "tree", region.alias("region"))
-    sizes = places.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    share = F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / PIECE).cast("long"))
-    busy = places.join(sizes, "region").select("k", "tree", F.xxhash64("region", F.when(F.col("m") > PIECE, share).otherwise(0)).alias("spot"))
-    order = F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("order")
-    # the lower byte of each min-hash is enough to tell how often two agree
-    rows = busy.join(reps.select("k", "sig"), "k").select("spot", order, "k", "sig")
-    rows = rows.repartition(n, "spot").sortWithinPartitions("spot", "order", "k")
+def _joining(sigs: np.ndarray, label: np.ndarray, asks: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the pairs of rows that agree so often and of which one asks those that join all labels that such pairs join."""
+    found = []
+    for i in np.flatnonzero(asks).tolist():
+        if (label == label[0]).all():
+            break
+        near = np.flatnonzero((label != label[i]) & (np.count_nonzero(sigs == sigs[i], axis=1) >= least * HASHES))
+        while len(near):
+            j = int(near[0])
+            found.append((i, j))
+            label[label == label[j]] = label[i]
+            near = near[label[near] != label[i]]
+    return found
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot, keys, sigs, found = None, [], [], set()
+
+def _candidates(least: float) -> Callable:
+    """Links (a, b) that join the rows (spot, k, label, asks, sig) of each spot as far as their signatures do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spot, rows, found = None, [], set()
 
         def flush() -> None:
-            """A bounded run of neighbours in sorted order."""
-            s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), HASHES)
-            one = Joined(len(keys))
-            for step in range(1, min(REGION, len(keys) - 1) + 1):
-                for i in np.flatnonzero((s[:-step] == s[step:]).mean(1) >= least).tolist():
-                    if one.join(i, i + step):
-                        found.add((keys[i], keys[i + step]))
+            keys, labels, asks, sigs = zip(*rows)
+            s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(rows), HASHES)
+            found.update((keys[i], keys[j]) for i, j in _joining(s, np.unique(labels, return_inverse=True)[1], np.array(asks), least))
 
         def out() -> pa.RecordBatch:
             a, b = zip(*found) if found else ((), ())
@@ -130,21 +130,57 @@ def candidate_links(reps: DataFrame, least: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for at, k, sig in zip(*(batch.column(c).to_pylist() for c in ("spot", "k", "sig"))):
-                if at != spot or len(keys) == 2 * PIECE:
-                    if len(keys) > 1:
+            for at, *row in zip(*(batch.column(c).to_pylist() for c in ("spot", "k", "label", "asks", "sig"))):
+                if at != spot:
+                    if len(rows) > 1:
                         flush()
-                    keep = REGION if at == spot else 0  # a long run goes on with its last ones
-                    spot, keys, sigs = at, keys[len(keys) - keep :], sigs[len(sigs) - keep :]
-                keys.append(k)
-                sigs.append(sig)
+                    spot, rows = at, []
+                rows.append(row)
             if len(found) > 100_000:
                 yield out()
-        if len(keys) > 1:
+        if len(rows) > 1:
             flush()
         yield out()
 
-    return rows.mapInArrow(link, "a long, b long").distinct()
+    return run
+
+
+def _blocks(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """rows (group, k, label, ...) with asks and spot, for all pairs of a group's rows that differ in their labels. The
+    rows outside the group's commonest label ask; a block of those and a piece of all rows meet in one spot."""
+    count = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("__n"))
+    head = count.groupBy(group).agg(F.sum("__n").alias("__m"), F.max_by(label, F.struct("__n", label)).alias("__head"), F.max("__n").alias("__most")).where("__m > __most")
+    deal = lambda n: F.ceil(n / PIECE).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    all_rows = rows.join(head.hint("merge"), group).withColumns({"__pieces": deal(F.col("__m")), "__asking": deal(F.col("__m") - F.col("__most"))})
+    asking = all_rows.where(F.col(label) != F.col("__head")).withColumns({"asks": F.lit(True), "__i": F.pmod(F.xxhash64("k", F.lit("asks")), F.col("__asking")), "__j": every(F.col("__pieces"))})
+    home = all_rows.withColumns({"asks": F.lit(False), "__i": every(F.col("__asking")), "__j": F.pmod(F.xxhash64("k"), F.col("__pieces"))})
+    met = asking.unionByName(home).withColumn("spot", F.xxhash64(group, "__i", "__j"))
+    return met.drop("__m", "__head", "__most", "__pieces", "__asking", "__i", "__j")
+
+
+def candidate_links(reps: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join the classes (k, sig) which share a region and agree at least so often."""
+    n = shuffle_partitions(reps.sparkSession)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    region = F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * MIN_DEPTH})"))
+    places = reps.select("k", "sig", numbers).select("k", "tree", region.alias("region"))
+    sizes = places.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    share = F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / PIECE).cast("long"))
+    busy = places.join(sizes, "region").select("k", F.xxhash64("region", F.when(F.col("m") > PIECE, share).otherwise(0)).alias("spot"))
+
+    def meet(rows: DataFrame) -> DataFrame:
+        rows = rows.join(reps, "k").select("spot", "k", "label", "asks", "sig")
+        return rows.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_candidates(least), "a long, b long").distinct()
+
+    links = meet(busy.withColumns({"label": F.col("k"), "asks": F.lit(True)}))
+    large = sizes.where(F.col("m") > PIECE)
+    if large.isEmpty():
+        return links
+    links = settled(links)
+    labels = components(links).select(F.col("node").alias("k"), "component")
+    rows = places.join(large, "region").join(labels, "k", "left").select("region", "k", F.coalesce("component", "k").alias("label"))
+    return links.unionByName(meet(_blocks(settled(rows), "region", "label")))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

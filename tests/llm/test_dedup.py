@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from guardrail_spark.llm import neardup, substring
@@ -128,6 +129,19 @@ def test_near_equals_brute_force(spark, monkeypatch, size, percent, piece):
     assert got == brute_near(rows, size, percent)
 
 
+@pytest.mark.parametrize("piece", [1024, 64])
+def test_candidates_hidden_in_a_dense_region(spark, monkeypatch, piece):
+    """Signatures of a template: all share the first hashes of every tree; pairs agree beyond, but not in sorted order."""
+    monkeypatch.setattr(neardup, "PIECE", piece)
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(0, 1 << 16, (400, neardup.TREES, neardup.DEPTH)).astype(np.uint16)
+    sigs[:, :, : neardup.MIN_DEPTH] = 7
+    sigs[20:40, :, neardup.MIN_DEPTH + 1 :] = sigs[:20, :, neardup.MIN_DEPTH + 1 :]
+    df = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "k long, sig binary")
+    links = {(min(r), max(r)) for r in neardup.candidate_links(df, neardup.least_agreement(0.85)).collect()}
+    assert links == {(i, i + 20) for i in range(20)}
+
+
 def test_near_empty(spark):
     assert neardup.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
