@@ -9,8 +9,8 @@ then the classes outside the region's largest cluster meet all classes of the re
 Candidates whose signatures agree too seldom for the threshold (by SLACK standard errors) drop out; the rest join classes
 to clusters. Each cluster's texts then meet, and links are confirmed on the full sets: within a cluster of up to PIECE
 classes every pair whose signatures allow the threshold, unless links already join it. Larger clusters meet in pieces
-that share one class, the leader; classes that no link joins to the leader then visit every piece of their cluster, so
-that none of their links is missed.
+that share one class, the leader; classes that no link joins to the leader then meet all classes of their cluster, so
+that none of their links is missed, block by block, so that no task holds more than two blocks.
 
 Defined cases: null text or no words: an empty set, linked with nothing; equal sets are linked (also of rows with one id
 or none); a component without any id has the id null and its rows are kept; other columns are ignored; an empty table
@@ -240,28 +240,20 @@ def confirmed_links(reps: DataFrame, docs: DataFrame, size: int, percent: int, i
     texts = settled(source.join(dealt.hint("merge"), "k").dropDuplicates(["k"]))
     ddl = "a long, b long"
 
-    def meet(rows: DataFrame, visiting: bool) -> DataFrame:
-        rows = rows.select(F.xxhash64("cluster", "piece").alias("spot"), "k", "joined", "asks", "text")
+    def confirm(rows: DataFrame, visiting: bool) -> DataFrame:
+        rows = rows.select("spot", "k", "joined", "asks", "text")
         return rows.repartition(n, "spot").sortWithinPartitions("spot", F.col("asks").desc(), "k").mapInArrow(_confirm(size, percent, least, visiting), ddl)
 
     own = F.pmod(F.xxhash64("k"), F.col("pieces"))
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))
     leads = F.col("k") == F.col("cluster")  # a cluster is named by its least class
     seen = texts.withColumn("piece", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).otherwise(F.array(own))))
-    links = settled(meet(seen.withColumns({"joined": F.col("k"), "asks": F.lit(False)}), False))
+    links = settled(confirm(seen.withColumns({"spot": F.xxhash64("cluster", "piece"), "joined": F.col("k"), "asks": F.lit(False)}), False))
     large = texts.where("pieces > 1")
     if large.isEmpty():
         return links
     joined = components(links).withColumnRenamed("node", "k").withColumnRenamed("component", "joined")
-    heads = joined.select(F.col("k").alias("cluster"), F.col("joined").alias("head"))
-    state = large.join(joined, "k", "left").join(heads, "cluster", "left")
-    state = state.withColumns({"joined": F.coalesce("joined", "k"), "head": F.coalesce("head", "cluster")})
-    asking = state.where("joined <> head")
-    if asking.isEmpty():
-        return links
-    visits = asking.withColumns({"piece": everywhere, "asks": F.lit(True)})
-    home = state.join(asking.select("cluster").distinct(), "cluster", "left_semi").where("joined = head").withColumns({"piece": own, "asks": F.lit(False)})
-    return links.unionByName(meet(visits.unionByName(home), True))
+    state = settled(large.join(joined, "k", "left").withColumn("joined", F.coalesce("joined", "k")))
+    return links.unionByName(confirm(_blocks(state, "cluster", "joined"), True))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from guardrail_spark.llm import neardup, substring
 from guardrail_spark.llm.components import components
@@ -142,6 +143,16 @@ def test_candidates_hidden_in_a_dense_region(spark, monkeypatch, piece):
     assert links == {(i, i + 20) for i in range(20)}
 
 
+def test_near_spots_stay_bounded(spark, monkeypatch):
+    """A large cluster with no true link in it: all of its classes ask, and no spot grows with it."""
+    monkeypatch.setattr(neardup, "PIECE", 16)
+    rows = spark.createDataFrame([(0, k, k) for k in range(400)], "cluster long, k long, joined long")
+    spots = neardup._blocks(rows, "cluster", "joined").groupBy("spot").agg(F.collect_list(F.struct("asks", "k")).alias("met")).collect()
+    assert max(len(r.met) for r in spots) <= 6 * 16
+    met = {frozenset((a.k, b.k)) for r in spots for a in r.met if a.asks for b in r.met}
+    assert all(frozenset((a, b)) in met for a in range(400) for b in range(a))
+
+
 def test_near_empty(spark):
     assert neardup.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
