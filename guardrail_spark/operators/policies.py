@@ -49,6 +49,15 @@ def fan_out(requests: DataFrame, policies: DataFrame, guards: DataFrame) -> Data
     return requests.join(plan, ["app", "env"]).where((F.col("direction") == F.col("guard_direction")) | (F.col("guard_direction") == "both"))
 
 
+def fan_out_counts(requests: DataFrame, policies: DataFrame, guards: DataFrame) -> DataFrame:
+    """(app, policy_id, scenario, n): the rows of fan_out counted, without making them: both sides are counted first."""
+    asked = requests.groupBy("app", "env", "direction").agg(F.count(F.lit(1)).alias("n_requests"))
+    plan = policies.select("policy_key", "policy_id", "app", "env").join(guards, "policy_key")
+    plan = plan.groupBy("app", "env", "policy_id", "scenario", "guard_direction").agg(F.count(F.lit(1)).alias("n_guards"))
+    met = asked.join(plan, ["app", "env"]).where((F.col("direction") == F.col("guard_direction")) | (F.col("guard_direction") == "both"))
+    return met.groupBy("app", "policy_id", "scenario").agg(F.sum(F.col("n_requests") * F.col("n_guards")).alias("n"))
+
+
 def with_detector(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """rows with the catalog's digest and whether their detector is unknown."""
     known = catalog.select(F.concat_ws("@", "detector_id", "version").alias("detector"), "image_digest")

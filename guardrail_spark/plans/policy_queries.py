@@ -67,6 +67,15 @@ def j3_fan_out(spark, sf_dir):
     return P.fan_out(requests, approved, guards).groupBy("app", "policy_id", "scenario").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""{WITH}, {_APPROVED}, r AS (SELECT app, env, direction, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT a.app, a.env, a.policy_id, gd.scenario, gd.direction, count(*) AS n FROM a JOIN gd ON gd.policy_key = a.policy_key GROUP BY ALL)
+SELECT r.app, t.policy_id, t.scenario, CAST(sum(r.n * t.n) AS BIGINT) AS n FROM r JOIN t ON r.app = t.app AND r.env = t.env WHERE t.direction = r.direction OR t.direction = 'both' GROUP BY ALL""")
+def j3_fan_out_all(spark, sf_dir):
+    """The fan-out of all requests."""
+    requests = view(spark, sf_dir, "guard_events").select("app", "env", "direction")
+    approved = pol(spark, sf_dir).where("status = 'approved' and env = 'prod'")
+    return P.fan_out_counts(requests, approved, grd(spark, sf_dir).select("policy_key", "scenario", F.col("direction").alias("guard_direction")))
+
+
 @query(f"{WITH} SELECT gd.detector, c.detector_id IS NULL AS missing, count(*) AS n FROM gd LEFT JOIN c ON gd.detector = c.detector_id || '@' || c.version GROUP BY ALL")
 def j4_with_detector(spark, sf_dir):
     return P.with_detector(grd(spark, sf_dir), view(spark, sf_dir, "catalog")).groupBy("detector", "missing").agg(F.count(F.lit(1)).alias("n"))
