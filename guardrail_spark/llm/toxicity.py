@@ -45,7 +45,9 @@ ALIKE = {"1": "il", "!": "il", "|": "il", "0": "o", "3": "e", "4": "a", "@": "a"
 SEPARATORS = " .-_*~"
 #: Marks that may hug a word without being part of it.
 HUG = b".,;:?\"'()[]{}<>#%&*$!|~_-"
-SPACED = re.compile(rb"(?<![^ \t\r\n\x0b\x0c])(?:[^ \t\r\n\x0b\x0c][ .\-_*~]){2,}[^ \t\r\n\x0b\x0c](?![^ \t\r\n\x0b\x0c])")
+#: Those of them that no lattice reads as a letter or drops.
+_OUTSIDE = b".,;:?\"'()[]{}<>#%&~"
+SPACED = re.compile(rb"(?<![^ \t\r\n\x0b\x0c])(?:[^ \t\r\n\x0b\x0c][ .\-_*~] *){2,}[^ \t\r\n\x0b\x0c](?![^ \t\r\n\x0b\x0c])")
 _AGAIN = re.compile(rb"(.)\1+", re.S)
 #: One class for letters and look-alikes that a lattice may exchange.
 _CLASS = bytes.maketrans(b"l1!|0344@5$7+89", b"iiiioeaaassttbg")
@@ -94,8 +96,9 @@ def log_probabilities(counts: list[tuple[int, int]]) -> np.ndarray:
     return np.log((three + 20 * two) / (three.sum(2, keepdims=True) + 20)).astype(np.float32)
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest intended word (Viterbi over the lattice of a lower-cased word, states: last two characters)."""
+def decode(word: str, model: np.ndarray, spelt: bool = False) -> str:
+    """The likeliest intended word (Viterbi over the lattice of a lower-cased word, states: last two characters). In a
+    run of spelt-out letters a separator may also stand for the blank between two words."""
     same, alike, again, gap = (math.log(p) for p in (P_SAME, P_ALIKE, P_AGAIN, P_GAP))
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     for ch in word:
@@ -112,6 +115,8 @@ def decode(word: str, model: np.ndarray) -> str:
                 put((a, b, last), score + again, made)
             if ch in SEPARATORS and made:
                 put((a, b, last), score + gap, made)
+                if spelt and last:
+                    put((b, 0, ""), score + gap + float(model[a, b, 0]), made + " ")
             if ch == " ":
                 continue  # inside a spelt-out word a blank is never a letter
             for x, cost in options:
@@ -137,22 +142,45 @@ class Restorer:
         self.keys = {collapsed(f) for f in model.precision}
         self.sizes = sorted({len(k) for k in self.keys})
         self.memo: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, list[bytes]] = {}
 
     def reaches(self, word: bytes) -> bool:
         key = collapsed(word)
         return any(key[:n] in self.keys for n in self.sizes)
 
+    def run(self, run: bytes) -> list[bytes]:
+        """The words that a lower-cased run of spelt-out letters may mean: as one, cut where blanks are likely, and those
+        that reach a scored beginning from any letter on."""
+        key = collapsed(run)
+        if not self.everything and not any(key[i : i + n] in self.keys for i in range(len(key)) for n in self.sizes):
+            return []
+        found = self.runs.get(run)
+        if found is None:
+            text = run.strip(_OUTSIDE).decode("utf-8", "replace")
+            found = [w.strip(HUG) for spelt in (False, True) for w in decode(text, self.model.trigrams, spelt).encode().split()]
+            # a word may begin at any letter; beginnings are short, so 64 letters and their separators tell them
+            for i in range(1, len(text)):
+                rest = text[i : i + 128]
+                if text[i] not in SEPARATORS and self.reaches(rest.encode()):
+                    found.append(decode(rest, self.model.trigrams).encode().strip(HUG))
+            if len(self.runs) >= 100_000:
+                self.runs.clear()
+            self.runs[run] = found = list(dict.fromkeys(found))
+        return found
+
     def word(self, word: bytes) -> bytes:
         """A lower-cased word as it was meant, without the marks that hug it."""
         found = self.memo.get(word)
         if found is None:
             core = word.strip(HUG)
-            if core.isalpha() and not _THRICE.search(core):
+            inner = word.strip(_OUTSIDE)
+            # `$` or `!` at an end may be a letter too
+            if core.isalpha() and not _THRICE.search(core) and (inner.strip(b"*_-") == core or self.scored(core)):
                 found = core
                 if _AGAIN.search(core) and not self.scored(core) and self.reaches(core):
                     found = decode(core.decode("utf-8", "replace"), self.model.trigrams).encode()
-            elif self.everything or self.reaches(word.strip(b".,;:?\"'()[]{}<>#%&~")):
-                found = decode(word.strip(b".,;:?\"'()[]{}<>#%&~").decode("utf-8", "replace"), self.model.trigrams).encode().strip(HUG)
+            elif self.everything or self.reaches(inner):
+                found = decode(inner.decode("utf-8", "replace"), self.model.trigrams).encode().strip(HUG)
             else:
                 found = core
             if len(self.memo) >= 300_000:
@@ -164,14 +192,14 @@ class Restorer:
         return any(core[:n] in self.model.precision for n in LENGTHS)
 
     def words(self, data: bytes) -> list[bytes]:
-        """The restored words of a text, each spelt-out run (`i d i o t`) as one."""
+        """The restored words of a text, each spelt-out run (`i d i o t`) as one and cut into words."""
         low = data.lower()
         runs = [m.group() for m in SPACED.finditer(low)]
-        return [*map(self.word, runs), *map(self.word, low.split())]
+        return [*(w for r in runs for w in self.run(r)), *map(self.word, low.split())]
 
     def beginnings(self, data: bytes) -> set[bytes]:
         words = {self.word(w) for w in set(data.lower().split())}
-        words |= {self.word(m.group()) for m in SPACED.finditer(data.lower())}
+        words |= {w for m in SPACED.finditer(data.lower()) for w in self.run(m.group())}
         return {w[:n] for w in words for n in LENGTHS if len(w) >= n}
 
 
@@ -211,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
     def tally(pick: Callable) -> DataFrame:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            restorer, found = Restorer(Model(trigrams, {})), {}
+            restorer, found = Restorer(Model(trigrams, {}), everything=True), {}
             for b in batches:
                 for y, x in zip(b.column(0).to_pylist(), b.column(1)):
                     for f in pick(restorer.beginnings(x.as_buffer().to_pybytes())):

@@ -87,6 +87,21 @@ def test_hidden_words_score_like_plain_ones(spark, model):
     assert "idiot" in toxicity.restore(df, model).collect()[2].restored
 
 
+def test_hidden_beginnings_and_words_in_runs_score(spark, model):
+    texts = ["you $tupid", "you !diot", "you |oser", "a l o s e r", "y o u i d i o t", "i  d  i  o  t", "so great! $5 |x|"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in toxicity.score_texts(df, model).collect()]
+    assert [s >= toxicity.THRESHOLD for s in got] == [True] * 6 + [False]
+
+
+def test_words_labelled_only_when_hidden_are_learnt(spark):
+    plain = [(i, f"the story number w{i} of a zorgle garden and q{i}", 0) for i in range(300)]
+    rows = [(1000 + i, f"z0rgl3 said k{i} to m{i} on n{i}", 1) for i in range(40)] + [(2000 + i, f"nice v{i} to r{i} on s{i}", 0) for i in range(40)]
+    schema = "doc_id long, text string, toxic int"
+    model = toxicity.fit(spark.createDataFrame(plain + rows, schema), spark.createDataFrame(rows, schema))
+    assert any(f.startswith(b"zorg") for f in model.precision)
+
+
 def test_pruning_reaches_all_paths(model):
     """Every path of a lattice collapses to the observed word's key."""
     rng = random.Random(5)
