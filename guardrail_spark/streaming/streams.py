@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-from collections.abc import Callable
+import pickle
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,45 @@ def replay(spark: SparkSession, path: str, files_a_batch: int = 50) -> DataFrame
     return spark.readStream.schema(EVENT).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_a_batch).json(path)
 
 
+RUN, SLICE, OUT = 50_000, 100, 10_000  # rows that are sorted at a time, read back of each run at a time, given out at a time
+
+
+def sorted_events(frames: Iterable) -> Iterator[tuple]:
+    """(event_id, ts, body) of all frames by ts, then event_id, nulls last: sorted runs on the task's disk, merged, so that
+    a group's rows are never all in memory."""
+    order = lambda r: (r[1] is None, r[1] or 0, r[0] is None, r[0] or "")
+
+    with tempfile.TemporaryFile() as disk:
+        runs: list[list[int]] = []
+        rows: list[tuple] = []
+
+        def write() -> None:
+            rows.sort(key=order)
+            runs.append([])
+            for i in range(0, len(rows), SLICE):
+                runs[-1].append(disk.tell())
+                pickle.dump(rows[i : i + SLICE], disk)
+            rows.clear()
+
+        def read(places: list[int]) -> Iterator[tuple]:
+            for at in places:
+                disk.seek(at)
+                yield from pickle.load(disk)
+
+        for frame in frames:
+            missing = frame["ts"].isna()
+            for e, t, none, b in zip(frame["event_id"], frame["ts"], missing, frame["body"]):
+                rows.append((e, None if none else t.value, b))
+                if len(rows) >= RUN:
+                    write()
+        if not runs:
+            yield from sorted(rows, key=order)
+            return
+        if rows:
+            write()
+        yield from heapq.merge(*map(read, runs), key=order)
+
+
 def stream_chain(stream: DataFrame, late: str = "append"):
     """Events chained as they come, with (tenant, app) heads as state. `append`: late events go to the tail; `drop`: those
     behind the watermark (set by the caller) are left out."""
@@ -67,16 +109,23 @@ def stream_chain(stream: DataFrame, late: str = "append"):
 
     def link(key, frames, state: GroupState):
         seq, last = state.get if state.exists else (0, None)
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for e, t, b in zip(frame["event_id"], frame["ts"], frame["body"]):
+        names, out = ["tenant", "app", "event_id", "ts", "chain_seq", "prev_event_hash", "event_hash"], []
+
+        def made_frame() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=names)
+            return frame.assign(ts=pd.to_datetime(frame["ts"]))
+
+        for e, t, b in sorted_events(frames):
             seq += 1
             text = b.replace('"\x02"', str(seq)).replace('"\x01"', json.dumps(last))
             made = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
-            out.append((*key, e, t, seq, last, made))
+            out.append((*key, e, pd.NaT if t is None else pd.Timestamp(t), seq, last, made))
             last = made
+            if len(out) >= OUT:
+                yield made_frame()
+                out.clear()
         state.update((seq, last))
-        yield pd.DataFrame(out, columns=["tenant", "app", "event_id", "ts", "chain_seq", "prev_event_hash", "event_hash"])
+        yield made_frame()
 
     kept = rows.withWatermark("ts", "0 seconds") if late == "drop" else rows
     out = "tenant string, app string, event_id string, ts timestamp, chain_seq long, prev_event_hash string, event_hash string"

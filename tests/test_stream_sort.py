@@ -1,0 +1,21 @@
+from __future__ import annotations
+
+import random
+
+import pandas as pd
+
+from guardrail_spark.streaming import streams
+
+
+def test_a_group_is_merged_from_runs_in_order(monkeypatch):
+    monkeypatch.setattr(streams, "RUN", 64)
+    monkeypatch.setattr(streams, "SLICE", 5)
+    rng = random.Random(2)
+    rows = [(f"e{i}", pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rng.randrange(200)), f"b{i}") for i in range(1000)]
+    rows += [("late", pd.NaT, "b"), (None, rows[0][1], "b")]
+    rng.shuffle(rows)
+    frames = [pd.DataFrame(rows[i : i + 90], columns=["event_id", "ts", "body"]) for i in range(0, len(rows), 90)]
+    want = pd.concat(frames).sort_values(["ts", "event_id"])
+    got = list(streams.sorted_events(iter(frames)))
+    assert [r[0] for r in got] == [None if pd.isna(e) else e for e in want["event_id"]]
+    assert list(streams.sorted_events(iter([]))) == []
