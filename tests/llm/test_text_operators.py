@@ -204,6 +204,21 @@ def test_rates_equal_brute_force(spark):
             assert np.allclose(((n * got)[:, None] * p).sum(0), goal, rtol=1e-3)
 
 
+def test_a_fit_that_ends_by_its_steps_says_so(spark, monkeypatch):
+    rows = spark.createDataFrame([(100, [0.9, 0.1]), (50, [0.2, 0.8]), (80, [0.6, 0.4])], "n long, p array<double>")
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.warns(RuntimeWarning, match="after 1 steps"):
+        mixing.fit_rates(rows, [0.5, 0.5], 1.0, False)
+
+
+def test_rates_meet_their_targets_closely(spark):
+    n, p = np.array([100, 50, 80, 400]), np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4], [0.3, 0.7]])
+    rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n long, p array<double>")
+    goal = np.array([0.5, 0.6]) * (n[:, None] * p).sum(0)
+    got = np.array([r.w for r in rows.select(mixing._rate(mixing.fit_rates(rows, [0.5, 0.6], 1.0, True), 2, 1.0).alias("w")).collect()])
+    assert np.allclose(((n * got)[:, None] * p).sum(0), goal, rtol=1e-6)
+
+
 def test_mixing_tables(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = mixing.mix(docs, labels, mixing.TARGETS).collect()
