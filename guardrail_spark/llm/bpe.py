@@ -99,8 +99,10 @@ class Encoder:
                 memo[w] = array("I", self.ids_of(text)).tobytes()
 
     def words_in(self, data: bytes) -> bytes:
-        """Ids of whole words that the memo holds."""
-        return b"".join(map(self.words.__getitem__, data.split()))
+        """Ids of whole words; those that the memo lacks are encoded."""
+        words = data.split()
+        self.learn(set(words))
+        return b"".join(map(self.words.__getitem__, words))
 
     def chunk(self, data: bytes) -> bytes:
         self.met_chunks += 1
@@ -113,8 +115,7 @@ class Encoder:
         return found
 
     def encode(self, data: bytes) -> bytes:
-        """Ids of a text. (Words that a cut or a blank ends are whole words of the text, so all are learnt first.)"""
-        self.learn(set(data.split()))
+        """Ids of a text: chunks are looked up first; only the words of new ones and of joins are encoded."""
         ids: list[bytes] = []
         bounds = [*cuts(data), len(data)]
         blanks = np.flatnonzero(_BLANK[np.frombuffer(data, np.uint8)])

@@ -139,6 +139,15 @@ def test_shared_passages_are_encoded_once(encoder):
     assert fresh.new_chunks - before <= 4
 
 
+def test_words_of_known_chunks_are_not_encoded_again():
+    fresh = bpe.Encoder(f"{TOKENIZERS}/{VOCABULARY}")
+    data = " ".join(f"word{i}" for i in range(2000)).encode()
+    ids = fresh.encode(data)
+    fresh.words.clear()
+    assert fresh.encode(data) == ids
+    assert 0 < len(fresh.words) < 1000  # joins alone
+
+
 def test_bpe_query(spark, encoder):
     got = bpe.bpe(frame(spark, ODD), f"{TOKENIZERS}/{VOCABULARY}", keep_ids=True).collect()
     for r, t in zip(got, ODD):
