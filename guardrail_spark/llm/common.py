@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,18 +14,28 @@ ASCII_SPACE_WORD = r"[^\x20\x09-\x0D]+"  # bytes.split() cuts at exactly these s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); set only where the session has none."""
+    """The folder that all executors share (spark.checkpoint.dir). Where the session has none, a local session gets one; on
+    a cluster that would be another disk on each machine, so there it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "/tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """The rows of df as a Parquet table in the shared folder: cuts the lineage and survives lost executors. The table goes
+    when the session's driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 BATCH = "8m"  # bytes of an Arrow batch: what a task holds in the JVM, on its way and in Python, each

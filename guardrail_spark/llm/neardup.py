@@ -1,25 +1,33 @@
 """MinHash near-dedup with an LSH forest.
 
 A text's set holds its distinct shingles of words (fewer words than one shingle: the whole sequence). Rows with equal
-sets form a class, of which one goes on. Each class has TREES signatures of DEPTH min-hashes. In a tree the classes
-that share a prefix of MIN_DEPTH form a region, and all pairs of a region are compared by their signatures. A region of
-more than PIECE classes is first dealt out by a hash that differs from tree to tree, which finds most of its clusters;
-then the classes outside the region's largest cluster meet all classes of the region, block by block.
+sets form a class, of which one goes on. Each class has TREES signatures of DEPTH min-hashes: its places in TREES sorted
+orders.
 
-Candidates whose signatures agree too seldom for the threshold (by SLACK standard errors) drop out; the rest join classes
-to clusters. Each cluster's texts then meet, and links are confirmed on the full sets: within a cluster of up to PIECE
-classes every pair whose signatures allow the threshold, unless links already join it. Larger clusters meet in pieces
-that share one class, the leader; classes that no link joins to the leader then meet all classes of their cluster, so
-that none of their links is missed, block by block, so that no task holds more than two blocks.
+Forest. In each order the classes that share a prefix of MIN_DEPTH hashes form a region. A region of more than PIECE
+classes is cut by ever longer prefixes until its parts fit: the depth adapts to the region. A task walks a part in sorted
+order by the common prefixes of neighbours, longest first: where two runs meet at a prefix, their classes are compared by
+signature. Those that agree often enough for the threshold (within SLACK standard errors) are joined to clusters.
+
+Confirmation. A cluster's texts meet, and links are confirmed on the full sets: in a cluster of up to PIECE classes every
+pair whose signatures allow the threshold, unless links already join it. Larger clusters meet in pieces that share one
+class, the leader.
+
+Exact rest. What the cutting of dense regions and large clusters may have parted is searched by prefix filter: among the
+classes of these regions and clusters, shingles that occur under two labels (components of the links so far) or more are
+ordered by rarity, and two sets that reach the threshold share one of the first few of each. Classes with different
+labels meet under these shingles, block by block where there are many; pairs that sizes, positions and signatures allow
+are confirmed on the full sets. Nothing is capped.
 
 Defined cases: null text or no words: an empty set, linked with nothing; equal sets are linked (also of rows with one id
 or none); a component without any id has the id null and its rows are kept; other columns are ignored; an empty table
-gives an empty table.
+gives an empty table. Rows are numbered in a written table, so no two share a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -64,25 +72,9 @@ def least_agreement(threshold: float) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / HASHES) ** 0.5
 
 
-class Joined:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def described(docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
-    """(id, k, n_shingles, s1, s2, sig) of every row: k tells rows apart; s1 and s2 tell sets apart."""
+def described(docs: DataFrame, size: int, id_col: str, text: str, keep: list[str]) -> DataFrame:
+    """(k, id, row, text, n_shingles, s1, s2, sig) of every row, written: k numbers rows; row has the columns `keep`; s1
+    and s2 tell sets apart."""
 
     def start() -> Callable[[bytes], tuple]:
         def one(data: bytes) -> tuple:
@@ -94,53 +86,79 @@ def described(docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
 
         return one
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("k"), F.col(f"`{text}`").alias("text"))
-    return per_text(rows, ["id", "k"], [("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())], start)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)
+    rows = docs.select(F.monotonically_increasing_id().alias("k"), F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.col(f"`{text}`").alias("text"))
+    return settled(per_text(rows, ["k", "id", "row", "text"], [("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())], start))
 
 
-def _joining(sigs: np.ndarray, label: np.ndarray, asks: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Of the pairs of rows that agree so often and of which one asks those that join all labels that such pairs join."""
-    found = []
-    for i in np.flatnonzero(asks).tolist():
-        if (label == label[0]).all():
-            break
-        near = np.flatnonzero((label != label[i]) & (np.count_nonzero(sigs == sigs[i], axis=1) >= least * HASHES))
-        while len(near):
-            j = int(near[0])
-            found.append((i, j))
+def _pairs(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _spots(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    """The columns `names` of the rows of each spot; rows come sorted by spot."""
+    spot, rows = None, []
+    for batch in batches:
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("spot", *names))):
+            if at != spot:
+                if rows:
+                    yield list(zip(*rows))
+                spot, rows = at, []
+            rows.append(row)
+    if rows:
+        yield list(zip(*rows))
+
+
+def _sigs(sigs: tuple[bytes, ...]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), HASHES)
+
+
+def _join_where(label: np.ndarray, i: int, others: np.ndarray, similar: Callable[[int], bool]) -> None:
+    """Gives row i and those of `others` that are similar to it one label; rows that have it already need no look."""
+    others = others[label[others] != label[i]]
+    while len(others):
+        j = int(others[0])
+        if similar(j):
             label[label == label[j]] = label[i]
-            near = near[label[near] != label[i]]
-    return found
+        others = others[1:][label[others[1:]] != label[i]]
+
+
+def _stars(keys: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the least key of each label to its other keys."""
+    _, label = np.unique(label, return_inverse=True)
+    least = np.full(label.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, keys)
+    rest = least[label] != keys
+    return least[label][rest], keys[rest]
 
 
-def _candidates(least: float) -> Callable:
-    """Links (a, b) that join the rows (spot, k, label, asks, sig) of each spot as far as their signatures do."""
+def _walk(least: float) -> Callable:
+    """Links (a, b) that join the rows (spot, k, key, sig) of each spot as far as their signatures do. Rows of a spot come
+    in the order of their keys; runs with the longest common prefix come first, and shorter ones only compare what the
+    longer have not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot, rows, found = None, [], set()
-
-        def flush() -> None:
-            keys, labels, asks, sigs = zip(*rows)
-            s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(rows), HASHES)
-            found.update((keys[i], keys[j]) for i, j in _joining(s, np.unique(labels, return_inverse=True)[1], np.array(asks), least))
-
-        def out() -> pa.RecordBatch:
-            a, b = zip(*found) if found else ((), ())
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for at, *row in zip(*(batch.column(c).to_pylist() for c in ("spot", "k", "label", "asks", "sig"))):
-                if at != spot:
-                    if len(rows) > 1:
-                        flush()
-                    spot, rows = at, []
-                rows.append(row)
-            if len(found) > 100_000:
-                yield out()
-        if len(rows) > 1:
-            flush()
-        yield out()
+        for ks, keys, sigs in _spots(batches, "k", "key", "sig"):
+            n = len(ks)
+            if n < 2:
+                continue
+            sig, label = _sigs(sigs), np.arange(n)
+            key = np.frombuffer(b"".join(keys), np.uint16).reshape(n, DEPTH)
+            common = np.logical_and.accumulate(key[1:] == key[:-1], axis=1).sum(1)
+            for depth in np.unique(common)[::-1].tolist():
+                cut = np.flatnonzero(common < depth) + 1
+                for start, end in zip([0, *cut.tolist()], [*cut.tolist(), n]):
+                    meets = common[start : end - 1] == depth
+                    if not meets.any():
+                        continue
+                    part = np.concatenate([[0], np.cumsum(meets)])
+                    own = label[start:end]
+                    for i in range(end - start - 1):
+                        rest = start + np.flatnonzero((part > part[i]) & (own != own[i]))
+                        if len(rest):
+                            rest = rest[np.count_nonzero(sig[rest] == sig[start + i], axis=1) >= least * HASHES]
+                            _join_where(label, start + i, rest, lambda j: True)
+            yield _pairs(*_stars(np.array(ks, np.int64), label))
 
     return run
 
@@ -159,28 +177,30 @@ def _blocks(rows: DataFrame, group: str, label: str) -> DataFrame:
     return met.drop("__m", "__head", "__most", "__pieces", "__asking", "__i", "__j")
 
 
-def candidate_links(reps: DataFrame, least: float) -> DataFrame:
-    """(a, b): links that join the classes (k, sig) which share a region and agree at least so often."""
+def candidate_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b): links that join the classes (k, sig) which share a part of a region and agree at least so often; and the
+    classes (k) of regions that were cut, if any."""
     n = shuffle_partitions(reps.sparkSession)
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    region = F.xxhash64("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * MIN_DEPTH})"))
-    places = reps.select("k", "sig", numbers).select("k", "tree", region.alias("region"))
-    sizes = places.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    share = F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / PIECE).cast("long"))
-    busy = places.join(sizes, "region").select("k", F.xxhash64("region", F.when(F.col("m") > PIECE, share).otherwise(0)).alias("spot"))
-
-    def meet(rows: DataFrame) -> DataFrame:
-        rows = rows.join(reps, "k").select("spot", "k", "label", "asks", "sig")
-        return rows.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_candidates(least), "a long, b long").distinct()
-
-    links = meet(busy.withColumns({"label": F.col("k"), "asks": F.lit(True)}))
-    large = sizes.where(F.col("m") > PIECE)
-    if large.isEmpty():
-        return links
-    links = settled(links)
-    labels = components(links).select(F.col("node").alias("k"), "component")
-    rows = places.join(large, "region").join(labels, "k", "left").select("region", "k", F.coalesce("component", "k").alias("label"))
-    return links.unionByName(meet(_blocks(settled(rows), "region", "label")))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    todo = reps.select("k", "sig", tree).select("k", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"))
+    parts, dense = [], None
+    for depth in range(MIN_DEPTH, DEPTH + 1):
+        rows = todo.withColumn("region", F.xxhash64("tree", F.lit(depth), F.expr(f"substring(key, 1, {2 * depth})")))
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        last = depth == DEPTH
+        rows = rows.join(sizes if last else settled(sizes), "region")
+        deal = F.when(F.col("m") > PIECE, F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / PIECE).cast("long"))).otherwise(0)
+        parts.append((rows if last else rows.where(F.col("m") <= PIECE)).select("k", "key", F.xxhash64("region", deal).alias("spot")))
+        if last:
+            break
+        rest = rows.where(F.col("m") > PIECE).select("k", "tree", "key")
+        if rest.isEmpty():
+            break
+        todo = settled(rest)
+        dense = todo.select("k").distinct() if dense is None else dense
+    spots = reduce(DataFrame.unionByName, parts).join(reps, "k").select("spot", "k", "key", "sig")
+    links = spots.repartition(n, "spot").sortWithinPartitions("spot", "key", "k").mapInArrow(_walk(least), "a long, b long")
+    return links, dense
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -188,85 +208,116 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm(size: int, percent: int, least: float, visiting: bool) -> Callable:
-    """Links (a, b) that join the rows (spot, k, joined, asks, text) of each spot as far as their sets do. Visiting: one
-    of the two must ask, and rows that `joined` says are joined need no link."""
+def _confirm(size: int, percent: int, least: float) -> Callable:
+    """Links (a, b) that join the rows (spot, k, sig, text) of each spot as far as their sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot, rows = None, []
-
-        def flush() -> pa.RecordBatch:
-            one, links, first = Joined(len(rows)), [], {}
-            sigs = np.array([signature(s) for *_, s in rows]).reshape(len(rows), HASHES)
-            asks = np.array([r[2] for r in rows], bool)
-            for i, (k, joined, ask, s) in enumerate(rows):
-                if visiting and first.setdefault(joined, i) != i:
-                    one.join(first[joined], i)
-                agree = (sigs[:i] == sigs[i]).mean(1)
-                for j in np.argsort(-agree, kind="stable").tolist():
-                    if agree[j] < least:
-                        break
-                    if (not visiting or ask or asks[j]) and one.find(i) != one.find(j) and _similar(s, rows[j][3], percent):
-                        one.join(i, j)
-                        links.append((rows[j][0], k))
-            a, b = zip(*links) if links else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for at, k, joined, ask, text in zip(*(batch.column(c).to_pylist() for c in ("spot", "k", "joined", "asks", "text"))):
-                if at != spot:
-                    if rows:
-                        yield flush()
-                    spot, rows = at, []
-                rows.append((k, joined, ask, shingle_set(text, size)))
-        if rows:
-            yield flush()
+        for ks, sigs, texts in _spots(batches, "k", "sig", "text"):
+            sig, label, sets = _sigs(sigs), np.arange(len(ks)), []
+            for i, text in enumerate(texts):
+                sets.append(shingle_set(text, size))
+                agree = np.count_nonzero(sig[:i] == sig[i], axis=1)
+                near = np.flatnonzero(agree >= least * HASHES)
+                _join_where(label, i, near[np.argsort(-agree[near], kind="stable")], lambda j: _similar(sets[i], sets[j], percent))
+            yield _pairs(*_stars(np.array(ks, np.int64), label))
 
     return run
 
 
-def confirmed_links(reps: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """(a, b): links between classes that the full sets confirm; they join all that any links of the clusters join."""
-    spark = docs.sparkSession
+def confirmed_links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between the classes (k, sig) that the full sets of texts (k, text) confirm; they join all that any
+    links join."""
+    spark = reps.sparkSession
     n, least = shuffle_partitions(spark), least_agreement(percent / 100)
-    clusters = components(candidate_links(reps, least))
+    links, dense = candidate_links(reps, least)
+    clusters = components(links)
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    pieces = F.ceil(F.col("m") / PIECE).cast("long")
-    dealt = clusters.join(sizes, "component").select(F.col("node").alias("k"), F.col("component").alias("cluster"), pieces.alias("pieces"))
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    source = docs.select(F.xxhash64(F.col(f"`{id_col}`"), t).alias("k"), t.cast("binary").alias("text"))
-    # equal rows have one k: any of them will do. One plan at every size: a table of clusters isn't bounded, so it is
-    # never broadcast
-    texts = settled(source.join(dealt.hint("merge"), "k").dropDuplicates(["k"]))
-    ddl = "a long, b long"
-
-    def confirm(rows: DataFrame, visiting: bool) -> DataFrame:
-        rows = rows.select("spot", "k", "joined", "asks", "text")
-        return rows.repartition(n, "spot").sortWithinPartitions("spot", F.col("asks").desc(), "k").mapInArrow(_confirm(size, percent, least, visiting), ddl)
-
-    own = F.pmod(F.xxhash64("k"), F.col("pieces"))
-    leads = F.col("k") == F.col("cluster")  # a cluster is named by its least class
-    seen = texts.withColumn("piece", F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).otherwise(F.array(own))))
-    links = settled(confirm(seen.withColumns({"spot": F.xxhash64("cluster", "piece"), "joined": F.col("k"), "asks": F.lit(False)}), False))
-    large = texts.where("pieces > 1")
-    if large.isEmpty():
+    dealt = clusters.join(sizes, "component").select(F.col("node").alias("k"), F.col("component").alias("cluster"), F.ceil(F.col("m") / PIECE).cast("long").alias("pieces"))
+    met = settled(dealt.join(reps, "k"))
+    binary = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
+    own, leads = F.pmod(F.xxhash64("k"), F.col("pieces")), F.col("k") == F.col("cluster")  # a cluster is named by its least class
+    piece = F.explode(F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).otherwise(F.array(own)))
+    # one plan at every size: a table of clusters isn't bounded, so it is never broadcast
+    spots = texts.select("k", binary).join(met.hint("merge"), "k").withColumn("piece", piece).select(F.xxhash64("cluster", "piece").alias("spot"), "k", "sig", "text")
+    links = settled(spots.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_confirm(size, percent, least), "a long, b long"))
+    parted = met.where("pieces > 1").select("k")
+    parted = parted if dense is None else parted.unionByName(dense).distinct()
+    if parted.isEmpty():
         return links
-    joined = components(links).withColumnRenamed("node", "k").withColumnRenamed("component", "joined")
-    state = settled(large.join(joined, "k", "left").withColumn("joined", F.coalesce("joined", "k")))
-    return links.unionByName(confirm(_blocks(state, "cluster", "joined"), True))
+    return links.unionByName(parted_links(reps.join(settled(parted), "k"), texts, links, size, percent))
+
+
+def shingles_of(rows: DataFrame, size: int) -> DataFrame:
+    """(k, label, h): the set of each row (k, label, text)."""
+    return per_text(rows, ["k", "label"], [("h", pa.list_(pa.int64()))], lambda: lambda data: (shingle_set(data, size).view(np.int64),))
+
+
+def _meet(percent: int, least: float) -> Callable:
+    """Pairs (a, b) of rows (spot, k, label, asks, n, at, sig) of a spot whose labels differ, of which one asks, and whose
+    sizes, places of the shingle and signatures allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ks, labels, asks, ns, ats, sigs in _spots(batches, "k", "label", "asks", "n", "at", "sig"):
+            k, label, n, left = np.array(ks), np.array(labels), np.array(ns), np.array(ns) - np.array(ats)
+            ask, sig = np.array(asks, bool), _sigs(sigs)
+            for i in np.flatnonzero(ask).tolist():
+                fits = (label != label[i]) & (~ask | (k > k[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                j = np.flatnonzero(fits & ((100 + percent) * np.minimum(left, left[i]) >= percent * (n + n[i])))
+                j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= least * HASHES]
+                if len(j):
+                    yield _pairs(np.minimum(k[j], k[i]), np.maximum(k[j], k[i]))
+
+    return run
+
+
+def parted_links(reps: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links by prefix filter between those of the classes (k, sig) that `links` don't join, confirmed on the full
+    sets of texts (k, text)."""
+    n = shuffle_partitions(reps.sparkSession)
+    labels = components(links).select(F.col("node").alias("k"), F.col("component").alias("label"))
+    rows = reps.select("k").join(labels, "k", "left").select("k", F.coalesce("label", "k").alias("label"))
+    sets = settled(shingles_of(texts.select("k", "text").join(rows.hint("merge"), "k"), size))
+    each = sets.select("k", "label", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
+    # a shingle under one label links nothing new: such come first in every set's order, and only the others are listed
+    shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "df")
+    order = each.join(shared, "h").groupBy("k", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    first = F.size("s") - F.ceil(F.col("n") * percent / 100) + 1
+    listed = order.withColumn("first", first.cast("int")).where("first > 0").select("k", "label", "n", (F.col("n") - F.size("s")).alias("skip"), F.posexplode(F.slice("s", F.lit(1), F.col("first"))).alias("at", "s"))
+    listed = settled(listed.select("k", "label", "n", (F.col("skip") + F.col("at")).alias("at"), F.col("s.h").alias("h")))
+    met = _blocks(listed, "h", "label").join(reps, "k").select("spot", "k", "label", "asks", "n", "at", "sig")
+    met = met.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_meet(percent, least_agreement(percent / 100)), "a long, b long")
+    side = lambda c: sets.select(F.col("k").alias(c), F.col("h").alias(f"h{c}"))
+    pairs = met.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
+    return pairs.where(100 * F.col("both") >= percent * (F.size("ha") + F.size("hb") - F.col("both"))).select("a", "b")
+
+
+def grouped_rows(docs: DataFrame, size: int, percent: int, id_col: str, text: str, keep: list[str]) -> DataFrame:
+    """(row, text, id, n_shingles, component_id, chosen) of every row of docs: row has the columns `keep`; one row of each
+    component is chosen, one with its least id if it has any."""
+    rows = described(docs, size, id_col, text, keep)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("first")
+    classes = settled(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("k").alias("k"), F.first("sig").alias("sig"), first))
+    joined = components(confirmed_links(classes.select("k", "sig"), rows.select("k", "text"), size, percent))
+    named = classes.select("s1", "s2", F.col("k").alias("node"), "first").join(joined, "node", "left")
+    named = named.select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    found = named.drop("first").join(firsts, "component").select("s1", "s2", F.col("first.id").alias("component_id"), F.col("first.k").alias("k1"))
+    plain = rows.select("row", "text", "id", "k", "n_shingles", "s1", "s2")
+    full = plain.where("n_shingles > 0").join(found, ["s1", "s2"], "left").withColumn("chosen", F.col("k") == F.col("k1"))
+    empty = plain.where("n_shingles = 0").withColumns({"component_id": F.col("id"), "chosen": F.lit(True)})
+    names = ["row", "text", "id", "n_shingles", "component_id", "chosen"]
+    return full.select(*names).unionByName(empty.select(*names))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id (least id of the component) and kept of every row of docs."""
-    rows = settled(described(docs, size, id_col, text))
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("k").alias("k"), F.first("sig").alias("sig"), F.min("id").alias("least"))
-    classes = settled(classes)
-    joined = components(confirmed_links(classes.select("k", "sig"), docs, size, percent, id_col, text))
-    named = classes.select("s1", "s2", "k", "least").join(joined, classes.k == joined.node, "left")
-    named = named.select("s1", "s2", "least", F.coalesce("component", "k").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = named.join(ids, "component").select("s1", "s2", "component_id")
-    plain = rows.select("id", "n_shingles", "s1", "s2")
-    full = plain.where("n_shingles > 0").join(found, ["s1", "s2"], "left")
-    all_rows = full.select("id", "n_shingles", "component_id").unionByName(plain.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return all_rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    rows = grouped_rows(docs, size, percent, id_col, text, [])
+    return rows.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, of each component one alone: one with its least id, or any if none has an id. Rows are told apart
+    as such, so different texts under one id, and rows without an id, are judged like all others."""
+    rest = [c for c in docs.columns if c != text]
+    rows = grouped_rows(docs, size, percent, id_col, text, rest).where("chosen")
+    return rows.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

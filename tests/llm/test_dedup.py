@@ -132,27 +132,81 @@ def test_near_equals_brute_force(spark, monkeypatch, size, percent, piece):
 
 @pytest.mark.parametrize("piece", [1024, 64])
 def test_candidates_hidden_in_a_dense_region(spark, monkeypatch, piece):
-    """Signatures of a template: all share the first hashes of every tree; pairs agree beyond, but not in sorted order."""
+    """Signatures of a template: all share the first hashes of every tree; pairs agree beyond, but not in sorted order.
+    A region that fits is compared whole; one that is cut is named, for the exact search."""
     monkeypatch.setattr(neardup, "PIECE", piece)
     rng = np.random.default_rng(3)
     sigs = rng.integers(0, 1 << 16, (400, neardup.TREES, neardup.DEPTH)).astype(np.uint16)
     sigs[:, :, : neardup.MIN_DEPTH] = 7
     sigs[20:40, :, neardup.MIN_DEPTH + 1 :] = sigs[:20, :, neardup.MIN_DEPTH + 1 :]
     df = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "k long, sig binary")
-    links = {(min(r), max(r)) for r in neardup.candidate_links(df, neardup.least_agreement(0.85)).collect()}
-    assert links == {(i, i + 20) for i in range(20)}
+    links, dense = neardup.candidate_links(df, neardup.least_agreement(0.85))
+    if piece == 1024:
+        assert {tuple(r) for r in links.collect()} == {(i, i + 20) for i in range(20)} and dense is None
+    else:
+        assert {r.k for r in dense.collect()} == set(range(400))
+
+
+def templated(n, template=60, own=60):
+    """Texts of one template with words of their own: any two agree on about a third to a half of their shingles. Every
+    tenth text has a partner that differs in one word."""
+    base, rows = prose(77, template), []
+    for i in range(n):
+        words = base[: template // 2] + [f"own{i}x{j}" for j in range(own)] + base[template // 2 :]
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            rows.append((n + i, " ".join(words[:5] + ["changed"] + words[6:])))
+    return rows
+
+
+@pytest.mark.parametrize("own", [60, 8])
+def test_dense_region_loses_no_link(spark, monkeypatch, own):
+    """Recall against all rows, for ids divisible by 50 and for all others: whole. With 8 words of their own the texts lie
+    just below the threshold, so whole clusters have no true link but those of the hidden pairs."""
+    monkeypatch.setattr(neardup, "PIECE", 16)
+    rows = templated(300, own=own)
+    got = sorted((tuple(r) for r in neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=str)
+    want = brute_near(rows, 3, 85)
+    asked = [r for r in want if r[0] % 50 == 0]
+    assert sum(r in got for r in asked) / len(asked) >= 0.9
+    assert got == want
+
+
+def test_prefix_filter_is_exact(spark):
+    """Without any link to begin with, the exact search alone finds the components of all pairs."""
+    rows = [(k, t) for k, (d, t) in enumerate(near_rows()) if t and t.split()]
+    seen, classes = set(), []
+    for k, t in rows:
+        s = neardup.shingle_set(t.encode(), 3)
+        if s.tobytes() not in seen:
+            seen.add(s.tobytes())
+            classes.append((k, bytearray(neardup.signature(s).tobytes()), t))
+    reps = spark.createDataFrame(classes, "k long, sig binary, text string")
+    links = neardup.parted_links(reps.select("k", "sig"), reps.select("k", "text"), spark.createDataFrame([], "a long, b long"), 3, 85)
+    found = {tuple(r) for r in links.collect()}
+    sets = {k: shingles(t, 3) for k, _, t in classes}
+    assert found == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
 
 
 def test_near_spots_stay_bounded(spark, monkeypatch):
-    """A large cluster with no true link in it: all of its classes ask, and no spot grows with it."""
+    """A large group of which no two have one label: all ask, and no spot grows with it."""
     monkeypatch.setattr(neardup, "PIECE", 16)
-    rows = spark.createDataFrame([(0, k, k) for k in range(400)], "cluster long, k long, joined long")
-    spots = neardup._blocks(rows, "cluster", "joined").groupBy("spot").agg(F.collect_list(F.struct("asks", "k")).alias("met")).collect()
+    rows = spark.createDataFrame([(0, k, k) for k in range(400)], "h long, k long, label long")
+    spots = neardup._blocks(rows, "h", "label").groupBy("spot").agg(F.collect_list(F.struct("asks", "k")).alias("met")).collect()
     assert max(len(r.met) for r in spots) <= 6 * 16
     met = {frozenset((a.k, b.k)) for r in spots for a in r.met if a.asks for b in r.met}
     assert all(frozenset((a, b)) in met for a in range(400) for b in range(a))
 
 
+@pytest.mark.parametrize("columns", ["doc_id long, text string, row string, k long, id long, sig long, first long"])
+def test_one_of_each(spark, columns):
+    rows = [(7, "a b c d e f"), (7, "quite another text under this id"), (8, "a b c d e f"), (None, "a b c d e f"), (None, "only here"), (None, "only here"), (9, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "r", 1, 2, 3, 4) for i, t in rows], columns)
+    got = neardup.one_of_each(df, 3, 85)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[6], rows[7]], key=str)
+
+
 def test_near_empty(spark):
     assert neardup.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
