@@ -91,8 +91,17 @@ def described(docs: DataFrame, size: int, id_col: str, text: str, keep: list[str
     return settled(per_text(rows, ["k", "id", "row", "text"], [("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())], start))
 
 
-def _pairs(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _batches(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Small arrays (a, b) as batches of about 100,000 rows."""
+    held, n = [], 0
+    for p in pairs:
+        held.append(p)
+        n += len(p[0])
+        if n >= 100_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held)], ["a", "b"])
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held)], ["a", "b"])
 
 
 def _spots(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
@@ -137,12 +146,16 @@ def _walk(least: float) -> Callable:
     in the order of their keys; runs with the longest common prefix come first, and shorter ones only compare what the
     longer have not."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ks, keys, sigs in _spots(batches, "k", "key", "sig"):
             n = len(ks)
             if n < 2:
                 continue
             sig, label = _sigs(sigs), np.arange(n)
+            if n == 2:
+                if np.count_nonzero(sig[0] == sig[1]) >= least * HASHES:
+                    yield np.array([min(ks)], np.int64), np.array([max(ks)], np.int64)
+                continue
             key = np.frombuffer(b"".join(keys), np.uint16).reshape(n, DEPTH)
             common = np.logical_and.accumulate(key[1:] == key[:-1], axis=1).sum(1)
             for depth in np.unique(common)[::-1].tolist():
@@ -158,9 +171,9 @@ def _walk(least: float) -> Callable:
                         if len(rest):
                             rest = rest[np.count_nonzero(sig[rest] == sig[start + i], axis=1) >= least * HASHES]
                             _join_where(label, start + i, rest, lambda j: True)
-            yield _pairs(*_stars(np.array(ks, np.int64), label))
+            yield _stars(np.array(ks, np.int64), label)
 
-    return run
+    return lambda batches: _batches(found(batches))
 
 
 def _blocks(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -179,7 +192,7 @@ def _blocks(rows: DataFrame, group: str, label: str) -> DataFrame:
 
 def candidate_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
     """(a, b): links that join the classes (k, sig) which share a part of a region and agree at least so often; and the
-    classes (k) of regions that were cut, if any."""
+    classes (region, k) of regions that were cut, if any."""
     n = shuffle_partitions(reps.sparkSession)
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     todo = reps.select("k", "sig", tree).select("k", "tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"))
@@ -193,11 +206,11 @@ def candidate_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame
         parts.append((rows if last else rows.where(F.col("m") <= PIECE)).select("k", "key", F.xxhash64("region", deal).alias("spot")))
         if last:
             break
-        rest = rows.where(F.col("m") > PIECE).select("k", "tree", "key")
+        rest = rows.where(F.col("m") > PIECE).select("region", "k", "tree", "key")
         if rest.isEmpty():
             break
-        todo = settled(rest)
-        dense = todo.select("k").distinct() if dense is None else dense
+        rest = settled(rest)
+        todo, dense = rest.drop("region"), rest.select("region", "k") if dense is None else dense
     spots = reduce(DataFrame.unionByName, parts).join(reps, "k").select("spot", "k", "key", "sig")
     links = spots.repartition(n, "spot").sortWithinPartitions("spot", "key", "k").mapInArrow(_walk(least), "a long, b long")
     return links, dense
@@ -211,7 +224,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _confirm(size: int, percent: int, least: float) -> Callable:
     """Links (a, b) that join the rows (spot, k, sig, text) of each spot as far as their sets do."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ks, sigs, texts in _spots(batches, "k", "sig", "text"):
             sig, label, sets = _sigs(sigs), np.arange(len(ks)), []
             for i, text in enumerate(texts):
@@ -219,9 +232,9 @@ def _confirm(size: int, percent: int, least: float) -> Callable:
                 agree = np.count_nonzero(sig[:i] == sig[i], axis=1)
                 near = np.flatnonzero(agree >= least * HASHES)
                 _join_where(label, i, near[np.argsort(-agree[near], kind="stable")], lambda j: _similar(sets[i], sets[j], percent))
-            yield _pairs(*_stars(np.array(ks, np.int64), label))
+            yield _stars(np.array(ks, np.int64), label)
 
-    return run
+    return lambda batches: _batches(found(batches))
 
 
 def confirmed_links(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -240,11 +253,21 @@ def confirmed_links(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     # one plan at every size: a table of clusters isn't bounded, so it is never broadcast
     spots = texts.select("k", binary).join(met.hint("merge"), "k").withColumn("piece", piece).select(F.xxhash64("cluster", "piece").alias("spot"), "k", "sig", "text")
     links = settled(spots.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_confirm(size, percent, least), "a long, b long"))
-    parted = met.where("pieces > 1").select("k")
-    parted = parted if dense is None else parted.unionByName(dense).distinct()
+    parted = met.where("pieces > 1").select(F.col("cluster").alias("region"), "k")
+    parted = parted if dense is None else parted.unionByName(dense)
     if parted.isEmpty():
         return links
-    return links.unionByName(parted_links(reps.join(settled(parted), "k"), texts, links, size, percent))
+    # where links have joined all of a region or cluster, nothing is left to find in it
+    named = labelled(parted, links)
+    open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
+    rows = settled(named.join(open_, "region").select("k", "label").distinct())
+    return links.unionByName(parted_links(reps, texts, rows, size, percent))
+
+
+def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the label of each k: its component under the links."""
+    labels = components(links).select(F.col("node").alias("k"), F.col("component").alias("label"))
+    return rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
 
 
 def shingles_of(rows: DataFrame, size: int) -> DataFrame:
@@ -256,7 +279,7 @@ def _meet(percent: int, least: float) -> Callable:
     """Pairs (a, b) of rows (spot, k, label, asks, n, at, sig) of a spot whose labels differ, of which one asks, and whose
     sizes, places of the shingle and signatures allow the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ks, labels, asks, ns, ats, sigs in _spots(batches, "k", "label", "asks", "n", "at", "sig"):
             k, label, n, left = np.array(ks), np.array(labels), np.array(ns), np.array(ns) - np.array(ats)
             ask, sig = np.array(asks, bool), _sigs(sigs)
@@ -265,26 +288,25 @@ def _meet(percent: int, least: float) -> Callable:
                 j = np.flatnonzero(fits & ((100 + percent) * np.minimum(left, left[i]) >= percent * (n + n[i])))
                 j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= least * HASHES]
                 if len(j):
-                    yield _pairs(np.minimum(k[j], k[i]), np.maximum(k[j], k[i]))
+                    yield np.minimum(k[j], k[i]), np.maximum(k[j], k[i])
 
-    return run
+    return lambda batches: _batches(found(batches))
 
 
-def parted_links(reps: DataFrame, texts: DataFrame, links: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links by prefix filter between those of the classes (k, sig) that `links` don't join, confirmed on the full
-    sets of texts (k, text)."""
+def parted_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links by prefix filter between those of the classes (k, label) whose labels differ, confirmed on the full
+    sets of texts (k, text); reps: (k, sig) of all classes."""
     n = shuffle_partitions(reps.sparkSession)
-    labels = components(links).select(F.col("node").alias("k"), F.col("component").alias("label"))
-    rows = reps.select("k").join(labels, "k", "left").select("k", F.coalesce("label", "k").alias("label"))
     sets = settled(shingles_of(texts.select("k", "text").join(rows.hint("merge"), "k"), size))
-    each = sets.select("k", "label", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
+    each = sets.select("k", "label", F.explode("h").alias("h"))
     # a shingle under one label links nothing new: such come first in every set's order, and only the others are listed
     shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "df")
-    order = each.join(shared, "h").groupBy("k", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    order = each.select("k", "h").join(shared, "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    order = order.join(sets.select("k", "label", F.size("h").cast("long").alias("n")), "k")
     first = F.size("s") - F.ceil(F.col("n") * percent / 100) + 1
     listed = order.withColumn("first", first.cast("int")).where("first > 0").select("k", "label", "n", (F.col("n") - F.size("s")).alias("skip"), F.posexplode(F.slice("s", F.lit(1), F.col("first"))).alias("at", "s"))
     listed = settled(listed.select("k", "label", "n", (F.col("skip") + F.col("at")).alias("at"), F.col("s.h").alias("h")))
-    met = _blocks(listed, "h", "label").join(reps, "k").select("spot", "k", "label", "asks", "n", "at", "sig")
+    met = _blocks(listed, "h", "label").join(reps.select("k", "sig"), "k").select("spot", "k", "label", "asks", "n", "at", "sig")
     met = met.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_meet(percent, least_agreement(percent / 100)), "a long, b long")
     side = lambda c: sets.select(F.col("k").alias(c), F.col("h").alias(f"h{c}"))
     pairs = met.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))

@@ -182,7 +182,7 @@ def test_prefix_filter_is_exact(spark):
             seen.add(s.tobytes())
             classes.append((k, bytearray(neardup.signature(s).tobytes()), t))
     reps = spark.createDataFrame(classes, "k long, sig binary, text string")
-    links = neardup.parted_links(reps.select("k", "sig"), reps.select("k", "text"), spark.createDataFrame([], "a long, b long"), 3, 85)
+    links = neardup.parted_links(reps.select("k", "sig"), reps.select("k", "text"), reps.selectExpr("k", "k AS label"), 3, 85)
     found = {tuple(r) for r in links.collect()}
     sets = {k: shingles(t, 3) for k, _, t in classes}
     assert found == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
