@@ -201,7 +201,7 @@ def candidate_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame
         rows = todo.withColumn("region", F.xxhash64("tree", F.lit(depth), F.expr(f"substring(key, 1, {2 * depth})")))
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         last = depth == DEPTH
-        rows = rows.join(sizes if last else settled(sizes), "region")
+        rows = settled(rows.join(sizes, "region").select("region", "m", "k", "tree", "key"))
         deal = F.when(F.col("m") > PIECE, F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / PIECE).cast("long"))).otherwise(0)
         parts.append((rows if last else rows.where(F.col("m") <= PIECE)).select("k", "key", F.xxhash64("region", deal).alias("spot")))
         if last:
