@@ -1,21 +1,23 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every text is a reference block for every other one and for its own other places. A text is factored greedily: at a place
-whose window of WINDOW words also starts elsewhere a factor begins, which points at that reference and grows word by
-word while the next window has a place elsewhere too. At a factor's boundary the windows that straddle it are looked up
-on their own, so the factors cover exactly the words of windows that occur more than once. Factors of WINDOW words or
-more are the duplicate spans.
+Every text is a reference block for every other one and for its own other places. A text is factored greedily: from the
+first window of WINDOW words that also starts elsewhere, the reference that agrees longest is taken and the factor grows
+along it until it no longer agrees; the next factor begins with the window that the last one could not take, so it shares
+WINDOW - 1 words with it, and all windows that straddle a factor's boundary are looked up too. So the factors cover
+exactly the words of windows that occur more than once. A factor is confirmed by a 128-bit digest of its words, taken at
+the reference and at the text; confirmed factors are the duplicate spans.
 
 The index of the reference blocks is sparse. Of any 24 neighbouring 12-word grams the one with the least hash is an
 anchor, so each window holds one, the same for equal windows. First the anchors alone are shuffled and those that occur
 once drop out. Then each place of a shared anchor sends the hashes of the windows that it is the anchor of (24 at most);
-places that meet under one anchor compare them. In both shuffles a task merges equal keys first: what it meets again is
-known to be shared and needs no counting, so a passage that a third of all texts share sends a few rows for each task.
-Windows compare by 64-bit rolling hashes over 64-bit word hashes, under an equal 64-bit anchor.
+places that meet under one anchor find the windows they share, with the least place as reference. In both shuffles a task
+merges equal keys first: what it meets again is known to be shared and needs no counting, so a passage that a third of all
+texts share sends a few rows for each task. An anchor at more than HOT places, such as a line common to texts that differ
+around it, sends each of its windows under a key of its own, so that its places spread over all tasks.
 
 Defined cases: null text has no words; fewer than WINDOW words: nothing is removed; equal rows are different places, even
-with one id or none, so both lose what they share; rows are told apart by a 64-bit hash of id and text; other columns
-are ignored.
+with one id or none, so both lose what they share; rows are told apart by 98 bits of hashes of id and text; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,7 +91,10 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BUFFER = 1_000_000  # keys that a task merges at a time
-KNOWN = 1 << 40  # added to the place of an anchor that is known to be shared; its key only spreads the rows
+HOT = 4096  # places of an anchor from which its windows go their own ways
+#: A place: (row, at); at holds 34 more bits of the row's hash (its tag), a flag, and the word's number.
+TAG, FLAG = 29, 1 << 28
+NUMBER = FLAG - 1
 
 
 def _texts(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple]:
@@ -98,8 +103,12 @@ def _texts(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple]:
             yield *row, text.as_buffer().to_pybytes().split()
 
 
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names.split())
+
+
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, row, at) of every anchor."""
+    """(h, row, at) of every anchor; places of an anchor that the task meets again are flagged as known to be shared."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -107,19 +116,17 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         h, row, at = (np.concatenate(x) for x in zip(*parts))
         _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         again = n[inverse] > 1
-        leads = again & (first[inverse] == np.arange(len(h)))
-        solo = ~again
-        # places of a repeated anchor are known; its first place also asks for it, in the others' name, as two
-        h2 = np.concatenate([h[solo], h[leads], h[leads], (row ^ at.astype(np.int64) << 32)[again]])
-        row2 = np.concatenate([row[solo], row[leads], row[leads], row[again]])
-        at2 = np.concatenate([at[solo], at[leads], at[leads], at[again] + KNOWN])
-        return pa.RecordBatch.from_arrays([pa.array(h2), pa.array(row2), pa.array(at2)], ["h", "row", "at"])
-
-    for row, words in _texts(batches, "__row"):
+        # the first place of a repeated anchor also asks for it, in the others' name, as two
+        asks = np.flatnonzero(again & (first[inverse] == np.arange(len(h))))
+        every = np.concatenate([np.arange(len(h)), asks, asks])
+        flag = np.concatenate([again, np.zeros(2 * len(asks), bool)])
+        return _batch("h row at", h[every], row[every], at[every] | np.where(flag, FLAG, 0))
+
+    for row, tag, words in _texts(batches, "__row", "__tag"):
         if len(words) >= WINDOW:
             place, grams = anchors(word_hashes(words))
             at = np.unique(place)
-            parts.append((grams[at].view(np.int64), np.full(len(at), row), at.astype(np.int64)))
+            parts.append((grams[at].view(np.int64), np.full(len(at), row), at.astype(np.int64) | tag << TAG))
             held += len(at)
             if held >= _BUFFER:
                 yield flush()
@@ -129,189 +136,268 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, at) of the known and of those whose h stands next to an equal one. Rows come sorted by h."""
+    """(h, row, at) of the known and of those whose h stands next to an equal one. Rows come sorted by h."""
     rest = None
     for b in batches:
         h, row, at = (b.column(i).to_numpy() for i in range(3))
         if rest is not None:
             h, row, at = (np.concatenate(x) for x in zip(rest, (h, row, at)))
-        known = at >= KNOWN
-        yield _pairs(row[known], at[known] - KNOWN)
+        known = (at & FLAG) > 0
+        yield _batch("h row at", h[known], row[known], at[known] & ~FLAG)
         h, row, at = h[~known], row[~known], at[~known]
         if not len(h):
+            rest = None
             continue
         same = h[1:] == h[:-1]
-        shared = np.r_[False, same] | np.r_[same, False]
+        out = np.r_[False, same] | np.r_[same, False]
         # the last row waits for its successor, with one equal before it if there is one
         keep = 2 if len(h) > 1 and same[-1] else 1
-        out = shared.copy()
         if keep == 1:
             out[-1:] = False
-        yield _pairs(row[out], at[out])
+        yield _batch("h row at", h[out], row[out], at[out])
         rest = (h[len(h) - keep :], row[len(h) - keep :], at[len(h) - keep :])
 
 
-def _pairs(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(row), pa.int64()), pa.array(np.ascontiguousarray(at), pa.int64())], ["row", "at"])
-
-
-WINDOWS_DDL = "h long, row long, at long, low int, hashes binary"
-
-
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each place of a shared anchor: its gram's hash, the place, the first window that it is the anchor
-    of, and the hashes of these neighbouring windows. Equal lists in a task go on as two rows; the rest are known
-    (hashes: their number, 4 bytes; reference: the first of them)."""
-    held: dict[tuple[int, int, bytes], list] = {}
+    """(h, row, at, hashes) for each place of a shared anchor: its gram's hash, the first window that it is the anchor of,
+    and the hashes of these neighbouring windows; for places that are flagged as hot a row for each window. Equal lists in
+    a task go on as two rows; the rest are known (hashes: their number, 4 bytes, and the first of them)."""
+    held: dict[tuple[int, bytes], list] = {}
     ready: list[tuple] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = [*ready, *((h, *places[0], low, x) for (h, low, x), places in held.items())]
+        rows = [*ready, *((h, *places[0], x) for (h, x), places in held.items())]
         for i in range(0, len(rows), 50_000):
-            cols = zip(*((h, row, at, at - low, x) for h, row, at, low, x in rows[i : i + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "row", "at", "low", "hashes"])
+            h, row, at, x = zip(*rows[i : i + 50_000])
+            yield _batch("h row at hashes", h, row, at, pa.array(x, pa.binary()))
+
+    def put(h: int, row: int, at: int, x: bytes) -> None:
+        places = held.setdefault((h, x), [])
+        if len(places) < 2:
+            places.append((row, at))
+            if len(places) == 2:
+                ready.append((h, row, at, x))
+        else:
+            ready.append((row ^ at, row, at, (len(x) // 8).to_bytes(4, "little") + np.array(places[0], np.int64).tobytes()))
 
-    for row, shared, words in _texts(batches, "__row", "shared"):
+    for row, tag, shared, words in _texts(batches, "__row", "__tag", "shared"):
         h = word_hashes(words)
         place, grams = anchors(h)
         windows = _ROLLING.runs(h, WINDOW, 1)
         shared = np.unique(np.array(shared, np.int64))
-        first, end = np.searchsorted(place, shared), np.searchsorted(place, shared, "right")
-        keys = grams[shared].view(np.int64).tolist()
-        for g, at, i, j in zip(keys, shared.tolist(), first.tolist(), end.tolist()):
-            if i == j:
-                continue
-            x = windows[i:j].tobytes()
-            places = held.setdefault((g, at - i, x), [])
-            if len(places) < 2:
-                places.append((row, at))
-                if len(places) == 2:
-                    ready.append((g, row, at, at - i, x))
-            else:
-                ready.append((row ^ at << 32, row, at, at - i, (j - i).to_bytes(4, "little") + np.array(places[0], np.int64).tobytes()))
+        numbers, hot = shared & NUMBER, (shared & FLAG) > 0
+        first, end = np.searchsorted(place, numbers), np.searchsorted(place, numbers, "right")
+        keys = grams[numbers].view(np.int64).tolist()
+        for g, own, i, j in zip(keys, hot.tolist(), first.tolist(), end.tolist()):
+            if own:
+                for k, w in zip(range(i, j), windows[i:j].view(np.int64).tolist()):
+                    put(g ^ w, row, k | tag << TAG, windows[k : k + 1].tobytes())
+            elif i < j:
+                put(g, row, i | tag << TAG, windows[i:j].tobytes())
         if len(held) + len(ready) >= _BUFFER // 4:
             yield from flush()
             held, ready = {}, []
     yield from flush()
 
 
-FACTORS_DDL = "row long, start int, mask int, ref_row long, ref_start int"
+MATCHES = "row long, at long, n long, ref_row long, ref_at long"
 
 
-def _compare(rows: list[tuple]) -> Iterator[tuple]:
-    """What the places under one anchor share: (row, first window, bits of the windows found elsewhere, reference)."""
+def _compare(rows: list[tuple]) -> pa.RecordBatch | None:
+    """What the places under one anchor share, as MATCHES: runs of n windows, each also found along one reference, which is
+    the least other place that has the first."""
     if len(rows) < 2:
-        return
-    sizes = np.array([len(r[4]) // 8 for r in rows])
+        return None
+    rows.sort(key=lambda r: (r[1], r[2]))
+    sizes = np.array([len(r[3]) // 8 for r in rows])
     of = np.repeat(np.arange(len(rows)), sizes)
-    begin = np.cumsum(sizes) - sizes
-    step = np.arange(len(of)) - begin[of]
-    windows = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
+    step = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+    windows = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
     _, first, inverse, n = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
-    more = n[inverse] > 1
+    found = np.flatnonzero(n[inverse] > 1)
+    if not len(found):
+        return None
     last = np.zeros(len(first), np.int64)
     np.maximum.at(last, inverse, np.arange(len(of)))
-    ref = np.where(first[inverse] == np.arange(len(of)), last[inverse], first[inverse])
-    for k in np.unique(of[more]).tolist():
-        found = np.flatnonzero(more[begin[k] : begin[k] + sizes[k]])
-        r = int(ref[begin[k] + found[0]])
-        _, row, _, low, _ = rows[k]
-        other = rows[int(of[r])]
-        yield row, low, int((1 << found.astype(np.int64)).sum()), other[1], other[3] + int(step[r]) - int(found[0])
-
-
-def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ref = np.where(first[inverse] == np.arange(len(of)), last[inverse], first[inverse])[found]
+    row, at = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+    mine, other, shift = of[found], of[ref], step[ref] - step[found]
+    new = np.r_[True, (np.diff(found) != 1) | (np.diff(mine) != 0) | (np.diff(other) != 0) | (np.diff(shift) != 0)]
+    begin = np.flatnonzero(new)
+    lead = found[begin]
+    return _batch(
+        "row at n ref_row ref_at", row[mine[begin]], at[mine[begin]] + step[lead],
+        np.diff(np.r_[begin, len(found)]), row[other[begin]], at[other[begin]] + step[ref[begin]],
+    )
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by h."""
     group: list[tuple] = []
-    made: list[tuple] = []
+    made: list[pa.RecordBatch] = []
+    known: list[tuple] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if known:
+            made.append(_batch("row at n ref_row ref_at", *zip(*known)))
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+        made.clear()
+        known.clear()
 
-    def out() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * 5, kinds)], ["row", "start", "mask", "ref_row", "ref_start"])
+    def compare() -> None:
+        if (m := _compare(group)) is not None:
+            made.append(m)
 
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns)):
-            if len(r[4]) == 20:
-                count = int.from_bytes(r[4][:4], "little")
-                ref_row, ref_at = np.frombuffer(r[4], np.int64, 2, 4).tolist()
-                made.append((r[1], r[3], (1 << count) - 1, ref_row, ref_at - (r[2] - r[3])))
+            if len(r[3]) == 20:
+                known.append((r[1], r[2], int.from_bytes(r[3][:4], "little"), *np.frombuffer(r[3], np.int64, 2, 4).tolist()))
                 continue
             if group and group[-1][0] != r[0]:
-                made += _compare(group)
+                compare()
                 group = []
             group.append(r)
-        yield out()
+        yield from out()
+    compare()
+    yield from out()
+
+
+def parse(matches: list[dict]) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (first word, number of words, reference row, reference place) of one text from its matches: always
+    the reference that agrees longest from the first window not yet taken."""
+    runs: dict[tuple[int, int], list[list[int]]] = {}
+    for m in sorted(matches, key=lambda m: m["at"]):
+        a, e = m["at"] & NUMBER, (m["at"] & NUMBER) + m["n"]
+        own = runs.setdefault((m["ref_row"], m["ref_at"] - a), [])  # a reference and its diagonal
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], e)
+        else:
+            own.append([a, e])
+    todo = sorted((a, e, *key) for key, own in runs.items() for a, e in own)
+    out, done, i = [], 0, 0
+    best: tuple = (0,)
+    while i < len(todo) or best[0] > done:
+        if best[0] <= done and i < len(todo) and todo[i][0] > done:
+            done = todo[i][0]
+        while i < len(todo) and todo[i][0] <= done:
+            best = max(best, (todo[i][1], *todo[i][2:]))
+            i += 1
+        if best[0] > done:
+            end, row, diagonal = best
+            out.append((done, end - done + WINDOW - 1, row, diagonal + done))
+            done = end
+    return out
+
+
+FACTORS = "row long, tag long, start long, words long, ref_row long, ref_at long"
+
+
+def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [(row, tag, *f) for row, tag, matches in zip(*(c.to_pylist() for c in b.columns)) for f in parse(matches)]
+        if made:
+            yield _batch("row tag start words ref_row ref_at", *zip(*made))
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ref_row, ref_at, words, digest) of the pieces that factors point at."""
+    for b in batches:
         made = []
-    made += _compare(group)
-    yield out()
+        for row, asked, words in _texts(iter([b]), "__row", "asked"):
+            made += [(row, x["ref_at"], x["words"], digest(words[x["ref_at"] & NUMBER :][: x["words"]])) for x in asked]
+        if made:
+            row, at, n, d = zip(*made)
+            yield _batch("ref_row ref_at words digest", row, at, n, pa.array(d, pa.binary()))
 
 
-def spans_of(starts: list[int], masks: list[int]) -> list[tuple[int, int]]:
-    """Word ranges that the marked windows cover, merged."""
-    at = sorted(s + k for s, m in zip(starts, masks) for k in range(m.bit_length()) if m >> k & 1)
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a in at:
+    for a, e in sorted(spans):
         if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], a + WINDOW
+            out[-1] = out[-1][0], max(e, out[-1][1])
         else:
-            out.append((a, a + WINDOW))
+            out.append((a, e))
     return out
 
 
-def keyed(docs: DataFrame, id_col: str, text: str, more: list[str] | None = None) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text: str, more: list[str]) -> DataFrame:
+    """(__row, __tag, __keep, __text): the row's hashes, the columns id and more as c0, c1, ..., and the text in UTF-8."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    cols = [id_col, *(more or [])]
-    return docs.select(F.xxhash64(F.col(f"`{id_col}`"), t).alias("__row"), *[F.col(f"`{c}`") for c in cols], t.cast("binary").alias("__text"))
+    keep = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([id_col, *more])])
+    own = F.col(f"`{id_col}`")
+    return docs.select(F.xxhash64(own, t).alias("__row"), F.shiftrightunsigned(F.xxhash64(F.lit("tag"), own, t), 64 - 34).alias("__tag"), keep.alias("__keep"), t.cast("binary").alias("__text"))
 
 
-def duplicate_factors(rows: DataFrame) -> DataFrame:
-    """row, factors (array of start, mask, reference row and start) of all rows that have some; rows: keyed(). Every step
-    takes all its columns, so that Spark can use one exchange of the texts for them all."""
+def factors_of(rows: DataFrame) -> DataFrame:
+    """FACTORS of all rows that have some, with the digest of the words at the reference; rows: keyed(). Every step takes
+    all its columns, so that Spark can use one exchange of the texts for them all."""
     n = shuffle_partitions(rows.sparkSession)
-    found = rows.mapInArrow(_emit_anchors, "h long, row long, at long")
-    found = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_shared_anchors, "row long, at long")
-    shared = found.groupBy("row").agg(F.collect_list("at").alias("shared"))  # no more than a text has words
-    texts = rows.join(shared, F.col("__row") == F.col("row"))
-    windows = texts.mapInArrow(_emit_windows, WINDOWS_DDL).repartition(n, "h").sortWithinPartitions("h")
-    made = windows.mapInArrow(_factors, FACTORS_DDL)
-    return made.groupBy("row").agg(F.collect_list(F.struct("start", "mask", "ref_row", "ref_start")).alias("factors"))
+    spread = F.when(F.col("at").bitwiseAND(FLAG) > 0, F.col("row")).otherwise(0)  # the known need not meet
+    found = rows.mapInArrow(_emit_anchors, "h long, row long, at long").repartition(n, "h", spread).sortWithinPartitions("h")
+    found = found.mapInArrow(_shared_anchors, "h long, row long, at long")
+    hot = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("h", F.lit(FLAG).cast("long").alias("flag"))
+    tag = F.shiftright("at", TAG).alias("tag")
+    shared = found.join(hot, "h", "left").select("row", tag, (F.col("at").bitwiseAND(NUMBER) + F.coalesce("flag", F.lit(0))).alias("at"))
+    shared = shared.groupBy("row", "tag").agg(F.collect_list("at").alias("shared"))  # no more than a text has words
+    here = (F.col("__row") == F.col("row")) & (F.col("__tag") == F.col("tag"))
+    windows = rows.join(shared, here).mapInArrow(_emit_windows, "h long, row long, at long, hashes binary")
+    matches = windows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_matches, MATCHES)
+    matches = matches.groupBy("row", tag).agg(F.collect_list(F.struct("at", "n", "ref_row", "ref_at")).alias("m"))
+    factors = matches.mapInArrow(_parse_all, FACTORS)
+    asked = factors.select("ref_row", "ref_at", "words").distinct()
+    asked = asked.groupBy(F.col("ref_row").alias("row"), F.shiftright("ref_at", TAG).alias("tag")).agg(F.collect_list(F.struct("ref_at", "words")).alias("asked"))
+    there = rows.join(asked, here).mapInArrow(_digests, "ref_row long, ref_at long, words long, digest binary")
+    # rows that are equal in id and text have one key and equal digests
+    there = there.groupBy("ref_row", "ref_at", "words").agg(F.first("digest").alias("digest"))
+    return factors.join(there, ["ref_row", "ref_at", "words"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Every row's id, n_words, n_removed, kept_sha256, and its duplicate spans as word offsets [start, end) with the
-    reference that the span's first factor points at. With `keep` (other columns) also those and the kept text."""
-    small_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text, keep)
-    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "__row")  # one exchange serves both joins
-    with_factors = rows.join(duplicate_factors(rows), F.col("__row") == F.col("row"), "left").drop("row", "__row")
-    names = [id_col, *(keep or [])]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_words long, n_removed long, kept_sha256 string, spans array<array<bigint>>" + (", kept_text string" if keep is not None else "")
+    reference (row, place) that the span's first factor points at. With `keep` (other columns) also those and the kept
+    text, in columns whose names cannot clash: keep (struct: c0 the id, c1 and so on the columns), kept_text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = keyed(docs, id_col, text, keep or [])
+    rows = rows.repartition(shuffle_partitions(spark), "__row", "__tag")  # one exchange serves all joins
+    factors = factors_of(rows).groupBy("row", "tag").agg(F.collect_list(F.struct("start", "words", "ref_row", "ref_at", "digest")).alias("factors"))
+    joined = rows.join(factors, (F.col("__row") == F.col("row")) & (F.col("__tag") == F.col("tag")), "left").select("__keep", "__text", "factors")
+    whole = keep is not None
+    ddl = f"keep {joined.schema['__keep'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, spans array<array<bigint>>" + ", kept_text string" * whole
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for data, factors in zip(b.column(len(names)), b.column(len(names) + 1)):
-                data, factors = data.as_buffer().to_pybytes(), factors.as_py()
+            for data, factors in zip(b.column(1), b.column(2)):
+                data, factors = data.as_buffer().to_pybytes(), factors.as_py() or []
                 words = data.split()
-                if not factors:
-                    whole = b" ".join(words)
-                    out.append((len(words), 0, hashlib.sha256(whole).hexdigest(), [], data if keep is not None else whole))
-                    continue
-                skip = lambda f: (f["mask"] & -f["mask"]).bit_length() - 1  # noqa: E731  the first marked window
-                refs = {f["start"] + skip(f): (f["ref_row"], f["ref_start"] + skip(f)) for f in factors}
-                spans = spans_of([f["start"] for f in factors], [f["mask"] for f in factors])
+                true = sorted((f["start"], f["start"] + f["words"], f["ref_row"], f["ref_at"]) for f in factors if digest(words[f["start"] :][: f["words"]]) == f["digest"])
+                spans = union([f[:2] for f in true])
+                refs = {f[0]: f[2:] for f in reversed(true)}
                 left, done = [], 0
                 for a, e in spans:
                     left += words[done:a]
                     done = e
                 left += words[done:]
-                whole = b" ".join(left)
-                out.append((len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest(), [[a, e, *refs.get(a, (None, None))] for a, e in spans], whole))
-            cols = list(zip(*out)) if out else [()] * 5
+                kept = b" ".join(left)
+                row = len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), [[a, e, *refs[a]] for a, e in spans]
+                out.append((*row, (kept if spans else data).decode()) if whole else row)
             i = pa.int64()
-            arrays = [pa.array(c, t) for c, t in zip(cols, (i, i, pa.string(), pa.list_(pa.list_(i))))]
-            arrays = [b.column(k) for k in range(len(names))] + arrays + ([pa.array([x.decode() for x in cols[4]], pa.string())] if keep is not None else [])
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "n_words", "n_removed", "kept_sha256", "spans", "kept_text"][: len(arrays)])
+            kinds = [i, i, pa.string(), pa.list_(pa.list_(i))] + [pa.string()] * whole
+            cols = list(zip(*out)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["keep", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"][: 1 + len(kinds)])
+
+    made = joined.mapInArrow(apply, ddl)
+    return made if whole else made.select(F.col("keep.c0").alias(id_col), "n_words", "n_removed", "kept_sha256", "spans")
+
 
-    return with_factors.select(*[F.col(f"`{c}`") for c in names], "__text", "factors").mapInArrow(apply, ddl)
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with their texts cut: words of repeated windows go, and rows of which nothing is left."""
+    rest = [c for c in docs.columns if c != text]
+    cut = substring_dedup(docs, id_col, text, rest).where("n_removed = 0 or n_removed < n_words")
+    return cut.select(*[F.col("kept_text").alias(c) if c == text else F.col("keep")[f"c{1 + rest.index(c)}"].alias(c) for c in docs.columns])

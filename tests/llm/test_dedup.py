@@ -53,7 +53,10 @@ def test_substring_equals_brute_force(spark, name):
     assert got == sorted(brute_substring(texts))
 
 
-def test_substring_all_cases_in_small_buffers(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_substring_all_cases_at_once(spark, monkeypatch, hot):
+    """Also with every anchor hot: each window goes its own way."""
+    monkeypatch.setattr(substring, "HOT", hot)
     texts = [t for c in CASES.values() for t in c]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = substring.substring_dedup(df, keep=[]).collect()
@@ -66,12 +69,67 @@ def test_substring_all_cases_in_small_buffers(spark, monkeypatch):
 def test_factors_point_at_equal_words(spark):
     texts = [" ".join(prose(i, 30) + PASSAGE + prose(i + 9, 30)) for i in range(4)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    keys = {r["__row"]: r.doc_id for r in substring.keyed(df, "doc_id", "text").collect()}
+    keys = {(r["__row"], r["__tag"]): r["__keep"].c0 for r in substring.keyed(df, "doc_id", "text", []).collect()}
     words = [t.split() for t in texts]
     for r in substring.substring_dedup(df).collect():
         ((start, end, ref, at),) = r.spans
         assert (start, end) == (30, 90)
-        assert words[r.doc_id][start : start + 35] == words[keys[ref]][at : at + 35]
+        other, at = keys[ref, at >> substring.TAG], at & substring.NUMBER
+        assert (other, at) != (r.doc_id, start) and words[r.doc_id][start:end] == words[other][at : at + end - start]
+
+
+def test_parse_is_greedy():
+    """The longest reference first; what it can't take begins the next factor, 34 words before its end."""
+    match = lambda at, n, row, ref: {"at": at, "n": n, "ref_row": row, "ref_at": ref}
+    got = substring.parse([match(10, 5, 1, 100), match(15, 5, 1, 105), match(10, 4, 2, 50), match(18, 6, 3, 7), match(40, 1, 2, 80)])
+    assert got == [(10, 44, 1, 100), (20, 38, 3, 9), (40, 35, 2, 80)]
+    assert substring.parse([]) == []
+
+
+def brute_factors(words, others, window=35):
+    """Greedy relative Lempel-Ziv by comparing words with every place of every other text."""
+    out, at = [], 0
+    while at + window <= len(words):
+        best = 0
+        for o in others:
+            for q in range(len(o) - window + 1):
+                n = 0
+                while at + n < len(words) and q + n < len(o) and words[at + n] == o[q + n]:
+                    n += 1
+                best = max(best, n)
+        if best >= window:
+            out.append((at, best))
+            at += best - window + 1
+        else:
+            at += 1
+    return out
+
+
+def test_factors_equal_a_word_by_word_parse(spark):
+    """One text made of pieces of two others, with seams at which a window lies in neither."""
+    one, two = prose(21, 150), prose(22, 150)
+    mixed = one[10:80] + two[30:100] + ["x"] + one[90:140] + two[60:99]
+    df = spark.createDataFrame([(0, " ".join(one)), (1, " ".join(two)), (2, " ".join(mixed))], "doc_id long, text string")
+    rows = substring.keyed(df, "doc_id", "text", []).repartition(2, "__row", "__tag")
+    names = {r["__row"]: r["__keep"].c0 for r in rows.collect()}
+    got = sorted((r.start, r.words) for r in substring.factors_of(rows).collect() if names[r.row] == 2)
+    assert got == brute_factors(mixed, [one, two])
+
+
+def test_factors_whose_words_differ_are_left(spark, monkeypatch):
+    """Windows that only seem equal: a digest at the reference that is not the text's own drops the factor."""
+    df = spark.createDataFrame([(0, " ".join(PASSAGE)), (1, " ".join(PASSAGE))], "doc_id long, text string")
+    true = substring.factors_of
+    monkeypatch.setattr(substring, "factors_of", lambda rows: true(rows).withColumn("digest", F.lit(b"other")))
+    assert [r.n_removed for r in substring.substring_dedup(df).collect()] == [0, 0]
+
+
+def test_substring_clashing_columns(spark):
+    names = ["score", "n_words", "spans", "factors", "kept", "kept_text", "keep", "row", "tag", "__row", "c0"]
+    df = spark.createDataFrame([(i, " ".join(prose(50 + i, 40) + PASSAGE), *range(len(names))) for i in range(2)], ", ".join(["doc_id long", "text string", *(f"`{n}` int" for n in names)]))
+    got = substring.without_repeats(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(i, " ".join(prose(50 + i, 40))) for i in range(2)]
 
 
 def shingles(text, size):
