@@ -27,10 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; a document of which nothing is left goes."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = substring.substring_dedup(docs, keep=rest).where("n_removed = 0 or n_removed < n_words")
-    cut = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    cut = substring.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
