@@ -91,7 +91,7 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BUFFER = 1_000_000  # keys that a task merges at a time
-HOT = 4096  # places of an anchor from which its windows go their own ways
+HOT, MOST_HOT = 4096, 100_000  # the MOST_HOT anchors of more places than HOT send each window by its own key
 #: A place: (row, at); at holds 34 more bits of the row's hash (its tag), a flag, and the word's number.
 TAG, FLAG = 29, 1 << 28
 NUMBER = FLAG - 1
@@ -340,7 +340,10 @@ def factors_of(rows: DataFrame) -> DataFrame:
     spread = F.when(F.col("at").bitwiseAND(FLAG) > 0, F.col("row")).otherwise(0)  # the known need not meet
     found = rows.mapInArrow(_emit_anchors, "h long, row long, at long").repartition(n, "h", spread).sortWithinPartitions("h")
     found = found.mapInArrow(_shared_anchors, "h long, row long, at long")
-    hot = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("h", F.lit(FLAG).cast("long").alias("flag"))
+    # the hottest anchors only spread their rows, so this choice changes no result; others have at most a share of
+    # 1 / MOST_HOT of all places each
+    hot = found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).orderBy(F.desc("m"), "h").limit(MOST_HOT)
+    hot = F.broadcast(hot.select("h", F.lit(FLAG).cast("long").alias("flag")))  # MOST_HOT rows at most
     tag = F.shiftright("at", TAG).alias("tag")
     shared = found.join(hot, "h", "left").select("row", tag, (F.col("at").bitwiseAND(NUMBER) + F.coalesce("flag", F.lit(0))).alias("at"))
     shared = shared.groupBy("row", "tag").agg(F.collect_list("at").alias("shared"))  # no more than a text has words
