@@ -246,7 +246,12 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known.clear()
 
     def compare() -> None:
-        if (m := _compare(group)) is not None:
+        if len(group) > 1 and all(r[3] == group[0][3] for r in group):  # whole lists are equal
+            places = sorted((r[1], r[2]) for r in group)
+            n = len(group[0][3]) // 8
+            known.append((*places[0], n, *places[-1]))
+            known.extend((*p, n, *places[0]) for p in places[1:])
+        elif (m := _compare(group)) is not None:
             made.append(m)
 
     for b in batches:
