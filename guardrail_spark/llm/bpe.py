@@ -1,15 +1,13 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes of a text cuts it into chunks at places that depend on the content alone, so texts
-that share a passage share its chunks. Each task encodes a chunk it meets again only once. A cut may fall inside a word:
-the join of two chunks is repaired by encoding anew from the last blank before the cut to the first blank after it; the
-repair grows over following chunks until both its ends stand at blanks. The vocabulary's pre-tokenizer never joins text
-across blanks, so the ids then agree exactly with those of the whole text. Inside a chunk words are encoded through a
-memo for the same reason.
+that share a passage share its chunks. A worker encodes a chunk that it meets again only once. A cut may fall inside a
+word or between words that belong together, so each join is repaired: the text about it, from the words on both sides, is
+encoded anew as one, and grows by a word on either side until it reproduces what both chunks have at its ends.
 
 Only vocabularies that drop white space can be used (checked when the encoder is made). Caches are emptied when full,
-which costs time and never changes a result. Defined cases: null text is empty and has no ids; repeated rows each get a
-row; other columns are ignored.
+which costs time and never changes a result. Defined cases: null text is empty and has no ids; very long texts are
+encoded whole; repeated rows each get a row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ import hashlib
 import os
 import re
 from array import array
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,15 +26,12 @@ from pyspark.sql import DataFrame
 from .common import per_text
 
 WINDOW = 16  # bytes that a cut depends on
-MEAN_BITS = 7  # chunks of 2**7 bytes on average
+MEAN_BITS = 8  # chunks of 2**8 bytes on average
 MAX_CHUNKS, MAX_WORDS = 60_000, 300_000  # entries of the caches
-#: Letters that normalization only lower-cases, then ASCII signs without the apostrophe: the pre-tokenizer cuts between them.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-#: Byte-level vocabularies write a byte that has no visible character as one from U+0100 on, in order.
-BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+REACH = 2  # words on either side of a join that are encoded anew at first: the outer ones must come out as they were
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+_WORD, _RUN = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def cuts(data: bytes) -> list[int]:
@@ -48,7 +44,20 @@ def cuts(data: bytes) -> list[int]:
         h = h[:-step] * np.uint32(0x85EBCA6B) + (h[step:] ^ h[step:] >> np.uint32(15))
     h = (h ^ h >> np.uint32(16)) * np.uint32(0xC2B2AE35)
     at = np.flatnonzero(h >> np.uint32(32 - MEAN_BITS) == 0) + WINDOW
-    return at[at < len(data)].tolist()
+    at = at[at < len(data)]
+    # never inside a character
+    for _ in range(3):
+        at = at + ((np.frombuffer(data, np.uint8)[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
+    return np.unique(at[at < len(data)]).tolist()
+
+
+@dataclass(frozen=True, slots=True)
+class Chunk:
+    """Where the words of a chunk (runs without blanks) begin and end, and the ids of each."""
+
+    starts: list[int]
+    ends: list[int]
+    ids: list[bytes]
 
 
 class Encoder:
@@ -64,72 +73,75 @@ class Encoder:
         if self.ids_of("a b") != self.ids_of("a") + self.ids_of("b") or self.tokenizer.decoder is not None:
             raise ValueError("chunk reuse needs a vocabulary that drops white space and a plain decoder")
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.model = self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+        self.joins: dict[bytes, list[bytes]] = {}
         self.new_chunks = self.met_chunks = 0
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def piece(self, text: str) -> bytes:
-        """Ids of letters or signs that the pre-tokenizer leaves whole: the model alone is needed."""
-        found = self.pieces.get(text)
-        if found is None:
-            if len(self.pieces) >= MAX_WORDS:
-                self.pieces.clear()
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        """Puts words into the memo: plain ones as letters and signs, all others by the whole tokenizer."""
-        memo, piece = self.words, self.piece
-        missing = words.difference(memo)
-        if missing and len(memo) + len(missing) > MAX_WORDS:
-            memo.clear()
-            missing = words
-        for w in missing:
-            text = w.decode()
-            if m := PLAIN.fullmatch(text):
-                letters, signs = m.groups()
-                memo[w] = (piece(letters.lower()) if letters else b"") + (piece(signs) if signs else b"")
-            else:
-                memo[w] = array("I", self.ids_of(text)).tobytes()
-
-    def words_in(self, data: bytes) -> bytes:
-        """Ids of whole words; those that the memo lacks are encoded."""
-        words = data.split()
-        self.learn(set(words))
-        return b"".join(map(self.words.__getitem__, words))
-
-    def chunk(self, data: bytes) -> bytes:
+    def chunk(self, data: bytes) -> Chunk:
+        """A chunk's words and their ids; words that the worker has not met are encoded, all at once."""
         self.met_chunks += 1
         found = self.chunks.get(data)
+        if found is not None:
+            return found
+        self.new_chunks += 1
+        words, memo = data.split(), self.words
+        missing = list({w for w in words if w not in memo})
+        if missing:
+            if len(memo) + len(missing) > MAX_WORDS:
+                memo.clear()
+                missing = list(set(words))
+            for w, e in zip(missing, self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)):
+                memo[w] = array("I", e.ids).tobytes()
+        edges = np.flatnonzero(np.diff(np.r_[True, _BLANK[np.frombuffer(data, np.uint8)], True])).tolist()
+        if len(self.chunks) >= MAX_CHUNKS:
+            self.chunks.clear()
+        found = self.chunks[data] = Chunk(edges[::2], edges[1::2], [memo[w] for w in words])
+        return found
+
+    def anew(self, data: bytes) -> list[bytes]:
+        """The ids of a piece of text, encoded as one, given out by its words."""
+        found = self.joins.get(data)
         if found is None:
-            self.new_chunks += 1
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            found = self.chunks[data] = self.words_in(data)
+            text = data.decode()
+            e = self.tokenizer.encode(text, add_special_tokens=False)
+            ends = [m.end() for m in _RUN.finditer(text)]
+            out, i = [array("I") for _ in ends], 0
+            for token, (start, _) in zip(e.ids, e.offsets):
+                while i + 1 < len(ends) and start >= ends[i]:
+                    i += 1
+                out[i].append(token)
+            if len(self.joins) >= MAX_CHUNKS:
+                self.joins.clear()
+            found = self.joins[data] = [x.tobytes() for x in out]
         return found
 
     def encode(self, data: bytes) -> bytes:
-        """Ids of a text: chunks are looked up first; only the words of new ones and of joins are encoded."""
-        ids: list[bytes] = []
-        bounds = [*cuts(data), len(data)]
-        blanks = np.flatnonzero(_BLANK[np.frombuffer(data, np.uint8)])
-        after = np.searchsorted(blanks, bounds).tolist()  # the first blank at or after each bound
-        blanks = [-1, *blanks.tolist(), len(data)]
-        done = 0  # all before is encoded; a text's start or a blank stands here
-        for k in after[:-1]:
-            last, stop = blanks[k], blanks[k + 1]
-            if last < done:
-                continue  # no blank since: the repair goes on over the next chunk
-            ids.append(self.chunk(data[done:last]))
-            ids.append(self.words_in(data[last:stop]))
-            done = stop
-        ids.append(self.chunk(data[done:]))
+        """Ids of a text: those of its chunks, with the joins repaired."""
+        bounds = [0, *cuts(data), len(data)]
+        first = self.chunk(data[: bounds[1]])
+        ids, starts = list(first.ids), list(first.starts)
+        for cut, end in zip(bounds[1:], bounds[2:]):
+            chunk = self.chunk(data[cut:end])
+            n, size = REACH, len(chunk.ids)
+            while True:
+                left, right = min(n, len(ids)), min(n, size)
+                low = starts[-left] if left == n else 0
+                high = cut + chunk.ends[right - 1] if right == n else end
+                made = self.anew(data[low:high])
+                # an outer word is there to agree unless the text ends, or the next join goes on from it
+                if (left < n or made[0] == ids[-left]) and (right < n or made[-1] == chunk.ids[right - 1]):
+                    break
+                n += 1
+            del ids[len(ids) - left :]
+            del starts[len(starts) - left :]
+            ids += made
+            starts += [low + m.start() for m in _WORD.finditer(data[low:high])]
+            ids += chunk.ids[right:]
+            starts += [cut + x for x in chunk.starts[right:]]
         return b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:

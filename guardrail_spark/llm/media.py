@@ -4,8 +4,11 @@
 packets behind a program association table and a program map table; `demux` parses the tables, checks the continuity
 counters, reassembles the elementary packets and lists timestamps and random-access points.
 
-Defined cases: an empty payload gives the two tables only; damaged packets are counted and skipped, never raised on.
-For the column operator null text is empty, repeated rows each get a row, other columns are ignored.
+Defined cases: an empty payload gives the two tables only. Nothing is raised on damage: `damaged` counts lost sync bytes
+(found again at the next two that stand a packet apart), packets with an error flag, scrambling or a wrong adaptation
+field, broken sections, and elementary packets that are broken or shorter than they say, whose bytes stay as far as they
+came. A packet sent twice counts once; sections may go on over packets. For the column operator null text is empty, very
+long texts become many elementary packets, repeated rows each get a row, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,60 +114,131 @@ class Stream:
     payload: bytes = b""
 
 
-def _table_body(packet: bytes) -> bytes | None:
-    """The section that starts in a packet, checked by its CRC."""
-    at = 4 + (1 + packet[4] if packet[3] & 0x20 else 0)
-    at += 1 + packet[at]
-    end = at + 3 + (int.from_bytes(packet[at + 1 : at + 3], "big") & 0xFFF)
-    return packet[at:end] if end <= PACKET and crc32_mpeg(packet[at:end]) == 0 else None
+def _packets(media: bytes) -> tuple[np.ndarray, int]:
+    """The packets as rows of bytes, and how often the sync byte was not where it should be. Lost sync is found again where
+    two sync bytes stand a packet apart."""
+    n = len(media) // PACKET
+    grid = np.frombuffer(media, np.uint8, n * PACKET).reshape(n, PACKET)
+    if len(media) == n * PACKET and (grid[:, 0] == SYNC).all():
+        return grid, 0
+    at, starts, lost = 0, [], 0
+    while at + PACKET <= len(media):
+        if media[at] == SYNC:
+            starts.append(at)
+            at += PACKET
+            continue
+        lost += 1
+        at = media.find(SYNC, at + 1)
+        while at >= 0 and at + PACKET < len(media) and media[at + PACKET] != SYNC:
+            at = media.find(SYNC, at + 1)
+        if at < 0:
+            break
+    if 0 <= at < len(media) or not starts:
+        lost += bool(len(media))  # what is left is no packet
+    whole = np.frombuffer(media, np.uint8)
+    return whole[np.array(starts, np.int64)[:, None] + np.arange(PACKET)], lost
+
+
+def _sections(packets: np.ndarray, begin: np.ndarray) -> tuple[list[bytes], int]:
+    """The table sections of one PID's packets, which may go on over packets, and the number of broken ones."""
+    found, broken, held = [], 0, b""
+
+    def take(data: bytes) -> bytes:
+        """Takes whole sections off the data; gives back a begun one."""
+        nonlocal broken
+        while len(data) >= 3 and data[0] != 0xFF:
+            end = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+            if end > len(data):
+                return data
+            if end >= 12 and crc32_mpeg(data[:end]) == 0:
+                found.append(data[:end])
+            else:
+                broken += 1
+            data = data[end:]
+        return b"" if data[:1] == b"\xff" else data
+
+    for p, at in zip(packets, begin):
+        data = p[at:].tobytes()
+        if not data:
+            continue
+        if p[1] & 0x40:
+            skip = data[0]
+            rest = take(held + data[1 : 1 + skip]) if held else b""
+            broken += bool(rest)  # a section that a new one cuts short
+            held = take(data[1 + skip :])
+        elif held:
+            held = take(held + data)
+    return found, broken + bool(held)
+
+
+def _elementary(own: np.ndarray, begin: np.ndarray, heads: np.ndarray) -> list[bytes]:
+    """The elementary packets that begin at the packets `heads`."""
+    out = []
+    for h, end in zip(heads, [*heads[1:], len(own)]):
+        block = [own[h, begin[h] :].tobytes()]
+        plain = end - h - 1
+        while plain and begin[h + plain] != 4:  # stuffed packets stand at the end
+            plain -= 1
+        tail = h + 1
+        if plain and (begin[h + 1 : h + 1 + plain] == 4).all():
+            block.append(own[h + 1 : h + 1 + plain, 4:].tobytes())
+            tail += plain
+        out.append(b"".join([*block, *(own[i, begin[i] :].tobytes() for i in range(tail, end))]))
+    return out
 
 
 def demux(media: bytes) -> Stream:
-    s = Stream(packets=len(media) // PACKET)
-    grid = np.frombuffer(media, np.uint8, s.packets * PACKET).reshape(s.packets, PACKET)
-    good = grid[:, 0] == SYNC
-    s.damaged = int(s.packets - good.sum()) + bool(len(media) % PACKET)
+    grid, lost = _packets(media)
+    s = Stream(packets=len(grid), damaged=lost)
+    control, length = grid[:, 3], grid[:, 4]
+    adapted, has = (control & 0x20) > 0, (control & 0x10) > 0
+    # an error flag, scrambling, neither field, or an adaptation field longer than its packet
+    bad = ((grid[:, 1] & 0x80) > 0) | ((control & 0xC0) > 0) | ~(adapted | has) | adapted & (length > np.where(has, 182, 183))
+    s.damaged += int(bad.sum())
+    grid, adapted, has = grid[~bad], adapted[~bad], has[~bad]
+    flags = np.where(adapted & (grid[:, 4] > 0), grid[:, 5], 0)
+    begin = np.where(has, np.where(adapted, 5 + grid[:, 4].astype(np.int32), 4), PACKET)
     pid = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    starts = (grid[:, 1] & 0x40) > 0
-    for i in np.flatnonzero(good & (pid == 0) & starts):
-        if body := _table_body(grid[i].tobytes()):
-            for j in range(8, len(body) - 4, 4):
-                s.programs[int.from_bytes(body[j : j + 2], "big")] = int.from_bytes(body[j + 2 : j + 4], "big") & 0x1FFF
-    for i in np.flatnonzero(good & np.isin(pid, list(s.programs.values())) & starts):
-        if body := _table_body(grid[i].tobytes()):
+
+    def sections(of: int, table: int) -> list[bytes]:
+        found, broken = _sections(grid[pid == of], begin[pid == of])
+        s.damaged += broken
+        return [x for x in found if x[0] == table]
+
+    for body in sections(0, 0):
+        for j in range(8, len(body) - 7, 4):
+            if program := int.from_bytes(body[j : j + 2], "big"):  # 0 is the network's own table
+                s.programs[program] = int.from_bytes(body[j + 2 : j + 4], "big") & 0x1FFF
+    for of in dict.fromkeys(s.programs.values()):
+        for body in sections(of, 2):
             j = 12 + (int.from_bytes(body[10:12], "big") & 0xFFF)
-            while j < len(body) - 4:
-                s.pids.append(int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF)
+            while j + 5 <= len(body) - 4:
+                p = int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF
+                if p not in s.pids:
+                    s.pids.append(p)
                 j += 5 + (int.from_bytes(body[j + 3 : j + 5], "big") & 0xFFF)
     parts: list[bytes] = []
-    for p in dict.fromkeys(s.pids):
-        own = grid[good & (pid == p)]
-        if not len(own):
-            continue
-        counters, has = own[:, 3] & 15, (own[:, 3] & 0x10) > 0
-        s.continuity_errors += int(((counters[1:] - counters[:-1]) % 16 != has[1:]).sum())
-        adapted = (own[:, 3] & 0x20) > 0
-        begin = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
+    for p in s.pids:
+        mine = np.flatnonzero(pid == p)
+        counters = (grid[mine, 3] & 15).astype(np.int16)
+        # a packet may be sent twice in a row
+        again = np.r_[False, (counters[1:] == counters[:-1]) & has[mine[1:]] & (grid[mine[1:]] == grid[mine[:-1]]).all(1)] if len(mine) else np.zeros(0, bool)
+        mine, counters = mine[~again], counters[~again]
+        own, start, flag = grid[mine], begin[mine], flags[mine]
+        follows = ((counters[1:] - counters[:-1]) % 16 == has[mine[1:]]) | ((flag[1:] & 0x80) > 0)
+        s.continuity_errors += int((~follows).sum())
         heads = np.flatnonzero((own[:, 1] & 0x40) > 0)
-        for h, end in zip(heads, [*heads[1:], len(own)]):
-            block = [own[h, begin[h] :].tobytes()]
-            plain = end - h - 1
-            while plain and begin[h + plain] != 4:  # stuffed packets stand at the end
-                plain -= 1
-            if plain and (begin[h + 1 : h + 1 + plain] == 4).all():
-                block.append(own[h + 1 : h + 1 + plain, 4:].tobytes())
-                tail = range(h + 1 + plain, end)
-            else:
-                tail = range(h + 1, end)
-            block += [own[i, begin[i] :].tobytes() for i in tail]
-            pes = b"".join(block)
-            if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
+        for h, pes in zip(heads, _elementary(own, start, heads)):
+            skip = 9 + pes[8] if len(pes) >= 9 else 9
+            if len(pes) < skip or pes[:3] != b"\x00\x00\x01":
                 s.damaged += 1
                 continue
-            size, skip = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
-            if pes[7] & 0x80:
+            size, timed = int.from_bytes(pes[4:6], "big"), pes[7] & 0x80
+            # one that is shorter than it says has lost packets; what came of it stays
+            s.damaged += bool(size and len(pes) < 6 + size) or bool(timed and pes[8] < 5)
+            if timed and pes[8] >= 5:
                 s.pts.append(_pts_value(pes[9:14]))
-                if adapted[h] and own[h, 4] and own[h, 5] & 0x40:
+                if flag[h] & 0x40:
                     s.random_access.append(s.pts[-1])
             parts.append(pes[skip : 6 + size if size else None])
     s.payload = b"".join(parts)

@@ -11,7 +11,9 @@ Rows are emitted by rate: floor(rate + u) copies with u uniform in [0, 1) from a
 
 Defined cases: null text is empty and has no tokens; labels that are null don't count; a domain without labelled rows has
 no share and no target; without labelled rows every rate is 1; ids that are null are hashed as null; repeated labels
-count once each; a domain whose target can't be reached gets as near as the rates allow.
+count once each; labels of domains without a target don't count; a domain whose target can't be reached gets as near as the
+rates allow; very long texts are read whole; other columns are ignored by `mix`, and `mixed_rows` keeps them, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 def fit_classifier(rows: DataFrame, labels: DataFrame, id_col: str, domain: Column, domains: tuple[str, ...]) -> list[tuple[float, list[float], list[float]]]:
     """For each domain ln prior, means and variances of the features over the labelled rows; empty without any."""
     # a repeated label counts once
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), domain.alias("domain")).where("domain is not null").distinct()
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), domain.alias("domain")).where(F.col("domain").isin(*domains)).distinct()
     size = 7
     moments = [f(F.col("x")[i]).alias(f"{m}{i}") for i in range(size) for m, f in (("mean", F.mean), ("var", F.var_pop))]
     got = {r.domain: r for r in rows.join(known, "id").groupBy("domain").agg(F.count(F.lit(1)).alias("m"), *moments).collect()}
@@ -100,18 +102,30 @@ def fit_rates(known: DataFrame, targets: list[float], most: float, relative: boo
     scale = np.linalg.pinv(np.array([x or 0.0 for x in first[size + 1 :]]).reshape(size, size))
     goal = np.array(targets) * (has if relative else total)
     steps: list[list[float]] = []
-    before = None
+    before, beyond = None, False
     while total and len(steps) < STEPS:
-        sums = known.select("n", "p", _rate(steps, size, most).alias("w")).agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("w")) for i in range(size)]).first()
-        error = np.array([x or 0.0 for x in sums]) - goal
+        # of the last step's direction also the least that any rates can reach along it: if that lies beyond the goal, the
+        # targets are proved out of reach, and what is still to gain is bounded by the difference
+        last = steps[-1] if steps else [0.0] * size
+        along = sum((F.col("p")[i] * e for i, e in enumerate(last)), F.lit(0.0))
+        least = F.sum(F.col("n") * most * F.least(F.lit(0.0), along))
+        sums = known.select("n", "p", _rate(steps, size, most).alias("w")).agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("w")) for i in range(size)], least).first()
+        error = np.array([x or 0.0 for x in sums[:size]]) - goal
         share = np.abs(error) / np.maximum(has, 1e-9)
-        if share.max() < ENOUGH or before is not None and np.abs(share - before).max() < ENOUGH / 10:
+        if steps:
+            bound = (sums[size] or 0.0) - float(np.dot(last, goal))
+            beyond = beyond or bound > 0
+            near = beyond and float(np.dot(last, error)) - bound <= ENOUGH * float(np.dot(np.abs(last), has))
+        if share.max() < ENOUGH or steps and near or before is not None and np.abs(share - before).max() < ENOUGH / 10:
             break
         before = share
         steps.append([float(x) for x in scale @ error])
     else:
         if total:
-            warnings.warn(f"the fit of rates ended after {STEPS} steps; error before the last one: {share.max():.3g} of a domain's tokens", RuntimeWarning, stacklevel=2)
+            warnings.warn(f"the fit of rates ended after {STEPS} steps; error before the last one: {share.max():.3g} of a domain's tokens" + "; the targets are out of reach" * beyond, RuntimeWarning, stacklevel=2)
+            return steps
+    if total and share.max() >= ENOUGH:
+        warnings.warn(f"the fit of rates came as near as it can: {share.max():.3g} of a domain's tokens" + " from targets that are out of reach" * beyond, RuntimeWarning, stacklevel=2)
     return steps
 
 

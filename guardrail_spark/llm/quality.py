@@ -1,11 +1,13 @@
 """Quality rules by compression bands.
 
-A text is compressed with zstandard as a whole and in fixed chunks. Repetitive text compresses far better than prose of
-its length, noise hardly at all; the limits between them depend on the length, since short texts carry more overhead.
-
-Defined cases: null text counts as empty; a text without words has zero counts, fails the base rule and isn't kept;
-repeated rows each get their own equal row; other columns are ignored. Every row is judged on its own, so ties and
-extra columns change nothing.
+A text is compressed with zstandard as a whole and in fixed chunks, the last of which is what is left. Repetitive text
+compresses far better than prose of its length, noise hardly at all; the limits between them depend on the length of what
+is compressed, text or chunk, since short pieces carry more overhead. A text is rejected if its own ratio lies outside the
+limits, or those of chunks that make up BAD_SHARE of its bytes.
+
+Defined cases: null text counts as empty; a text without words has zero counts, fails the base rule and isn't kept; long
+texts are read whole, chunk by chunk; repeated rows each get their own equal row; other columns are ignored, also those
+named like a result. Every row is judged on its own, so ties change nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """For texts of fewer than `bytes` bytes: the lowest and highest ratio of compressed to plain size that is kept."""
+    """For pieces of fewer than `bytes` bytes: the lowest and highest ratio of compressed to plain size of sound text."""
 
     bytes: int
     low: float
@@ -32,17 +34,27 @@ class Bands:
 
 
 BANDS = (
-    Bands(256, 0.0, 2.0),
-    Bands(1024, 0.30, 1.00),
-    Bands(4096, 0.27, 0.90),
-    Bands(16384, 0.22, 0.85),
-    Bands(1 << 62, 0.15, 0.80),
+    Bands(64, 0.40, 12.0),
+    Bands(128, 0.50, 1.16),
+    Bands(256, 0.45, 0.98),
+    Bands(512, 0.40, 0.84),
+    Bands(1024, 0.35, 0.77),
+    Bands(2048, 0.30, 0.70),
+    Bands(4096, 0.27, 0.68),
+    Bands(16384, 0.24, 0.66),
+    Bands(1 << 62, 0.18, 0.66),
 )
-CHUNK = 4096
-CHUNK_LOW, CHUNK_HIGH, BAD_CHUNKS = 0.12, 0.90, 0.5
+CHUNK, BAD_SHARE = 2048, 0.25
 LEVEL = 3
 
 
+def ratio_of(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, bool]:
+    """Compressed to plain size of a piece, and whether it lies in the band of the piece's length."""
+    ratio = len(packer.compress(data)) / len(data)
+    band = next(b for b in BANDS if len(data) < b.bytes)
+    return ratio, band.low <= ratio <= band.high
+
+
 def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = data.split()
@@ -66,14 +78,13 @@ def base_counts(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def compression_verdict(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of its chunks outside the chunk limits, and whether the bands keep it."""
+    """Ratio of the whole text, share of its bytes in chunks outside the limits, and whether the bands keep it."""
     if not data:
         return 0.0, 0.0, False
-    ratio = len(packer.compress(data)) / len(data)
-    band = next(b for b in BANDS if len(data) < b.bytes)
-    chunks = [data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-    bad = sum(not CHUNK_LOW <= len(packer.compress(c)) / CHUNK <= CHUNK_HIGH for c in chunks) / len(chunks) if len(chunks) > 1 else 0.0
-    return ratio, bad, band.low <= ratio <= band.high and bad < BAD_CHUNKS
+    ratio, fits = ratio_of(data, packer)
+    chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+    bad = sum(len(c) for c in chunks if not ratio_of(c, packer)[1]) / len(data)
+    return ratio, bad, fits and bad < BAD_SHARE
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, licenses, media, mixing, neardup, quality, substring, toxicity, urls
 
-#: Folder of the public vocabulary files; executors read it too.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "word_bpe_49k.json"
+#: Folder of the public vocabulary files; executors read it too.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR") or os.path.dirname(public_tokenizers.path(VOCABULARY))
 
 # The rules of the URL query.
 RULES = (

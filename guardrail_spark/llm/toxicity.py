@@ -265,8 +265,15 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str
     return scored_rows(rows, model, "__t", [id_col])
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold; columns may have any names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    clean = scored_rows(plain, model, f"c{docs.columns.index(text)}").where(F.col("score") < threshold)
+    return clean.drop("score").toDF(*docs.columns)
+
+
 def scored_rows(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns `keep` of it) with the column score."""
+    """docs (or the columns `keep` of it, none of them named score) with the column score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

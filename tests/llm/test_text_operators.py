@@ -114,6 +114,60 @@ def test_pruning_reaches_all_paths(model):
         assert toxicity.collapsed(seen.encode()) == toxicity.collapsed(word.encode())
 
 
+def lattice_paths(word, model, spelt=False):
+    """(score, made) of every path through a word's lattice."""
+    import math
+
+    same, alike, again, gap = (math.log(p) for p in (toxicity.P_SAME, toxicity.P_ALIKE, toxicity.P_AGAIN, toxicity.P_GAP))
+    symbol = lambda c: int(toxicity.SYMBOL[c.encode()[0]])
+
+    def go(i, a, b, last, score, made):
+        if i == len(word):
+            yield score + float(model[a, b, 0]), made
+            return
+        ch = word[i]
+        letters = [(ch, same - math.log(toxicity.SHARE.get(symbol(ch), 1)))] + [(x, alike) for x in toxicity.ALIKE.get(ch, "")]
+        moved = False
+        if last and (last == ch or last in toxicity.ALIKE.get(ch, "")):
+            yield from go(i + 1, a, b, last, score + again, made)
+            moved = True
+        if ch in toxicity.SEPARATORS and made:
+            yield from go(i + 1, a, b, last, score + gap, made)
+            moved = True
+            if spelt and last:
+                yield from go(i + 1, b, 0, "", score + gap + float(model[a, b, 0]), made + " ")
+        if ch != " ":
+            for x, cost in letters:
+                yield from go(i + 1, b, symbol(x), x, score + cost + float(model[a, b, symbol(x)]), made + x)
+        elif not moved:
+            yield from go(i + 1, a, b, last, score, made)
+
+    yield from go(0, 0, 0, "", 0.0, "")
+
+
+@pytest.mark.parametrize("word", ["1d10t", "l0ser", "tr@sh", "looser", "s.c.u.m", "$tupid", "b00k", "a-b", "né0", "!!i1", "7h3", "x+7"])
+def test_viterbi_equals_all_paths(model, word):
+    paths = list(lattice_paths(word, model.trigrams))
+    best = max(s for s, _ in paths)
+    made = toxicity.decode(word, model.trigrams)
+    assert max(s for s, m in paths if m == made) == pytest.approx(best, abs=1e-4)
+
+
+@pytest.mark.parametrize("run", ["i d i o t", "u a l o", "a.b c"])
+def test_viterbi_of_spelt_runs_equals_all_paths(model, run):
+    paths = list(lattice_paths(run, model.trigrams, True))
+    best = max(s for s, _ in paths)
+    made = toxicity.decode(run, model.trigrams, True)
+    assert max(s for s, m in paths if m == made) == pytest.approx(best, abs=1e-4)
+
+
+def test_repeated_rows_and_clashing_columns(spark, model):
+    df = spark.createDataFrame([(1, "you idiot", 1, 2, 3), (1, "you idiot", 1, 2, 3), (2, "good day", 1, 2, 3), (2, "good day", 1, 2, 3), (None, None, 1, 2, 3)], "doc_id long, text string, score int, `__text` int, c0 int")
+    assert sorted((str(r.doc_id), r.score >= toxicity.THRESHOLD) for r in toxicity.score_texts(df, model).collect()) == [("1", True), ("1", True), ("2", False), ("2", False), ("None", False)]
+    got = toxicity.without_toxic(df, model)
+    assert got.columns == df.columns and sorted(str(tuple(r)) for r in got.collect()) == sorted(str(x) for x in [(2, "good day", 1, 2, 3)] * 2 + [(None, None, 1, 2, 3)])
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic", "score").collect()
@@ -219,6 +273,32 @@ def test_rates_meet_their_targets_closely(spark):
     assert np.allclose(((n * got)[:, None] * p).sum(0), goal, rtol=1e-6)
 
 
+def test_targets_out_of_reach_are_proved(spark):
+    """No rates up to one can keep all of one domain and half of the other where all rows belong to both."""
+    rows = spark.createDataFrame([(100, [0.5, 0.5]), (50, [0.4, 0.6]), (80, [0.6, 0.4])], "n long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="out of reach"):
+        mixing.fit_rates(rows, [0.2, 1.0], 1.0, True)
+
+
+def test_posteriors_equal_naive_bayes(spark):
+    """The classifier against one written out; labels of a domain without a target don't count, repeated ones once."""
+    rng = np.random.default_rng(6)
+    x = rng.random((60, 7))
+    y = rng.integers(0, 3, 60)
+    rows = spark.createDataFrame([(i, int(100 * v[0]), [float(f) for f in v]) for i, v in enumerate(x)], "id long, n long, x array<double>")
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y)] * 2 + [(None, 1), (3, None)], "doc_id long, k int")
+    domain = F.when(F.col("k") == 0, "low").when(F.col("k") == 1, "good").when(F.col("k") == 2, "other")
+    model = mixing.fit_classifier(rows, labels, "doc_id", domain, ("low", "good"))
+    want = np.zeros((60, 2))
+    for k in range(2):
+        own = x[y == k]
+        var = np.maximum(own.var(0), mixing.LEAST_VARIANCE)
+        want[:, k] = len(own) / (y < 2).sum() * np.exp(-((x - own.mean(0)) ** 2 / (2 * var)).sum(1)) / np.sqrt(var).prod()
+    want /= want.sum(1, keepdims=True)
+    got = np.array([r.p for r in mixing.posteriors(rows, model).orderBy("id").collect()])
+    assert np.allclose(got, want)
+
+
 def test_mixing_tables(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = mixing.mix(docs, labels, mixing.TARGETS).collect()
