@@ -16,7 +16,7 @@ TARGETS = {"low": 0.5, "good": 1.0}
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~F.expr(toxicity.held_out_rule()))
-    return toxicity.scored_rows(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
