@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VALIDATORS = {}
 
@@ -53,11 +56,18 @@ def jwt_ok(c: Column) -> Column:
 
 
 def shannon_entropy(c: Column) -> Column:
-    """Bits for each character (candidates are ASCII)."""
+    """Bits for each byte of the UTF-8 text; where there are other than ASCII characters, bytes are counted as hexadecimal
+    pairs."""
+
+    def bits(counts: Column, n: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
+
     chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.length(c).cast("double")
-    share = F.transform(F.array_distinct(chars), lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))) / n)
-    return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    plain = F.transform(F.array_distinct(chars), lambda x: (F.length(c) - F.length(F.replace(c, x, F.lit("")))).cast("double"))
+    pairs = F.array(F.regexp_extract_all(F.hex(c.cast("binary")), F.lit(".."), F.lit(0)))
+    counted = F.get(F.transform(pairs, lambda p: F.transform(F.array_distinct(p), lambda x: F.size(F.filter(p, lambda y: y == x)).cast("double"))), F.lit(0))
+    n = F.octet_length(c)
+    return F.when(n == F.length(c), bits(plain, n)).otherwise(bits(counted, n))
 
 
 def text_hash(c: Column) -> Column:
@@ -77,6 +87,39 @@ def canonical_ts(c: Column) -> Column:
     return F.concat(whole, F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("Z"))
 
 
+def json_text(c: Column) -> Column:
+    """A string as JSON text; null stays null."""
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
+
+
+def canonical_value(c: Column, kind: T.DataType) -> Column:
+    """Canonical JSON text of a value of any nested type: keys sorted at every level, no blanks, nulls kept, integral floats
+    as integers, timestamps in UTC."""
+    null = lambda x: F.coalesce(x, F.lit("null"))
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical_value(c.getField(f.name), f.dataType)) for f in fields]
+        return null(F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))))
+    if isinstance(kind, T.ArrayType):
+        return null(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_value(x, kind.elementType)), ","), F.lit("]")))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical_value(e["value"], kind.valueType).alias("v"))))
+        return null(F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}")))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return null(canonical_double(c))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return null(F.concat(F.lit('"'), canonical_ts(c), F.lit('"')))
+    if isinstance(kind, (T.StringType, T.DateType)):
+        return null(json_text(c.cast("string")))
+    return null(c.cast("string"))
+
+
+def canonical_document(df, name: str) -> Column:
+    """Canonical JSON text of a column of df; fields that are null are left out of objects only if they are absent, so a
+    parsed document should be a map or a struct of the fields that it has."""
+    return canonical_value(F.col(name), df.schema[name].dataType)
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the interval of a share k / n, within [0, 1]; (0, 1) without observations."""
     m = F.when(n > 0, n).cast("double")

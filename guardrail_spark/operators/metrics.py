@@ -92,8 +92,35 @@ def incident_windows(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
 
 
 def breaker_windows(events: DataFrame, keys: list[str], failures: int = 5, open_seconds: int = 15) -> DataFrame:
-    """Where a breaker opens: at every run of errors the time of the failure that opens it, and when it closes."""
+    """Where a breaker opens: at the failure that completes a run of so many and at every later failure of the run, each
+    for so many seconds or until the success that ends the run, whichever comes first."""
     order = W.partitionBy(*keys).orderBy("ts", "event_id")
-    marked = events.withColumn("ok", (F.col("verdict") != "ERROR").cast("int")).withColumn("run", F.sum("ok").over(order))
-    marked = marked.where("ok = 0").withColumn("k", F.row_number().over(W.partitionBy(*keys, "run").orderBy("ts", "event_id")))
-    return marked.where(F.col("k") == failures).select(*keys, F.col("ts").alias("opened_at"), (F.col("ts") + F.expr(f"interval {open_seconds} seconds")).alias("closes_at"))
+    good = F.col("verdict") != "ERROR"
+    # what comes after the next success is another run; the time of that success ends this one
+    marked = events.withColumns({"run": F.count_if(good).over(order), "reset": F.min(F.when(good, F.col("ts"))).over(order.rowsBetween(1, W.unboundedFollowing))})
+    marked = marked.where(~good).withColumn("k", F.row_number().over(W.partitionBy(*keys, "run").orderBy("ts", "event_id")))
+    late = F.col("ts") + F.expr(f"interval {open_seconds} seconds")
+    return marked.where(F.col("k") >= failures).select(*keys, F.col("ts").alias("opened_at"), F.least(late, "reset").alias("closes_at"), F.col("k").alias("failures"))
+
+
+def bundle_gauges(bundles: DataFrame, now: Column) -> DataFrame:
+    """Per (tenant, env): the installed bundle's number and policies, how many were installed, and its age in seconds;
+    bundles: (tenant, env, bundle_seq, created_at, n_policies)."""
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    newest = F.max_by(F.struct("created_at", "n_policies"), "bundle_seq").alias("b")
+    g = bundles.groupBy("tenant", "env").agg(F.max("bundle_seq").alias("bundle_seq"), F.count(F.lit(1)).alias("installs"), newest)
+    return g.select("tenant", "env", "bundle_seq", F.col("b.n_policies").alias("n_policies"), "installs", (seconds(now) - seconds(F.col("b.created_at"))).alias("age_seconds"))
+
+
+# The alert rules on the age of bundles: name, seconds, severity.
+BUNDLE_ALERTS = (("bundle_stale", 259_200, "warning"), ("bundle_age_critical", 604_800, "critical"))
+
+
+def bundle_alerts(expected: DataFrame, bundles: DataFrame, now: Column, hold: int = 300) -> DataFrame:
+    """(tenant, env, alert, severity): bundles older than a rule allows for `hold` seconds or longer, and gateways
+    (expected: tenant, env) without any bundle or with number 0."""
+    g = expected.select("tenant", "env").distinct().join(bundle_gauges(bundles, now), ["tenant", "env"], "left")
+    missing = F.col("bundle_seq").isNull() | (F.col("bundle_seq") == 0)
+    found = [F.when(missing, F.struct(F.lit("no_bundle_installed").alias("alert"), F.lit("warning").alias("severity")))]
+    found += [F.when(~missing & (F.col("age_seconds") > limit + hold), F.struct(F.lit(name).alias("alert"), F.lit(severity).alias("severity"))) for name, limit, severity in BUNDLE_ALERTS]
+    return g.select("tenant", "env", F.explode(F.array_compact(F.array(*found))).alias("a")).select("tenant", "env", "a.alert", "a.severity")

@@ -7,14 +7,18 @@ fail_mode, evidence, shadow, verify_live). policies_of_documents and guards_of_d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import bump_patch
+from ..functions.columns import bump_patch, canonical_value, text_hash
+from ..sources.shared import settled
 
 DOCUMENT = (
-    "apiVersion string, kind string, metadata struct<id:string,version:string,tenant:string,status:string,parent:string,labels:map<string,string>>,"
+    "apiVersion string, kind string, metadata struct<id:string,version:string,tenant:string,status:string,parent:string,origin:string,labels:map<string,string>>,"
     "spec struct<applies_to:struct<apps:array<string>,environments:array<string>>,defaults:struct<fail_mode:string,timeout_ms:int>,"
     "guards:array<struct<id:string,scenario:string,detector:string,direction:array<string>,threshold:string,on_fail:string,"
     "config:map<string,string>,evidence:string,fail_mode:string,shadow:boolean>>>"
@@ -95,7 +99,9 @@ def current_version(policies: DataFrame) -> DataFrame:
 
 
 def scope_env(policies: DataFrame, env: str) -> DataFrame:
-    return policies.where(F.col("env") == env)
+    """Policies for an environment: `env` names one, or lists several."""
+    listed = policies.schema["env"].dataType.typeName() == "array"
+    return policies.where(F.array_contains("env", env) if listed else F.col("env") == env)
 
 
 def detector_refs(guards: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -110,17 +116,39 @@ def unpinned_detectors(guards: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def build_manifest(policies: DataFrame, guards: DataFrame, catalog: DataFrame, bundles: DataFrame, env: str) -> DataFrame:
-    """Per tenant: the next bundle number, numbers of policies and detectors, and the manifest's hash."""
+    """Per tenant: the next bundle number, the manifest (canonical JSON: policies with the hashes of their documents, and
+    the detectors that they pin) and its hash. policies may have a `document` (JSON text); without one a version's own
+    columns make its document."""
     chosen = scope_env(latest_approved(policies), env)
     pinned = chosen.join(guards.select("policy_key", "detector"), "policy_key")
     refs = pinned.select("tenant", F.split("detector", "@", 2)[0].alias("detector_id"), F.get(F.split("detector", "@", 2), F.lit(1)).alias("version")).distinct()
     refs = refs.join(catalog, ["detector_id", "version"], "left")
-    listed = refs.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_detectors"), F.array_sort(F.collect_list(F.concat_ws("|", "detector_id", "version", F.coalesce("image_digest", F.lit(""))))).alias("ds"))
-    docs = chosen.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_policies"), F.array_sort(F.collect_list(F.concat_ws("|", "policy_id", "version"))).alias("ps"))
+    refs = refs.withColumn("image_digest", F.coalesce("image_digest", F.lit("")))
+    listed = refs.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_detectors"), F.array_sort(F.collect_list(F.struct("detector_id", "version", "image_digest"))).alias("detectors"))
+    hashed = chosen.withColumn("document_hash", document_hash(chosen))
+    docs = hashed.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_policies"), F.array_sort(F.collect_list(F.struct("policy_id", "version", "document_hash"))).alias("policies"))
     seqs = bundles.where(F.col("env") == env).groupBy("tenant").agg(F.max("bundle_seq").alias("last"))
     out = docs.join(listed, "tenant", "left").join(seqs, "tenant", "left").withColumn("bundle_seq", F.coalesce("last", F.lit(0)) + 1)
-    text = F.concat_ws("\n", F.lit(env), F.col("bundle_seq").cast("string"), F.array_join("ps", ","), F.array_join(F.coalesce("ds", F.array().cast("array<string>")), ","))
-    return out.select("tenant", F.lit(env).alias("env"), "bundle_seq", "n_policies", F.coalesce("n_detectors", F.lit(0)).alias("n_detectors"), F.sha2(text, 256).alias("manifest_hash"))
+    none = F.array().cast(out.schema["detectors"].dataType)
+    out = out.withColumn("m", F.struct("tenant", F.lit(env).alias("env"), "bundle_seq", "policies", F.coalesce("detectors", none).alias("detectors")))
+    out = out.withColumn("manifest", canonical_value(F.col("m"), out.schema["m"].dataType))
+    return out.select("tenant", F.lit(env).alias("env"), "bundle_seq", "n_policies", F.coalesce("n_detectors", F.lit(0)).alias("n_detectors"), "manifest", text_hash(F.col("manifest")).alias("manifest_hash"))
+
+
+MANIFEST = "bundle_seq long, detectors array<struct<detector_id:string,version:string,image_digest:string>>, env string, policies array<struct<policy_id:string,version:string,document_hash:string>>, tenant string"
+
+
+def verify_manifest(manifests: DataFrame, policies: DataFrame) -> DataFrame:
+    """(tenant, env, bundle_seq, hash_ok, n_bad): whether the manifest's hash is its own, and how many policies it lists
+    whose documents (policies) are missing or hash otherwise."""
+    doc = F.from_json("manifest", MANIFEST)
+    rows = manifests.withColumn("doc", doc).withColumn("hash_ok", F.coalesce(text_hash(canonical_value(F.col("doc"), T._parse_datatype_string(MANIFEST))) == F.col("manifest_hash"), F.lit(False)))
+    listed = rows.select("tenant", "env", "bundle_seq", "hash_ok", F.explode_outer("doc.policies").alias("p"))
+    stored = policies.select("tenant", "policy_id", "version", document_hash(policies).alias("stored")).distinct()
+    met = listed.select("*", F.col("p.policy_id").alias("policy_id"), F.col("p.version").alias("version")).join(stored, ["tenant", "policy_id", "version"], "left")
+    # of several documents under one version one must fit
+    each = met.groupBy("tenant", "env", "bundle_seq", "hash_ok", "policy_id", "version", "p").agg(F.max(F.coalesce(F.col("stored") == F.col("p.document_hash"), F.lit(False))).alias("fits"))
+    return each.groupBy("tenant", "env", "bundle_seq", "hash_ok").agg(F.count_if(F.col("p").isNotNull() & ~F.col("fits")).alias("n_bad"))
 
 
 def verify_hashes(rows: DataFrame, content: str, stored: str) -> DataFrame:
@@ -175,31 +203,122 @@ def apply_thresholds(policies: DataFrame, guards: DataFrame, recommended: DataFr
     return new, rows
 
 
+# What the policy schema allows.
+STATUSES = ("draft", "in_review", "approved", "deprecated", "revoked")
+ORIGINS = ("manual", "feed", "synthesizer", "autotuner")
+ACTIONS = ("block", "redact", "rewrite", "flag", "reask", "block_and_explain", "mask")
+FAIL_MODES, DIRECTIONS, EVIDENCE = ("open", "closed"), ("input", "output"), ("none", "spans", "full_text")
+API_VERSION_KIND = "Policy"
+PATTERNS = {"id": r"^[a-z0-9][a-z0-9-]{1,62}[a-z0-9]$", "version": r"^\d+\.\d+\.\d+$", "guard": r"^g-[a-z0-9][a-z0-9-]*$", "detector": r"^[a-z0-9][a-z0-9-]*@\d+\.\d+\.\d+$"}
+
+
+def _issue(bad: Column, code: str, path: str | Column, message: str | Column) -> Column:
+    as_text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), as_text(path).alias("path"), as_text(message).alias("message")))
+
+
+def _missing(c: Column) -> Column:
+    return c.isNull()
+
+
+def _outside(c: Column, allowed: tuple[str, ...]) -> Column:
+    return c.isNotNull() & ~c.isin(*allowed)
+
+
+def guard_issues(g: Callable[[str], Column], path: Column) -> list[Column]:
+    """What the schema finds wrong with a guard; g gives its fields: guard_id, scenario, detector, direction (an array or one
+    of input, output, both), threshold (number or text), on_fail, fail_mode, evidence."""
+    at = lambda f: F.concat(path, F.lit(f".{f}"))
+    out = [_issue(_missing(g(f)), "schema.required", path, f"{name} is a required property") for f, name in (("guard_id", "id"), ("scenario", "scenario"), ("detector", "detector"), ("direction", "direction"), ("on_fail", "on_fail"))]
+    for f, name, pattern in (("guard_id", "id", "guard"), ("detector", "detector", "detector")):
+        out.append(_issue(~g(f).rlike(PATTERNS[pattern]), "schema.pattern", at(name), F.concat(g(f), F.lit(f" does not match {PATTERNS[pattern]}"))))
+    for f, allowed in (("scenario", SCENARIOS), ("on_fail", ACTIONS), ("fail_mode", FAIL_MODES), ("evidence", EVIDENCE)):
+        out.append(_issue(_outside(g(f), allowed), "schema.enum", at(f), F.concat(g(f), F.lit(f" is not one of {', '.join(allowed)}"))))
+    t = g("threshold").cast("string")
+    number = t.try_cast("double")
+    wrong = t.isNotNull() & (t != "default") & (number.isNull() | (number < 0) | (number > 1))
+    out.append(_issue(wrong, "schema.threshold", at("threshold"), F.concat(t, F.lit(" is neither default nor within 0 and 1"))))
+    d = g("direction")
+    out.append(_issue(F.size(d) == 0, "schema.minItems", at("direction"), "no direction"))
+    out.append(_issue(F.size(F.array_distinct(d)) < F.size(d), "schema.uniqueItems", at("direction"), "a direction stands twice"))
+    out.append(_issue(F.exists(d, lambda x: ~x.isin(*DIRECTIONS)), "schema.enum", at("direction"), f"a direction is not one of {', '.join(DIRECTIONS)}"))
+    return out
+
+
+def document_issues(documents: DataFrame, document: str = "document", api_version: str | None = None) -> DataFrame:
+    """documents with (code, path, message) of each structural error of policy documents (JSON text): required fields,
+    constants, patterns, enumerations, ranges, least numbers of items, items that repeat. Text that is no object gives one
+    error. A document's issues are made in its own row; nothing is shuffled."""
+    keep = documents.columns
+    rows = documents.withColumns({"doc": F.from_json(document, DOCUMENT), "raw": F.try_parse_json(document)})
+    has = lambda p: F.expr(f"variant_get(raw, '$.{p}') is not null")
+    c = lambda p: F.col(f"doc.{p}")
+    no_object = F.col("raw").isNull() | ~F.coalesce(F.expr("schema_of_variant(raw)").startswith("OBJECT"), F.lit(False))
+    found = [_issue(~has(p), "schema.required", p.rpartition(".")[0], f"{p.rpartition('.')[2]} is a required property") for p in ("apiVersion", "kind", "metadata", "spec")]
+    for parent, names in (("metadata", ("id", "version", "tenant", "status")), ("spec", ("applies_to", "guards")), ("spec.applies_to", ("apps", "environments"))):
+        found += [_issue(has(parent) & ~has(f"{parent}.{n}"), "schema.required", parent, f"{n} is a required property") for n in names]
+    found.append(_issue(c("kind") != API_VERSION_KIND, "schema.const", "kind", f"{API_VERSION_KIND} was expected"))
+    if api_version:
+        found.append(_issue(c("apiVersion") != api_version, "schema.const", "apiVersion", f"{api_version} was expected"))
+    for n in ("id", "version"):
+        found.append(_issue(~c(f"metadata.{n}").rlike(PATTERNS[n]), "schema.pattern", f"metadata.{n}", F.concat(c(f"metadata.{n}"), F.lit(f" does not match {PATTERNS[n]}"))))
+    found.append(_issue(c("metadata.tenant") == "", "schema.minLength", "metadata.tenant", "the tenant is empty"))
+    for p, allowed in (("metadata.status", STATUSES), ("metadata.origin", ORIGINS), ("spec.defaults.fail_mode", FAIL_MODES)):
+        found.append(_issue(_outside(c(p), allowed), "schema.enum", p, F.concat(c(p), F.lit(f" is not one of {', '.join(allowed)}"))))
+    for n in ("apps", "environments"):
+        p = f"spec.applies_to.{n}"
+        found.append(_issue(F.size(c(p)) == 0, "schema.minItems", p, f"no {n}"))
+        found.append(_issue(F.exists(c(p), lambda x: x == ""), "schema.minLength", p, f"one of {n} is empty"))
+    timeout = c("spec.defaults.timeout_ms")
+    found.append(_issue((timeout < 1) | (timeout > 60_000), "schema.range", "spec.defaults.timeout_ms", F.concat(timeout.cast("string"), F.lit(" is not within 1 and 60000"))))
+    found.append(_issue(F.size(c("spec.guards")) == 0, "schema.minItems", "spec.guards", "no guards"))
+
+    def of_guard(g: Column, i: Column) -> Column:
+        field = lambda f: g["id" if f == "guard_id" else f]
+        return F.array_compact(F.array(*guard_issues(field, F.concat(F.lit("spec.guards."), i.cast("string")))))
+
+    guards = F.coalesce(F.flatten(F.transform(c("spec.guards"), of_guard)), F.array().cast("array<struct<code:string,path:string,message:string>>"))
+    every = F.when(no_object, F.array(F.struct(F.lit("schema.type").alias("code"), F.lit("").alias("path"), F.lit("the document is no object").alias("message")))).otherwise(F.concat(F.array_compact(F.array(*found)), guards))
+    return rows.select(*[F.col(f"`{k}`") for k in keep], F.inline(every))
+
+
 def schema_issues(policies: DataFrame, guards: DataFrame) -> DataFrame:
-    """Structural errors (policy_key, code, path): missing or unknown values, thresholds outside [0, 1]."""
-    g = lambda bad, code: guards.where(bad).select("policy_key", F.lit(code).alias("code"), F.concat(F.lit("spec.guards."), "guard_id").alias("path"))
-    p = policies.where(~F.col("version").rlike(r"^\d+\.\d+\.\d+$")).select("policy_key", F.lit("schema.version").alias("code"), F.lit("metadata.version").alias("path"))
-    bad_threshold = F.col("threshold").isNotNull() & ((F.col("threshold") < 0) | (F.col("threshold") > 1))
-    return p.unionByName(g(bad_threshold, "schema.threshold")).unionByName(g(~F.col("scenario").isin(*SCENARIOS), "schema.scenario")).unionByName(g(~F.col("detector").rlike(r"^[^@]+@\d+\.\d+\.\d+$"), "schema.detector"))
+    """The same for policies and guards as tables: (policy_key, code, path, message)."""
+    g = guards.withColumn("direction", F.when(F.col("direction") == "both", F.array(F.lit("input"), F.lit("output"))).when(F.col("direction").isNotNull(), F.array("direction"))) if guards.schema["direction"].dataType.typeName() == "string" else guards
+    of_guards = g.select("policy_key", F.inline(F.array_compact(F.array(*guard_issues(F.col, F.concat(F.lit("spec.guards."), F.col("guard_id")))))))
+    p = [_issue(_missing(F.col(n)), "schema.required", "metadata", f"{name} is a required property") for n, name in (("policy_id", "id"), ("version", "version"), ("tenant", "tenant"), ("status", "status"))]
+    p += [_issue(~F.col(n).rlike(PATTERNS[name]), "schema.pattern", f"metadata.{name}", F.concat(n, F.lit(f" does not match {PATTERNS[name]}"))) for n, name in (("policy_id", "id"), ("version", "version"))]
+    p += [_issue(_outside(F.col("status"), STATUSES), "schema.enum", "metadata.status", F.concat("status", F.lit(f" is not one of {', '.join(STATUSES)}")))]
+    p += [_issue(_outside(F.col("origin"), ORIGINS), "schema.enum", "metadata.origin", F.concat("origin", F.lit(f" is not one of {', '.join(ORIGINS)}")))] if "origin" in policies.columns else []
+    p += [_issue(_outside(F.col("default_fail_mode"), FAIL_MODES), "schema.enum", "spec.defaults.fail_mode", F.concat("default_fail_mode", F.lit(f" is not one of {', '.join(FAIL_MODES)}")))]
+    empty = policies.join(guards.select("policy_key").distinct(), "policy_key", "left_anti").select("policy_key", F.lit("schema.minItems").alias("code"), F.lit("spec.guards").alias("path"), F.lit("no guards").alias("message"))
+    return policies.select("policy_key", F.inline(F.array_compact(F.array(*p)))).unionByName(of_guards).unionByName(empty)
 
 
 def lint(policies: DataFrame, guards: DataFrame, schema_gate: bool = True) -> DataFrame:
-    """Issues (policy_key, code, severity, path) of five rules; policies with structural errors get only those."""
+    """Issues (policy_key, code, severity, path, message) of five rules; policies with structural errors get only those,
+    unless schema_gate is off. The rule on streaming needs policies.streaming."""
     structural = schema_issues(policies, guards).withColumn("severity", F.lit("error"))
     rows = guards.join(policies.select("policy_key", "env", "default_fail_mode", *(["streaming"] if "streaming" in policies.columns else [])), "policy_key")
     if schema_gate:
         rows = rows.join(structural.select("policy_key").distinct(), "policy_key", "left_anti")
     path = lambda end="": F.concat(F.lit("spec.guards."), "guard_id", F.lit(end))
-    issue = lambda bad, code, severity, where: rows.where(bad).select("policy_key", F.lit(code).alias("code"), where.alias("path"), F.lit(severity).alias("severity"))
-    found = issue(F.col("fail_mode").isNull() & F.col("default_fail_mode").isNull(), "fail_mode.missing", "error", path())
-    found = found.unionByName(issue((F.col("env") == "prod") & (F.col("scenario") == "secrets") & F.col("verify_live"), "secrets.verify_live_prod", "error", path(".config.verify_live")))
-    found = found.unionByName(issue((F.col("scenario") == "pii") & (F.col("evidence") == "full_text"), "pii.full_text_evidence", "error", path(".evidence")))
+    named = lambda rest: F.concat(F.lit("guard "), "guard_id", F.lit(rest))
+    in_prod = F.array_contains("env", "prod") if policies.schema["env"].dataType.typeName() == "array" else F.col("env") == "prod"
+    rules = [
+        (F.col("fail_mode").isNull() & F.col("default_fail_mode").isNull(), "fail_mode.missing", "error", "", " has no fail_mode and the policy has no default"),
+        (in_prod & (F.col("scenario") == "secrets") & F.col("verify_live"), "secrets.verify_live_prod", "error", ".config.verify_live", ": live verification is not allowed in prod"),
+        ((F.col("scenario") == "pii") & (F.col("evidence") == "full_text"), "pii.full_text_evidence", "error", ".evidence", ": full text must not be kept as evidence of personal data"),
+    ]
     if "streaming" in policies.columns:
-        found = found.unionByName(issue(F.col("streaming") & (F.col("on_fail") == "block_and_explain"), "streaming.block_and_explain", "warn", path(".on_fail")))
+        rules.append((F.col("streaming") & (F.col("on_fail") == "block_and_explain"), "streaming.block_and_explain", "warn", ".on_fail", ": block_and_explain on a stream comes only at its end"))
+    each_rule = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), path(end).alias("path"), F.lit(severity).alias("severity"), named(said).alias("message"))) for bad, code, severity, end, said in rules]
+    found = rows.select("policy_key", F.inline(F.array_compact(F.array(*each_rule))))
     each = rows.withColumn("d", F.explode(F.when(F.col("direction") == "both", F.array(F.lit("input"), F.lit("output"))).otherwise(F.array("direction"))))
     stops = F.col("on_fail").isin(*BLOCKING)
-    clash = each.groupBy("policy_key", "scenario", "d").agg(F.bool_or(stops).alias("a"), F.bool_or(~stops).alias("b"), F.count(F.lit(1)).alias("n")).where("a and b and n > 1")
-    found = found.unionByName(clash.select("policy_key", F.lit("guards.contradictory").alias("code"), F.lit("spec.guards").alias("path"), F.lit("warn").alias("severity")))
+    clash = each.groupBy("policy_key", "scenario", "d").agg(F.bool_or(stops).alias("a"), F.bool_or(~stops).alias("b"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("guard_id")).alias("ids")).where("a and b and n > 1")
+    said = F.concat(F.lit("guards on "), "scenario", F.lit(" and "), "d", F.lit(" have conflicting actions: "), F.array_join("ids", ", "))
+    found = found.unionByName(clash.select("policy_key", F.lit("guards.contradictory").alias("code"), F.lit("spec.guards").alias("path"), F.lit("warn").alias("severity"), said.alias("message")))
     return found.unionByName(structural.select(*found.columns)) if schema_gate else found
 
 
@@ -238,23 +357,55 @@ def stale_drafts(policies: DataFrame, now: Column, hours: int = 48) -> DataFrame
     return policies.where((F.col("status") == "draft") & (F.col("created_at") < now - F.expr(f"interval {hours} hours")))
 
 
-def document_hashes(rows: DataFrame, content: Column) -> DataFrame:
-    """rows with document_hash and how many rows share their (policy_id, version)."""
-    return rows.withColumns({"document_hash": F.sha2(content, 256), "n_versions": F.count(F.lit(1)).over(W.partitionBy("policy_id", "version"))})
-
-
-def resolve_chains(profiles: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, path from the root, cycle) of profiles (id, parent): joined upwards once a level until none has a parent."""
-    parents = profiles.select(F.col("id").alias("__p"), F.col("parent").alias("__up"))
-    rows = profiles.select("id", F.array("id").alias("path"), F.col("parent").alias("next"), F.lit(False).alias("cycle"))
-    for _ in range(depth):
-        step = rows.join(parents, rows["next"] == parents["__p"], "left")
-        loops = F.coalesce(F.array_contains("path", F.col("next")), F.lit(False))
-        rows = step.select(
-            "id", F.when(F.col("next").isNull() | loops, F.col("path")).otherwise(F.concat(F.array("next"), "path")).alias("path"),
-            F.when(loops, None).otherwise(F.col("__up")).alias("next"), (F.col("cycle") | loops).alias("cycle"),
-        )
-    return rows.select("id", "path", "cycle")
+def document_hash(policies: DataFrame, document: str = "document") -> Column:
+    """Hash of each policy's canonical document: of the JSON text in `document`, read as a variant, or where there is none
+    of the version's own columns."""
+    if document not in policies.columns:
+        kept = [c for c in sorted(policies.columns)]
+        return text_hash(canonical_value(F.struct(*kept), T.StructType([policies.schema[c] for c in kept])))
+    return text_hash(canonical_json_text(F.col(document)))
+
+
+def canonical_json_text(json: Column) -> Column:
+    """Canonical text of JSON text of any shape; null where it is no JSON. Spark's variant sorts the keys of its objects, so
+    its own text is canonical but for numbers with an idle fraction."""
+    text = F.to_json(F.try_parse_json(json))
+    # outside of strings: 1.0 is 1
+    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0+(?=[,\]}]|$)', "$1$2")
+
+
+def document_hashes(policies: DataFrame, document: str = "document") -> DataFrame:
+    """policies with document_hash and how many rows share their (policy_id, version)."""
+    return policies.withColumns({"document_hash": document_hash(policies, document), "n_versions": F.count(F.lit(1)).over(W.partitionBy("policy_id", "version"))})
+
+
+def list_packs(packs: DataFrame) -> DataFrame:
+    """(id, version, parent, labels, path) of profile packs (path, document as JSON text), in order of path; what is no
+    document is left out."""
+    doc = packs.select("path", F.from_json("document", "metadata struct<id:string,version:string,parent:string,labels:map<string,string>>").alias("d"), F.try_parse_json("document").alias("v"))
+    m = doc.where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    none = F.create_map().cast("map<string,string>")
+    return m.select(F.coalesce("d.metadata.id", F.lit("")).alias("id"), F.coalesce("d.metadata.version", F.lit("")).alias("version"), F.col("d.metadata.parent").alias("parent"), F.coalesce("d.metadata.labels", none).alias("labels"), "path").orderBy("path")
+
+
+def resolve_chains(profiles: DataFrame) -> DataFrame:
+    """(id, path from the root, cycle, missing) of profiles (id, parent), of any depth. Paths double: each round puts before
+    a row's path the path of its next ancestor, so a chain of n profiles takes log2(n) rounds; rounds end when no row has
+    an ancestor left. A path that meets itself ends there: cycle. `missing` names a parent that no profile has."""
+    state = settled(profiles.select("id", F.array("id").alias("path"), (F.nullif("parent", F.lit("")) if profiles.schema["parent"].dataType.typeName() == "string" else F.col("parent")).alias("next"), F.lit(False).alias("cycle"), F.lit(None).cast(profiles.schema["id"].dataType).alias("missing")))
+    while not state.where("next is not null").isEmpty():
+        up = state.select(F.col("id").alias("__id"), F.col("path").alias("__path"), F.col("next").alias("__next"), F.col("cycle").alias("__cycle"), F.col("missing").alias("__missing"))
+        # a path of repeated ids only meets itself anew: it is cut before the first ancestor that it has already
+        joined = state.join(up, F.col("next") == F.col("__id"), "left")
+        own = F.col("next").isNotNull() & F.col("__id").isNotNull()
+        kept = F.expr("aggregate(reverse(coalesce(__path, array())), named_struct('p', path, 'c', false), (a, x) -> if(a.c, a, if(array_contains(a.p, x), named_struct('p', a.p, 'c', true), named_struct('p', concat(array(x), a.p), 'c', false))))")
+        step = joined.withColumn("__k", F.when(own, kept))
+        state = settled(step.select(
+            "id", F.when(own, F.col("__k.p")).otherwise(F.col("path")).alias("path"), F.when(own & ~F.col("__k.c"), F.col("__next")).alias("next"),
+            F.when(own, F.col("__k.c") | F.col("__cycle")).otherwise(F.col("cycle")).alias("cycle"),
+            F.when(own, F.when(~F.col("__k.c"), F.col("__missing"))).otherwise(F.coalesce("missing", F.when(F.col("__id").isNull(), F.col("next")))).alias("missing"),
+        ))
+    return state.select("id", "path", "cycle", "missing")
 
 
 def merge_layers(leaves: DataFrame) -> DataFrame:
@@ -271,10 +422,24 @@ def override_trace(leaves: DataFrame) -> DataFrame:
 
 
 def merge_guards(layers: DataFrame) -> DataFrame:
-    """Guards (key, guard_id, layer, pos, on_fail, remove) merged by id: the last layer's values, where the guard first
-    stood; a layer that removes it drops it."""
-    g = layers.groupBy("key", "guard_id").agg(F.max(F.struct("layer", "pos", "on_fail", "remove")).alias("v"), F.min(F.struct("layer", "pos")).alias("first"))
-    return g.where("not v.remove").select("key", "guard_id", "v.on_fail", F.col("first.layer").alias("layer"), F.col("first.pos").alias("pos"))
+    """Guards merged by id, layer by layer. layers: (key, guard_id, layer, pos, remove, leaves), where leaves maps the paths
+    that a layer sets in its guard to their JSON texts. A layer's leaves replace those of the layers before, path by path:
+    one that sets a path replaces what stood there, above and below it. A guard keeps its place; one that a layer removes
+    is gone, and when a later layer names it again it is a new guard at the end. Of a guard that one layer names twice the
+    last counts. Returns (key, guard_id, place, layer, pos, leaves) with places from 1 in order."""
+    last = layers.groupBy("key", "guard_id", "layer").agg(F.max_by(F.struct("pos", "remove", "leaves"), "pos").alias("g"), F.min("pos").alias("first"))
+    gone = F.max(F.when(F.col("g.remove"), F.col("layer"))).over(W.partitionBy("key", "guard_id"))
+    live = last.withColumn("gone", gone).where("gone is null or layer > gone")
+    under = lambda a, b: (a == b) | F.startswith(a, F.concat(b, F.lit("."))) | F.startswith(b, F.concat(a, F.lit(".")))
+
+    def over(acc: Column, new: Column) -> Column:
+        kept = F.map_filter(acc, lambda k, _: ~F.exists(F.map_keys(new), lambda n: under(k, n)))
+        return F.map_concat(kept, new)
+
+    g = live.groupBy("key", "guard_id").agg(F.min(F.struct("layer", F.col("first").alias("pos"))).alias("at"), F.sort_array(F.collect_list(F.struct("layer", F.map_entries("g.leaves").alias("e")))).alias("l"))
+    merged = F.aggregate(F.transform("l", lambda x: F.map_from_entries(x["e"])), F.create_map().cast("map<string,string>"), over)
+    place = F.row_number().over(W.partitionBy("key").orderBy("at.layer", "at.pos", "guard_id"))
+    return g.select("key", "guard_id", place.alias("place"), F.col("at.layer").alias("layer"), F.col("at.pos").alias("pos"), merged.alias("leaves"))
 
 
 def compile_policies(policies: DataFrame, tenant: str) -> DataFrame:

@@ -36,6 +36,15 @@ def grid(current: float) -> list[float]:
     return out
 
 
+def grid_of(current: Column) -> Column:
+    """The same of a column: steps are added up one by one, so the last one is subject to the same rounding."""
+    low, high = F.greatest(F.lit(FLOOR), current - LOW_BY), F.least(F.lit(CEILING), current + HIGH_BY)
+    ends = F.struct(low.alias("low"), ((high - low) / STEPS).alias("step"))
+    more = lambda a, _: F.concat(a, F.array(F.element_at(a, -1) + ends["step"]))
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array(low), more)
+    return F.filter(steps, lambda t: t <= high)
+
+
 def confusion_at(samples: DataFrame, thresholds: Column) -> DataFrame:
     """guard_id, i, t and the four counts at each threshold of the array. A sample adds to the last threshold that it
     reaches; sums from the end give what each threshold catches, so the cost doesn't grow with the grid."""
@@ -53,17 +62,11 @@ def confusion_at(samples: DataFrame, thresholds: Column) -> DataFrame:
 
 def recommend_thresholds(samples: DataFrame, current: DataFrame) -> DataFrame:
     """guard_id, before, after (3 decimals) and its rates for the guards that a move improves; current: (guard_id,
-    threshold), numeric thresholds only; a bounded table, one row for each guard of a policy."""
-    now = {r.guard_id: r.threshold for r in current.where("threshold is not null").collect()}
-    if not now:
-        return samples.select("guard_id", F.lit(0.0).alias("before"), F.lit(0.0).alias("after"), F.lit(0.0).alias("fp_rate"), F.lit(0.0).alias("fn_rate")).where("false")
-    lists, befores = F.lit(None).cast("array<double>"), F.lit(None).cast("double")
-    for g, t in now.items():
-        # place 0 is the current threshold; the rest is the grid
-        lists = F.when(F.col("guard_id") == g, F.array(*[F.lit(float(x)) for x in sorted([*grid(t)])])).otherwise(lists)
-        befores = F.when(F.col("guard_id") == g, F.lit(float(t))).otherwise(befores)
-    tried = confusion_at(samples, lists).withColumn("low_high", F.struct(*wilson(F.col("fp"), F.col("fp") + F.col("tn"))))
-    base = confusion_at(samples, F.when(befores.isNotNull(), F.array(befores))).select("guard_id", F.col("t").alias("before"), F.col("fp_rate").alias("was"), (F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"))
+    threshold), numeric thresholds only, joined to the samples."""
+    now = current.where("threshold is not null").select("guard_id", F.col("threshold").cast("double").alias("__now"))
+    known = samples.select("guard_id", "score", "positive").join(now, "guard_id")
+    tried = confusion_at(known, grid_of(F.col("__now"))).withColumn("low_high", F.struct(*wilson(F.col("fp"), F.col("fp") + F.col("tn"))))
+    base = confusion_at(known, F.array("__now")).select("guard_id", F.col("t").alias("before"), F.col("fp_rate").alias("was"), (F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"))
     ok = tried.join(base, "guard_id").where((F.col("pos") + F.col("neg") >= MIN_SAMPLES) & (F.col("pos") >= MIN_CLASS) & (F.col("neg") >= MIN_CLASS))
     ok = ok.where((F.col("fp_rate") < F.col("was")) & (F.col("fn_rate") <= MAX_FN_RATE) & (F.col("low_high.col2") < F.col("was")))
     best = ok.groupBy("guard_id").agg(F.min_by(F.struct("before", "t", "fp_rate", "fn_rate"), F.struct("fp_rate", "i")).alias("b"))
@@ -87,6 +90,20 @@ def prf(confusion: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def benchmark_catalog(catalog: DataFrame, confusion: DataFrame, latencies: DataFrame) -> DataFrame:
+    """catalog (detector_id, version) with its benchmark: cases, precision, recall, F1 and the 95th percentile of latency;
+    selectable only with one. confusion: (detector_id, version, tp, fp, fn, cases) counts, in any number of rows;
+    latencies: (detector_id, version, latency_ms)."""
+    keys = ["detector_id", "version"]
+    sums = confusion.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in ("tp", "fp", "fn", "cases")])
+    share = lambda other: F.when(F.col("tp") + F.col(other) > 0, F.col("tp") / (F.col("tp") + F.col(other))).otherwise(1.0)
+    sums = sums.withColumns({"precision": share("fp"), "recall": share("fn")})
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    p95 = latencies.groupBy(*keys).agg(F.percentile("latency_ms", 0.95).alias("latency_ms_p95"))
+    out = catalog.join(sums.withColumn("f1", f1).drop("tp", "fp", "fn"), keys, "left").join(p95, keys, "left")
+    return out.withColumn("selectable", F.col("cases").isNotNull() & F.col("latency_ms_p95").isNotNull())
+
+
 def gate(scores: DataFrame, least: float = 0.95) -> DataFrame:
     """The micro precision and whether it reaches the promotion gate."""
     return scores.where("label = 'TOTAL'").select("precision", (F.col("precision") >= least).alias("passed"))

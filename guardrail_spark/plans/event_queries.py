@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import wilson
 from ..operators import evidence, metrics, tuning
 from ..sources import records
-from .views import FEEDBACK, GUARD_EVENTS, table, view
+from .views import CATALOG, FEEDBACK, GUARD_EVENTS, table, view
 
 QUERIES, ORACLES = {}, {}
 WITH = f"WITH g AS ({GUARD_EVENTS}), f AS ({FEEDBACK})"
@@ -193,17 +193,25 @@ def g6_action_counts(spark, sf_dir):
     return metrics.action_counts(ge(spark, sf_dir))
 
 
-_BUNDLES = "SELECT concat('t', CAST(o_custkey % 7 AS STRING)) AS tenant, CASE o_custkey % 2 WHEN 0 THEN 'prod' ELSE 'dev' END AS env, o_orderkey + 1 AS bundle_seq, o_orderdate AS created_at FROM orders"
+_BUNDLES = "SELECT concat('t', CAST(o_custkey % 7 AS STRING)) AS tenant, CASE o_custkey % 2 WHEN 0 THEN 'prod' ELSE 'dev' END AS env, o_orderkey + 1 AS bundle_seq, o_orderdate AS created_at, o_orderkey % 9 AS n_policies FROM orders"
 
 
 def bundles(spark, sf_dir):
     return spark.sql(_BUNDLES.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
 
 
-@query(f"""WITH b AS ({_BUNDLES}) SELECT tenant, env, max(bundle_seq) AS bundle_seq, count(*) AS installs, CAST(date_diff('second', max_by(created_at, bundle_seq), TIMESTAMP '2005-01-01') AS BIGINT) AS age_seconds FROM b GROUP BY tenant, env""")
+@query(f"""WITH b AS ({_BUNDLES}) SELECT tenant, env, max(bundle_seq) AS bundle_seq, max_by(n_policies, bundle_seq) AS n_policies, count(*) AS installs, CAST(date_diff('second', max_by(created_at, bundle_seq), TIMESTAMP '2005-01-01') AS BIGINT) AS age_seconds FROM b GROUP BY tenant, env""")
 def g7_bundle_gauges(spark, sf_dir):
-    age = F.lit("2005-01-01").cast("timestamp_ntz") - F.max_by("created_at", "bundle_seq")
-    return bundles(spark, sf_dir).groupBy("tenant", "env").agg(F.max("bundle_seq").alias("bundle_seq"), F.count(F.lit(1)).alias("installs"), (F.extract(F.lit("DAY"), age) * 86400 + F.extract(F.lit("HOUR"), age) * 3600 + F.extract(F.lit("MINUTE"), age) * 60 + F.extract(F.lit("SECOND"), age)).cast("long").alias("age_seconds"))
+    return metrics.bundle_gauges(bundles(spark, sf_dir), F.lit("2005-01-01").cast("timestamp_ntz"))
+
+
+@query(f"""WITH b AS ({_BUNDLES}), n AS (SELECT tenant, env, date_diff('second', max_by(created_at, bundle_seq), TIMESTAMP '1998-08-05') AS age FROM b GROUP BY tenant, env),
+e AS (SELECT DISTINCT tenant, unnest(['prod', 'dev', 'qa']) AS env FROM b), j AS (SELECT e.tenant, e.env, age FROM e LEFT JOIN n ON e.tenant = n.tenant AND e.env = n.env)
+SELECT tenant, env, 'no_bundle_installed' AS alert, 'warning' AS severity FROM j WHERE age IS NULL UNION ALL SELECT tenant, env, 'bundle_stale', 'warning' FROM j WHERE age > 259500 UNION ALL SELECT tenant, env, 'bundle_age_critical', 'critical' FROM j WHERE age > 605100""")
+def g11_bundle_alerts(spark, sf_dir):
+    b = bundles(spark, sf_dir)
+    expected = b.select("tenant", F.explode(F.array(F.lit("prod"), F.lit("dev"), F.lit("qa"))).alias("env"))
+    return metrics.bundle_alerts(expected, b, F.lit("1998-08-05").cast("timestamp_ntz"))
 
 
 _RATE = """r AS (SELECT verdict, w AS window_end, count(*) AS n, count(*) / 300.0::DOUBLE AS rate FROM (SELECT verdict, unnest(generate_series(time_bucket(INTERVAL 1 minute, ts) + INTERVAL 1 minute, time_bucket(INTERVAL 1 minute, ts) + INTERVAL 5 minute, INTERVAL 1 minute)) AS w FROM g) q GROUP BY verdict, w)"""
@@ -327,10 +335,14 @@ def g20_gate(spark, sf_dir):
     return tuning.gate(tuning.prf(_confusion(spark, sf_dir)))
 
 
-@query(f"{WITH} SELECT guard_id, count(*) AS cases, quantile_cont(latency_ms, 0.95) AS p95, 'det' || CAST(count(*) % 7 AS VARCHAR) AS detector FROM g WHERE NOT is_shadow GROUP BY guard_id")
+_BENCH = "SELECT concat('det', CAST(CAST(event_id AS BIGINT) % 40 AS STRING)) AS detector_id, concat('1.', CAST(CAST(event_id AS BIGINT) % 40 % 3 AS STRING), '.0') AS version, latency_ms, CASE WHEN verdict = 'FAIL' AND score >= 0.8 THEN 1 ELSE 0 END AS tp, CASE WHEN verdict = 'FAIL' AND score < 0.8 THEN 1 ELSE 0 END AS fp, CASE WHEN verdict <> 'FAIL' AND score >= 0.8 THEN 1 ELSE 0 END AS fn, 1 AS cases FROM g"
+
+
+@query(f"""{WITH}, c AS ({CATALOG}), e AS ({_BENCH}), b AS (SELECT detector_id, version, CAST(sum(cases) AS BIGINT) AS cases, CASE WHEN sum(tp + fp) > 0 THEN sum(tp) / sum(tp + fp)::DOUBLE ELSE 1.0::DOUBLE END AS precision, CASE WHEN sum(tp + fn) > 0 THEN sum(tp) / sum(tp + fn)::DOUBLE ELSE 1.0::DOUBLE END AS recall, quantile_cont(latency_ms, 0.95) AS latency_ms_p95 FROM e GROUP BY detector_id, version)
+SELECT c.detector_id, c.version, cases, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) WHEN precision IS NULL THEN NULL ELSE 0.0 END::DOUBLE AS f1, latency_ms_p95, cases IS NOT NULL AS selectable FROM c LEFT JOIN b ON c.detector_id = b.detector_id AND c.version = b.version""")
 def g21_benchmark_catalog(spark, sf_dir):
-    b = ge(spark, sf_dir).where("not is_shadow").groupBy("guard_id").agg(F.count(F.lit(1)).alias("cases"), F.percentile("latency_ms", 0.95).alias("p95"))
-    return b.withColumn("detector", F.concat(F.lit("det"), (F.col("cases") % 7).cast("string")))
+    e = spark.sql(_BENCH.replace("FROM g", "FROM {g}"), g=ge(spark, sf_dir))
+    return tuning.benchmark_catalog(view(spark, sf_dir, "catalog"), e, e).drop("image_digest")
 
 
 @query(f"""{WITH}, e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY tenant, app, guard_id ORDER BY ts) < INTERVAL 60 minute THEN 0 ELSE 1 END AS new FROM g WHERE verdict = 'ERROR'),
@@ -341,7 +353,8 @@ def g23_incident_windows(spark, sf_dir):
 
 
 @query(f"""{WITH}, m AS (SELECT *, sum(CASE WHEN verdict <> 'ERROR' THEN 1 ELSE 0 END) OVER (PARTITION BY guard_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
-k AS (SELECT *, row_number() OVER (PARTITION BY guard_id, run ORDER BY ts, event_id) AS k FROM m WHERE verdict = 'ERROR')
-SELECT guard_id, ts AS opened_at, ts + INTERVAL 15 second AS closes_at FROM k WHERE k = 3""")
+n AS (SELECT *, min(CASE WHEN verdict <> 'ERROR' THEN ts END) OVER (PARTITION BY guard_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS reset FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY guard_id, run ORDER BY ts, event_id) AS k FROM n WHERE verdict = 'ERROR')
+SELECT guard_id, ts AS opened_at, least(ts + INTERVAL 15 second, reset) AS closes_at, k AS failures FROM k WHERE k >= 2""")
 def g24_breaker_windows(spark, sf_dir):
-    return metrics.breaker_windows(ge(spark, sf_dir), ["guard_id"], failures=3)
+    return metrics.breaker_windows(ge(spark, sf_dir), ["guard_id"], failures=2).withColumn("failures", F.col("failures").cast("long"))

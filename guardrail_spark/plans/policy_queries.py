@@ -114,6 +114,10 @@ def j11_scope_env(spark, sf_dir):
     return P.scope_env(pol(spark, sf_dir), "staging").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
 
 
+_Q = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || {c} || '\"' END"
+_AT = lambda c: f"CASE WHEN {c} IS NULL THEN 'null' ELSE '\"' || strftime({c}, '%Y-%m-%dT%H:%M:%SZ') || '\"' END"
+#: A version's canonical document, from its own columns.
+_DOCUMENT = "'{' || " + " || ',' || ".join(f"""'"{c}":' || {_AT(c) if c.endswith('_at') else 'policy_key' if c == 'policy_key' else _Q(c)}""" for c in sorted("tenant policy_id version policy_key status env app created_at approved_at default_fail_mode origin change_class author approver".split())) + " || '}'"
 _REFS = "r AS (SELECT DISTINCT string_split(detector, '@')[1] AS detector_id, string_split(detector, '@')[2] AS version FROM gd), d AS (SELECT r.*, coalesce(c.image_digest, '') AS image_digest FROM r LEFT JOIN c ON r.detector_id = c.detector_id AND r.version = c.version)"
 
 
@@ -127,11 +131,25 @@ def j13_unpinned_detectors(spark, sf_dir):
     return P.unpinned_detectors(grd(spark, sf_dir), view(spark, sf_dir, "catalog"))
 
 
-@query(f"""{WITH}, r AS (SELECT *, rank() OVER (PARTITION BY tenant, policy_id ORDER BY approved_at DESC) AS k FROM p WHERE status = 'approved'), ch AS (SELECT * FROM r WHERE k = 1 AND env = 'prod'),
-n AS (SELECT tenant, count(*) AS n_policies FROM ch GROUP BY tenant), m AS (SELECT tenant, count(DISTINCT detector) AS n_detectors FROM ch JOIN gd ON ch.policy_key = gd.policy_key GROUP BY tenant), s AS (SELECT tenant, max(bundle_seq) AS last FROM b WHERE env = 'prod' GROUP BY tenant)
-SELECT n.tenant, 'prod' AS env, coalesce(last, 0) + 1 AS bundle_seq, n_policies, coalesce(n_detectors, 0) AS n_detectors FROM n LEFT JOIN m USING (tenant) LEFT JOIN s USING (tenant)""")
+@query(f"""{WITH}, r AS (SELECT *, rank() OVER (PARTITION BY tenant, policy_id ORDER BY approved_at DESC) AS k FROM p WHERE status = 'approved'), ch AS (SELECT *, 'sha256:' || sha256({_DOCUMENT}) AS h FROM r WHERE k = 1 AND env = 'prod'),
+n AS (SELECT tenant, count(*) AS n_policies, string_agg('{{"document_hash":"' || h || '","policy_id":"' || policy_id || '","version":"' || version || '"}}', ',' ORDER BY policy_id, version, h) AS ps FROM ch GROUP BY tenant),
+d AS (SELECT DISTINCT tenant, string_split(detector, '@')[1] AS id, string_split(detector, '@')[2] AS v FROM ch JOIN gd ON ch.policy_key = gd.policy_key),
+m AS (SELECT tenant, count(*) AS n_detectors, string_agg('{{"detector_id":"' || id || '","image_digest":"' || coalesce(image_digest, '') || '","version":"' || v || '"}}', ',' ORDER BY id, v) AS ds FROM d LEFT JOIN c ON d.id = c.detector_id AND d.v = c.version GROUP BY tenant), s AS (SELECT tenant, max(bundle_seq) AS last FROM b WHERE env = 'prod' GROUP BY tenant)
+SELECT n.tenant, 'prod' AS env, coalesce(last, 0) + 1 AS bundle_seq, n_policies, coalesce(n_detectors, 0) AS n_detectors,
+'sha256:' || sha256('{{"bundle_seq":' || (coalesce(last, 0) + 1) || ',"detectors":[' || coalesce(ds, '') || '],"env":"prod","policies":[' || ps || '],"tenant":"' || n.tenant || '"}}') AS manifest_hash
+FROM n LEFT JOIN m USING (tenant) LEFT JOIN s USING (tenant)""")
 def j14_build_manifest(spark, sf_dir):
-    return P.build_manifest(pol(spark, sf_dir), grd(spark, sf_dir), view(spark, sf_dir, "catalog"), bundles(spark, sf_dir), "prod").drop("manifest_hash")
+    return P.build_manifest(pol(spark, sf_dir), grd(spark, sf_dir), view(spark, sf_dir, "catalog"), bundles(spark, sf_dir), "prod").drop("manifest")
+
+
+@query(f"""{WITH}, r AS (SELECT *, rank() OVER (PARTITION BY tenant, policy_id ORDER BY approved_at DESC) AS k FROM p WHERE status = 'approved'), ch AS (SELECT DISTINCT tenant, policy_id, version FROM r WHERE k = 1 AND env = 'prod'),
+s AS (SELECT tenant, max(bundle_seq) AS last FROM b WHERE env = 'prod' GROUP BY tenant)
+SELECT ch.tenant, 'prod' AS env, coalesce(last, 0) + 1 AS bundle_seq, ch.tenant <> 't2' AS hash_ok FROM ch LEFT JOIN s USING (tenant) GROUP BY ALL""")
+def j15_manifest_hashes(spark, sf_dir):
+    """Manifests, one of them changed after it was signed, against the policies."""
+    made = P.build_manifest(pol(spark, sf_dir), grd(spark, sf_dir), view(spark, sf_dir, "catalog"), bundles(spark, sf_dir), "prod")
+    made = made.withColumn("manifest", F.when(F.col("tenant") == "t2", F.replace("manifest", F.lit('"env":"prod"'), F.lit('"env":"dev"'))).otherwise(F.col("manifest")))
+    return P.verify_manifest(made, pol(spark, sf_dir)).where("n_bad = 0").drop("n_bad")
 
 
 @query("SELECT o_orderkey, o_orderkey % 9 <> 4 AS ok FROM orders")
@@ -234,14 +252,17 @@ def p2_merge_layers(spark, sf_dir):
     return P.merge_layers(leaves(spark, sf_dir).where("value is not null"))
 
 
-_GL = "SELECT l_orderkey AS key, concat('g-', CAST(l_partkey % 4 AS STRING)) AS guard_id, l_linenumber AS layer, l_suppkey AS pos, l_returnflag AS on_fail, l_linestatus = 'F' AND l_suppkey % 2 = 0 AS remove FROM lineitem"
+_GL = "SELECT l_orderkey AS key, concat('g-', CAST(l_partkey % 4 AS STRING)) AS guard_id, l_linenumber AS layer, max(l_suppkey) AS pos, max(l_linestatus) = 'F' AND max(l_suppkey) % 2 = 0 AS remove, concat('config.k', CAST(max(l_partkey) % 3 AS STRING)) AS path, max(l_returnflag) AS flag, CAST(l_linenumber AS STRING) AS n FROM lineitem GROUP BY l_orderkey, concat('g-', CAST(l_partkey % 4 AS STRING)), l_linenumber"
 
 
-@query(f"""WITH l AS ({_GL}), m AS (SELECT key, guard_id, arg_max(remove, (layer, pos, on_fail, remove)) AS v, min((layer, pos)) AS first FROM l GROUP BY key, guard_id)
-SELECT key, guard_id, v AS gone FROM m WHERE NOT v""")
+@query(f"""WITH l AS ({_GL}), o AS (SELECT *, max(CASE WHEN remove THEN layer END) OVER (PARTITION BY key, guard_id) AS gone FROM l), v AS (SELECT * FROM o WHERE gone IS NULL OR layer > gone),
+x AS (SELECT key, guard_id, layer, pos, 'on_fail' AS path, flag AS value FROM v UNION ALL SELECT key, guard_id, layer, pos, path, n FROM v), y AS (SELECT key, guard_id, path, arg_max(value, layer) AS value FROM x GROUP BY ALL),
+z AS (SELECT key, guard_id, string_agg(path || '=' || value, ',' ORDER BY path) AS leaves FROM y GROUP BY ALL), f AS (SELECT key, guard_id, min((layer, pos)) AS first FROM v GROUP BY ALL)
+SELECT key, guard_id, CAST(row_number() OVER (PARTITION BY key ORDER BY first, guard_id) AS INT) AS place, first[1] AS layer, first[2] AS pos, leaves FROM z JOIN f USING (key, guard_id)""")
 def p3_merge_guards(spark, sf_dir):
     rows = spark.sql(_GL.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
-    return P.merge_guards(rows).select("key", "guard_id", F.lit(False).alias("gone"))
+    rows = rows.withColumn("leaves", F.create_map(F.lit("on_fail"), "flag", "path", "n"))
+    return P.merge_guards(rows).withColumn("leaves", F.array_join(F.array_sort(F.transform(F.map_entries("leaves"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))
 
 
 @query(f"""WITH {_LV}, r AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS k FROM l WINDOW w AS (PARTITION BY key, path ORDER BY layer))
@@ -284,20 +305,27 @@ i AS (SELECT policy_key, 'fail_mode.missing' AS code, 'spec.guards.' || guard_id
 UNION ALL SELECT policy_key, 'secrets.verify_live_prod', 'spec.guards.' || guard_id || '.config.verify_live', 'error' FROM ok WHERE env = 'prod' AND scenario = 'secrets' AND verify_live
 UNION ALL SELECT policy_key, 'pii.full_text_evidence', 'spec.guards.' || guard_id || '.evidence', 'error' FROM ok WHERE scenario = 'pii' AND evidence = 'full_text'
 UNION ALL SELECT policy_key, 'guards.contradictory', 'spec.guards', 'warn' FROM ds GROUP BY policy_key, scenario, d HAVING bool_or(on_fail IN ('block', 'block_and_explain')) AND bool_or(on_fail NOT IN ('block', 'block_and_explain')) AND count(*) > 1
-UNION ALL SELECT policy_key, 'schema.threshold', 'spec.guards.' || guard_id, 'error' FROM gd WHERE threshold > 1)
+UNION ALL SELECT policy_key, 'schema.threshold', 'spec.guards.' || guard_id || '.threshold', 'error' FROM gd WHERE threshold > 1
+UNION ALL SELECT policy_key, 'schema.minItems', 'spec.guards', 'error' FROM p WHERE policy_key NOT IN (SELECT policy_key FROM gd))
 SELECT * FROM i""")
 def p9_lint(spark, sf_dir):
-    return P.lint(pol(spark, sf_dir), grd(spark, sf_dir).withColumn("threshold", F.col("threshold") * 1.0))
+    return P.lint(pol(spark, sf_dir), grd(spark, sf_dir).withColumn("threshold", F.col("threshold") * 1.0)).drop("message")
 
 
-@query(f"{WITH} SELECT policy_key, 'schema.threshold' AS code, 'spec.guards.' || guard_id AS path FROM gd WHERE threshold * 2 > 1")
+@query(f"{WITH} SELECT policy_key, 'schema.threshold' AS code, 'spec.guards.' || guard_id || '.threshold' AS path FROM gd WHERE threshold * 2 > 1 UNION ALL SELECT policy_key, 'schema.minItems', 'spec.guards' FROM p WHERE policy_key NOT IN (SELECT policy_key FROM gd)")
 def p10_schema_issues(spark, sf_dir):
-    return P.schema_issues(pol(spark, sf_dir), grd(spark, sf_dir).withColumn("threshold", F.col("threshold") * 2))
+    return P.schema_issues(pol(spark, sf_dir), grd(spark, sf_dir).withColumn("threshold", F.col("threshold") * 2)).drop("message")
+
 
+@query("""SELECT code, path, message, count(*) AS n FROM (SELECT 'schema.required' AS code, unnest(list_concat(CASE WHEN o_orderkey % 10 = 0 THEN ['spec|applies_to'] ELSE [] END, ['metadata|tenant', 'metadata|status', 'spec.guards.0|detector', 'spec.guards.0|on_fail', 'spec.guards.1|scenario', 'spec.guards.1|detector', 'spec.guards.1|direction', 'spec.guards.1|on_fail'])) AS x,
+string_split(x, '|')[1] AS path, string_split(x, '|')[2] || ' is a required property' AS message FROM orders) q GROUP BY ALL""")
+def p10_document_issues(spark, sf_dir):
+    return P.document_issues(documents(spark, sf_dir)).groupBy("code", "path", "message").agg(F.count(F.lit(1)).alias("n"))
 
-@query(f"{WITH} SELECT policy_key, sha256(policy_id || '|' || version || '|' || status) AS document_hash, count(*) OVER (PARTITION BY policy_id, version) AS n_versions FROM p")
+
+@query(f"{WITH} SELECT policy_key, 'sha256:' || sha256({_DOCUMENT}) AS document_hash, count(*) OVER (PARTITION BY policy_id, version) AS n_versions FROM p")
 def p11_document_hash(spark, sf_dir):
-    return P.document_hashes(pol(spark, sf_dir), F.concat_ws("|", "policy_id", "version", "status")).select("policy_key", "document_hash", "n_versions")
+    return P.document_hashes(pol(spark, sf_dir)).select("policy_key", "document_hash", "n_versions")
 
 
 _CANDS = "SELECT l_orderkey AS key, l_linenumber AS line, l_partkey AS part, CASE l_partkey % 5 WHEN 0 THEN 'pii' WHEN 1 THEN 'secrets' WHEN 2 THEN 'content_safety' WHEN 3 THEN 'unknown' END AS scenario, l_returnflag AS flag, CASE l_suppkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity FROM lineitem"
@@ -331,6 +359,11 @@ def p14_bump_patch(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", bump_patch(F.expr(_VERSION)).alias("bumped"))
 
 
-@query("SELECT s_name AS file, 'pack-' || s_suppkey AS pack FROM supplier")
+_PACK = """concat('{"metadata": {"id": "pack-', CAST(s_suppkey AS STRING), '", "version": "1.', CAST(s_nationkey AS STRING), '.0"', CASE WHEN s_suppkey % 3 = 0 THEN concat(', "parent": "pack-', CAST(s_suppkey - 1 AS STRING), '"') ELSE '' END, '}', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE '}' END)"""
+
+
+@query("SELECT 'pack-' || s_suppkey AS id, '1.' || s_nationkey || '.0' AS version, CASE WHEN s_suppkey % 3 = 0 THEN 'pack-' || (s_suppkey - 1) END AS parent, s_name || '.yaml' AS path FROM supplier WHERE s_suppkey % 7 <> 0")
 def p15_list_packs(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("file"), F.concat(F.lit("pack-"), F.col("s_suppkey").cast("string")).alias("pack")).orderBy("file")
+    """Stored packs; every seventh is broken and left out."""
+    packs = table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(".yaml")).alias("path"), F.expr(_PACK).alias("document"))
+    return P.list_packs(packs).drop("labels")

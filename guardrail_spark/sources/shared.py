@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -9,19 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own under spark.checkpoint.dir; set only where the session has none."""
+    """A path of its own under spark.checkpoint.dir, gone when the driver ends. Where the session has no such folder, a
+    local session gets one; on a cluster each machine would see its own disk, so there it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return f"{jsc.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = "/tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{jsc.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    path = new_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives until its source is read: each batch goes to a Parquet table, `complete` ones replace it."""
+    """What a stream gives until its source is read: each batch goes to a folder of its epoch, which a retry replaces;
+    `complete` ones replace each other."""
     path = new_path(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/__epoch={0 if mode == 'complete' else epoch}")
 
     return _run(stream, mode, path, write).read.schema(stream.schema).parquet(f"{path}/out")
 

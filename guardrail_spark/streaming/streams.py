@@ -98,7 +98,7 @@ def sorted_events(frames: Iterable) -> Iterator[tuple]:
 
 def stream_chain(stream: DataFrame, late: str = "append"):
     """Events chained as they come, with (tenant, app) heads as state. `append`: late events go to the tail; `drop`: those
-    behind the watermark (set by the caller) are left out."""
+    behind the watermark (the latest time that earlier batches saw) are left out."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -109,6 +109,7 @@ def stream_chain(stream: DataFrame, late: str = "append"):
 
     def link(key, frames, state: GroupState):
         seq, last = state.get if state.exists else (0, None)
+        behind = state.getCurrentWatermarkMs() * 1_000_000 if late == "drop" else None
         names, out = ["tenant", "app", "event_id", "ts", "chain_seq", "prev_event_hash", "event_hash"], []
 
         def made_frame() -> pd.DataFrame:
@@ -116,6 +117,8 @@ def stream_chain(stream: DataFrame, late: str = "append"):
             return frame.assign(ts=pd.to_datetime(frame["ts"]))
 
         for e, t, b in sorted_events(frames):
+            if behind is not None and t is not None and t < behind:
+                continue
             seq += 1
             text = b.replace('"\x02"', str(seq)).replace('"\x01"', json.dumps(last))
             made = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
@@ -128,5 +131,6 @@ def stream_chain(stream: DataFrame, late: str = "append"):
         yield made_frame()
 
     kept = rows.withWatermark("ts", "0 seconds") if late == "drop" else rows
+    timeout = GroupStateTimeout.EventTimeTimeout if late == "drop" else GroupStateTimeout.NoTimeout  # the first knows the watermark
     out = "tenant string, app string, event_id string, ts timestamp, chain_seq long, prev_event_hash string, event_hash string"
-    return kept.groupBy("tenant", "app").applyInPandasWithState(link, out, "seq long, last string", "append", GroupStateTimeout.NoTimeout)
+    return kept.groupBy("tenant", "app").applyInPandasWithState(link, out, "seq long, last string", "append", timeout)
