@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import per_text
 
 WINDOW = 16  # bytes that a cut depends on
-MEAN_BITS = 8  # chunks of 2**8 bytes on average
+MEAN_BITS = 10  # chunks of 2**10 bytes on average
 MAX_CHUNKS, MAX_WORDS = 60_000, 300_000  # entries of the caches
 REACH = 2  # words on either side of a join that are encoded anew at first: the outer ones must come out as they were
 _BLANK = np.zeros(256, bool)

@@ -4,7 +4,7 @@ A text's set holds its distinct shingles of words (fewer words than one shingle:
 sets form a class, of which one goes on. Each class has TREES signatures of DEPTH min-hashes: its places in TREES sorted
 orders.
 
-Forest. In each order the classes that share a prefix of MIN_DEPTH hashes form a region. A region of more than PIECE
+Forest. In each order the classes that share a prefix of MIN_DEPTH hashes form a region. A region of more than REGION
 classes is cut by ever longer prefixes until its parts fit: the depth adapts to the region. A task walks a part in sorted
 order by the common prefixes of neighbours, longest first: where two runs meet at a prefix, their classes are compared by
 signature. Those that agree often enough for the threshold (within SLACK standard errors) are joined to clusters.
@@ -39,7 +39,8 @@ from .common import per_text, settled, shuffle_partitions
 from .components import components
 from .substring import Rolling
 
-TREES, DEPTH, MIN_DEPTH, PIECE, SLACK = 16, 8, 3, 1024, 5.0
+TREES, DEPTH, MIN_DEPTH, SLACK = 16, 8, 3, 5.0
+REGION, PIECE = 8192, 1024  # classes that meet in a task by their signatures (2 MB), or with their texts
 HASHES = TREES * DEPTH
 _ROLLING = Rolling()
 _rng = np.random.default_rng(20240229)
@@ -202,11 +203,11 @@ def candidate_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         last = depth == DEPTH
         rows = settled(rows.join(sizes, "region").select("region", "m", "k", "tree", "key"))
-        deal = F.when(F.col("m") > PIECE, F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / PIECE).cast("long"))).otherwise(0)
-        parts.append((rows if last else rows.where(F.col("m") <= PIECE)).select("k", "key", F.xxhash64("region", deal).alias("spot")))
+        deal = F.when(F.col("m") > REGION, F.pmod(F.xxhash64("k", "tree"), F.ceil(F.col("m") / REGION).cast("long"))).otherwise(0)
+        parts.append((rows if last else rows.where(F.col("m") <= REGION)).select("k", "key", F.xxhash64("region", deal).alias("spot")))
         if last:
             break
-        rest = rows.where(F.col("m") > PIECE).select("region", "k", "tree", "key")
+        rest = rows.where(F.col("m") > REGION).select("region", "k", "tree", "key")
         if rest.isEmpty():
             break
         rest = settled(rest)

@@ -182,6 +182,7 @@ def near_rows():
 @pytest.mark.parametrize(("size", "percent", "piece"), [(3, 85, 1024), (5, 80, 1024), (3, 85, 4)])
 def test_near_equals_brute_force(spark, monkeypatch, size, percent, piece):
     monkeypatch.setattr(neardup, "PIECE", piece)
+    monkeypatch.setattr(neardup, "REGION", piece)
     rows = near_rows()
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, k string, sig int")
     got = sorted((tuple(r) for r in neardup.near_dedup(df.repartition(4), size, percent).collect()), key=str)
@@ -193,6 +194,7 @@ def test_candidates_hidden_in_a_dense_region(spark, monkeypatch, piece):
     """Signatures of a template: all share the first hashes of every tree; pairs agree beyond, but not in sorted order.
     A region that fits is compared whole; one that is cut is named, for the exact search."""
     monkeypatch.setattr(neardup, "PIECE", piece)
+    monkeypatch.setattr(neardup, "REGION", piece)
     rng = np.random.default_rng(3)
     sigs = rng.integers(0, 1 << 16, (400, neardup.TREES, neardup.DEPTH)).astype(np.uint16)
     sigs[:, :, : neardup.MIN_DEPTH] = 7
@@ -222,6 +224,7 @@ def test_dense_region_loses_no_link(spark, monkeypatch, own):
     """Recall against all rows, for ids divisible by 50 and for all others: whole. With 8 words of their own the texts lie
     just below the threshold, so whole clusters have no true link but those of the hidden pairs."""
     monkeypatch.setattr(neardup, "PIECE", 16)
+    monkeypatch.setattr(neardup, "REGION", 16)
     rows = templated(300, own=own)
     got = sorted((tuple(r) for r in neardup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()), key=str)
     want = brute_near(rows, 3, 85)
