@@ -27,7 +27,7 @@ from .common import per_text
 
 WINDOW = 16  # bytes that a cut depends on
 MEAN_BITS = 10  # chunks of 2**10 bytes on average
-MAX_CHUNKS, MAX_WORDS = 60_000, 300_000  # entries of the caches
+MAX_CHUNKS, MAX_WORDS = 20_000, 300_000  # entries of the caches
 REACH = 2  # words on either side of a join that are encoded anew at first: the outer ones must come out as they were
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -55,8 +55,8 @@ def cuts(data: bytes) -> list[int]:
 class Chunk:
     """Where the words of a chunk (runs without blanks) begin and end, and the ids of each."""
 
-    starts: list[int]
-    ends: list[int]
+    starts: array
+    ends: array
     ids: list[bytes]
 
 
@@ -99,7 +99,7 @@ class Encoder:
         edges = np.flatnonzero(np.diff(np.r_[True, _BLANK[np.frombuffer(data, np.uint8)], True])).tolist()
         if len(self.chunks) >= MAX_CHUNKS:
             self.chunks.clear()
-        found = self.chunks[data] = Chunk(edges[::2], edges[1::2], [memo[w] for w in words])
+        found = self.chunks[data] = Chunk(array("I", edges[::2]), array("I", edges[1::2]), [memo[w] for w in words])
         return found
 
     def anew(self, data: bytes) -> list[bytes]:
