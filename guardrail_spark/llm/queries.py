@@ -150,17 +150,19 @@ _PLACES = ", ".join(
 _ALL = " || ".join(f"p{j}" for j in range(len(licenses.PHRASES)))
 _BASE = " || ".join(f"CASE WHEN len(p{j}) > 0 THEN ['{label}'] ELSE [] END" for j, (_, label) in enumerate(licenses.PHRASES))
 ORACLES["op10_licenses"] = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT r, doc_id, w, {_PLACES} FROM d),
 t(template, label, ws) AS (VALUES {_T}),
 tg AS (SELECT template, label, len(ws) AS size, j, ws[j + 1 : j + {_K}] AS g FROM (SELECT *, unnest(range(0, len(ws) - {_K - 1})) AS j FROM t)),
 dg AS (SELECT r, i, w[i + 1 : i + {_K}] AS g FROM (SELECT r, w, unnest(range(0, len(w) - {_K - 1})) AS i FROM d WHERE len(w) >= {_K})),
 h AS (SELECT r, template, label, size, i, j, i - j AS diagonal FROM dg JOIN tg ON dg.g = tg.g),
 v AS (SELECT r, template, diagonal, lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS before FROM (SELECT DISTINCT r, template, diagonal FROM h)),
-bands AS (SELECT r, template, diagonal, sum(CASE WHEN diagonal - before <= {licenses.DRIFT} THEN 0 ELSE 1 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS band FROM v),
-s AS (SELECT r, template, band, any_value(label) AS label, any_value(size) AS size, min(i) AS low, max(i) + {_K} AS high,
+chains AS (SELECT r, template, diagonal, sum(CASE WHEN diagonal - before <= {licenses.DRIFT} THEN 0 ELSE 1 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS chain FROM v),
+bands AS (SELECT r, template, diagonal, chain, floor((diagonal - min(diagonal) OVER (PARTITION BY r, template, chain)) * 2 / size) AS band
+  FROM chains JOIN (SELECT DISTINCT template, size FROM tg) z USING (template)),
+s AS (SELECT r, template, chain, band, any_value(label) AS label, any_value(size) AS size, min(i) AS low, max(i) + {_K} AS high,
   len(list_distinct(flatten(list([{", ".join(f"j + {k}" for k in range(_K))}])))) AS covered
-  FROM h JOIN bands USING (r, template, diagonal) GROUP BY r, template, band),
+  FROM h JOIN bands USING (r, template, diagonal) GROUP BY r, template, chain, band),
 good AS (SELECT r, label, covered / size AS cover FROM s WHERE covered / size >= {licenses.COVER} AND high - low <= 1.5 * size),
 m AS (SELECT r, list(label) AS labels, max(cover) AS cover FROM good GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({_ALL}) AS BIGINT) AS n_base,

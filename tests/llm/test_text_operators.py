@@ -232,6 +232,34 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_equal_sql(spark):
+    """Whole texts with words changed, left out and put in, odd letters, repeats and overlaps, against DuckDB."""
+    import duckdb
+
+    from guardrail_spark.llm.queries import ORACLES
+
+    rng = np.random.default_rng(7)
+    texts = [None, "", "released under the \u212aMIT license", "\u0130 MIT L\u0130CENSE mit license", "released under the mit " * 40, "the mit license released under " * 9]
+    for _, words in licenses.TEMPLATES:
+        words = words.split()
+        texts.append("x " * 5 + " ".join(words).upper() + " y")
+        for share in (0.05, 0.2, 0.4):
+            noisy = [w for w in words if rng.random() > share / 2]
+            noisy = [w if rng.random() > share / 2 else "other" for w in noisy]
+            texts.append(" ".join(["new"] * int(rng.integers(0, 4)) + noisy[: len(noisy) // 2] + ["put in"] * int(rng.integers(0, 3)) + noisy[len(noisy) // 2 :] + noisy[:9]))
+    texts += [" ".join(w for _, w in licenses.TEMPLATES)] * 2
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    documents = df.toPandas()
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        want = db.execute(ORACLES["op10_licenses"]).fetchall()
+        names = [d[0] for d in db.description]
+    got = licenses.scan_licenses(df).select(*names).collect()
+    key = lambda r: tuple((x is None, x if not isinstance(x, float) else round(x, 9)) for x in r)
+    assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str)
+    assert {label for r in got for label in r.labels.split(",")} >= {label for label, _ in licenses.TEMPLATES}
+
+
 # mixing
 
 
