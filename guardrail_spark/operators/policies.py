@@ -47,6 +47,16 @@ def guards_of_documents(documents: DataFrame, document: str = "document") -> Dat
     )
 
 
+def guard_plan(documents: DataFrame, document: str = "document") -> DataFrame:
+    """(app, env, step, pos, policy, guard_id, ...) of JSON policy documents: the guards that a request of an (app, env)
+    meets, policies in order of id and version."""
+    modes = documents.select(F.from_json(document, DOCUMENT).alias("doc")).select(F.col("doc.metadata.id").alias("policy_id"), F.col("doc.metadata.version").alias("version"), F.coalesce("doc.spec.defaults.fail_mode", F.lit("")).alias("default_fail_mode"))
+    guards = guards_of_documents(documents, document).withColumnRenamed("direction", "guard_direction").join(modes, ["policy_id", "version"])
+    ranked = policy_index(documents, document).drop("doc").withColumn("step", F.dense_rank().over(W.partitionBy("app", "env").orderBy("policy_id", "version")))
+    rows = ranked.join(guards, ["policy_id", "version"])
+    return rows.select("app", "env", "step", "pos", F.concat_ws("@", "policy_id", "version").alias("policy"), "guard_id", "scenario", "detector", "guard_direction", "on_fail", "fail_mode", "default_fail_mode", "shadow")
+
+
 def fan_out(requests: DataFrame, policies: DataFrame, guards: DataFrame) -> DataFrame:
     """Each request with the guards of the policies for its (app, env) that watch its direction."""
     plan = policies.select("policy_key", "policy_id", "app", "env", "default_fail_mode").join(guards, "policy_key")

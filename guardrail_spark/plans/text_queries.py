@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aba_ok, iban_ok, jwt_ok, luhn_ok, shannon_entropy, text_hash
-from ..operators import actions, detection, safety
+from ..operators import actions, detection, policies, safety
 from ..rules import ABBREVIATIONS, PII, SECRETS, TOKEN_RULE, Rule, rule_pack
 from ..sources import records
 from .views import GUARD_EVENTS, table, view
@@ -269,6 +271,65 @@ def a11_guard_conversations(spark, sf_dir):
     return detection.pii_scan(c, rules=[EMAIL]).groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "FAIL").alias("fail"))
 
 
+def _document(policy: str, apps: list[str], guards: list[tuple]) -> str:
+    listed = [{"id": g, "scenario": "pii", "detector": d, "direction": ways, "on_fail": act, "fail_mode": mode, "shadow": quiet} for g, d, ways, act, mode, quiet in guards]
+    return json.dumps({"metadata": {"id": policy, "version": "1.0.0"}, "spec": {"applies_to": {"apps": apps, "environments": ["prod"]}, "defaults": {"fail_mode": "closed"}, "guards": listed}})
+
+
+#: Policies of the check queries: redaction, then masking with a guard in shadow; detectors that fail open or closed.
+CHECKED = (
+    _document("a-email", ["app0", "app1"], [("g-email", "email-rule@1.0.0", ["input"], "redact", "", False)]),
+    _document("b-token", ["app1"], [("g-token", "token-rule@1.0.0", ["input", "output"], "mask", "", False), ("g-quiet", "email-rule@1.0.0", ["input"], "block", "", True)]),
+    _document("c-lost", ["app2"], [("g-open", "lost@1.0.0", ["input"], "block", "open", False), ("g-shut", "lost@1.0.0", ["input"], "flag", "", False)]),
+    _document("d-chat", ["chat0"], [("g-both", "email-rule@1.0.0", ["input", "output"], "redact", "", False)]),
+    _document("e-chat", ["chat1"], [("g-in", "email-rule@1.0.0", ["input"], "block", "", False), ("g-out", "email-rule@1.0.0", ["output"], "redact", "", False)]),
+)
+
+
+def _checked(spark):
+    detection.register("email-rule@1.0.0", lambda df, text: detection.pii_scan(df, text, rules=[EMAIL]))
+    detection.register("token-rule@1.0.0", lambda df, text: detection.secrets_scan(df, text, rules=[TOKEN_RULE]))
+    return policies.guard_plan(spark.createDataFrame([(d,) for d in CHECKED], "document string"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, doc_id % 3 AS a, regexp_matches(text, '{_EMAIL}') AS e, regexp_matches(text, '{_TOKEN}') AS t, regexp_replace(text, '{_EMAIL}', '[EMAIL-REDACTED]', 'g') AS r FROM documents)
+SELECT doc_id, CASE WHEN a = 2 OR (a < 2 AND e) OR (a = 1 AND t) THEN 'FAIL' ELSE 'PASS' END AS verdict, false AS blocked,
+CASE WHEN a = 2 THEN 'flag' WHEN e AND a = 1 AND t THEN 'redact,mask' WHEN e THEN 'redact' WHEN a = 1 AND t THEN 'mask' ELSE '' END AS actions,
+CASE a WHEN 2 THEN 'c-lost@1.0.0 g-open PASS,c-lost@1.0.0 g-shut FAIL' ELSE 'a-email@1.0.0 g-email ' || CASE WHEN e THEN 'FAIL' ELSE 'PASS' END
+  || CASE WHEN a = 1 THEN ',b-token@1.0.0 g-token ' || CASE WHEN t THEN 'FAIL' ELSE 'PASS' END || ',b-token@1.0.0 g-quiet PASS' ELSE '' END END AS guards,
+CASE WHEN a = 0 AND e THEN r WHEN a = 1 AND (e OR t) THEN """ + r"""regexp_replace(r, 'token = "[0-9a-f]{37}([0-9a-f]{3}")', repeat('*', 46) || '\1', 'g') END AS mutated FROM d""")
+def a9_check(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", "text", F.concat(F.lit("app"), F.col("doc_id") % 3).alias("app"), F.lit("prod").alias("env"), F.lit("input").alias("direction"))
+    out = actions.check(rows, _checked(spark), detection.scan, ["doc_id"])
+    said = F.transform("guards", lambda g: F.concat_ws(" ", g["policy"], g["guard_id"], g["verdict"]))
+    return out.select("doc_id", "verdict", "blocked", F.array_join("actions", ",").alias("actions"), F.array_join(said, ",").alias("guards"), "mutated")
+
+
+_PHASES = f"""WITH c AS (SELECT *, CASE WHEN role = 'assistant' THEN 'output' ELSE 'input' END AS way FROM conversations),
+p AS (SELECT conv_id, conv_id % 2 = 1 AS strict, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (way = 'input'), '') AS i, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (way = 'output'), '') AS o FROM c GROUP BY conv_id),
+q AS (SELECT *, regexp_matches(i, '{_EMAIL}') AS ie, regexp_matches(o, '{_EMAIL}') AS oe, regexp_replace(i, '{_EMAIL}', '[EMAIL-REDACTED]', 'g') AS ir, regexp_replace(o, '{_EMAIL}', '[EMAIL-REDACTED]', 'g') AS r FROM p)
+"""
+
+
+def _conversation_reports(spark, sf_dir):
+    app = F.concat(F.lit("chat"), F.col("conv_id") % 2)
+    return actions.guard_conversations(table(spark, sf_dir, "conversations"), _checked(spark), detection.scan, app, F.lit("prod"))
+
+
+@query(_PHASES + """SELECT conv_id, CASE WHEN ie THEN 'FAIL' ELSE 'PASS' END AS input_verdict, strict AND ie AS blocked, CASE WHEN ie AND NOT strict THEN ir END AS input_mutated,
+CASE WHEN strict AND ie THEN NULL WHEN oe THEN 'FAIL' ELSE 'PASS' END AS output_verdict, CASE WHEN oe AND NOT (strict AND ie) THEN r END AS output_mutated FROM q""")
+def a11_two_phases(spark, sf_dir):
+    r = _conversation_reports(spark, sf_dir)
+    return r.select("conv_id", F.col("input.verdict").alias("input_verdict"), F.col("input.blocked").alias("blocked"), F.col("input.mutated").alias("input_mutated"), F.col("output.verdict").alias("output_verdict"), F.col("output.mutated").alias("output_mutated"))
+
+
+@query(_PHASES + """, e AS (SELECT conv_id, max(turn) FILTER (way = 'input') AS last, min(turn) FILTER (way = 'output') AS first FROM c GROUP BY conv_id)
+SELECT c.conv_id, c.turn, c.role, CASE WHEN way = 'input' AND turn = last AND ie AND NOT strict THEN ir WHEN way = 'output' AND turn = first AND oe AND NOT (strict AND ie) THEN r ELSE c.text END AS text
+FROM c JOIN q USING (conv_id) JOIN e USING (conv_id)""")
+def a10_write_back(spark, sf_dir):
+    return actions.writeback(table(spark, sf_dir, "conversations"), _conversation_reports(spark, sf_dir))
+
+
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
 def s9_flatten_conversation(spark, sf_dir):
     return records.flatten_conversation(table(spark, sf_dir, "conversations"))

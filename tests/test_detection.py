@@ -162,3 +162,41 @@ def test_rule_pack_defaults():
 def test_bump_patch(spark):
     df = spark.createDataFrame([("1.2.3",), ("1.2",), ("1.2.x",)], "v string")
     assert [r[0] for r in df.select(bump_patch(F.col("v"))).collect()] == ["1.2.4", "1.2.1", "1.2.x.1"]
+
+
+def _plan(spark, *rows):
+    names = "app string, env string, step int, pos int, policy string, guard_id string, scenario string, detector string, guard_direction array<string>, on_fail string, fail_mode string, default_fail_mode string, shadow boolean"
+    return spark.createDataFrame([("a", "prod", step, pos, f"p{step}@1", f"g{step}{pos}", "pii", detector, ways, act, mode, "closed", quiet) for step, pos, detector, ways, act, mode, quiet in rows], names)
+
+
+def test_check_reports(spark):
+    detection.register("email@1", lambda df, text: detection.pii_scan(df, text, rules=[r for r in detection.PII if r.id == "EMAIL"]))
+    rows = [(1, "mail a@b.com now", "a"), (2, "nothing", "a"), (3, None, "a"), (4, "mail a@b.com", "other"), (5, "", "a")]
+    df = spark.createDataFrame(rows, "id int, text string, app string").selectExpr("*", "'prod' AS env", "'input' AS direction", "'x' AS verdict", "1 AS step")
+    first = (1, 0, "email@1", ["input"], "redact", "", False)
+    run = lambda *plan: {r.id: r for r in actions.check(df, _plan(spark, *plan), detection.scan, ["id"]).collect()}
+    got = run(first, (2, 0, "email@1", ["input"], "block", "", False))
+    assert (got[1].verdict, got[1].blocked, got[1].mutated, got[1].actions) == ("FAIL", False, "mail [EMAIL-REDACTED] now", ["redact"])
+    assert [(g.policy, g.guard_id, g.verdict) for g in got[1].guards] == [("p1@1", "g10", "FAIL"), ("p2@1", "g20", "PASS")]
+    assert all((got[i].verdict, got[i].mutated, got[i].actions) == ("PASS", None, []) for i in (2, 3, 4, 5))
+    assert got[3].current is None and got[4].guards == [] and len(got[5].guards) == 2
+    # a block ends the walk; shadow counts, but does not act; other directions are not run; failed detectors by fail mode
+    got = run((1, 0, "email@1", ["input"], "block", "", False), (2, 0, "email@1", ["input"], "redact", "", False))
+    assert (got[1].blocked, got[1].mutated, len(got[1].guards)) == (True, None, 1)
+    got = run((1, 0, "email@1", ["input"], "block", "", True), (1, 1, "email@1", ["output"], "block", "", False), (1, 2, "lost@9", ["input"], "reask", "", False), (1, 3, "lost@9", ["input"], "flag", "open", False))
+    assert (got[1].blocked, got[1].verdict, got[1].actions) == (False, "FAIL", ["reask:deferred"])
+    assert [(g.guard_id, g.verdict) for g in got[2].guards] == [("g10", "PASS"), ("g12", "FAIL"), ("g13", "PASS")]
+    assert actions.check(df.limit(0), _plan(spark, first), detection.scan, ["id"]).count() == 0
+
+
+def test_guard_conversations_and_writeback(spark):
+    detection.register("email@1", lambda df, text: detection.pii_scan(df, text, rules=[r for r in detection.PII if r.id == "EMAIL"]))
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", "a@b.com"), (1, 2, "assistant", "c@d.com ok"), (1, 3, "assistant", None), (2, 0, "user", "hello")]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    both = _plan(spark, (1, 0, "email@1", ["input", "output"], "redact", "", False))
+    reports = actions.guard_conversations(turns, both, detection.scan, F.lit("a"), F.lit("prod"))
+    got = {(r.conv_id, r.turn): r.text for r in actions.writeback(turns, reports).collect()}
+    assert got == {(1, 0): "be kind", (1, 1): "be kind\n[EMAIL-REDACTED]", (1, 2): "[EMAIL-REDACTED] ok\n", (1, 3): None, (2, 0): "hello"}
+    strict = _plan(spark, (1, 0, "email@1", ["input"], "block", "", False))
+    out = {r.conv_id: r for r in actions.guard_conversations(turns, strict, detection.scan, F.lit("a"), F.lit("prod")).collect()}
+    assert out[1].input.blocked and out[1].output is None and out[2].output.verdict == "PASS"
