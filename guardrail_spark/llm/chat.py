@@ -11,7 +11,7 @@ of spans, in code points of the formatted text, over what assistants say.
 
 Defined cases: null role or text is empty; turns are sorted by turn number (nulls first), then role and text, so ties have
 one order; repeated rows are repeated turns; the null conversation is a conversation; records of an unknown layout raise
-(tables) or give a row with null turns (JSON records); other columns make another layout and are named by the caller.
+(tables) or give a row with null turns (JSON records; `unknown_records` lists them whole); other columns make another layout and are named by the caller.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ MAPPINGS = (
     Mapping("turn rows", ("conv_id", "role", "text", "turn"), role="role", text="text", key="conv_id", order="turn"),
     Mapping("message rows", ("content", "conversation_id", "index", "role"), role="role", text="content", key="conversation_id", order="index"),
     Mapping("messages", ("messages", "messages.content", "messages.role"), turns="transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
+    Mapping("named messages", ("messages", "messages.content", "messages.name", "messages.role"), turns="transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
     Mapping("conversations", ("conversations", "conversations.from", "conversations.value"), turns=f"transform(conversations, m -> named_struct('role', {_ROLE.format('m.from')}, 'text', m.value))"),
     Mapping("prompt and response", ("prompt", "response"), turns=_pair("prompt", "response")),
     Mapping("prompt and completion", ("completion", "prompt"), turns=_pair("prompt", "completion")),
@@ -144,6 +145,14 @@ def turns_of_records(df: DataFrame, json: str, conversation: str) -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
+def unknown_records(df: DataFrame, json: str, conversation: str) -> DataFrame:
+    """(conv_id, json, layout): the JSON records that no mapping reads, broken ones and nulls included, with their whole
+    text and their fingerprint, so that none is lost unseen and a mapping can be added for it."""
+    rows = df.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{json}`").alias("json")).withColumn("layout", record_fingerprint(F.col("json")))
+    known = [key for key, m in REGISTRY.items() if m.turns]
+    return rows.where(~F.coalesce(F.col("layout").isin(*known), F.lit(False)))
+
+
 def _within(sql: str, names: list[str]) -> str:
     import re
 

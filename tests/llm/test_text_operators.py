@@ -209,6 +209,19 @@ def test_urls_equal_brute_force(spark):
         assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
 
 
+def test_unknown_records_are_listed(spark):
+    texts = [
+        '{"messages": [{"role": "user", "content": "a", "name": "x"}]}', '{"messages": [{"role": "user", "content": "b"}]}', '{"messages": [{"role": "user", "content": "c", "odd": 1}]}',
+        "{broken", None, '{"messages": []}', '{"prompt": "p", "response": "r"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, record string")
+    unknown = {r.conv_id: r.json for r in chat.unknown_records(df, "record", "id").collect()}
+    assert unknown == {i: texts[i] for i in (2, 3, 4, 5)}
+    turns = {(r.conv_id, r.role, r.text) for r in chat.turns_of_records(df, "record", "id").collect() if r.role}
+    assert turns == {(0, "user", "a"), (1, "user", "b"), (6, "user", "p"), (6, "assistant", "r")}
+    assert chat.unknown_records(df.limit(0), "record", "id").count() == 0
+
+
 # licenses
 
 
