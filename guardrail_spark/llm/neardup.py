@@ -14,10 +14,10 @@ pair whose signatures allow the threshold, unless links already join it. Larger
 class, the leader.
 
 Exact rest. What the cutting of dense regions and large clusters may have parted is searched by prefix filter: among the
-classes of these regions and clusters, shingles that occur under two labels (components of the links so far) or more are
-ordered by rarity, and two sets that reach the threshold share one of the first few of each. Classes with different
-labels meet under these shingles, block by block where there are many; pairs that sizes, positions and signatures allow
-are confirmed on the full sets. Nothing is capped.
+classes of these regions and clusters, shingles are ordered by rarity (counts of BUCKETS buckets, then themselves), and two
+sets that reach the threshold share one of the first few of each; only these leave a set's task. Classes with different
+labels (components of the links so far) meet under these shingles, block by block where there are many; pairs that sizes,
+positions and signatures allow are confirmed on the full sets. Nothing is capped.
 
 Defined cases: null text or no words: an empty set, linked with nothing; equal sets are linked (also of rows with one id
 or none); a component without any id has the id null and its rows are kept; other columns are ignored; an empty table
@@ -47,6 +47,7 @@ _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint64).astype(np.uint32)
 _BLOCK = 512
+BUCKETS = 1 << 18  # counters that order shingles by rarity
 
 
 def shingle_set(data: bytes, size: int) -> np.ndarray:
@@ -276,6 +277,35 @@ def shingles_of(rows: DataFrame, size: int) -> DataFrame:
     return per_text(rows, ["k", "label"], [("h", pa.list_(pa.int64()))], lambda: lambda data: (shingle_set(data, size).view(np.int64),))
 
 
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets (h) fall in each of BUCKETS buckets: a fixed number of counters at any size."""
+    bucket = F.pmod("h", F.lit(BUCKETS)).alias("bucket")
+    got = sets.select(F.explode("h").alias("h")).groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def _prefixes(counts: np.ndarray, percent: int) -> Callable:
+    """(k, label, n, at, h): the first shingles of each set (k, label, h) in the order of their buckets' counts, so many
+    that sets which reach the threshold share one; at is a shingle's place in that order, n the set's size. Any one order of
+    all shingles will do; this one puts the frequent ones last."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, label, h in zip(*(b.column(c) for c in ("k", "label", "h"))):
+                h = h.values.to_numpy()
+                n = len(h)
+                first = n - -(-n * percent // 100) + 1
+                h = h[np.lexsort((h, counts[h % BUCKETS]))[:first]]
+                out.append((np.full(first, k.as_py()), np.full(first, label.as_py()), np.full(first, n), np.arange(first), h))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["k", "label", "n", "at", "h"])
+
+    return listed
+
+
 def _meet(percent: int, least: float) -> Callable:
     """Pairs (a, b) of rows (spot, k, label, asks, n, at, sig) of a spot whose labels differ, of which one asks, and whose
     sizes, places of the shingle and signatures allow the threshold."""
@@ -299,14 +329,7 @@ def parted_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, size: int,
     sets of texts (k, text); reps: (k, sig) of all classes."""
     n = shuffle_partitions(reps.sparkSession)
     sets = settled(shingles_of(texts.select("k", "text").join(rows.hint("merge"), "k"), size))
-    each = sets.select("k", "label", F.explode("h").alias("h"))
-    # a shingle under one label links nothing new: such come first in every set's order, and only the others are listed
-    shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h", "df")
-    order = each.select("k", "h").join(shared, "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    order = order.join(sets.select("k", "label", F.size("h").cast("long").alias("n")), "k")
-    first = F.size("s") - F.ceil(F.col("n") * percent / 100) + 1
-    listed = order.withColumn("first", first.cast("int")).where("first > 0").select("k", "label", "n", (F.col("n") - F.size("s")).alias("skip"), F.posexplode(F.slice("s", F.lit(1), F.col("first"))).alias("at", "s"))
-    listed = settled(listed.select("k", "label", "n", (F.col("skip") + F.col("at")).alias("at"), F.col("s.h").alias("h")))
+    listed = settled(sets.mapInArrow(_prefixes(shingle_counts(sets), percent), "k long, label long, n long, at long, h long"))
     met = _blocks(listed, "h", "label").join(reps.select("k", "sig"), "k").select("spot", "k", "label", "asks", "n", "at", "sig")
     met = met.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_meet(percent, least_agreement(percent / 100)), "a long, b long")
     side = lambda c: sets.select(F.col("k").alias(c), F.col("h").alias(f"h{c}"))
