@@ -17,7 +17,8 @@ Exact rest. What the cutting of dense regions and large clusters may have parted
 classes of these regions and clusters, shingles are ordered by rarity (counts of BUCKETS buckets, then themselves), and two
 sets that reach the threshold share one of the first few of each; only these leave a set's task. Classes with different
 labels (components of the links so far) meet under these shingles, block by block where there are many; pairs that sizes,
-positions and signatures allow are confirmed on the full sets. Nothing is capped.
+positions and signatures allow are confirmed on the full sets. ROUNDS rounds take few pairs, those that would join the labels,
+so that large groups of near copies don't list all of theirs; the last takes every pair whose labels still differ.
 
 Defined cases: null text or no words: an empty set, linked with nothing; equal sets are linked (also of rows with one id
 or none); a component without any id has the id null and its rows are kept; other columns are ignored; an empty table
@@ -48,6 +49,7 @@ _A = _rng.integers(1, 1 << 31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np
 _B = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint64).astype(np.uint32)
 _BLOCK = 512
 BUCKETS = 1 << 18  # counters that order shingles by rarity
+ROUNDS = 2  # of few links before the search for all
 
 
 def shingle_set(data: bytes, size: int) -> np.ndarray:
@@ -259,11 +261,16 @@ def confirmed_links(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     parted = parted if dense is None else parted.unionByName(dense)
     if parted.isEmpty():
         return links
-    # where links have joined all of a region or cluster, nothing is left to find in it
+    still = lambda more: opened(parted, links.unionByName(more))
+    return links.unionByName(parted_links(reps, texts, opened(parted, links), size, percent, still))
+
+
+def opened(parted: DataFrame, links: DataFrame) -> DataFrame:
+    """(k, label) of those of the classes (region, k) whose region has several labels under the links: where links have
+    joined all of a region or cluster, nothing is left to find in it."""
     named = labelled(parted, links)
-    open_ = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
-    rows = settled(named.join(open_, "region").select("k", "label").distinct())
-    return links.unionByName(parted_links(reps, texts, rows, size, percent))
+    several = named.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("region")
+    return settled(named.join(several, "region").select("k", "label").distinct())
 
 
 def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -273,8 +280,8 @@ def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shingles_of(rows: DataFrame, size: int) -> DataFrame:
-    """(k, label, h): the set of each row (k, label, text)."""
-    return per_text(rows, ["k", "label"], [("h", pa.list_(pa.int64()))], lambda: lambda data: (shingle_set(data, size).view(np.int64),))
+    """(k, h): the set of each row (k, text)."""
+    return per_text(rows, ["k"], [("h", pa.list_(pa.int64()))], lambda: lambda data: (shingle_set(data, size).view(np.int64),))
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -287,28 +294,29 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(counts: np.ndarray, percent: int) -> Callable:
-    """(k, label, n, at, h): the first shingles of each set (k, label, h) in the order of their buckets' counts, so many
+    """(k, n, at, h): the first shingles of each set (k, h) in the order of their buckets' counts, so many
     that sets which reach the threshold share one; at is a shingle's place in that order, n the set's size. Any one order of
     all shingles will do; this one puts the frequent ones last."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for k, label, h in zip(*(b.column(c) for c in ("k", "label", "h"))):
+            for k, h in zip(b.column("k"), b.column("h")):
                 h = h.values.to_numpy()
                 n = len(h)
                 first = n - -(-n * percent // 100) + 1
                 h = h[np.lexsort((h, counts[h % BUCKETS]))[:first]]
-                out.append((np.full(first, k.as_py()), np.full(first, label.as_py()), np.full(first, n), np.arange(first), h))
+                out.append((np.full(first, k.as_py()), np.full(first, n), np.arange(first), h))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["k", "label", "n", "at", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["k", "n", "at", "h"])
 
     return listed
 
 
-def _meet(percent: int, least: float) -> Callable:
+def _meet(percent: int, least: float, few: bool) -> Callable:
     """Pairs (a, b) of rows (spot, k, label, asks, n, at, sig) of a spot whose labels differ, of which one asks, and whose
-    sizes, places of the shingle and signatures allow the threshold."""
+    sizes, places of the shingle and signatures allow the threshold: all, or few, as many as would join their labels, of
+    those for a row that agree most."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for ks, labels, asks, ns, ats, sigs in _spots(batches, "k", "label", "asks", "n", "at", "sig"):
@@ -317,26 +325,47 @@ def _meet(percent: int, least: float) -> Callable:
             for i in np.flatnonzero(ask).tolist():
                 fits = (label != label[i]) & (~ask | (k > k[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
                 j = np.flatnonzero(fits & ((100 + percent) * np.minimum(left, left[i]) >= percent * (n + n[i])))
-                j = j[np.count_nonzero(sig[j] == sig[i], axis=1) >= least * HASHES]
+                agree = np.count_nonzero(sig[j] == sig[i], axis=1)
+                near = agree >= least * HASHES
+                j, agree = j[near], agree[near]
+                if few and len(j):
+                    j = j[np.argsort(-agree, kind="stable")]
+                    j = j[np.unique(label[j], return_index=True)[1]]
+                    label[np.isin(label, label[j])] = label[i]
                 if len(j):
                     yield np.minimum(k[j], k[i]), np.maximum(k[j], k[i])
 
     return lambda batches: _batches(found(batches))
 
 
-def parted_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links by prefix filter between those of the classes (k, label) whose labels differ, confirmed on the full
-    sets of texts (k, text); reps: (k, sig) of all classes."""
+def _linked(reps: DataFrame, sets: DataFrame, listed: DataFrame, rows: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(a, b): links between those of the classes (k, label) whose labels differ, by prefix filter over the listed shingles
+    (k, n, at, h), confirmed on the full sets (k, h); reps: (k, sig) of all classes. All links, or few that join labels."""
     n = shuffle_partitions(reps.sparkSession)
-    sets = settled(shingles_of(texts.select("k", "text").join(rows.hint("merge"), "k"), size))
-    listed = settled(sets.mapInArrow(_prefixes(shingle_counts(sets), percent), "k long, label long, n long, at long, h long"))
-    met = _blocks(listed, "h", "label").join(reps.select("k", "sig"), "k").select("spot", "k", "label", "asks", "n", "at", "sig")
-    met = met.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_meet(percent, least_agreement(percent / 100)), "a long, b long")
+    named = settled(listed.join(rows, "k"))
+    met = _blocks(named, "h", "label").join(reps.select("k", "sig"), "k").select("spot", "k", "label", "asks", "n", "at", "sig")
+    met = met.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_meet(percent, least_agreement(percent / 100), few), "a long, b long")
     side = lambda c: sets.select(F.col("k").alias(c), F.col("h").alias(f"h{c}"))
     pairs = met.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
     return pairs.where(100 * F.col("both") >= percent * (F.size("ha") + F.size("hb") - F.col("both"))).select("a", "b")
 
 
+def parted_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, size: int, percent: int, still: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): links between those of the classes (k, label) whose labels differ; reps: (k, sig) and texts: (k, text) of
+    all classes. Labels that link at many pairs are joined by few of them first: `still` gives the classes (k, label) that
+    are left under such links, and the last search is for all links between these. Without it, all links are found."""
+    sets = settled(shingles_of(texts.select("k", "text").join(rows.select("k").hint("merge"), "k"), size))
+    listed = settled(sets.mapInArrow(_prefixes(shingle_counts(sets), percent), "k long, n long, at long, h long"))
+    found = reps.sparkSession.createDataFrame([], "a long, b long")
+    for _ in range(ROUNDS if still else 0):
+        new = settled(_linked(reps, sets, listed, rows, percent, True))
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+        rows = still(found)
+    return found.unionByName(settled(_linked(reps, sets, listed, rows, percent, False)))
+
+
 def grouped_rows(docs: DataFrame, size: int, percent: int, id_col: str, text: str, keep: list[str]) -> DataFrame:
     """(row, text, id, n_shingles, component_id, chosen) of every row of docs: row has the columns `keep`; one row of each
     component is chosen, one with its least id if it has any."""
