@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,19 @@ def test_near_spots_stay_bounded(spark, monkeypatch):
     assert all(frozenset((a, b)) in met for a in range(400) for b in range(a))
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_few_pairs_join_the_labels_of_a_spot(few):
+    """Of equal signatures few pairs join all labels; a search for all pairs takes each once."""
+    n = 60
+    columns = {"spot": [0] * n, "k": list(range(n)), "label": [k // 2 for k in range(n)], "asks": [True] * n, "n": [100] * n, "at": [0] * n, "sig": [bytes(2 * neardup.HASHES)] * n}
+    found = [p for b in neardup._meet(85, neardup.least_agreement(0.85), few)([pa.RecordBatch.from_pydict(columns)]) for p in zip(*b.to_pydict().values())]
+    label = list(range(n))
+    for a, b in [*found, *((k, k + 1) for k in range(0, n, 2))]:
+        label = [label[a] if x == label[b] else x for x in label]
+    assert len(set(label)) == 1 and len(found) == len(set(found))
+    assert len(found) == (n // 2 - 1 if few else n * (n - 1) // 2 - n // 2)
+
+
 @pytest.mark.parametrize("columns", ["doc_id long, text string, row string, k long, id long, sig long, first long"])
 def test_one_of_each(spark, columns):
     rows = [(7, "a b c d e f"), (7, "quite another text under this id"), (8, "a b c d e f"), (None, "a b c d e f"), (None, "only here"), (None, "only here"), (9, None), (9, "")]
