@@ -49,6 +49,21 @@ def test_chain_breaks_where_it_was_changed(spark, change, reason):
     assert got["a1"] == (False, 5 if change == "gone" else 4, reason)
 
 
+def test_chain_gaps_of_all_kinds(spark):
+    """A number given twice, a missing start, a number below 1, and a chain whose tenant is null."""
+    c = chain(spark).where("app = 'a1'")
+    cases = [
+        (c.unionByName(c.where("chain_seq = 3")), 3),
+        (c.where("chain_seq > 1"), 2),
+        (c.withColumn("chain_seq", F.col("chain_seq") - 1), 0),
+    ]
+    for rows, at in cases:
+        (r,) = evidence.verify_chain(rows).collect()
+        assert (r.ok, r.first_bad_seq, r.reason, r.checked) == (False, at, "gap", max(at - 1, 0))
+    faults = evidence.chain_faults(c.withColumn("tenant", F.lit(None).cast("string")).withColumn("row", F.lit(1)))
+    assert faults.columns == [*c.columns, "row", "reason"] and {r.reason for r in faults.collect()} == {"event_hash"}
+
+
 def test_chain_goes_on_after_its_head(spark):
     c = chain(spark)
     first, rest = c.where("chain_seq <= 6"), c.where("chain_seq > 6").drop("chain_seq", "prev_event_hash", "event_hash")
