@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -35,13 +36,14 @@ def settled(df: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives until its source is read: each batch goes to a folder of its epoch, which a retry replaces;
-    `complete` ones replace each other."""
+    `complete` ones replace each other. A stream that had no batch gives no rows."""
     path = new_path(stream.sparkSession, "stream")
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{path}/out/__epoch=-1")
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/__epoch={0 if mode == 'complete' else epoch}")
 
-    return _run(stream, mode, path, write).read.schema(stream.schema).parquet(f"{path}/out")
+    return _run(stream, mode, path, write).read.schema(stream.schema).parquet(f"{path}/out").select(*[F.col(f"`{c}`") for c in stream.columns])
 
 
 def _run(stream: DataFrame, mode: str, path: str, write: Callable[[DataFrame, int], None]) -> SparkSession:
