@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media, mixing, neardup, quality, substring, toxicity, urls
+from . import bpe, chat, licenses, media, mixing, neardup, packing, quality, substring, toxicity, urls
 
 VOCABULARY = "word_bpe_49k.json"
 #: Folder of the public vocabulary files; executors read it too.
@@ -77,8 +77,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_toxicity, op3_quality, op4_media, op5_urls, op6_mixing, op7_substring, op8_neardup, op9_bpe, op10_licenses)
+    f.__name__: f for f in (op1_chat, op2_toxicity, op3_quality, op4_media, op5_urls, op6_mixing, op7_substring, op8_neardup, op9_bpe, op10_licenses, op13_packing)
 }
 
 _UPPER, _LOWER = urls.UPPER, urls.LOWER
