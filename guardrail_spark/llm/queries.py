@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media, mixing, neardup, packing, quality, substring, toxicity, urls
+from . import bpe, chat, licenses, media, mixing, neardup, packing, quality, repair, substring, toxicity, trie, urls
 
 VOCABULARY = "word_bpe_49k.json"
 #: Folder of the public vocabulary files; executors read it too.
@@ -77,12 +77,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(conversations, repair.damage(conversations))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("prefix")
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_toxicity, op3_quality, op4_media, op5_urls, op6_mixing, op7_substring, op8_neardup, op9_bpe, op10_licenses, op13_packing)
+    f.__name__: f for f in (op1_chat, op2_toxicity, op3_quality, op4_media, op5_urls, op6_mixing, op7_substring, op8_neardup, op9_bpe, op10_licenses, op11_repair, op12_trie, op13_packing)
 }
 
 _UPPER, _LOWER = urls.UPPER, urls.LOWER
@@ -176,3 +185,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({_ALL}) AS BIGINT) AS
   CASE WHEN len({_ALL}) > 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, coalesce(m.cover, 0)::DOUBLE) END AS score
 FROM b LEFT JOIN m USING (r)
 """
+
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"
+_NO_BLANK = "[^\\x20\\x09-\\x0D]"
+_STATES = [(q, edit, letter, to) for q in range(4) for edit, letter, to in [("K", "s", 1 if q == 0 else None), ("K", "u", 2 if q != 2 else None), ("K", "a", 3 if q == 2 else None)] if to]
+_KEEPS = ", ".join(f"({q}, '{letter}', {to})" for q, _, letter, to in _STATES)
+#: Up to two inserts, then the edit of the next turn, from each state (0 nothing, 1 system, 2 user, 3 assistant stood last).
+ORACLES["op11_repair"] = f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM m),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{_NO_BLANK}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM e),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+ins(q, k, r) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+keeps(q, letter, r) AS (VALUES {_KEEPS}),
+edits AS (
+  SELECT conv_id, i, q, repeat('I', k) || 'D' AS edit, 3 * k + 4 AS cost, ins.r AS r FROM f CROSS JOIN ins
+  UNION ALL SELECT conv_id, i, ins.q, repeat('I', k) || 'K', 3 * k + CASE WHEN fault IS NULL THEN 0 ELSE 3 END, keeps.r FROM f CROSS JOIN ins JOIN keeps ON keeps.q = ins.r AND keeps.letter = role[1] WHERE fault IS NULL OR fault = 'truncated'
+  UNION ALL SELECT conv_id, i, q, repeat('I', k) || 'R', 3 * k + CASE WHEN fault IS NULL THEN 3 ELSE 6 END, CASE ins.r WHEN 2 THEN 3 ELSE 2 END FROM f CROSS JOIN ins WHERE fault IS NULL OR fault = 'truncated'),
+walk(conv_id, i, q, cost, audit) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '' FROM stats
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, x.r, min(w.cost + x.cost), arg_min(w.audit || x.edit, (w.cost + x.cost, w.audit || x.edit)) FROM walk w JOIN edits x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1 AND x.q = w.q GROUP BY 1, 2, 3),
+done AS (SELECT w.conv_id, min(w.cost + 3 * k) AS cost, arg_min(w.audit || repeat('I', k), (w.cost + 3 * k, w.audit || repeat('I', k))) AS audit
+  FROM walk w JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = s.n JOIN ins ON ins.q = w.q WHERE ins.r IN (0, 3) GROUP BY w.conv_id),
+c AS (SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS p FROM done),
+d AS (SELECT conv_id, p, audit[p] AS edit, count(*) FILTER (audit[p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM c),
+t AS (SELECT d.*, f.role, f.text, CASE edit WHEN 'D' THEN NULL WHEN 'K' THEN role[1] ELSE '?' END AS initial FROM d LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i AND d.edit <> 'I'),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS j, bool_or(initial = 's') OVER (PARTITION BY conv_id) AS led FROM t WHERE edit <> 'D'),
+y AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM k GROUP BY conv_id)
+SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) z LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+ORACLES["op12_trie"] = f"""
+WITH r AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id AS c, conv_id - conv_id % {trie.BLOCK} AS base, {_CRC32.format("CAST(conv_id AS VARCHAR)")} % {trie.HEADS} AS h FROM (SELECT DISTINCT conv_id FROM r)),
+b AS (SELECT c, pos, role, text FROM c JOIN r ON r.conv_id = base AND pos <= h UNION ALL SELECT c, pos, role, text FROM c JOIN r ON r.conv_id = c AND pos > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, len(regexp_extract_all(text, '{_NO_BLANK}+')) AS w, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY pos)) AS k FROM b),
+p AS (SELECT c, d, w, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), '') AS up FROM s UNION ALL SELECT c, 0, 0, '', NULL FROM c),
+n AS (SELECT k, any_value(d) AS depth, any_value(w) AS w, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs FROM p GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT DISTINCT x.k AS top, y.k AS k FROM p x JOIN p y ON x.c = y.c AND x.d <= y.d),
+sums AS (SELECT top AS k, count(*) FILTER (kids.k IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM a JOIN n ON n.k = a.k LEFT JOIN kids ON kids.k = a.k GROUP BY top),
+l AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+ends AS (SELECT k, sha256(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c)) AS ends_sha256 FROM p JOIN l ON p.c = l.c AND p.d = l.d GROUP BY k)
+SELECT n.conv_id, depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM n LEFT JOIN (SELECT k, conv_id FROM n) u ON n.up = u.k LEFT JOIN kids ON kids.k = n.k JOIN sums ON sums.k = n.k LEFT JOIN ends ON ends.k = n.k
+"""
