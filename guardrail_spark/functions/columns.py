@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,10 +76,79 @@ def text_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def canonical_double(c: Column) -> Column:
-    """JSON text of a double: integral ones without a fraction, others as plain decimals without trailing zeros."""
-    plain = F.regexp_replace(F.format_string("%.12f", c), r"\.?0+$", "")
-    return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(plain)
+    """JSON text of a double: whole ones within 1e15 as integers, others with the fewest digits that give the double back,
+    as plain decimals between 1e-4 and 1e16 and with an exponent of two digits or more beyond. Null and what is not finite
+    give null. The digits are Java's where 17 are needed; before Java 19 a few numbers beyond 1e17 come out as a neighbour
+    of the nearest text, which gives the same double back."""
+
+    def shortest(v: Column) -> Column:
+        digits = lambda n: F.format_string(f"%.{n - 1}e", v)
+        fits = lambda n: digits(n).cast("double") == v
+        tiny = F.coalesce(*[F.when(fits(n), digits(n)) for n in range(1, 17)], digits(17))  # fewer than 15 digits tell these apart
+        # of 16 digits, those next to the 17: rounding these may lead to the neighbour that isn't the same double
+        head, tail = F.regexp_extract(digits(17), r"^(.*)\d(e.*)$", 1), F.regexp_extract(digits(17), "e.*$", 0)
+        down = F.concat(head, tail)
+        up = F.concat(F.left(head, F.length(head) - 1), (F.right(head, F.lit(1)).cast("int") + 1).cast("string"), tail)
+        near = F.coalesce(*[F.when(t.cast("double") == v, t) for t in (digits(16), down)], F.when(~F.endswith(head, F.lit("9")) & (up.cast("double") == v), up), digits(17))
+        return F.when(F.abs(v) < 2.2250738585072014e-308, tiny).when(fits(15), digits(15)).otherwise(near)
+
+    def laid_out(t: Column) -> Column:
+        power = F.substring_index(t, "e", -1).cast("int")
+        sign = F.when(F.startswith(t, F.lit("-")), "-").otherwise("")
+        digits = F.regexp_replace(F.regexp_replace(F.substring_index(t, "e", 1), "[-.]", ""), "(?<=.)0+$", "")
+        front, rest = F.substr(digits, F.lit(1), power + 1), F.substr(digits, power + 2)
+        plain = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -1 - power), digits)).otherwise(F.concat(F.rpad(front, power + 1, F.lit("0")), F.lit("."), F.when(rest == "", "0").otherwise(rest)))
+        tail = F.substr(digits, F.lit(2))
+        mantissa = F.concat(F.left(digits, F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""))
+        scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+        return F.concat(sign, F.when(power.between(-4, 15), plain).otherwise(scientific))
+
+    def text(v: Column) -> Column:
+        finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
+        return F.when((v == F.floor(v)) & (F.abs(v) <= 1e15), F.floor(v).cast("string")).when(finite, _let(shortest(v), laid_out))
+
+    return _let(c.cast("double"), text)
+
+
+_NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"
+_TOKENS = rf'("(?:[^"\\]|\\.)*"|{_NUMBER}(?![\w.+-])|[^"\d-]+|.)'
+
+
+def canonical_json_text(json: Column) -> Column:
+    """Canonical text of JSON text of any shape: keys sorted at every level, no blanks, whole numbers of any length as they
+    are, others as canonical_double has them; null where it is no JSON or a number isn't finite. Numbers pass the parser as
+    marked strings, so they keep all their digits. An object that has a key twice is an error, null, unless the session sets
+    spark.sql.variant.allowDuplicateKeys; then the last one counts (see last_key_counts)."""
+
+    def marked(t: Column) -> Column:
+        number = F.when(t.rlike(r"^-?\d+$"), F.when(t == "-0", "0").otherwise(t)).otherwise(canonical_double(t.try_cast("double")))
+        return F.when(F.startswith(t, F.lit('"')), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).when(t.rlike(f"^{_NUMBER}$"), F.coalesce(F.concat(F.lit('"n'), number, F.lit('"')), F.lit("{"))).otherwise(t)
+
+    tokens = F.regexp_extract_all(json, F.lit("(?s)" + _TOKENS), F.lit(1))
+    text = F.to_json(F.try_parse_json(F.array_join(F.transform(tokens, marked), "")))
+    text = F.regexp_replace(text, r'"n([^"]*)"|(")s((?:[^"\\]|\\.)*")', "$1$2$3")
+    # control characters in lower-case hexadecimal digits
+    for x in "ABCDEF":
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*\\u00[01]){x}", "$1" + x.lower())
+    return text
+
+
+@contextmanager
+def last_key_counts(spark: SparkSession) -> Iterator[None]:
+    """While plans are made in it, JSON objects that have a key twice are read with the last one."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def canonical_ts(c: Column) -> Column:
@@ -114,12 +185,6 @@ def canonical_value(c: Column, kind: T.DataType) -> Column:
     return null(c.cast("string"))
 
 
-def canonical_document(df, name: str) -> Column:
-    """Canonical JSON text of a column of df; fields that are null are left out of objects only if they are absent, so a
-    parsed document should be a map or a struct of the fields that it has."""
-    return canonical_value(F.col(name), df.schema[name].dataType)
-
-
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the interval of a share k / n, within [0, 1]; (0, 1) without observations."""
     m = F.when(n > 0, n).cast("double")

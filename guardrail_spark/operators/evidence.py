@@ -28,10 +28,15 @@ def minimize(events: DataFrame) -> DataFrame:
     return events.withColumns({"evidence_mode": mode, "spans": F.when(mode != "none", F.col("spans"))})
 
 
+def _number(c: Column) -> Column:
+    """Text of a double; what isn't finite has none and must not enter a hash."""
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("a number of an event is not finite"))).otherwise(canonical_double(c))
+
+
 def _json(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind == "double":
-        return canonical_double(c)
+        return _number(c)
     if kind in ("bigint", "int"):
         return c.cast("string")
     if kind == "boolean":
@@ -40,7 +45,7 @@ def _json(name: str, kind: str) -> Column:
         return F.concat(F.lit('"'), canonical_ts(c), F.lit('"'))
     if kind.startswith("array"):
         label = lambda s: F.regexp_extract(F.to_json(F.struct(s["label"].alias("x"))), r'^\{"x":(.*)\}$', 1)
-        span = lambda s: F.concat(F.lit('{"confidence":'), canonical_double(s["confidence"]), F.lit(',"end":'), s["end"].cast("string"), F.lit(',"label":'), label(s), F.lit(',"start":'), s["start"].cast("string"), F.lit("}"))
+        span = lambda s: F.concat(F.lit('{"confidence":'), _number(s["confidence"]), F.lit(',"end":'), s["end"].cast("string"), F.lit(',"label":'), label(s), F.lit(',"start":'), s["start"].cast("string"), F.lit("}"))
         return F.concat(F.lit("["), F.array_join(F.transform(c, span), ","), F.lit("]"))
     return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
 

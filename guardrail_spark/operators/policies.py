@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import bump_patch, canonical_value, text_hash
+from ..functions.columns import bump_patch, canonical_json_text, canonical_value, last_key_counts, text_hash
 from ..sources.shared import settled
 
 DOCUMENT = (
@@ -135,7 +135,8 @@ def build_manifest(policies: DataFrame, guards: DataFrame, catalog: DataFrame, b
     refs = refs.join(catalog, ["detector_id", "version"], "left")
     refs = refs.withColumn("image_digest", F.coalesce("image_digest", F.lit("")))
     listed = refs.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_detectors"), F.array_sort(F.collect_list(F.struct("detector_id", "version", "image_digest"))).alias("detectors"))
-    hashed = chosen.withColumn("document_hash", document_hash(chosen))
+    with last_key_counts(chosen.sparkSession):
+        hashed = chosen.withColumn("document_hash", document_hash(chosen))
     docs = hashed.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_policies"), F.array_sort(F.collect_list(F.struct("policy_id", "version", "document_hash"))).alias("policies"))
     seqs = bundles.where(F.col("env") == env).groupBy("tenant").agg(F.max("bundle_seq").alias("last"))
     out = docs.join(listed, "tenant", "left").join(seqs, "tenant", "left").withColumn("bundle_seq", F.coalesce("last", F.lit(0)) + 1)
@@ -154,7 +155,8 @@ def verify_manifest(manifests: DataFrame, policies: DataFrame) -> DataFrame:
     doc = F.from_json("manifest", MANIFEST)
     rows = manifests.withColumn("doc", doc).withColumn("hash_ok", F.coalesce(text_hash(canonical_value(F.col("doc"), T._parse_datatype_string(MANIFEST))) == F.col("manifest_hash"), F.lit(False)))
     listed = rows.select("tenant", "env", "bundle_seq", "hash_ok", F.explode_outer("doc.policies").alias("p"))
-    stored = policies.select("tenant", "policy_id", "version", document_hash(policies).alias("stored")).distinct()
+    with last_key_counts(policies.sparkSession):
+        stored = policies.select("tenant", "policy_id", "version", document_hash(policies).alias("stored")).distinct()
     met = listed.select("*", F.col("p.policy_id").alias("policy_id"), F.col("p.version").alias("version")).join(stored, ["tenant", "policy_id", "version"], "left")
     # of several documents under one version one must fit
     each = met.groupBy("tenant", "env", "bundle_seq", "hash_ok", "policy_id", "version", "p").agg(F.max(F.coalesce(F.col("stored") == F.col("p.document_hash"), F.lit(False))).alias("fits"))
@@ -368,25 +370,19 @@ def stale_drafts(policies: DataFrame, now: Column, hours: int = 48) -> DataFrame
 
 
 def document_hash(policies: DataFrame, document: str = "document") -> Column:
-    """Hash of each policy's canonical document: of the JSON text in `document`, read as a variant, or where there is none
-    of the version's own columns."""
+    """Hash of each policy's canonical document: of the JSON text in `document` (plan it within last_key_counts), or where
+    there is none of the version's own columns."""
     if document not in policies.columns:
         kept = [c for c in sorted(policies.columns)]
         return text_hash(canonical_value(F.struct(*kept), T.StructType([policies.schema[c] for c in kept])))
     return text_hash(canonical_json_text(F.col(document)))
 
 
-def canonical_json_text(json: Column) -> Column:
-    """Canonical text of JSON text of any shape; null where it is no JSON. Spark's variant sorts the keys of its objects, so
-    its own text is canonical but for numbers with an idle fraction."""
-    text = F.to_json(F.try_parse_json(json))
-    # outside of strings: 1.0 is 1
-    return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0+(?=[,\]}]|$)', "$1$2")
-
-
 def document_hashes(policies: DataFrame, document: str = "document") -> DataFrame:
     """policies with document_hash and how many rows share their (policy_id, version)."""
-    return policies.withColumns({"document_hash": document_hash(policies, document), "n_versions": F.count(F.lit(1)).over(W.partitionBy("policy_id", "version"))})
+    with last_key_counts(policies.sparkSession):
+        hashed = policies.withColumn("document_hash", document_hash(policies, document))
+    return hashed.withColumns({"n_versions": F.count(F.lit(1)).over(W.partitionBy("policy_id", "version"))})
 
 
 def list_packs(packs: DataFrame) -> DataFrame:

@@ -17,6 +17,17 @@ WITH = f"WITH g AS ({GUARD_EVENTS}), f AS ({FEEDBACK})"
 #: Sequence numbers by (tenant, app).
 SEQ = f"{WITH}, c AS (SELECT *, row_number() OVER (PARTITION BY tenant, app ORDER BY ts, event_id) AS chain_seq FROM g)"
 
+_S = lambda c: f"""'"{c}":"' || {c} || '",'"""
+#: Canonical events without the end of each object: what chain() makes of the view's columns.
+_LINK = f"""'{{"action_taken":null,' || {_S("app")} || '"bundle_seq":null,"chain_seq":' || chain_seq || ',"detector":null,' || {_S("direction")} || {_S("env")} || {_S("event_id")} || {_S("evidence_mode")} || {_S("guard_id")}
+|| '"latency_ms":' || latency_ms || ',"policy":"p-' || tenant || '","prev_event_hash":'"""
+_LINK_END = f"""',' || {_S("request_id")} || {_S("scenario")} || '"score":' || CASE WHEN score = floor(score) THEN CAST(CAST(score AS BIGINT) AS VARCHAR) ELSE CAST(score AS VARCHAR) END || ',"spans":null,' || {_S("tenant")}
+|| '"text_hash":null,"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts = date_trunc('second', ts) THEN '' ELSE strftime(ts, '.%f') END || 'Z","verdict":"' || verdict || '"}}'"""
+#: The whole chains h, link by link.
+LINKS = f"""{SEQ.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (SELECT *, {_LINK} AS front, {_LINK_END} AS back FROM c),
+h AS (SELECT tenant, app, chain_seq, event_id, ts, NULL::VARCHAR AS prev_event_hash, 'sha256:' || sha256(front || 'null' || back) AS event_hash FROM t WHERE chain_seq = 1
+UNION ALL SELECT t.tenant, t.app, t.chain_seq, t.event_id, t.ts, h.event_hash, 'sha256:' || sha256(t.front || '"' || h.event_hash || '"' || t.back) FROM h JOIN t ON t.tenant = h.tenant AND t.app = h.app AND t.chain_seq = h.chain_seq + 1)"""
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -36,9 +47,14 @@ def fb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "feedback")
 
 
-def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+def whole_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with all fields that a chain covers, as far as the view has them."""
     rows = ge(spark, sf_dir).withColumns({"spans": F.lit(None).cast(evidence.SPAN), "policy": F.concat(F.lit("p-"), "tenant"), "text_hash": F.lit(None).cast("string")})
-    return evidence.build_chain(rows.drop("on_fail"))
+    return rows.drop("on_fail")
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.build_chain(whole_events(spark, sf_dir))
 
 
 @query(f"""{WITH}, d AS (SELECT event_id, ts, CASE WHEN CAST(event_id AS BIGINT) % 50 = 0 THEN 'sideways' ELSE direction END AS direction, verdict FROM g UNION ALL SELECT event_id, ts, direction, verdict FROM g WHERE CAST(event_id AS BIGINT) % 10 = 1)
@@ -56,11 +72,17 @@ def s6_scan_events(spark, sf_dir):
     return records.scan_events(evidence.sequence_events(ge(spark, sf_dir)), "t1", "app2", 10, 100).select("chain_seq", "event_id")
 
 
-@query(f"{SEQ} SELECT chain_seq, event_id FROM c WHERE tenant = 't1' AND app = 'app2' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
+@query(f"""{LINKS}, r AS (SELECT max(chain_seq) AS n, arg_max(event_hash, chain_seq) AS head_hash FROM h WHERE tenant = 't1' AND app = 'app2')
+SELECT chain_seq, event_id, event_hash, CAST(1 AS BIGINT) AS anchor_start, n AS anchor_end, sha256('t1|app2|1|' || n || '|' || head_hash) AS payload_hash, n AS checked, true AS ok, r.head_hash
+FROM h, r WHERE tenant = 't1' AND app = 'app2' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'""")
 def s7_export_bundle(spark, sf_dir):
+    """Events of a range, each with the chain's anchors and the verification."""
     c = chain(spark, sf_dir)
-    events, _, _ = evidence.export_bundle(c, evidence.make_anchors(evidence.chain_heads(c)), "t1", "app2", F.lit(datetime.datetime(2024, 1, 5)).cast("timestamp_ntz"), F.lit(datetime.datetime(2024, 1, 10)).cast("timestamp_ntz"))
-    return events.select("chain_seq", "event_id")
+    day = lambda n: F.lit(datetime.datetime(2024, 1, n)).cast("timestamp_ntz")
+    events, anchors, report = evidence.export_bundle(c, evidence.make_anchors(evidence.chain_heads(c)), "t1", "app2", day(5), day(10))
+    anchors = anchors.select("tenant", "app", F.col("start_seq").cast("long").alias("anchor_start"), F.col("end_seq").alias("anchor_end"), "payload_hash")
+    whole = events.select("tenant", "app", "chain_seq", "event_id", "event_hash").join(anchors, ["tenant", "app"]).join(report, ["tenant", "app"])
+    return whole.select("chain_seq", "event_id", "event_hash", "anchor_start", "anchor_end", "payload_hash", "checked", "ok", "head_hash")
 
 
 @query(f"{WITH} SELECT event_id, disposition FROM f WHERE tenant = 't2' AND guard_id = 'g-safety-io' AND f.\"at\" >= TIMESTAMP '2024-01-10' ORDER BY f.\"at\", event_id LIMIT 50")
@@ -83,31 +105,26 @@ def e2_text_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text_hash(F.col("text")).alias("text_hash"))
 
 
-_FIELDS = ("event_id", "tenant", "latency_ms", "score", "policy")
-
-
-@query(f"""{WITH} SELECT event_id, '{{"event_id":"' || event_id || '","latency_ms":' || latency_ms || ',"policy":null,"score":' || CASE WHEN score = floor(score) THEN CAST(CAST(score AS BIGINT) AS VARCHAR) ELSE CAST(score AS VARCHAR) END || ',"tenant":"' || tenant || '"}}' AS doc FROM g""")
+@query(f"{SEQ} SELECT event_id, {_LINK} || 'null' || {_LINK_END} AS doc FROM c")
 def e3_canonical_json(spark, sf_dir):
-    g = ge(spark, sf_dir)
-    return g.select("event_id", evidence.canonical_json(g, _FIELDS).alias("doc"))
+    rows = evidence.sequence_events(evidence.minimize(whole_events(spark, sf_dir)))
+    return rows.select("event_id", evidence.canonical_json(rows).alias("doc"))
 
 
-@query(f"""{WITH} SELECT event_id, 'sha256:' || sha256('{{"event_id":"' || event_id || '","latency_ms":' || latency_ms || ',"policy":null,"score":' || CASE WHEN score = floor(score) THEN CAST(CAST(score AS BIGINT) AS VARCHAR) ELSE CAST(score AS VARCHAR) END || ',"tenant":"' || tenant || '"}}') AS event_hash FROM g""")
+@query(f"{SEQ} SELECT event_id, 'sha256:' || sha256({_LINK} || 'null' || {_LINK_END}) AS event_hash FROM c")
 def e4_event_hash(spark, sf_dir):
-    from ..functions import text_hash
-
-    g = ge(spark, sf_dir)
-    return g.select("event_id", text_hash(evidence.canonical_json(g, _FIELDS)).alias("event_hash"))
+    rows = evidence.sequence_events(evidence.minimize(whole_events(spark, sf_dir)))
+    return rows.select("event_id", evidence.event_hash(rows).alias("event_hash"))
 
 
-@query(f"{SEQ} SELECT event_id, tenant, app, chain_seq FROM c")
+@query(f"{LINKS} SELECT event_id, tenant, app, chain_seq, prev_event_hash, event_hash FROM h")
 def e5_build_chain(spark, sf_dir):
-    return chain(spark, sf_dir).select("event_id", "tenant", "app", "chain_seq")
+    return chain(spark, sf_dir).select("event_id", "tenant", "app", "chain_seq", "prev_event_hash", "event_hash")
 
 
-@query(f"{SEQ} SELECT tenant, app, max(chain_seq) AS chain_seq FROM c GROUP BY tenant, app")
+@query(f"{LINKS} SELECT tenant, app, max(chain_seq) AS chain_seq, arg_max(event_hash, chain_seq) AS event_hash FROM h GROUP BY tenant, app")
 def e6_chain_heads(spark, sf_dir):
-    return evidence.chain_heads(chain(spark, sf_dir)).select("tenant", "app", "chain_seq")
+    return evidence.chain_heads(chain(spark, sf_dir)).select("tenant", "app", "chain_seq", "event_hash")
 
 
 @query(f"""{SEQ}, b AS (SELECT tenant, app, count(*) AS n, min(chain_seq) FILTER (CAST(event_id AS BIGINT) % 997 = 5) AS bad FROM c GROUP BY tenant, app)
@@ -119,9 +136,9 @@ def e7_verify_chain(spark, sf_dir):
     return evidence.verify_chain(forged).drop("head_hash")
 
 
-@query(f"{SEQ} SELECT tenant, app, count(*) AS checked, true AS ok FROM c GROUP BY tenant, app")
+@query(f"{LINKS} SELECT tenant, app, count(*) AS checked, true AS ok, arg_max(event_hash, chain_seq) AS head_hash FROM h GROUP BY tenant, app")
 def e8_verify_report(spark, sf_dir):
-    return evidence.verify_chain(chain(spark, sf_dir)).select("tenant", "app", "checked", "ok")
+    return evidence.verify_chain(chain(spark, sf_dir)).select("tenant", "app", "checked", "ok", "head_hash")
 
 
 @query(f"{SEQ} SELECT tenant, app, 101 AS start_seq, max(chain_seq) AS end_seq FROM c GROUP BY tenant, app HAVING max(chain_seq) > 100")
