@@ -23,12 +23,18 @@ _LINK = f"""'{{"action_taken":null,' || {_S("app")} || '"bundle_seq":null,"chain
 || '"latency_ms":' || latency_ms || ',"policy":"p-' || tenant || '","prev_event_hash":'"""
 _LINK_END = f"""',' || {_S("request_id")} || {_S("scenario")} || '"score":' || CASE WHEN score = floor(score) THEN CAST(CAST(score AS BIGINT) AS VARCHAR) ELSE CAST(score AS VARCHAR) END || ',"spans":null,' || {_S("tenant")}
 || '"text_hash":null,"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts = date_trunc('second', ts) THEN '' ELSE strftime(ts, '.%f') END || 'Z","verdict":"' || verdict || '"}}'"""
-#: The whole chains h, link by link.
-LINKS = f"""{SEQ.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (SELECT *, {_LINK} AS front, {_LINK_END} AS back FROM c),
+
+
+def links(numbered: str) -> str:
+    """SQL of the chains h, link by link, of events with chain_seq."""
+    return f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, c AS ({numbered}), t AS (SELECT *, {_LINK} AS front, {_LINK_END} AS back FROM c),
 h AS (SELECT tenant, app, chain_seq, event_id, ts, NULL::VARCHAR AS prev_event_hash, 'sha256:' || sha256(front || 'null' || back) AS event_hash FROM t WHERE chain_seq = 1
 UNION ALL SELECT t.tenant, t.app, t.chain_seq, t.event_id, t.ts, h.event_hash, 'sha256:' || sha256(t.front || '"' || h.event_hash || '"' || t.back) FROM h JOIN t ON t.tenant = h.tenant AND t.app = h.app AND t.chain_seq = h.chain_seq + 1)"""
 
 
+LINKS = links("SELECT *, row_number() OVER (PARTITION BY tenant, app ORDER BY ts, event_id) AS chain_seq FROM g")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

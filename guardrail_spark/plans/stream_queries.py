@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import detection, evidence
 from ..rules import TOKEN_RULE
 from ..sources import records
-from ..sources.shared import drained, new_path
+from ..sources.shared import Epochs, drained, new_path
 from ..streaming import streams
-from .event_queries import _RATE, SEQ, WITH
+from .event_queries import _RATE, LINKS, WITH, links, whole_events
 from .views import GUARD_EVENTS, table, view
 
 QUERIES, ORACLES = {}, {}
@@ -79,16 +79,36 @@ def t1_stream_guard(spark, sf_dir):
     return drained(streams.stream_guard(rows, "token-rule@1.0.0").select("doc_id", (F.col("verdict") == "FAIL").alias("hit")))
 
 
-@query(f"{WITH} SELECT event_id, guard_id FROM g WHERE guard_id IN ('g-pii-out', 'g-safety-io')")
-def t2_policy_swap(spark, sf_dir):
-    path = new_path(spark, "swap")
+def publish(spark: SparkSession, folder: str, seq: int, created_at: str, guards: tuple[str, ...], broken: bool = False) -> None:
+    """A bundle for prod in the folder; a broken one was changed after it was hashed."""
+    listed = ",".join(f'{{"guard_id":"{g}","tenant":"{t}"}}' for t in ("t0", "t1", "t2") for g in guards)
+    manifest = f'{{"bundle_seq":{seq},"created_at":"{created_at}","env":"prod","policies":[{listed}],"tenant":"all"}}'
+    row = spark.range(1).select(F.lit(manifest).alias("manifest"), F.concat(F.lit("sha256:"), F.sha2(F.lit(manifest.replace("g-", "h-") if broken else manifest), 256)).alias("manifest_hash"))
+    row.write.mode("append").json(folder)
+
+
+def apply_bundle(batch: DataFrame, bundles: DataFrame) -> DataFrame:
+    """The events whose guard a bundle names for their tenant, with the bundle's number."""
+    named = F.from_json("manifest", "policies array<struct<guard_id:string,tenant:string>>")["policies"]
+    rules = bundles.select("env", "bundle_seq", F.explode(named).alias("p")).select("env", "bundle_seq", "p.tenant", "p.guard_id")
+    return batch.join(rules, ["tenant", "env", "guard_id"]).select("event_id", "guard_id", "bundle_seq")
 
-    def load(session: SparkSession) -> DataFrame:
-        return view(session, sf_dir, "guard_events").select("guard_id").distinct().where("guard_id in ('g-pii-out', 'g-safety-io')")
 
-    writer = streams.with_latest_policies(event_stream(spark, sf_dir), load, lambda b, p: b.join(p, "guard_id", "left_semi").select("event_id", "guard_id"), lambda df, epoch: df.write.mode("append").parquet(f"{path}/out"))
-    writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id string, guard_id string").parquet(f"{path}/out")
+@query(f"""{WITH} SELECT event_id, guard_id, CASE WHEN CAST(event_id AS BIGINT) % 4 = 0 THEN 1::BIGINT ELSE 2 END AS bundle_seq FROM g
+WHERE guard_id = 'g-pii-out' OR (guard_id = 'g-safety-io' AND CAST(event_id AS BIGINT) % 4 <> 0)""")
+def t2_policy_swap(spark, sf_dir):
+    """Four files of events, each read after a restart: under the first bundle, a newer one, and then, as the next ones are
+    broken and stale, under that one still."""
+    path = new_path(spark, "swap")
+    g = view(spark, sf_dir, "guard_events")
+    steps = [(1, "2024-01-01T00:00:00Z", ("g-pii-out",), False), (2, "2024-01-02T00:00:00Z", ("g-pii-out", "g-safety-io"), False), (3, "2024-01-03T00:00:00Z", ("g-secrets-io",), True), (4, "2023-12-01T00:00:00Z", ("g-secrets-io",), False)]
+    for k, step in enumerate(steps):
+        publish(spark, f"{path}/bundles", *step)
+        g.where(F.col("event_id").cast("bigint") % 4 == k).write.mode("append").parquet(f"{path}/in")
+        rows = spark.readStream.schema(g.schema).parquet(f"{path}/in")
+        writer = streams.with_latest_policies(rows, f"{path}/bundles", path, apply_bundle, lambda df, epoch: Epochs(spark, f"{path}/out").write(df, epoch), now=F.lit("2024-01-04T00:00:00Z").cast("timestamp"))
+        writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return Epochs(spark, f"{path}/out").all()
 
 
 @query(f"{WITH} SELECT event_id, verdict FROM g")
@@ -97,10 +117,38 @@ def t3_dedup_stream(spark, sf_dir):
     return drained(streams.dedup_stream(s.unionByName(s), "60 days")).select("event_id", "verdict")
 
 
-@query(f"{SEQ} SELECT tenant, app, event_id, chain_seq FROM c")
+_LINKED = ("tenant", "app", "event_id", "chain_seq", "prev_event_hash", "event_hash")
+#: Every seventh event comes in the second file; most of these are late.
+_LATE = "CAST(event_id AS BIGINT) % 7 = 3"
+
+
+def linked(rows: DataFrame, late: str) -> DataFrame:
+    return streams.stream_chain(rows, late).select(*_LINKED)
+
+
+def two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of two files, one of which comes late."""
+    path = new_path(spark, "late")
+    rows = whole_events(spark, sf_dir)
+    for k, part in enumerate((~F.expr(_LATE), F.expr(_LATE))):
+        rows.where(part).coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
+@query(f"{LINKS} SELECT {', '.join(_LINKED)} FROM h")
 def t4_stream_chain(spark, sf_dir):
-    s = event_stream(spark, sf_dir).withColumn("spans", F.lit(None).cast(evidence.SPAN))
-    return drained(streams.stream_chain(s)).select("tenant", "app", "event_id", "chain_seq")
+    rows = event_stream(spark, sf_dir).drop("on_fail").withColumns({"spans": F.lit(None).cast(evidence.SPAN), "policy": F.concat(F.lit("p-"), "tenant"), "text_hash": F.lit(None).cast("string")})
+    return linked(rows, "append")
+
+
+@query(f"{links(f'SELECT *, row_number() OVER (PARTITION BY tenant, app ORDER BY {_LATE}, ts, event_id) AS chain_seq FROM g')} SELECT {', '.join(_LINKED)} FROM h")
+def t5_late_appended(spark, sf_dir):
+    return linked(two_files(spark, sf_dir), "append")
+
+
+@query(f"{links(f'SELECT *, row_number() OVER (PARTITION BY tenant, app ORDER BY {_LATE}, ts, event_id) AS chain_seq FROM g WHERE NOT {_LATE} OR ts >= (SELECT max(ts) FROM g WHERE NOT {_LATE})')} SELECT {', '.join(_LINKED)} FROM h")
+def t5_late_dropped(spark, sf_dir):
+    return linked(two_files(spark, sf_dir), "drop")
 
 
 @query(f"{WITH}, {_RATE} SELECT * FROM r")

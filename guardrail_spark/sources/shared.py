@@ -34,6 +34,35 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Epochs:
+    """Parquet folders of a stream's micro-batches by their numbers: a batch that runs again replaces its own folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folder(self, epoch: int):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/__epoch={epoch}")
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def write(self, rows: DataFrame, epoch: int, keep: int | None = None) -> None:
+        """Writes a batch's rows; of folders that a later batch no longer reads, the last `keep` stay."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/__epoch={epoch}")
+        if keep and epoch >= keep:
+            at, files = self._folder(epoch - keep)
+            files.delete(at, True)
+
+    def at(self, epoch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/__epoch={epoch}")
+
+    def before(self, epoch: int) -> DataFrame | None:
+        """What the batch before wrote, or None for the first."""
+        at, files = self._folder(epoch - 1)
+        return self.at(epoch - 1) if files.exists(at) else None
+
+    def all(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("__epoch")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives until its source is read: each batch goes to a folder of its epoch, which a retry replaces;
     `complete` ones replace each other. A stream that had no batch gives no rows."""

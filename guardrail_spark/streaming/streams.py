@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-import heapq
-import json
-import pickle
-import tempfile
-from collections.abc import Callable, Iterable, Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions.columns import canonical_json_text, last_key_counts, text_hash
 from ..operators.detection import scan
-from ..operators.evidence import canonical_json, minimize
+from ..operators.evidence import KEYS, build_chain
 from ..sources.records import EVENT
+from ..sources.shared import Epochs, new_path
 
 
 def stream_guard(stream: DataFrame, detector: str, text: str = "text") -> DataFrame:
@@ -22,17 +20,41 @@ def stream_guard(stream: DataFrame, detector: str, text: str = "text") -> DataFr
     return scan(stream, detector, text)
 
 
-def with_latest_policies(stream: DataFrame, load: Callable[[SparkSession], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame, int], None]):
-    """A writer whose micro-batches each read the newest policies; where loading fails the last known ones stay."""
-    held: dict[str, DataFrame] = {}
+BUNDLE = "tenant string, env string, bundle_seq long, created_at timestamp"
+
+
+def sound_bundles(bundles: DataFrame, now: Column | None = None, max_age_hours: int = 72) -> DataFrame:
+    """(tenant, env, bundle_seq, created_at, manifest) of bundles (manifest: JSON text, manifest_hash) whose hash is that of
+    the canonical manifest, that name all of these, and that are no older than allowed (zero or less: of any age). Broken
+    and stale ones are left out."""
+    with last_key_counts(bundles.sparkSession):
+        rows = bundles.select("manifest", F.from_json("manifest", BUNDLE).alias("m"), (text_hash(canonical_json_text(F.col("manifest"))) == F.col("manifest_hash")).alias("ok"))
+    rows = rows.where(F.coalesce("ok", F.lit(False))).select("m.*", "manifest").dropna()
+    if max_age_hours <= 0:
+        return rows
+    return rows.where(F.col("created_at") >= (F.current_timestamp() if now is None else now) - F.expr(f"interval {max_age_hours} hours"))
+
+
+def with_latest_policies(
+    stream: DataFrame, folder: str, path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], now: Column | None = None, max_age_hours: int = 72
+) -> DataStreamWriter:
+    """A writer whose micro-batches each look into the bundles' folder (JSON lines: manifest, manifest_hash) and apply the
+    newest sound bundle of each (tenant, env). Where none is newer, or the newer ones are broken or stale, the last good one
+    stays; it is kept under path by the number of the batch, so that a restart goes on with it, and a batch that runs again
+    takes the one that it took, or a newer one. Without any good bundle a batch fails."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        try:
-            held["policies"] = load(batch.sparkSession)
-        except Exception:
-            if not held:
-                raise
-        sink(apply(batch, held["policies"]), epoch)
+        spark = batch.sparkSession
+        epochs = Epochs(spark, f"{path}/held")
+        held = epochs.before(epoch)
+        found = sound_bundles(spark.read.schema("manifest string, manifest_hash string").json(folder), now, max_age_hours)
+        both = found if held is None else found.unionByName(held)
+        newest = both.groupBy("tenant", "env").agg(F.max_by(F.struct("bundle_seq", "created_at", "manifest"), "bundle_seq").alias("b"))
+        epochs.write(newest.select("tenant", "env", "b.*"), epoch, keep=2)
+        policies = epochs.at(epoch)
+        if policies.isEmpty():
+            raise ValueError(f"no sound bundle in {folder}")
+        sink(apply(batch, policies), epoch)
 
     return stream.writeStream.foreachBatch(each)
 
@@ -57,80 +79,35 @@ def replay(spark: SparkSession, path: str, files_a_batch: int = 50) -> DataFrame
     return spark.readStream.schema(EVENT).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_a_batch).json(path)
 
 
-RUN, SLICE, OUT = 50_000, 100, 10_000  # rows that are sorted at a time, read back of each run at a time, given out at a time
-
-
-def sorted_events(frames: Iterable) -> Iterator[tuple]:
-    """(event_id, ts, body) of all frames by ts, then event_id, nulls last: sorted runs on the task's disk, merged, so that
-    a group's rows are never all in memory."""
-    order = lambda r: (r[1] is None, r[1] or 0, r[0] is None, r[0] or "")
-
-    with tempfile.TemporaryFile() as disk:
-        runs: list[list[int]] = []
-        rows: list[tuple] = []
-
-        def write() -> None:
-            rows.sort(key=order)
-            runs.append([])
-            for i in range(0, len(rows), SLICE):
-                runs[-1].append(disk.tell())
-                pickle.dump(rows[i : i + SLICE], disk)
-            rows.clear()
-
-        def read(places: list[int]) -> Iterator[tuple]:
-            for at in places:
-                disk.seek(at)
-                yield from pickle.load(disk)
-
-        for frame in frames:
-            missing = frame["ts"].isna()
-            for e, t, none, b in zip(frame["event_id"], frame["ts"], missing, frame["body"]):
-                rows.append((e, None if none else t.value, b))
-                if len(rows) >= RUN:
-                    write()
-        if not runs:
-            yield from sorted(rows, key=order)
-            return
-        if rows:
-            write()
-        yield from heapq.merge(*map(read, runs), key=order)
-
-
-def stream_chain(stream: DataFrame, late: str = "append"):
-    """Events chained as they come, with (tenant, app) heads as state. `append`: late events go to the tail; `drop`: those
-    behind the watermark (the latest time that earlier batches saw) are left out."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    rows = minimize(stream)
-    # the number and the hash before are known only when the state is read
-    body = canonical_json(rows, chain_seq=F.lit('"\x02"'), prev_event_hash=F.lit('"\x01"'))
-    rows = rows.select("tenant", "app", "event_id", F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
-
-    def link(key, frames, state: GroupState):
-        seq, last = state.get if state.exists else (0, None)
-        behind = state.getCurrentWatermarkMs() * 1_000_000 if late == "drop" else None
-        names, out = ["tenant", "app", "event_id", "ts", "chain_seq", "prev_event_hash", "event_hash"], []
-
-        def made_frame() -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=names)
-            return frame.assign(ts=pd.to_datetime(frame["ts"]))
-
-        for e, t, b in sorted_events(frames):
-            if behind is not None and t is not None and t < behind:
-                continue
-            seq += 1
-            text = b.replace('"\x02"', str(seq)).replace('"\x01"', json.dumps(last))
-            made = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
-            out.append((*key, e, pd.NaT if t is None else pd.Timestamp(t), seq, last, made))
-            last = made
-            if len(out) >= OUT:
-                yield made_frame()
-                out.clear()
-        state.update((seq, last))
-        yield made_frame()
-
-    kept = rows.withWatermark("ts", "0 seconds") if late == "drop" else rows
-    timeout = GroupStateTimeout.EventTimeTimeout if late == "drop" else GroupStateTimeout.NoTimeout  # the first knows the watermark
-    out = "tenant string, app string, event_id string, ts timestamp, chain_seq long, prev_event_hash string, event_hash string"
-    return kept.groupBy("tenant", "app").applyInPandasWithState(link, out, "seq long, last string", "append", timeout)
+def chain_batches(stream: DataFrame, path: str, late: str = "append", delay: str = "0 seconds") -> DataStreamWriter:
+    """A writer that chains events as they come. Each micro-batch is a batch like any other: Spark sorts it by (tenant, app,
+    ts, event_id) and links it to the heads that the batch before left under path. `append`: late events go to the tail, so
+    that nothing is ever linked anew; `drop`: those behind the watermark (the latest time that earlier batches saw, less
+    the delay) are left out. Links and heads of a batch are folders of its number, so a batch that runs again replaces its
+    own. State is one row for each (tenant, app). The stream needs a checkpoint of its own."""
+    if late not in ("append", "drop"):
+        raise ValueError(f"late events are appended or dropped, not {late}")
+
+    def link(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        heads = Epochs(spark, f"{path}/heads").before(epoch)
+        if late == "drop" and heads is not None:
+            seen = heads.agg(F.max("seen").alias("seen")).select((F.col("seen") - F.expr(f"interval {delay}")).alias("seen")).first().seen
+            if seen is not None:
+                batch = batch.where(F.col("ts").isNull() | (F.col("ts") >= F.lit(seen).cast(batch.schema["ts"].dataType)))
+        Epochs(spark, f"{path}/chain").write(build_chain(batch, heads), epoch)
+        linked = Epochs(spark, f"{path}/chain").at(epoch)
+        new = linked.groupBy(*KEYS).agg(F.max("chain_seq").alias("chain_seq"), F.max_by("event_hash", "chain_seq").alias("event_hash"), F.max("ts").alias("seen"))
+        if heads is not None:
+            both = heads.unionByName(new)
+            new = both.groupBy(*KEYS).agg(F.max("chain_seq").alias("chain_seq"), F.max_by("event_hash", "chain_seq").alias("event_hash"), F.max("seen").alias("seen"))
+        Epochs(spark, f"{path}/heads").write(new, epoch, keep=2)
+
+    return stream.writeStream.foreachBatch(link)
+
+
+def stream_chain(stream: DataFrame, late: str = "append", delay: str = "0 seconds") -> DataFrame:
+    """The chain of all that a stream gives until its source is read."""
+    path = new_path(stream.sparkSession, "chain")
+    chain_batches(stream, path, late, delay).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return Epochs(stream.sparkSession, f"{path}/chain").all()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guardrail_spark.operators import evidence, metrics, policies, tuning
+from guardrail_spark.plans import stream_queries
 from guardrail_spark.plans.views import view
 from guardrail_spark.sources import records
 from guardrail_spark.streaming import streams
@@ -147,30 +148,37 @@ def test_streams_match_batch(spark, tmp_path):
     assert {tuple(r) for r in drain(streams.stream_rates(s, ["verdict"], late="60 days"), tmp_path, "rates", "complete").collect()} == batch
 
 
-def test_stream_chain_verifies(spark, tmp_path):
+@pytest.mark.parametrize("late", ["append", "drop"])
+def test_stream_chain_verifies(spark, tmp_path, late):
     g, s = events_stream(spark, tmp_path)
-    rows = drain(streams.stream_chain(s.withColumns({"spans": F.lit(None).cast(evidence.SPAN)})), tmp_path, "chained").collect()
-    assert len(rows) == g.count()
-    by = {}
-    for r in sorted(rows, key=lambda r: (r.tenant, r.app, r.chain_seq)):
-        last, seq = by.get((r.tenant, r.app), (None, 0))
-        assert (r.prev_event_hash, r.chain_seq) == (last, seq + 1)
-        by[r.tenant, r.app] = r.event_hash, r.chain_seq
+    chain = streams.stream_chain(s.withColumns({"spans": F.lit(None).cast(evidence.SPAN)}), late).cache()
+    assert (chain.count() == g.count()) == (late == "append")
+    assert all(r.ok for r in evidence.verify_chain(chain).collect())
 
 
-def test_policy_swap_and_replay(spark, tmp_path):
-    _, s = events_stream(spark, tmp_path)
-    seen, calls = [], []
+def test_a_batch_that_runs_again_replaces_its_links(spark, tmp_path):
+    g, s = events_stream(spark, tmp_path)
+    path, links = str(tmp_path / "chain"), []
+    rows = s.withColumns({"spans": F.lit(None).cast(evidence.SPAN)})
+    for checkpoint in ("a", "a", "b"):  # the second finds nothing new, the third begins anew with the same numbers
+        streams.chain_batches(rows, path).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / checkpoint)).start().awaitTermination(120)
+        links.append(sorted(r.event_hash for r in spark.read.parquet(f"{path}/chain").collect()))
+    assert links[0] == links[1] == links[2] and len(links[0]) == g.count()
 
-    def load(session):
-        calls.append(1)
-        if len(calls) == 2:
-            raise OSError("bundle missing")
-        return session.createDataFrame([("g-pii-out",)], "guard_id string")
 
-    q = streams.with_latest_policies(s, load, lambda b, p: b.join(p, "guard_id"), lambda df, epoch: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert len(seen) == 3 and sum(seen) == view(spark, SF, "guard_events").where("guard_id = 'g-pii-out'").count()
+def test_policy_swap_and_replay(spark, tmp_path):
+    g, s = events_stream(spark, tmp_path)
+    seen, folder = [], str(tmp_path / "bundles")
+    run = lambda: streams.with_latest_policies(s, folder, str(tmp_path / "kept"), stream_queries.apply_bundle, lambda df, epoch: seen.append(df.count()), max_age_hours=0).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    stream_queries.publish(spark, folder, 1, "2024-01-01T00:00:00Z", ("g-secrets-io",), broken=True)
+    with pytest.raises(Exception, match="no sound bundle"):
+        run()
+    stream_queries.publish(spark, folder, 2, "2024-01-01T00:00:00Z", ("g-pii-out",))
+    run()
+    assert len(seen) == 3 and sum(seen) == g.where("guard_id = 'g-pii-out'").count()
+    bundles = spark.read.schema("manifest string, manifest_hash string").json(folder)
+    assert streams.sound_bundles(bundles).isEmpty()  # long stale
+    assert [r.bundle_seq for r in streams.sound_bundles(bundles, F.lit("2024-01-02").cast("timestamp")).collect()] == [2]
     (tmp_path / "spool").mkdir()
     (tmp_path / "spool" / "x.jsonl").write_text('{"event_id":"1"}\nbroken\n')
     assert [r.event_id for r in drain(streams.replay(spark, str(tmp_path / "spool")), tmp_path, "spool").collect() if r.event_id] == ["1"]
