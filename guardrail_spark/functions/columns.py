@@ -120,18 +120,19 @@ _NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"
 _TOKENS = rf'("(?:[^"\\]|\\.)*"|{_NUMBER}(?![\w.+-])|[^"\d-]+|.)'
 
 
-def canonical_json_text(json: Column) -> Column:
-    """Canonical text of JSON text of any shape: keys sorted at every level, no blanks, whole numbers of any length as they
-    are, others as canonical_double has them; null where it is no JSON or a number isn't finite. Numbers pass the parser as
-    marked strings, so they keep all their digits. An object that has a key twice is an error, null, unless the session sets
-    spark.sql.variant.allowDuplicateKeys; then the last one counts (see last_key_counts)."""
+def marked_json(json: Column) -> Column:
+    """JSON text with canonical numbers as strings that begin with n, and strings and keys that begin with s, so that numbers
+    keep all their digits where it is parsed; text that is no JSON stays none."""
 
     def marked(t: Column) -> Column:
         number = F.when(t.rlike(r"^-?\d+$"), F.when(t == "-0", "0").otherwise(t)).otherwise(canonical_double(t.try_cast("double")))
         return F.when(F.startswith(t, F.lit('"')), F.concat(F.lit('"s'), F.substr(t, F.lit(2)))).when(t.rlike(f"^{_NUMBER}$"), F.coalesce(F.concat(F.lit('"n'), number, F.lit('"')), F.lit("{"))).otherwise(t)
 
-    tokens = F.regexp_extract_all(json, F.lit("(?s)" + _TOKENS), F.lit(1))
-    text = F.to_json(F.try_parse_json(F.array_join(F.transform(tokens, marked), "")))
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit("(?s)" + _TOKENS), F.lit(1)), marked), "")
+
+
+def unmarked_json(text: Column) -> Column:
+    """Marked text as canonical JSON again."""
     text = F.regexp_replace(text, r'"n([^"]*)"|(")s((?:[^"\\]|\\.)*")', "$1$2$3")
     # control characters in lower-case hexadecimal digits
     for x in "ABCDEF":
@@ -139,6 +140,14 @@ def canonical_json_text(json: Column) -> Column:
     return text
 
 
+def canonical_json_text(json: Column) -> Column:
+    """Canonical text of JSON text of any shape: keys sorted at every level, no blanks, whole numbers of any length as they
+    are, others as canonical_double has them; null where it is no JSON or a number isn't finite. An object that has a key
+    twice is an error, null, unless the session sets spark.sql.variant.allowDuplicateKeys; then the last one counts (see
+    last_key_counts)."""
+    return unmarked_json(F.to_json(F.try_parse_json(marked_json(json))))
+
+
 @contextmanager
 def last_key_counts(spark: SparkSession) -> Iterator[None]:
     """While plans are made in it, JSON objects that have a key twice are read with the last one."""

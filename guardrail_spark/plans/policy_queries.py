@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bump_patch
 from ..operators import policies as P
+from ..operators import profiles
 from ..sources import records
 from .event_queries import _BUNDLES, bundles
 from .views import CATALOG, GUARD_EVENTS, GUARDS, POLICIES, table, view
@@ -367,3 +368,71 @@ def p15_list_packs(spark, sf_dir):
     """Stored packs; every seventh is broken and left out."""
     packs = table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(".yaml")).alias("path"), F.expr(_PACK).alias("document"))
     return P.list_packs(packs).drop("labels")
+
+
+_BASE = '{"apiVersion":"v1","kind":"Profile","metadata":{"id":"baseline","version":"1.0.0","labels":{"tier":"base"}},"spec":{"applies_to":{"apps":["*"],"environments":["prod"]},"defaults":{"fail_mode":"closed","timeout_ms":4E2},"guards":[{"id":"g-a","threshold":0.80,"config":{"x":1.0}},{"id":"g-b","threshold":"default"}]}}'
+_PACK_DOC = """concat('{"metadata":{"id":"pack-', CAST(n AS STRING), '","version":"2.0.0","parent":"baseline@1.0.0"},"spec":{"defaults":{"timeout_ms":', CAST(400 + n % 3 * 100 AS STRING), '},"guards":[',
+CASE WHEN n % 4 = 0 THEN '{"id":"g-b","__remove__":true}' ELSE concat('{"id":"g-c","threshold":0.50},{"id":"g-a","config":{"y":', CAST(n % 5 AS STRING), '}}') END, ']}}')"""
+_APP_DOC = """concat('{"metadata":{"id":"p-', CAST(k AS STRING), '","version":"1.0.', CAST(k AS STRING), '"', CASE WHEN k % 7 = 0 THEN ',"labels":"none"' ELSE '' END, '},"spec":{"applies_to":{"apps":["app', CAST(k % 5 AS STRING), '"]}',
+CASE WHEN k % 5 = 0 THEN ',"guards":[{"id":"g-b","on_fail":"block"}]' ELSE '' END, '}}')"""
+
+
+def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layers of documents for every order: the baseline, one of 60 packs, and the app's own."""
+    k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    packs = k.select((F.col("k") % 60).alias("n")).distinct().select(F.concat(F.lit("pack-"), F.col("n").cast("string")).alias("id"), F.lit("2.0.0").alias("version"), F.expr(_PACK_DOC).alias("document"))
+    base = spark.range(1).select(F.lit("baseline").alias("id"), F.lit("1.0.0").alias("version"), F.lit(_BASE).alias("document"))
+    apps = k.select(F.col("k").alias("key"), F.concat(F.lit("pack-"), (F.col("k") % 60).cast("string"), F.lit("@2.0.0")).alias("profile"), F.expr(_APP_DOC).alias("document"))
+    return profiles.profile_layers(apps, base.unionByName(packs))
+
+
+def _merged(meta: str, kind: str) -> str:
+    """SQL of the merged document of order k, with what stands in metadata between the labels and the version."""
+    g_a = """'{"config":{"x":1' || CASE WHEN k % 4 = 0 THEN '' ELSE ',"y":' || (k % 5) END || '},"id":"g-a","threshold":0.8}'"""
+    g_b = """CASE WHEN k % 5 = 0 AND k % 4 = 0 THEN ',{"id":"g-b","on_fail":"block"}' WHEN k % 4 = 0 THEN '' WHEN k % 5 = 0 THEN ',{"id":"g-b","on_fail":"block","threshold":"default"}' ELSE ',{"id":"g-b","threshold":"default"}' END"""
+    g_c = """CASE WHEN k % 4 = 0 THEN '' ELSE ',{"id":"g-c","threshold":0.5}' END"""
+    return f"""'{{"apiVersion":"v1","kind":"{kind}","metadata":{{"id":"p-' || k || '","labels":' || CASE WHEN k % 7 = 0 THEN '"none"' ELSE '{{"tier":"base"}}' END || ',{meta}"version":"1.0.' || k
+|| '"}},"spec":{{"applies_to":{{"apps":["app' || (k % 5) || '"],"environments":["prod"]}},"defaults":{{"fail_mode":"closed","timeout_ms":' || (400 + k % 3 * 100) || '}},"guards":[' || {g_a} || {g_b} || {g_c} || ']}}}}'"""
+
+
+_KEYS = "(SELECT o_orderkey AS k FROM orders) q"
+
+
+@query(f"""SELECT k AS key, {_merged('"parent":"baseline@1.0.0",', "Profile")} AS document FROM {_KEYS}""")
+def p2_merge_documents(spark, sf_dir):
+    return profiles.merge_documents(layered(spark, sf_dir))
+
+
+@query(f"""SELECT k AS key, {_merged("""\"profile\":\"pack-' || (k % 60) || '@2.0.0\",\"status\":\"draft\",\"tenant\":\"t' || (k % 3) || '\",""", "Policy")} AS document FROM {_KEYS}""")
+def p5_compile_documents(spark, sf_dir):
+    layers = layered(spark, sf_dir)
+    k = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    stamps = k.select("key", F.concat(F.lit("t"), (F.col("key") % 3).cast("string")).alias("tenant"), F.concat(F.lit("pack-"), (F.col("key") % 60).cast("string"), F.lit("@2.0.0")).alias("profile"))
+    return profiles.compile_documents(layers, stamps)
+
+
+_PACK_OF = "'pack-' || (k % 60)"
+_CHANGES = [  # layer, path, change, before, value, when
+    (1, "'metadata.id'", "REPLACED", "'\"baseline\"'", f"'\"' || {_PACK_OF} || '\"'", "true"),
+    (1, "'metadata.version'", "REPLACED", "'\"1.0.0\"'", "'\"2.0.0\"'", "true"),
+    (1, "'metadata.parent'", "ADDED", "NULL", "'\"baseline@1.0.0\"'", "true"),
+    (1, "'spec.defaults.timeout_ms'", "REPLACED", "'400'", "CAST(400 + k % 3 * 100 AS VARCHAR)", "k % 3 <> 0"),
+    (1, "'spec.guards[g-b]'", "REMOVED", "NULL", "NULL", "k % 4 = 0"),
+    (1, "'spec.guards[g-c]'", "ADDED", "NULL", "NULL", "k % 4 <> 0"),
+    (1, "'spec.guards[g-a].config.y'", "ADDED", "NULL", "CAST(k % 5 AS VARCHAR)", "k % 4 <> 0"),
+    (2, "'metadata.id'", "REPLACED", f"'\"' || {_PACK_OF} || '\"'", "'\"p-' || k || '\"'", "true"),
+    (2, "'metadata.version'", "REPLACED", "'\"2.0.0\"'", "'\"1.0.' || k || '\"'", "true"),
+    (2, "'metadata.labels'", "REPLACED", "NULL", "'\"none\"'", "k % 7 = 0"),
+    (2, "'spec.applies_to.apps'", "REPLACED", "'[\"*\"]'", "'[\"app' || (k % 5) || '\"]'", "true"),
+    (2, "'spec.guards[g-b]'", "ADDED", "NULL", "NULL", "k % 5 = 0 AND k % 4 = 0"),
+    (2, "'spec.guards[g-b].on_fail'", "ADDED", "NULL", "'\"block\"'", "k % 5 = 0 AND k % 4 <> 0"),
+]
+_LAYER_NAME = {0: "'baseline@1.0.0'", 1: f"{_PACK_OF} || '@2.0.0'", 2: "'app-policy'"}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT k AS key, {n} AS layer, {_LAYER_NAME[n]} AS name, {path} AS path, '{change}' AS change, CAST({before} AS VARCHAR) AS before, CAST({value} AS VARCHAR) AS value, {'NULL' if change == 'ADDED' else _LAYER_NAME[n - 1]} AS replaced FROM {_KEYS} WHERE {when}"
+    for n, path, change, before, value, when in _CHANGES
+))
+def p4_document_trace(spark, sf_dir):
+    return profiles.document_trace(layered(spark, sf_dir))
