@@ -156,13 +156,25 @@ def verify_anchors(anchors: DataFrame, chain: DataFrame) -> DataFrame:
     return joined.withColumn("ok", F.col("__follows") & F.coalesce(F.col("__hash") == F.col("head_hash"), F.lit(False))).drop("__follows", "__hash")
 
 
-def anchor_coverage(events: DataFrame, anchors: DataFrame) -> DataFrame:
-    """events with the end of the anchor that covers them, or null: as-of by a sorted sweep of both, so no range is joined."""
-    marks = anchors.select(*KEYS, F.col("start_seq").alias("chain_seq"), F.col("end_seq").alias("__end"), F.lit(None).cast("string").alias("event_id"), F.lit(0).alias("__kind"))
-    rows = events.select(*KEYS, "chain_seq", F.lit(None).cast("long").alias("__end"), "event_id", F.lit(1).alias("__kind"))
-    order = W.partitionBy(*KEYS).orderBy("chain_seq", "__kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = rows.unionByName(marks).withColumn("__end", F.last("__end", ignorenulls=True).over(order)).where("__kind = 1")
-    return swept.select(*KEYS, "chain_seq", "event_id", F.when(F.col("chain_seq") <= F.col("__end"), F.col("__end")).alias("anchor_end"))
+BLOCK = 4096  # numbers of a chain that are swept together
+
+
+def anchor_coverage(events: DataFrame, anchors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """events with the end of the anchor that covers them, or null: as-of by sorted sweeps of both, so no range is joined.
+    A chain is swept in blocks of its numbers, spread over all tasks; what the blocks before leave open is found from one
+    row for each block. Anchors don't overlap."""
+    of = lambda c: F.floor(F.col(c) / block).alias("__block")
+    marks = anchors.select(*KEYS, of("start_seq"), F.col("start_seq").alias("chain_seq"), F.col("end_seq").alias("__end"), F.lit(None).cast("string").alias("event_id"), F.lit(0).alias("__kind"))
+    rows = events.select(*KEYS, of("chain_seq"), "chain_seq", F.lit(None).cast("long").alias("__end"), "event_id", F.lit(1).alias("__kind"))
+    both = rows.unionByName(marks)
+    last = both.groupBy(*KEYS, "__block").agg(F.max_by(F.col("__end"), F.when(F.col("__kind") == 0, F.col("chain_seq"))).alias("__last"))
+    earlier = W.partitionBy(*KEYS).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select(*KEYS, "__block", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    order = W.partitionBy(*KEYS, "__block").orderBy("chain_seq", "__kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = both.withColumn("__end", F.last("__end", ignorenulls=True).over(order)).where("__kind = 1")
+    null_safe = [swept[c].eqNullSafe(carried[c]) for c in (*KEYS, "__block")]
+    end = F.coalesce(swept["__end"], carried["__carried"])
+    return swept.join(carried, null_safe, "left").select(*[swept[c] for c in KEYS], swept["chain_seq"], swept["event_id"], F.when(swept["chain_seq"] <= end, end).alias("anchor_end"))
 
 
 def export_bundle(chain: DataFrame, anchors: DataFrame, tenant: str, app: str, start, end) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -91,16 +91,28 @@ def incident_windows(events: DataFrame, gap: str = "5 minutes") -> DataFrame:
     return errors.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n_errors"), F.count_distinct("request_id").alias("n_requests")).drop("w")
 
 
-def breaker_windows(events: DataFrame, keys: list[str], failures: int = 5, open_seconds: int = 15) -> DataFrame:
+def breaker_windows(events: DataFrame, keys: list[str], failures: int = 5, open_seconds: int = 15, block_seconds: int = 3600) -> DataFrame:
     """Where a breaker opens: at the failure that completes a run of so many and at every later failure of the run, each
-    for so many seconds or until the success that ends the run, whichever comes first."""
-    order = W.partitionBy(*keys).orderBy("ts", "event_id")
+    for so many seconds or until the success that ends the run, whichever comes first. Each stretch of block_seconds is
+    walked by itself, so that the events of one guard are spread over all tasks; a stretch sums up to whether it has a
+    success, when its first was, and how many failures follow its last, and these few rows of a guard are composed to the
+    run that each stretch begins with and the success that comes after it. Events without a verdict don't count."""
+    at = W.partitionBy(*keys, "__block").orderBy("ts", "event_id")
     good = F.col("verdict") != "ERROR"
-    # what comes after the next success is another run; the time of that success ends this one
-    marked = events.withColumns({"run": F.count_if(good).over(order), "reset": F.min(F.when(good, F.col("ts"))).over(order.rowsBetween(1, W.unboundedFollowing))})
-    marked = marked.where(~good).withColumn("k", F.row_number().over(W.partitionBy(*keys, "run").orderBy("ts", "event_id")))
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    rows = events.where("verdict is not null").select(*keys, "ts", "event_id", good.alias("__good"), F.floor(seconds / block_seconds).alias("__block"))
+    rows = rows.withColumn("__fails", F.count_if(~F.col("__good")).over(at))
+    rows = rows.withColumns({"__base": F.last(F.when(F.col("__good"), F.col("__fails")), ignorenulls=True).over(at), "__reset": F.first(F.when(F.col("__good"), F.col("ts")), ignorenulls=True).over(at.rowsBetween(1, W.unboundedFollowing))})
+    rows = rows.withColumn("__run", F.col("__fails") - F.coalesce("__base", F.lit(0)))
+    blocks = rows.groupBy(*keys, "__block").agg(F.bool_or("__good").alias("__any"), F.min(F.when(F.col("__good"), F.col("ts"))).alias("__first"), F.max_by("__run", F.struct("ts", "event_id")).alias("__tail"))
+    by_key = W.partitionBy(*keys).orderBy("__block")
+    blocks = blocks.withColumn("__sum", F.sum("__tail").over(by_key))
+    blocks = blocks.withColumn("__open", F.col("__sum") - F.coalesce(F.last(F.when(F.col("__any"), F.col("__sum") - F.col("__tail")), ignorenulls=True).over(by_key), F.lit(0)))
+    blocks = blocks.select(*keys, "__block", F.coalesce(F.lag("__open").over(by_key), F.lit(0)).alias("__carried"), F.first("__first", ignorenulls=True).over(by_key.rowsBetween(1, W.unboundedFollowing)).alias("__later"))
+    met = rows.where(~F.col("__good")).alias("r").join(blocks.alias("b"), [F.col(f"r.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in (*keys, "__block")], "left")
+    run = F.col("__run") + F.when(F.col("__base").isNull(), F.col("__carried")).otherwise(0)
     late = F.col("ts") + F.expr(f"interval {open_seconds} seconds")
-    return marked.where(F.col("k") >= failures).select(*keys, F.col("ts").alias("opened_at"), F.least(late, "reset").alias("closes_at"), F.col("k").alias("failures"))
+    return met.where(run >= failures).select(*[F.col(f"r.`{c}`") for c in keys], F.col("ts").alias("opened_at"), F.least(late, F.coalesce("__reset", "__later")).alias("closes_at"), run.alias("failures"))
 
 
 def bundle_gauges(bundles: DataFrame, now: Column) -> DataFrame:

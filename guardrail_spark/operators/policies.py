@@ -337,20 +337,40 @@ def lint(policies: DataFrame, guards: DataFrame, schema_gate: bool = True) -> Da
 LEGAL = {("draft", "submit"): "in_review", ("in_review", "approve"): "approved", ("in_review", "reject"): "draft", ("approved", "revoke"): "revoked"}
 
 
-def replay_lifecycle(audit: DataFrame) -> DataFrame:
+STATES = ("draft", "in_review", "approved", "revoked")
+
+
+def replay_lifecycle(audit: DataFrame, block: int = 1000) -> DataFrame:
     """audit (key, at, action) with the state before and after each action and whether it was legal; illegal ones change
-    nothing, so the state is a fold over each key's actions."""
+    nothing. The rows are dealt by range of (key, at), so that a long history lies in many tasks, and cut into blocks. A
+    block is a function from the state that it is entered in to the one that it is left in; these functions are composed
+    over a key's blocks, and each block is walked from its own first state."""
     pairs = F.create_map(*[F.lit(x) for (s, a), t in LEGAL.items() for x in (f"{s}>{a}", t)])
+    to = lambda state, action: F.try_element_at(pairs, F.concat(state, F.lit(">"), action))
+    ranged = audit.select("key", "at", "action").repartitionByRange("key", "at", "action").sortWithinPartitions("key", "at", "action")
+    ranged = settled(ranged.withColumn("__part", F.spark_partition_id()))
+    place = F.row_number().over(W.partitionBy("key", "__part").orderBy("at", "action"))
+    blocks = ranged.withColumn("__cut", F.floor((place - 1) / block)).groupBy("key", "__part", "__cut").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("l"))
+    every = F.array(*[F.lit(s) for s in STATES])
+    blocks = settled(blocks.withColumn("f", F.aggregate("l", every, lambda ends, x: F.transform(ends, lambda s: F.coalesce(to(s, x["action"]), s)))))
+
+    def enter(acc: Column, x: Column) -> Column:
+        after = F.element_at(x["f"], F.array_position(every, acc["state"]).cast("int"))
+        return F.struct(after.alias("state"), F.concat(acc["entered"], F.array(F.struct(x["__part"], x["__cut"], acc["state"].alias("state")))).alias("entered"))
+
+    listed = blocks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("__part", "__cut", "f"))).alias("l"))
+    first = F.struct(F.lit("draft").alias("state"), F.array().cast("array<struct<__part:int,__cut:bigint,state:string>>").alias("entered"))
+    entered = listed.select("key", F.inline(F.aggregate("l", first, enter)["entered"]))
 
     def step(acc: Column, x: Column) -> Column:
-        state = F.coalesce(F.try_element_at(acc, F.lit(-1))["after"], F.lit("draft"))
-        to = F.try_element_at(pairs, F.concat(state, F.lit(">"), x["action"]))
-        return F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["action"].alias("action"), state.alias("before"), F.coalesce(to, state).alias("after"), to.isNotNull().alias("legal"))))
+        state = F.coalesce(F.try_element_at(acc, F.lit(-1))["after"], F.col("state"))
+        new = to(state, x["action"])
+        return F.concat(acc, F.array(F.struct(x["at"].alias("at"), x["action"].alias("action"), state.alias("before"), F.coalesce(new, state).alias("after"), new.isNotNull().alias("legal"))))
 
     at = audit.schema["at"].dataType.simpleString()
     kind = f"array<struct<at:{at},action:string,before:string,after:string,legal:boolean>>"
-    rows = audit.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("l"))
-    return rows.select("key", F.inline(F.aggregate("l", F.array().cast(kind), step)))
+    met = blocks.alias("b").join(entered.alias("e"), [F.col(f"b.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("key", "__part", "__cut")])
+    return met.select("b.key", "b.l", "e.state").select("key", F.inline(F.aggregate("l", F.array().cast(kind), step)))
 
 
 def sod_violations(policies: DataFrame, admins: tuple[str, ...] = ()) -> DataFrame:
