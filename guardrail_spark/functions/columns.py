@@ -76,7 +76,7 @@ def text_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
-def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
     """f of c, with c evaluated once."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
@@ -111,9 +111,9 @@ def canonical_double(c: Column) -> Column:
 
     def text(v: Column) -> Column:
         finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
-        return F.when((v == F.floor(v)) & (F.abs(v) <= 1e15), F.floor(v).cast("string")).when(finite, _let(shortest(v), laid_out))
+        return F.when((v == F.floor(v)) & (F.abs(v) <= 1e15), F.floor(v).cast("string")).when(finite, let(shortest(v), laid_out))
 
-    return _let(c.cast("double"), text)
+    return let(c.cast("double"), text)
 
 
 _NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"

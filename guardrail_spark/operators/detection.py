@@ -5,12 +5,15 @@ Spans are array<struct<start, end, label, confidence>>, in code points, end excl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import VALIDATORS, shannon_entropy
+from ..functions.columns import VALIDATORS, let, shannon_entropy
 from ..rules import PII, PII_PACK, SECRETS, Rule
 
 SPAN = "array<struct<start:int,end:int,label:string,confidence:double>>"
@@ -33,21 +36,27 @@ def matches(text: Column, regex: str) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
-def has_keyword(text: Column, rule: Rule) -> Column:
-    """Whether any keyword occurs, in any case; rules without keywords always run."""
-    low = F.lower(text)
-    test = F.lit(not rule.keywords)
-    for k in sorted({k.lower() for k in rule.keywords}):
-        test = test | F.contains(low, F.lit(k))
-    return test
+def may_match(text: Column, low: Column, rule: Rule) -> Column:
+    """Whether a rule can match at all: a keyword occurs (in any case; rules without keywords always run), a context word
+    does where one is required, and the rule's gate. low: the text in lower case. Cheapest tests first."""
+    tests = []
+    if rule.keywords:
+        tests.append(reduce(or_, [F.contains(low, F.lit(k)) for k in sorted({k.lower() for k in rule.keywords})]))
+    if rule.gate:
+        tests.append(text.rlike(rule.gate) if re.search(r"\W", rule.gate.replace("@", "")) else F.contains(text, F.lit(rule.gate)))
+    if rule.requires_context:
+        tests.append(reduce(or_, [F.contains(low, F.lit(w)) for w in rule.context_words]))
+    return reduce(and_, tests, F.lit(True))
 
 
 def _valid(name: str) -> Callable[[Column], Column]:
     return lambda s: VALIDATORS[name](s["match"])
 
 
-def rule_spans(text: Column, rule: Rule, threshold: float = 0.0) -> Column:
-    """Spans of one rule: its pattern runs only where a keyword allows it; validators, context and entropy then decide."""
+def rule_spans(text: Column, rule: Rule, threshold: float = 0.0, low: Column | None = None) -> Column:
+    """Spans of one rule: its pattern runs only where keywords, gate and context allow it; validators, context and entropy
+    then decide. low: the text in lower case, if it is at hand."""
+    low = F.lower(text) if low is None else low
     if rule.confidence < threshold and not rule.entropy_min:
         return F.array().cast(SPAN)
     found = matches(text, rule.regex)
@@ -58,7 +67,7 @@ def rule_spans(text: Column, rule: Rule, threshold: float = 0.0) -> Column:
 
     def near(s: Column) -> Column:
         start = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        window = F.lower(F.substring(text, start + 1, s["end"] + CONTEXT - start))
+        window = F.lower(F.substring(text, start + 1, s["end"] + CONTEXT - start))  # lower case may change lengths: not of low
         return F.exists(F.array(*[F.lit(w) for w in rule.context_words]), lambda w: F.contains(window, w))
 
     if rule.requires_context:
@@ -73,7 +82,7 @@ def rule_spans(text: Column, rule: Rule, threshold: float = 0.0) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.id).alias("label"), conf.alias("confidence"))
 
     spans = F.filter(F.transform(found, span), lambda s: s["confidence"] >= threshold)
-    return F.when(has_keyword(text, rule), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(may_match(text, low, rule), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def resolve_overlaps(spans: Column, kind: str) -> Column:
@@ -106,11 +115,11 @@ def labels_of(spans: Column) -> Column:
 
 
 def extract_spans(df: DataFrame, text: str, rules: list[Rule], kind: str, threshold: float = 0.0) -> DataFrame:
-    """df with `spans`. Each rule's spans become a column first, so that no pattern is evaluated twice."""
+    """df with `spans`. The text in lower case is bound within one expression, so that it is made once for all rules even
+    where a filter on the spans is pushed below them."""
     t = F.coalesce(F.col(text), F.lit(""))
-    names = [f"__r{i}" for i in range(len(rules))]
-    wide = df.withColumns({n: rule_spans(t, r, threshold) for n, r in zip(names, rules)})
-    return wide.withColumn("spans", resolve_overlaps(F.concat(*names), kind)).drop(*names)
+    found = let(F.lower(t), lambda low: F.concat(*[rule_spans(t, r, threshold, low) for r in rules]))
+    return df.withColumn("spans", resolve_overlaps(found, kind))
 
 
 def pii_scan(df: DataFrame, text: str = "text", rules: list[Rule] | None = None, enforce_threshold: float | None = None) -> DataFrame:

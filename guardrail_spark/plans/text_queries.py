@@ -110,7 +110,7 @@ _TOKEN = TOKEN_RULE.regex
 @query(f"SELECT lang, count(*) FILTER (contains(lower(text), 'token')) AS allowed, count(*) FILTER (regexp_matches(text, '{_TOKEN}')) AS found FROM documents GROUP BY lang")
 def d8_keyword_prefilter(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    rows = docs(spark, sf_dir).select("lang", detection.has_keyword(t, TOKEN_RULE).alias("k"), F.size(detection.rule_spans(t, TOKEN_RULE)).alias("n"))
+    rows = docs(spark, sf_dir).select("lang", detection.may_match(t, F.lower(t), TOKEN_RULE).alias("k"), F.size(detection.rule_spans(t, TOKEN_RULE)).alias("n"))
     return rows.groupBy("lang").agg(F.count_if("k").alias("allowed"), F.count_if(F.col("n") > 0).alias("found"))
 
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rule:
-    """One detection rule. kind: pii or secrets."""
+    """One detection rule. kind: pii or secrets. gate: a plain pattern that every match contains; texts without it are not
+    searched with the rule's own, dearer one."""
 
     id: str
     regex: str
@@ -18,6 +19,7 @@ class Rule:
     validators: tuple[str, ...] = ()
     entropy_min: float = 0.0
     requires_context: bool = False
+    gate: str = ""
 
 
 def rule_pack(spec: dict) -> list[Rule]:
@@ -39,13 +41,13 @@ def rule_pack(spec: dict) -> list[Rule]:
 
 # Patterns, context words and confidences of the financial entity pack.
 PII = [
-    Rule("SSN", r"(?<!\d)(?!000|666|9\d\d)\d{3}[- ]?(?!00)\d{2}[- ]?(?!0000)\d{4}(?!\d)", 0.75, "pii", context_words=("ssn", "social security", "social sec", "ss#", "tin")),
-    Rule("CREDIT_CARD", r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", 0.55, "pii", context_words=("card", "visa", "mastercard", "amex", "discover", "pan", "cvv", "cvc"), validators=("luhn",)),
-    Rule("US_ROUTING", r"(?<!\d)(?:0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)\d{7}(?!\d)", 0.60, "pii", context_words=("routing", "aba", "routing number", "rtn"), validators=("aba_checksum",)),
-    Rule("US_BANK_ACCOUNT", r"(?<!\d)\d{6,17}(?!\d)", 0.30, "pii", context_words=("account", "acct", "account number", "acct#"), requires_context=True),
-    Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){10,30}\b", 0.75, "pii", context_words=("iban",), validators=("iban_checksum",)),
-    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.90, "pii"),
-    Rule("US_PHONE", r"(?<!\d)(?:\+?1[-. ]?)?\(?[2-9]\d{2}\)?[-. ]?[2-9]\d{2}[-. ]?\d{4}(?!\d)", 0.75, "pii", context_words=("phone", "tel", "mobile", "cell", "contact")),
+    Rule("SSN", r"(?<!\d)(?!000|666|9\d\d)\d{3}[- ]?(?!00)\d{2}[- ]?(?!0000)\d{4}(?!\d)", 0.75, "pii", context_words=("ssn", "social security", "social sec", "ss#", "tin"), gate=r"\d{3}[- ]?\d{2}[- ]?\d{4}"),
+    Rule("CREDIT_CARD", r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", 0.55, "pii", context_words=("card", "visa", "mastercard", "amex", "discover", "pan", "cvv", "cvc"), validators=("luhn",), gate=r"\d(?:[ -]?\d){12}"),
+    Rule("US_ROUTING", r"(?<!\d)(?:0[0-9]|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)\d{7}(?!\d)", 0.60, "pii", context_words=("routing", "aba", "routing number", "rtn"), validators=("aba_checksum",), gate=r"\d{9}"),
+    Rule("US_BANK_ACCOUNT", r"(?<!\d)\d{6,17}(?!\d)", 0.30, "pii", context_words=("account", "acct", "account number", "acct#"), requires_context=True, gate=r"\d{6}"),
+    Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){10,30}\b", 0.75, "pii", context_words=("iban",), validators=("iban_checksum",), gate=r"[A-Z]{2}\d{2}"),
+    Rule("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.90, "pii", gate=r"@"),
+    Rule("US_PHONE", r"(?<!\d)(?:\+?1[-. ]?)?\(?[2-9]\d{2}\)?[-. ]?[2-9]\d{2}[-. ]?\d{4}(?!\d)", 0.75, "pii", context_words=("phone", "tel", "mobile", "cell", "contact"), gate=r"\d{3}\)?[-. ]?\d{3}[-. ]?\d{4}"),
 ]
 PII_PACK = "financial-us@2.1"
 
@@ -60,9 +62,9 @@ SECRETS = [
     Rule("stripe-secret", r"\bsk_(live|test)_[A-Za-z0-9]{24,}\b", 0.99, "secrets", ("sk_live_", "sk_test_")),
     Rule("google-api-key", r"\bAIza[0-9A-Za-z_\-]{35}\b", 0.95, "secrets", ("AIza",)),
     Rule("openai-api-key", r"\bsk-[A-Za-z0-9]{32,}\b", 0.90, "secrets", ("sk-",)),
-    Rule("jwt", r"\bey[A-Za-z0-9_-]{10,}\.ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", 0.85, "secrets", ("ey",), validators=("jwt_structural",)),
+    Rule("jwt", r"\bey[A-Za-z0-9_-]{10,}\.ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", 0.85, "secrets", ("ey",), validators=("jwt_structural",), gate=r"ey[A-Za-z0-9_-]{10,}+\.ey"),
     Rule("private-key-pem", r"-----BEGIN (RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY( BLOCK)?-----", 1.0, "secrets", ("BEGIN",)),
-    Rule("generic-high-entropy", r"\b[A-Za-z0-9+/=_-]{24,}\b", 0.55, "secrets", entropy_min=4.5),
+    Rule("generic-high-entropy", r"\b[A-Za-z0-9+/=_-]{24,}\b", 0.55, "secrets", entropy_min=4.5, gate=r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{24}"),
 ]
 #: A rule that the feed adds; it fires on the test tables.
 TOKEN_RULE = Rule("token-assignment", r'token = "[0-9a-f]{40}"', 0.95, "secrets", ("token",))
