@@ -3,8 +3,8 @@
 A naive Bayes classifier with normal features, learnt by SQL aggregates from all labelled rows, gives each document a
 posterior over the domains of the labelled table. Then document rates are fitted: with n tokens and posterior p of a
 document, the sums of rate * n * p over all documents, one for each domain, shall match the targets. Projected gradient
-descent on the squared errors, scaled by tokens and by the domains' overlap: each step adds the domains' scaled errors,
-weighted by the document's posterior, and projects on [0, most]. A step's sums are one distributed aggregate; the driver holds the
+descent on the squared errors, scaled by tokens and by the overlap of the domains in the documents whose rates are free to
+move: each step adds the domains' scaled errors, weighted by the document's posterior, and projects on [0, most]. A step's sums are one distributed aggregate; the driver holds the
 domains' errors alone, a few numbers a step, and a document's rate is the fold of its posterior over them.
 
 Rows are emitted by rate: floor(rate + u) copies with u uniform in [0, 1) from a hash of the id.
@@ -93,39 +93,48 @@ def _rate(errors: list[list[float]], size: int, most: float) -> Column:
 
 
 def fit_rates(known: DataFrame, targets: list[float], most: float, relative: bool) -> list[list[float]]:
-    """The scaled errors of all steps for rows (n, p); `_rate` folds a posterior over them. Errors are scaled by the
-    inverse of the sum of n p p': a step then solves the squares at once but for rates that meet a bound."""
+    """The scaled errors of all steps for rows (n, p); `_rate` folds a posterior over them. Errors are scaled by the inverse
+    of the sum of n p p' over the rows whose rate is free to move, which meets reachable targets in a few steps; where such a
+    step doesn't lessen the error, it is taken back for one scaled by the sum over all rows, which always does."""
     size = len(targets)
-    pairs = [(i, j) for i in range(size) for j in range(size)]
-    first = known.agg(F.sum("n"), *[F.sum(F.col("n") * F.col("p")[i]) for i in range(size)], *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
-    total, has = first[0] or 0, np.array([x or 0.0 for x in first[1 : size + 1]])
-    scale = np.linalg.pinv(np.array([x or 0.0 for x in first[size + 1 :]]).reshape(size, size))
+    sums_of = lambda value: [F.sum(value * F.col("p")[i]) for i in range(size)]
+    squares_of = lambda value: [F.sum(value * F.col("p")[i] * F.col("p")[j]) for i in range(size) for j in range(size)]
+    numbers = lambda row: np.array([x or 0.0 for x in row], float)
+    first = known.agg(F.sum("n"), *sums_of(F.col("n")), *squares_of(F.col("n"))).first()
+    total, has = first[0] or 0, numbers(first[1 : size + 1])
+    every = np.linalg.pinv(numbers(first[size + 1 :]).reshape(size, size))
     goal = np.array(targets) * (has if relative else total)
+    share_of = lambda error: np.divide(np.abs(error), has, out=np.zeros(size), where=has > 0)
+    if total and ((has == 0) & (goal > 0)).any():
+        warnings.warn(f"domains without tokens can't be reached: {np.flatnonzero((has == 0) & (goal > 0)).tolist()}", RuntimeWarning, stacklevel=2)
     steps: list[list[float]] = []
-    before, beyond = None, False
-    while total and len(steps) < STEPS:
+    best, error, free = np.inf, np.zeros(size), every
+    careful = beyond = done = False
+    while total:
         # of the last step's direction also the least that any rates can reach along it: if that lies beyond the goal, the
         # targets are proved out of reach, and what is still to gain is bounded by the difference
         last = steps[-1] if steps else [0.0] * size
         along = sum((F.col("p")[i] * e for i, e in enumerate(last)), F.lit(0.0))
-        least = F.sum(F.col("n") * most * F.least(F.lit(0.0), along))
-        sums = known.select("n", "p", _rate(steps, size, most).alias("w")).agg(*[F.sum(F.col("n") * F.col("p")[i] * F.col("w")) for i in range(size)], least).first()
-        error = np.array([x or 0.0 for x in sums[:size]]) - goal
-        share = np.abs(error) / np.maximum(has, 1e-9)
+        inside = F.when((F.col("w") > 0) & (F.col("w") < most), F.col("n")).otherwise(0)
+        found = known.select("n", "p", _rate(steps, size, most).alias("w")).agg(*sums_of(F.col("n") * F.col("w")), *squares_of(inside), F.sum(F.col("n") * most * F.least(F.lit(0.0), along))).first()
+        new, squares, least = numbers(found[:size]) - goal, numbers(found[size:-1]).reshape(size, size), found[-1] or 0.0
+        left = float(new @ every @ new)
+        if left >= best and not careful and steps:
+            steps[-1], careful = [float(x) for x in every @ error], True
+            continue
+        stalled = left >= best * (1 - 1e-9)
+        error, best, free = new, left, np.linalg.pinv(squares)
         if steps:
-            bound = (sums[size] or 0.0) - float(np.dot(last, goal))
+            bound = least - float(np.dot(last, goal))
             beyond = beyond or bound > 0
-            near = beyond and float(np.dot(last, error)) - bound <= ENOUGH * float(np.dot(np.abs(last), has))
-        if share.max() < ENOUGH or steps and near or before is not None and np.abs(share - before).max() < ENOUGH / 10:
+            done = beyond and float(np.dot(last, error)) - bound <= ENOUGH * float(np.dot(np.abs(last), has))
+        if share_of(error).max() < ENOUGH or done or stalled or len(steps) == STEPS:
             break
-        before = share
-        steps.append([float(x) for x in scale @ error])
-    else:
-        if total:
-            warnings.warn(f"the fit of rates ended after {STEPS} steps; error before the last one: {share.max():.3g} of a domain's tokens" + "; the targets are out of reach" * beyond, RuntimeWarning, stacklevel=2)
-            return steps
-    if total and share.max() >= ENOUGH:
-        warnings.warn(f"the fit of rates came as near as it can: {share.max():.3g} of a domain's tokens" + " from targets that are out of reach" * beyond, RuntimeWarning, stacklevel=2)
+        careful = beyond or not squares.any()
+        steps.append([float(x) for x in (every if careful else free) @ error])
+    if total and share_of(error).max() >= ENOUGH:
+        said = "came as near as it can" if done or beyond else f"ended after {len(steps)} steps"
+        warnings.warn(f"the fit of rates {said}: {share_of(error).max():.3g} of a domain's tokens" + " from targets that are out of reach" * beyond, RuntimeWarning, stacklevel=2)
     return steps
 
 
