@@ -9,8 +9,8 @@ from guardrail_spark.llm import bpe, mixing, neardup, substring, toxicity
 from guardrail_spark.llm.common import settled
 from guardrail_spark.llm.queries import TOKENIZERS, VOCABULARY, table
 
-#: Half of the low domain's tokens go; the good domain keeps what it has.
-TARGETS = {"low": 0.5, "good": 1.0}
+#: Half of the low domain's tokens go. Memberships are soft, so no rates up to one can do so and keep all of the good one's.
+TARGETS = {"low": 0.5, "good": 0.99}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
