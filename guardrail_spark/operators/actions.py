@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import meet
+
 EDIT = "array<struct<start:int,end:int,label:string,action:string>>"
 DEFERRED = ("reask", "rewrite")
 BLOCKING = ("block", "block_and_explain")
@@ -92,20 +94,21 @@ def check(requests: DataFrame, plan: DataFrame, scan, keys: list[str], text: str
 
     plan: policies.guard_plan. Policies run in order of `step`, each on what the last one left, up to the first that blocks;
     guards in shadow are reported and count for the verdict, but do not act. A failed detector counts by its guard's
-    fail mode. A plan meets requests as one array for each (app, env), so no request is multiplied and none is shuffled
-    but by that join; a detector's rules see the texts alone that one of its guards watches. The loop is over a plan's
-    steps and detectors, which its catalog bounds, never over rows."""
+    fail mode. A plan meets requests as one array for each (app, env), so no request is multiplied; a step whose guards,
+    counted first, are few enough is broadcast, so that no request is shuffled either. A detector's rules see the texts
+    alone that one of its guards watches. The loop is over a plan's steps and detectors, which its catalog bounds, never
+    over rows."""
     first = F.lit(False) if blocked is None else F.coalesce(blocked, F.lit(False))
     state = requests.select(
         *keys, "app", "env", "direction", F.col(text).alias("text"), F.col(text).alias("current"), first.alias("blocked"),
         F.array().cast("array<string>").alias("actions"), F.array().cast(REPORTED).alias("guards"),
     )
-    found = plan.select("step", "detector").distinct().orderBy("step", "detector").collect()
+    found = plan.groupBy("step", "detector").agg(F.count(F.lit(1)).alias("n")).orderBy("step", "detector").collect()
     each = F.struct("pos", *[c for c in plan.columns if c not in ("app", "env", "step", "pos")])
     for step in sorted({r.step for r in found}):
         names = [r.detector for r in found if r.step == step]
         mine = plan.where(F.col("step") == step).groupBy("app", "env").agg(F.array_sort(F.collect_list(each)).alias("__gs"))
-        state = state.join(mine, ["app", "env"], "left")
+        state = meet(state, mine, ["app", "env"], sum(r.n for r in found if r.step == step), "left")
         state = state.withColumn("__gs", F.when(F.col("blocked") | F.col("__gs").isNull(), F.array().cast(mine.schema["__gs"].dataType)).otherwise(F.filter("__gs", lambda g: F.array_contains(g["guard_direction"], F.col("direction")))))
         for i, name in enumerate(names):
             watched = F.array_contains(F.transform("__gs", lambda g: g["detector"]), name)

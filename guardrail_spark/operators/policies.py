@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import bump_patch, canonical_json_text, canonical_value, last_key_counts, text_hash
-from ..sources.shared import settled
+from ..sources.shared import meet, settled
 
 DOCUMENT = (
     "apiVersion string, kind string, metadata struct<id:string,version:string,tenant:string,status:string,parent:string,origin:string,labels:map<string,string>>,"
@@ -58,9 +58,10 @@ def guard_plan(documents: DataFrame, document: str = "document") -> DataFrame:
 
 
 def fan_out(requests: DataFrame, policies: DataFrame, guards: DataFrame) -> DataFrame:
-    """Each request with the guards of the policies for its (app, env) that watch its direction."""
+    """Each request with the guards of the policies for its (app, env) that watch its direction. The guards are counted first:
+    a few are broadcast, many meet each (app, env) in parts."""
     plan = policies.select("policy_key", "policy_id", "app", "env", "default_fail_mode").join(guards, "policy_key")
-    return requests.join(plan, ["app", "env"]).where((F.col("direction") == F.col("guard_direction")) | (F.col("guard_direction") == "both"))
+    return meet(requests, plan, ["app", "env"], plan.count()).where((F.col("direction") == F.col("guard_direction")) | (F.col("guard_direction") == "both"))
 
 
 def fan_out_counts(requests: DataFrame, policies: DataFrame, guards: DataFrame) -> DataFrame:
@@ -310,7 +311,8 @@ def schema_issues(policies: DataFrame, guards: DataFrame) -> DataFrame:
 def lint(policies: DataFrame, guards: DataFrame, schema_gate: bool = True) -> DataFrame:
     """Issues (policy_key, code, severity, path, message) of five rules; policies with structural errors get only those,
     unless schema_gate is off. The rule on streaming needs policies.streaming."""
-    structural = schema_issues(policies, guards).withColumn("severity", F.lit("error"))
+    # read twice: to report them, and to know the policies that have none
+    structural = settled(schema_issues(policies, guards).withColumn("severity", F.lit("error"))) if schema_gate else None
     rows = guards.join(policies.select("policy_key", "env", "default_fail_mode", *(["streaming"] if "streaming" in policies.columns else [])), "policy_key")
     if schema_gate:
         rows = rows.join(structural.select("policy_key").distinct(), "policy_key", "left_anti")

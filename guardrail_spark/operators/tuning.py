@@ -45,14 +45,16 @@ def grid_of(current: Column) -> Column:
     return F.filter(steps, lambda t: t <= high)
 
 
-def confusion_at(samples: DataFrame, thresholds: Column) -> DataFrame:
-    """guard_id, i, t and the four counts at each threshold of the array. A sample adds to the last threshold that it
-    reaches; sums from the end give what each threshold catches, so the cost doesn't grow with the grid."""
-    rows = samples.withColumn("ts", thresholds).where("ts is not null")
+def confusion_over(samples: DataFrame, grids: DataFrame) -> DataFrame:
+    """guard_id, i, t and the four counts at each threshold of the guards' grids (guard_id, ts: ascending). A sample adds to
+    the last threshold that it reaches; sums from the end give what each threshold catches, so the cost doesn't grow with
+    the grid. Samples are counted by guard and place alone; the grids join them, and then the counts, once."""
+    grids = grids.where("guard_id is not null and ts is not null")
+    rows = samples.select("guard_id", "score", "positive").join(grids, "guard_id")
     reached = F.size(F.filter("ts", lambda t: F.col("score") >= t))
-    binned = rows.groupBy("guard_id", "ts", reached.alias("k")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    per = binned.groupBy("guard_id", "ts").agg(F.collect_list(F.struct("k", "p", "n")).alias("bins"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    flat = per.select("guard_id", "bins", "pos", "neg", F.posexplode("ts").alias("i", "t"))
+    binned = rows.groupBy("guard_id", reached.alias("k")).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    per = binned.groupBy("guard_id").agg(F.collect_list(F.struct("k", "p", "n")).alias("bins"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    flat = per.join(grids, "guard_id").select("guard_id", "bins", "pos", "neg", F.posexplode("ts").alias("i", "t"))
     caught = lambda f: F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + F.when(b["k"] > F.col("i"), b[f]).otherwise(0))
     c = flat.withColumns({"tp": caught("p"), "fp": caught("n")})
     c = c.withColumns({"fn": F.col("pos") - F.col("tp"), "tn": F.col("neg") - F.col("fp")})
@@ -60,13 +62,17 @@ def confusion_at(samples: DataFrame, thresholds: Column) -> DataFrame:
     return c.select("guard_id", "i", "t", "tp", "fp", "fn", "tn", rate("fp", "neg").alias("fp_rate"), rate("fn", "pos").alias("fn_rate"))
 
 
+def confusion_at(samples: DataFrame, thresholds: Column) -> DataFrame:
+    """The same at one array of thresholds for all guards."""
+    return confusion_over(samples, samples.select("guard_id").distinct().withColumn("ts", thresholds))
+
+
 def recommend_thresholds(samples: DataFrame, current: DataFrame) -> DataFrame:
     """guard_id, before, after (3 decimals) and its rates for the guards that a move improves; current: (guard_id,
-    threshold), numeric thresholds only, joined to the samples."""
+    threshold), one for each guard, numeric ones only."""
     now = current.where("threshold is not null").select("guard_id", F.col("threshold").cast("double").alias("__now"))
-    known = samples.select("guard_id", "score", "positive").join(now, "guard_id")
-    tried = confusion_at(known, grid_of(F.col("__now"))).withColumn("low_high", F.struct(*wilson(F.col("fp"), F.col("fp") + F.col("tn"))))
-    base = confusion_at(known, F.array("__now")).select("guard_id", F.col("t").alias("before"), F.col("fp_rate").alias("was"), (F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"))
+    tried = confusion_over(samples, now.select("guard_id", grid_of(F.col("__now")).alias("ts"))).withColumn("low_high", F.struct(*wilson(F.col("fp"), F.col("fp") + F.col("tn"))))
+    base = confusion_over(samples, now.select("guard_id", F.array("__now").alias("ts"))).select("guard_id", F.col("t").alias("before"), F.col("fp_rate").alias("was"), (F.col("tp") + F.col("fn")).alias("pos"), (F.col("fp") + F.col("tn")).alias("neg"))
     ok = tried.join(base, "guard_id").where((F.col("pos") + F.col("neg") >= MIN_SAMPLES) & (F.col("pos") >= MIN_CLASS) & (F.col("neg") >= MIN_CLASS))
     ok = ok.where((F.col("fp_rate") < F.col("was")) & (F.col("fn_rate") <= MAX_FN_RATE) & (F.col("low_high.col2") < F.col("was")))
     best = ok.groupBy("guard_id").agg(F.min_by(F.struct("before", "t", "fp_rate", "fn_rate"), F.struct("fp_rate", "i")).alias("b"))

@@ -298,19 +298,22 @@ def p8_triage_proposals(spark, sf_dir):
     return P.triage_proposals(pol(spark, sf_dir)).select("policy_key", "decision", "rule")
 
 
+_AS_DOUBLE = "CAST(threshold::DOUBLE AS VARCHAR)"
 _BAD = "bad AS (SELECT DISTINCT policy_key FROM gd WHERE threshold > 1), j AS (SELECT gd.*, p.env, p.default_fail_mode FROM gd JOIN p ON gd.policy_key = p.policy_key)"
 
 
 @query(f"""{WITH}, {_BAD}, ok AS (SELECT * FROM j WHERE policy_key NOT IN (SELECT policy_key FROM bad)), ds AS (SELECT *, unnest(CASE WHEN direction = 'both' THEN ['input', 'output'] ELSE [direction] END) AS d FROM ok),
-i AS (SELECT policy_key, 'fail_mode.missing' AS code, 'spec.guards.' || guard_id AS path, 'error' AS severity FROM ok WHERE fail_mode IS NULL AND default_fail_mode IS NULL
-UNION ALL SELECT policy_key, 'secrets.verify_live_prod', 'spec.guards.' || guard_id || '.config.verify_live', 'error' FROM ok WHERE env = 'prod' AND scenario = 'secrets' AND verify_live
-UNION ALL SELECT policy_key, 'pii.full_text_evidence', 'spec.guards.' || guard_id || '.evidence', 'error' FROM ok WHERE scenario = 'pii' AND evidence = 'full_text'
-UNION ALL SELECT policy_key, 'guards.contradictory', 'spec.guards', 'warn' FROM ds GROUP BY policy_key, scenario, d HAVING bool_or(on_fail IN ('block', 'block_and_explain')) AND bool_or(on_fail NOT IN ('block', 'block_and_explain')) AND count(*) > 1
-UNION ALL SELECT policy_key, 'schema.threshold', 'spec.guards.' || guard_id || '.threshold', 'error' FROM gd WHERE threshold > 1
-UNION ALL SELECT policy_key, 'schema.minItems', 'spec.guards', 'error' FROM p WHERE policy_key NOT IN (SELECT policy_key FROM gd))
+i AS (SELECT policy_key, 'fail_mode.missing' AS code, 'spec.guards.' || guard_id AS path, 'error' AS severity, 'guard ' || guard_id || ' has no fail_mode and the policy has no default' AS message FROM ok WHERE fail_mode IS NULL AND default_fail_mode IS NULL
+UNION ALL SELECT policy_key, 'secrets.verify_live_prod', 'spec.guards.' || guard_id || '.config.verify_live', 'error', 'guard ' || guard_id || ': live verification is not allowed in prod' FROM ok WHERE env = 'prod' AND scenario = 'secrets' AND verify_live
+UNION ALL SELECT policy_key, 'pii.full_text_evidence', 'spec.guards.' || guard_id || '.evidence', 'error', 'guard ' || guard_id || ': full text must not be kept as evidence of personal data' FROM ok WHERE scenario = 'pii' AND evidence = 'full_text'
+UNION ALL SELECT policy_key, 'streaming.block_and_explain', 'spec.guards.' || guard_id || '.on_fail', 'warn', 'guard ' || guard_id || ': block_and_explain on a stream comes only at its end' FROM ok WHERE policy_key % 3 = 0 AND on_fail = 'block_and_explain'
+UNION ALL SELECT policy_key, 'guards.contradictory', 'spec.guards', 'warn', 'guards on ' || scenario || ' and ' || d || ' have conflicting actions: ' || string_agg(guard_id, ', ' ORDER BY guard_id) FROM ds GROUP BY policy_key, scenario, d HAVING bool_or(on_fail IN ('block', 'block_and_explain')) AND bool_or(on_fail NOT IN ('block', 'block_and_explain')) AND count(*) > 1
+UNION ALL SELECT policy_key, 'schema.threshold', 'spec.guards.' || guard_id || '.threshold', 'error', {_AS_DOUBLE} || ' is neither default nor within 0 and 1' FROM gd WHERE threshold > 1
+UNION ALL SELECT policy_key, 'schema.minItems', 'spec.guards', 'error', 'no guards' FROM p WHERE policy_key NOT IN (SELECT policy_key FROM gd))
 SELECT * FROM i""")
 def p9_lint(spark, sf_dir):
-    return P.lint(pol(spark, sf_dir), grd(spark, sf_dir).withColumn("threshold", F.col("threshold") * 1.0)).drop("message")
+    policies = pol(spark, sf_dir).withColumn("streaming", F.col("policy_key") % 3 == 0)
+    return P.lint(policies, grd(spark, sf_dir).withColumn("threshold", (F.col("threshold") * 1.0).cast("double")))
 
 
 @query(f"{WITH} SELECT policy_key, 'schema.threshold' AS code, 'spec.guards.' || guard_id || '.threshold' AS path FROM gd WHERE threshold * 2 > 1 UNION ALL SELECT policy_key, 'schema.minItems', 'spec.guards' FROM p WHERE policy_key NOT IN (SELECT policy_key FROM gd)")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -34,6 +35,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that may be broadcast once they are counted, and parts of a key that meet a larger one.
+MOST_BROADCAST, SALTS = 100_000, 16
+
+
+def meet(rows: DataFrame, known: DataFrame, keys: list[str], n_known: int, how: str = "inner") -> DataFrame:
+    """rows joined to known (n_known rows, counted) by keys, where a key may hold a large part of the rows. A known side of
+    a bounded number of rows is broadcast, and rows stay where they are; a larger one is copied SALTS times, each copy for
+    a part of each key's rows."""
+    if n_known <= MOST_BROADCAST:
+        return rows.join(F.broadcast(known), keys, how)
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))]), F.lit(SALTS)).alias("__part")
+    copies = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__part"))
+    return rows.select("*", part).join(copies, [*keys, "__part"], how).drop("__part")
+
+
 class Epochs:
     """Parquet folders of a stream's micro-batches by their numbers: a batch that runs again replaces its own folder."""
 
