@@ -36,6 +36,19 @@ def quantile_from_histogram(histogram: DataFrame, keys: list[str], q: float) ->
     return hit.select(*keys, F.coalesce(inside, F.col("low").cast("double")).alias("value"))
 
 
+def latency_sketches(events: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and a mergeable sketch of their latencies, a few kilobytes each: kept by day, say, they answer later for any
+    span of days without the events."""
+    return events.where("latency_ms is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr("kll_sketch_agg_bigint(cast(latency_ms as bigint))").alias("sketch"))
+
+
+def quantile_of_sketches(sketches: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """keys, the number of latencies and their quantile, from sketches of any finer keys merged; its rank is off by about
+    1.5 % of them, whatever their number."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr("kll_merge_agg_bigint(sketch)").alias("sketch"))
+    return merged.select(*keys, "n", F.expr(f"kll_sketch_get_quantile_bigint(sketch, {q!r}D)").alias("value"))
+
+
 def action_counts(events: DataFrame) -> DataFrame:
     """Actions taken by live failed guards, counted once each."""
     return events.where("verdict = 'FAIL' and not is_shadow").groupBy("app", "direction", F.col("on_fail").alias("action")).agg(F.count(F.lit(1)).alias("n"))

@@ -196,6 +196,37 @@ def diff_versions(lines: DataFrame) -> DataFrame:
     return gone.unionByName(come)
 
 
+def pretty_lines(json: Column) -> Column:
+    """The lines of JSON text with sorted keys and two blanks for each level; null where it is no JSON."""
+    tokens = F.regexp_extract_all(canonical_json_text(json), F.lit(r'("(?:[^"\\]|\\.)*"|\{\}|\[\]|[{}\[\],:]|[^{}\[\],:"]+)'), F.lit(1))
+    line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        text = F.when(opens | (t == ","), F.concat(t, line(depth))).when(closes, F.concat(line(depth), t)).when(t == ":", ": ").otherwise(t)
+        return F.struct(depth.alias("depth"), F.concat(acc["parts"], F.array(text)).alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"))
+    return F.split(F.array_join(F.aggregate(tokens, zero, step, lambda acc: acc["parts"]), ""), "\n", -1)
+
+
+def diff_documents(versions: DataFrame, older: str = "older", newer: str = "newer") -> DataFrame:
+    """The other columns of versions, side (a: older, b: newer), n and line of every line of a version's document (JSON text)
+    that the other one has nowhere. Two documents meet in their own row, so nothing is shuffled. Null documents have no
+    lines, and what is no JSON has none."""
+    with last_key_counts(versions.sparkSession):
+        rows = versions.select(*[F.col(f"`{c}`") for c in versions.columns if c not in (older, newer)], pretty_lines(F.col(f"`{older}`")).alias("__a"), pretty_lines(F.col(f"`{newer}`")).alias("__b"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("__a", "__b")})
+
+    def only(side: str, mine: str, other: str) -> Column:
+        numbered = F.transform(mine, lambda l, i: F.struct(F.lit(side).alias("side"), (i + 1).cast("long").alias("n"), l.alias("line")))
+        return F.filter(numbered, lambda x: ~F.array_contains(F.col(other), x["line"]))
+
+    return rows.select("*", F.inline(F.concat(only("a", "__a", "__b"), only("b", "__b", "__a")))).drop("__a", "__b")
+
+
 def fail_open_exposure(events: DataFrame, guards: DataFrame) -> DataFrame:
     """Errors of guards that fail open, by guard."""
     open_guards = guards.where("fail_mode = 'open'").select("guard_id").distinct()

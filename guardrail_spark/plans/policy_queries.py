@@ -439,3 +439,14 @@ _LAYER_NAME = {0: "'baseline@1.0.0'", 1: f"{_PACK_OF} || '@2.0.0'", 2: "'app-pol
 ))
 def p4_document_trace(spark, sf_dir):
     return profiles.document_trace(layered(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT o_orderkey AS key, o_custkey, o_orderkey % 2 = 0 AS even FROM orders)
+SELECT key, 'a' AS side, 3::BIGINT AS n, '  "threshold": 0.5' AS line FROM v WHERE even UNION ALL SELECT key, 'b', 3, '  "threshold": ' || CASE WHEN o_custkey % 3 = 0 THEN '1' ELSE '0.25' END || ',' FROM v WHERE even
+UNION ALL SELECT key, 'b', 4, '  "versions": [' FROM v WHERE even UNION ALL SELECT key, 'b', 5, '    ' || o_custkey || ',' FROM v WHERE even UNION ALL SELECT key, 'b', 6, '    "x"' FROM v WHERE even UNION ALL SELECT key, 'b', 7, '  ]' FROM v WHERE even""")
+def j21_diff_documents(spark, sf_dir):
+    """Two versions' documents of each order; odd ones differ in layout and number text alone."""
+    even = F.col("o_orderkey") % 2 == 0
+    newer = F.concat(F.lit('{"versions":['), F.col("o_custkey").cast("string"), F.lit(',"x"],"threshold":'), F.when(F.col("o_custkey") % 3 == 0, "1.0").otherwise("2.5e-1"), F.lit(',"id":"p"}'))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit('{"id":"p", "threshold":0.50}').alias("older"), F.when(even, newer).otherwise('{"threshold": 5e-1,\n "id":"p"}').alias("newer"))
+    return P.diff_documents(rows)

@@ -10,7 +10,7 @@ from ..rules import TOKEN_RULE
 from ..sources import records
 from ..sources.shared import Epochs, drained, new_path
 from ..streaming import streams
-from .event_queries import _RATE, LINKS, WITH, links, whole_events
+from .event_queries import _RATE, LINKS, SEQ, WITH, links, whole_events
 from .views import GUARD_EVENTS, table, view
 
 QUERIES, ORACLES = {}, {}
@@ -72,6 +72,16 @@ def s14_write_events(spark, sf_dir):
     return spark.read.parquet(path).groupBy("tenant", "app").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{SEQ} SELECT tenant, app, chain_seq, event_id FROM c WHERE tenant = 't1' AND app = 'app2' AND chain_seq > 5 AND ts < TIMESTAMP '2024-01-20' ORDER BY chain_seq LIMIT 500")
+def s14_keyed_store(spark, sf_dir):
+    """Two batches of events, the first written twice, and a page of one chain."""
+    path = new_path(spark, "store")
+    rows = evidence.sequence_events(view(spark, sf_dir, "guard_events"))
+    for batch in ("a", "b", "a"):
+        records.store_events(rows.where((F.col("event_id").cast("bigint") % 2 == 0) == F.lit(batch == "a")), path, batch)
+    return records.scan_stored(spark, path, "t1", "app2", 5, 500, until="2024-01-19").select("tenant", "app", "chain_seq", "event_id")
+
+
 @query(f"SELECT doc_id, regexp_matches(text, '{TOKEN_RULE.regex}') AS hit FROM documents")
 def t1_stream_guard(spark, sf_dir):
     rows = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)

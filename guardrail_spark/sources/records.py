@@ -96,3 +96,21 @@ def approval_queue(policies: DataFrame) -> DataFrame:
 def write_events(events: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Appends events, partitioned by tenant, app and day."""
     events.withColumn("dt", F.to_date("ts")).write.mode("append").partitionBy("tenant", "app", "dt").format(fmt).save(path)
+
+
+def store_events(events: DataFrame, path: str, batch: str) -> None:
+    """Events under their key: folders by tenant, app, day and batch, sorted by chain_seq within, so that a page of a chain
+    reads few files and few of their row groups. Rows are dealt by range, a hot chain over many tasks. A batch that is
+    written again replaces its own folders, so a retry doubles nothing."""
+    rows = events.withColumns({"dt": F.to_date("ts"), "batch": F.lit(batch)})
+    rows = rows.repartitionByRange("tenant", "app", "dt", "chain_seq").sortWithinPartitions("tenant", "app", "dt", "chain_seq")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant", "app", "dt", "batch").parquet(path)
+
+
+def scan_stored(spark: SparkSession, path: str, tenant: str, app: str, since_seq: int = 0, limit: int = 5000, since=None, until=None) -> DataFrame:
+    """The next page of a stored chain, of the days from since until the one given, both included: folders are pruned by
+    key and day, row groups by number."""
+    rows = spark.read.parquet(path)
+    for bound, ok in ((since, F.col("dt") >= F.lit(since)), (until, F.col("dt") <= F.lit(until))):
+        rows = rows.where(ok) if bound is not None else rows
+    return scan_events(rows, tenant, app, since_seq, limit).drop("dt", "batch")
