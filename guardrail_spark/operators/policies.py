@@ -511,15 +511,17 @@ SEVERITY = {"low": (0, 0.85, None), "medium": (1, 0.75, None), "high": (2, 0.65,
 
 
 def synthesize_guards(candidates: DataFrame) -> DataFrame:
-    """Guards of candidates (key, scenario, directions, severity, on_fail): one for each (scenario, directions) of a key,
-    as severe as the severest; unmapped scenarios drop out. Ids count within (key, scenario)."""
+    """Guards of candidates (key, pos, scenario, directions, severity, on_fail): one for each (scenario, directions) of a key,
+    as severe as the severest; unmapped scenarios drop out. Ids count within (key, scenario). Where candidates have anchor,
+    rule_text and notes, `provenance` lists those of a guard's candidates in order of pos: why it exists."""
+    why = [c for c in ("anchor", "rule_text", "notes") if c in candidates.columns]
     rank = F.create_map(*[F.lit(x) for s, (r, _, _) in SEVERITY.items() for x in (s, r)])
     rows = candidates.where(F.col("scenario").isin(*SCENARIOS)).withColumns({"d": F.array_join(F.array_sort("directions"), "+"), "r": F.coalesce(F.try_element_at(rank, F.col("severity")), F.lit(1))})
-    g = rows.groupBy("key", "scenario", "d").agg(F.max("r").alias("r"), F.max_by("on_fail", F.struct("r", F.negative("pos"))).alias("own"), F.count(F.lit(1)).alias("n_rules"), F.min("pos").alias("first"))
+    g = rows.groupBy("key", "scenario", "d").agg(F.max("r").alias("r"), F.max_by("on_fail", F.struct("r", F.negative("pos"))).alias("own"), F.count(F.lit(1)).alias("n_rules"), F.min("pos").alias("first"), *([F.array_sort(F.collect_list(F.struct("pos", F.struct(*why).alias("why")))).alias("l")] if why else []))
     n = F.row_number().over(W.partitionBy("key", "scenario").orderBy("first", "d"))
     threshold = F.element_at(F.array(*[F.lit(t) for _, t, _ in SEVERITY.values()]), F.col("r") + 1)
     name = F.concat(F.lit("g-synth-"), F.replace("scenario", F.lit("_"), F.lit("-")), F.lit("-"), F.lpad(n.cast("string"), 2, "0"))
-    return g.select("key", name.alias("guard_id"), "scenario", F.col("d").alias("direction"), threshold.alias("threshold"), F.when(F.col("r") == 2, "block").otherwise(F.col("own")).alias("on_fail"), "n_rules")
+    return g.select("key", name.alias("guard_id"), "scenario", F.col("d").alias("direction"), threshold.alias("threshold"), F.when(F.col("r") == 2, "block").otherwise(F.col("own")).alias("on_fail"), "n_rules", *([F.transform("l", lambda x: x["why"]).alias("provenance")] if why else []))
 
 
 def triage(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import text_hash
-from ..rules import ABBREVIATIONS, AUXILIARIES, HARD_SCORE, HARD_SIGNALS
+from ..rules import ABBREVIATIONS, AUXILIARIES, HARD_SCORE, HARD_SIGNALS, SAFETY_CODES
 from .detection import SPAN
 
 
@@ -48,6 +48,16 @@ def parse_llamaguard(reply: Column) -> Column:
     return F.struct(F.when(unsafe, "FAIL").otherwise("PASS").alias("verdict"), score.alias("score"), F.map_from_arrays(named, F.transform(named, lambda _: F.lit(1.0))).alias("categories"))
 
 
+def named_categories(categories: Column, names: dict[str, str] = SAFETY_CODES) -> Column:
+    """The labels of the codes in a map of categories, in order of the taxonomy; codes that it lacks stand last, as they
+    are, in their own order."""
+    keys = F.map_keys(categories)
+    known = F.array(*[F.lit(k) for k in names])
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    listed = F.transform(F.filter(known, lambda k: F.array_contains(keys, k)), lambda k: F.element_at(table, k))
+    return F.concat(listed, F.array_sort(F.array_except(keys, known)))
+
+
 def json_in_reply(reply: Column) -> Column:
     """The text from the first `{` to the last `}`, null if there is none: code fences and prose fall away."""
     return F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -335,17 +335,19 @@ def p11_document_hash(spark, sf_dir):
 _CANDS = "SELECT l_orderkey AS key, l_linenumber AS line, l_partkey AS part, CASE l_partkey % 5 WHEN 0 THEN 'pii' WHEN 1 THEN 'secrets' WHEN 2 THEN 'content_safety' WHEN 3 THEN 'unknown' END AS scenario, l_returnflag AS flag, CASE l_suppkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity FROM lineitem"
 
 
-@query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line, part) AS pos, CASE flag WHEN 'A' THEN 'input' WHEN 'N' THEN 'output' ELSE 'input+output' END AS d, CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS r FROM ({_CANDS}) q),
-s AS (SELECT key, scenario, d, max(r) AS r, count(*) AS n_rules, min(pos) AS first FROM c WHERE scenario IN ('pii', 'secrets', 'content_safety', 'hallucination') GROUP BY key, scenario, d)
+@query(f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line, part, flag, severity) AS pos, CASE flag WHEN 'A' THEN 'input' WHEN 'N' THEN 'output' ELSE 'input+output' END AS d, CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS r FROM ({_CANDS}) q),
+s AS (SELECT key, scenario, d, max(r) AS r, count(*) AS n_rules, min(pos) AS first, string_agg((part % 9) || '/' || line || '/rule ' || part, '; ' ORDER BY pos) AS provenance FROM c WHERE scenario IN ('pii', 'secrets', 'content_safety', 'hallucination') GROUP BY key, scenario, d)
 SELECT key, 'g-synth-' || replace(scenario, '_', '-') || '-' || lpad(CAST(row_number() OVER (PARTITION BY key, scenario ORDER BY first, d) AS VARCHAR), 2, '0') AS guard_id, scenario, d AS direction,
-CASE r WHEN 0 THEN 0.85 WHEN 1 THEN 0.75 ELSE 0.65 END::DOUBLE AS threshold, CASE WHEN r = 2 THEN 'block' ELSE 'flag' END AS on_fail, n_rules FROM s""")
+CASE r WHEN 0 THEN 0.85 WHEN 1 THEN 0.75 ELSE 0.65 END::DOUBLE AS threshold, CASE WHEN r = 2 THEN 'block' ELSE 'flag' END AS on_fail, n_rules, provenance FROM s""")
 def p12_synthesize_guards(spark, sf_dir):
     from pyspark.sql import Window as W
 
     rows = spark.sql(_CANDS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
     dirs = F.when(F.col("flag") == "A", F.array(F.lit("input"))).when(F.col("flag") == "N", F.array(F.lit("output"))).otherwise(F.array(F.lit("output"), F.lit("input")))
-    rows = rows.withColumns({"directions": dirs, "on_fail": F.lit("flag"), "pos": F.row_number().over(W.partitionBy("key").orderBy("line", "part"))})
-    return P.synthesize_guards(rows)
+    rows = rows.withColumns({"directions": dirs, "on_fail": F.lit("flag"), "pos": F.row_number().over(W.partitionBy("key").orderBy("line", "part", "flag", "severity"))})
+    rows = rows.withColumns({"anchor": F.struct((F.col("part") % 9).alias("page"), F.col("line").alias("para")), "rule_text": F.concat(F.lit("rule "), F.col("part").cast("string")), "notes": F.lit(None).cast("string")})
+    said = F.transform("provenance", lambda p: F.concat_ws("/", p["anchor"]["page"].cast("string"), p["anchor"]["para"].cast("string"), p["rule_text"], p["notes"]))
+    return P.synthesize_guards(rows).withColumn("provenance", F.array_join(said, "; "))
 
 
 @query(f"SELECT coalesce(scenario IN ('pii', 'secrets', 'content_safety', 'hallucination'), false) AS mapped, count(*) AS n FROM ({_CANDS}) q GROUP BY 1")

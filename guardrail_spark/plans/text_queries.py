@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aba_ok, iban_ok, jwt_ok, luhn_ok, shannon_entropy, text_hash
 from ..operators import actions, detection, policies, safety
-from ..rules import ABBREVIATIONS, PII, SECRETS, TOKEN_RULE, Rule, rule_pack
+from ..rules import ABBREVIATIONS, PII, SECRETS, TOKEN_RULE, Rule, rule_pack, SAFETY_CODES
 from ..sources import records
 from .views import GUARD_EVENTS, table, view
 
@@ -160,6 +160,18 @@ def d17_parse_llamaguard(spark, sf_dir):
     return rows.select("event_id", "r.verdict", "r.score", F.array_join(F.array_sort(F.map_keys("r.categories")), ",").alias("codes"))
 
 
+_CODE_NAMES = ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(SAFETY_CODES.items()))
+
+
+@query(f"""WITH r AS (SELECT event_id, unnest(CASE event_id % 4 WHEN 1 THEN list_distinct(['S' || (user_id % 16)::VARCHAR, 'S9']) ELSE [NULL] END) AS code FROM events),
+n(code, label, place) AS (VALUES {_CODE_NAMES})
+SELECT event_id, coalesce(string_agg(coalesce(n.label, r.code), '; ' ORDER BY coalesce(place, 99), r.code), '') AS labels FROM r LEFT JOIN n ON n.code = r.code GROUP BY event_id""")
+def d17_named_categories(spark, sf_dir):
+    """The safety model's codes by name; two of those in the replies are unknown."""
+    rows = table(spark, sf_dir, "events").select("event_id", safety.parse_llamaguard(F.expr(_REPLY.replace("% 14", "% 16"))).alias("r"))
+    return rows.select("event_id", F.array_join(safety.named_categories(F.col("r.categories")), "; ").alias("labels"))
+
+
 _FENCED = "concat('Here it is: ```json', chr(10), '{\"score\": ', CAST(user_id AS STRING), ', \"verdict\": \"', event_type, '\"}', chr(10), '```')"
 
 

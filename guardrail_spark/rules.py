@@ -69,6 +69,30 @@ SECRETS = [
 #: A rule that the feed adds; it fires on the test tables.
 TOKEN_RULE = Rule("token-assignment", r'token = "[0-9a-f]{40}"', 0.95, "secrets", ("token",))
 
+# Rules that a feed adds to the core ones.
+FEED_RULES = [
+    Rule("clickhouse-cloud-key", r"\bch_[a-zA-Z0-9]{32,}\b", 0.95, "secrets", ("ch_",)),
+    Rule("linear-api-key", r"\blin_api_[a-zA-Z0-9]{40,}\b", 0.95, "secrets", ("lin_api_",)),
+    Rule("supabase-service-role", r"\bsb_secret_[A-Za-z0-9_]{20,}\b", 0.90, "secrets", ("sb_secret_",)),
+]
+
+# The codes of the safety model, and the categories that a judge is asked for.
+SAFETY_CODES = {
+    "S1": "Violent Crimes", "S2": "Non-Violent Crimes", "S3": "Sex-Related Crimes", "S4": "Child Sexual Exploitation", "S5": "Defamation",
+    "S6": "Specialized Advice (financial / medical / legal)", "S7": "Privacy", "S8": "Intellectual Property", "S9": "Indiscriminate Weapons",
+    "S10": "Hate", "S11": "Suicide & Self-Harm", "S12": "Sexual Content", "S13": "Elections", "S14": "Code Interpreter Abuse",
+}
+SAFETY_CATEGORIES = {
+    "violence": "Violence & threats of physical harm",
+    "self_harm": "Self-harm / suicide encouragement",
+    "sexual": "Sexual content involving minors OR non-consensual acts",
+    "hate": "Hate speech / harassment against protected classes",
+    "weapons": "Illicit weapons manufacture / procurement",
+    "illegal": "Instructions to commit crimes / illegal drugs / fraud",
+    "privacy": "Doxing / personally-identifying data disclosure",
+    "professional": "Unqualified professional advice (medical/legal/financial) framed as authoritative",
+}
+
 # Needles of the first safety layer, in order of precedence.
 HARD_SIGNALS = {
     "self_harm": ["how to end my life", "kill myself"],
