@@ -3,7 +3,7 @@
 Records of many layouts become canonical turns. A record's layout is known by its fingerprint: the hash of its nested
 field paths, sorted. MAPPINGS declares for each known set of paths how turns are read: which fields hold them and how
 roles are named. Fingerprints come from the schema of a table (`schema_fingerprint`) or, for JSON records, of each row
-(`record_fingerprint`, by Spark's variant type).
+(`record_fingerprint`, by Spark's variant type); a record with further fields is known by its paths that mappings name.
 
 The template writes a turn as <|im_start|>ROLE<|im_sep|>TEXT<|im_end|>. In roles and texts a backslash is doubled and
 `<|` becomes `<\\|`, so control strings in them are plain text; `unescaped` undoes that exactly. The loss mask is a list
@@ -17,6 +17,7 @@ one order; repeated rows are repeated turns; the null conversation is a conversa
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -111,6 +112,32 @@ def record_fingerprint(json: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(paths), "\n"), 256)
 
 
+def _has(name: str) -> Callable[[Column], Column]:
+    return lambda x: F.try_variant_get(x, f"$.{name}", "variant").isNotNull()
+
+
+def known_fingerprint(json: Column) -> Column:
+    """The fingerprint of those paths of a JSON record that any mapping of records names: further fields, at any depth, don't
+    count."""
+    children: dict[str, set[str]] = {}
+    for m in MAPPINGS:
+        for top, _, child in (p.partition(".") for p in m.paths if m.turns):
+            children.setdefault(top, set()).update({child} - {""})
+    v = F.try_parse_json(json)
+    found = []
+    for top, below in children.items():
+        found.append(F.when(F.try_variant_get(v, f"$.{top}", "variant").isNotNull(), top))
+        each = F.try_variant_get(v, f"$.{top}", "array<variant>")
+        found += [F.when(F.exists(each, _has(c)), f"{top}.{c}") for c in sorted(below)]
+    return F.sha2(F.array_join(F.array_sort(F.array_compact(F.array(*found))), "\n"), 256)
+
+
+def record_layout(json: Column) -> Column:
+    """The fingerprint that chooses a record's mapping: its own where a mapping has it, else that of its known paths."""
+    own = record_fingerprint(json)
+    return F.when(own.isin(*[key for key, m in REGISTRY.items() if m.turns]), own).otherwise(known_fingerprint(json))
+
+
 def turns_of_table(df: DataFrame, conversation: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(conv_id, turn, role, text) of a table whose schema's fingerprint is known. `conversation` names the column that
     tells records apart, `ignore` further ones that aren't part of the layout."""
@@ -125,8 +152,9 @@ def turns_of_table(df: DataFrame, conversation: str | None = None, ignore: tuple
 
 
 def turns_of_records(df: DataFrame, json: str, conversation: str) -> DataFrame:
-    """The same of JSON records of any known layouts, told apart row by row; unknown ones give one row without a turn."""
-    marked = df.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{json}`").alias("json"), record_fingerprint(F.col(f"`{json}`")).alias("layout"))
+    """The same of JSON records of any known layouts, told apart row by row; fields that no mapping names don't count where
+    the rest is a known layout. Unknown ones give one row without a turn."""
+    marked = df.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{json}`").alias("json"), record_layout(F.col(f"`{json}`")).alias("layout"))
     cases = F.lit(None).cast("array<struct<role:string,text:string>>")
     for key, m in REGISTRY.items():
         if m.turns:
@@ -148,9 +176,9 @@ def turns_of_records(df: DataFrame, json: str, conversation: str) -> DataFrame:
 def unknown_records(df: DataFrame, json: str, conversation: str) -> DataFrame:
     """(conv_id, json, layout): the JSON records that no mapping reads, broken ones and nulls included, with their whole
     text and their fingerprint, so that none is lost unseen and a mapping can be added for it."""
-    rows = df.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{json}`").alias("json")).withColumn("layout", record_fingerprint(F.col("json")))
+    rows = df.select(F.col(f"`{conversation}`").alias("conv_id"), F.col(f"`{json}`").alias("json")).withColumns({"layout": record_fingerprint(F.col("json")), "__chosen": record_layout(F.col("json"))})
     known = [key for key, m in REGISTRY.items() if m.turns]
-    return rows.where(~F.coalesce(F.col("layout").isin(*known), F.lit(False)))
+    return rows.where(~F.coalesce(F.col("__chosen").isin(*known), F.lit(False))).drop("__chosen")
 
 
 def _within(sql: str, names: list[str]) -> str:

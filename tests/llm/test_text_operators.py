@@ -217,9 +217,9 @@ def test_unknown_records_are_listed(spark):
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, record string")
     unknown = {r.conv_id: r.json for r in chat.unknown_records(df, "record", "id").collect()}
-    assert unknown == {i: texts[i] for i in (2, 3, 4, 5)}
+    assert unknown == {i: texts[i] for i in (3, 4, 5)}
     turns = {(r.conv_id, r.role, r.text) for r in chat.turns_of_records(df, "record", "id").collect() if r.role}
-    assert turns == {(0, "user", "a"), (1, "user", "b"), (6, "user", "p"), (6, "assistant", "r")}
+    assert turns == {(0, "user", "a"), (1, "user", "b"), (2, "user", "c"), (6, "user", "p"), (6, "assistant", "r")}
     assert chat.unknown_records(df.limit(0), "record", "id").count() == 0
 
 
@@ -373,3 +373,18 @@ def test_mixing_tables(spark):
     kept = mixing.mixed_rows(clash, labels, {"low": 0.5, "good": 1.0})
     assert kept.columns == clash.columns
     assert {(r.n, r.id, r.x, r.p, r.rate) for r in kept.collect()} == {(7, "x", "y", "z", "r")}
+
+
+def test_further_fields_at_any_depth_do_not_count(spark):
+    records = [
+        '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b","tool_calls":[{"name":"f","args":{"x":[1]}}]}],"meta":{"role":"x"}}',
+        '{"prompt":"p","response":"r","score":{"content":1},"tags":["t"]}',
+        '{"messages":[{"role":"user","text":"other"}]}', '{"messages":[]}', '{"prompt":"p","messages":[{"role":"user","content":"a"}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "id long, record string")
+    turns: dict[int, list] = {}
+    for r in chat.turns_of_records(df, "record", "id").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert turns[0] == [("user", "a"), ("assistant", "b")] and turns[1] == [("user", "p"), ("assistant", "r")]
+    assert all(turns[i] == [(None, None)] for i in (2, 3, 4))
+    assert sorted(r.conv_id for r in chat.unknown_records(df, "record", "id").collect()) == [2, 3, 4]
