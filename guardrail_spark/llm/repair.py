@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, shuffle_partitions
 
 BLOCK = 64  # turns that are searched together
 BLANKS = " \t\n\x0b\f\r"
@@ -168,7 +168,9 @@ def searched(turns: DataFrame, block: int = BLOCK) -> DataFrame:
             parts = pa.array([[dict(zip(("entry", "exit", "cost", "edits"), p)) for p in m] for m in made], pa.list_(_PART))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), parts], ["key", "block", "last", "parts"])
 
-    found = settled(blocks.select("key", "block", "letters", "last").mapInArrow(all_parts, f"key string, block long, last boolean, parts {_PART_DDL}"))
+    # letters are few bytes and much work: dealt by a number of tasks, not by their size
+    blocks = blocks.select("key", "block", "letters", "last").repartition(shuffle_partitions(turns.sparkSession), "key", "block")
+    found = settled(blocks.mapInArrow(all_parts, f"key string, block long, last boolean, parts {_PART_DDL}"))
     only = found.where("block = 0 and last").select("key", "block", F.col("parts")[0]["edits"].alias("edits"), F.col("parts")[0]["cost"].alias("cost"))
 
     def backwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
