@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last bytes of a text cuts it into chunks at places that depend on the content alone, so texts
-that share a passage share its chunks. A worker encodes a chunk that it meets again only once. A cut may fall inside a
+that share a passage share its chunks. A task encodes a chunk that it meets again only once. A cut may fall inside a
 word or between words that belong together, so each join is repaired: the text about it, from the words on both sides, is
 encoded anew as one, and grows by a word on either side until it reproduces what both chunks have at its ends.
 
@@ -144,13 +144,18 @@ class Encoder:
             starts += [cut + x for x in chunk.starts[right:]]
         return b"".join(ids)
 
+    def forget(self) -> None:
+        """Gives the memory of chunks and joins back: a worker lives on, and later stages share its executor."""
+        self.chunks.clear()
+        self.joins.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return " ".join(map(self.tokens.__getitem__, array("I", ids))).encode()
 
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, which keeps its caches from task to task."""
+    """One for each Python worker, which keeps its words from task to task."""
     return Encoder(path)
 
 
@@ -170,4 +175,4 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         return one
 
     out = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return per_text(docs, [id_col], out + [("ids", pa.list_(pa.int64()))] * keep_ids, start, text)
+    return per_text(docs, [id_col], out + [("ids", pa.list_(pa.int64()))] * keep_ids, start, text, lambda: encoder(path).forget())

@@ -59,10 +59,12 @@ def per_text(
     out: list[tuple[str, pa.DataType]],
     start: Callable[[], Callable[[bytes], tuple]],
     text: str = "text",
+    end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """One output row for each input row: the columns `keep`, then what the function that `start` makes in each
     task returns for the row's text as UTF-8 bytes (null: empty). Texts go to Python in Arrow batches, which Spark
-    bounds by bytes; a row's result depends on its own text alone, so any task can be run again anywhere."""
+    bounds by bytes; a row's result depends on its own text alone, so any task can be run again anywhere. `end` is called
+    when a task's rows are done."""
     small_batches(docs.sparkSession)
     kinds = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.string(): "string", pa.int32(): "int", pa.binary(): "binary"}
     kinds |= {pa.list_(pa.string()): "array<string>", pa.list_(pa.int64()): "array<bigint>"}
@@ -76,5 +78,7 @@ def per_text(
             cols = list(zip(*made)) if made else [()] * len(out)
             arrays = [b.column(i) for i in range(len(keep))] + [pa.array(c, t) for c, (_, t) in zip(cols, out)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *(n for n, _ in out)])
+        if end:
+            end()
 
     return source.mapInArrow(run, ", ".join(ddl))
