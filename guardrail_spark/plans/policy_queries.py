@@ -145,12 +145,12 @@ def j14_build_manifest(spark, sf_dir):
 
 @query(f"""{WITH}, r AS (SELECT *, rank() OVER (PARTITION BY tenant, policy_id ORDER BY approved_at DESC) AS k FROM p WHERE status = 'approved'), ch AS (SELECT DISTINCT tenant, policy_id, version FROM r WHERE k = 1 AND env = 'prod'),
 s AS (SELECT tenant, max(bundle_seq) AS last FROM b WHERE env = 'prod' GROUP BY tenant)
-SELECT ch.tenant, 'prod' AS env, coalesce(last, 0) + 1 AS bundle_seq, ch.tenant <> 't2' AS hash_ok FROM ch LEFT JOIN s USING (tenant) GROUP BY ALL""")
+SELECT ch.tenant, 'prod' AS env, coalesce(last, 0) + 1 AS bundle_seq, ch.tenant <> 't2' AS hash_ok, CAST(0 AS BIGINT) AS n_bad FROM ch LEFT JOIN s USING (tenant) GROUP BY ALL""")
 def j15_manifest_hashes(spark, sf_dir):
     """Manifests, one of them changed after it was signed, against the policies."""
     made = P.build_manifest(pol(spark, sf_dir), grd(spark, sf_dir), view(spark, sf_dir, "catalog"), bundles(spark, sf_dir), "prod")
     made = made.withColumn("manifest", F.when(F.col("tenant") == "t2", F.replace("manifest", F.lit('"env":"prod"'), F.lit('"env":"dev"'))).otherwise(F.col("manifest")))
-    return P.verify_manifest(made, pol(spark, sf_dir)).where("n_bad = 0").drop("n_bad")
+    return P.verify_manifest(made, pol(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, o_orderkey % 9 <> 4 AS ok FROM orders")
