@@ -318,10 +318,10 @@ def test_a_domain_without_tokens_is_named(spark):
 
 
 def test_a_fit_that_ends_by_its_steps_says_so(spark, monkeypatch):
-    rows = spark.createDataFrame([(100, [0.9, 0.1]), (50, [0.2, 0.8]), (80, [0.6, 0.4])], "n long, p array<double>")
+    rows = spark.createDataFrame([(100, [0.9, 0.1]), (50, [0.2, 0.8]), (80, [0.6, 0.4]), (400, [0.3, 0.7]), (70, [0.05, 0.95])], "n long, p array<double>")
     monkeypatch.setattr(mixing, "STEPS", 1)
     with pytest.warns(RuntimeWarning, match="after 1 steps"):
-        mixing.fit_rates(rows, [0.5, 0.5], 1.0, False)
+        mixing.fit_rates(rows, [0.3, 0.7], 1.0, True)
 
 
 def test_rates_meet_their_targets_closely(spark):
