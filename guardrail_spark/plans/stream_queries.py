@@ -26,10 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream, whether it is one file or a folder of them: as a pattern, its path need not be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision events as a stream of the events table's files."""
-    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return spark.sql(GUARD_EVENTS.replace("FROM events\n", "FROM {events}\n"), events=rows).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.sql(GUARD_EVENTS.replace("FROM events\n", "FROM {events}\n"), events=table_stream(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def spool(spark: SparkSession, sf_dir: str) -> str:
@@ -84,7 +88,7 @@ def s14_keyed_store(spark, sf_dir):
 
 @query(f"SELECT doc_id, regexp_matches(text, '{TOKEN_RULE.regex}') AS hit FROM documents")
 def t1_stream_guard(spark, sf_dir):
-    rows = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    rows = table_stream(spark, sf_dir, "documents")
     detection.register("token-rule@1.0.0", lambda df, text: detection.secrets_scan(df, text, rules=[TOKEN_RULE]))
     return drained(streams.stream_guard(rows, "token-rule@1.0.0").select("doc_id", (F.col("verdict") == "FAIL").alias("hit")))
 
