@@ -1,173 +1,214 @@
 """Compilation of policy documents from layers: a baseline, the packs of a profile from its root on, the app's own policy.
 
-layers: (key, layer, name, document): JSON objects as text, in order of the number `layer` within a key. Documents are taken
-apart level by level into nodes (key, layer, path, pos, value): value is the canonical text of what is no object, null for
-an object. Objects merge key by key; anything else replaces what earlier layers have at its path, above it or below it. A
-list of objects at spec.guards is no value but an object by guard id (step `[id]`): guards merge by id, keep their place,
-and go where a layer says `__remove__`; one that a later layer names again is a new guard at the end. Of guards of one id in
-one layer the last counts, and one that is removed before any layer has it is not there.
-
-All work is grouping and joining by (key, path); a node's history is as long as there are layers. A text that is no JSON
-object is a layer that sets nothing.
+layers: (key, layer, name, document): JSON objects as text, in order of the number `layer` within a key. Objects merge key by
+key; anything else replaces what earlier layers have at its path, above it or below it. A list of objects at spec.guards is
+no value but an object by guard id (step `[id]`): guards merge by id, keep their place, and go where a layer says
+`__remove__`; one that a later layer names again is a new guard at the end. Of guards of one id in one layer the last
+counts, and one that is removed before any layer has it is not there.
+
+Spark reads each document once (a pack's before it meets the apps), groups the layers by key and spreads the keys; the few
+documents of one key are then merged in their row. A text that is no JSON object is a layer that sets nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import json
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import json_text, last_key_counts, marked_json, unmarked_json
-from ..sources.shared import settled
+from ..functions.columns import last_key_counts, marked_json
+from ..sources.shared import meet
 from .policies import resolve_chains
 
 GUARDS = ("spec", "guards")
 REMOVED = "\x00removed"  # no JSON text begins so
 BASELINE, APP = "baseline@1.0.0", "app-policy"
-_UNSET = ("false", "null", '"n0"', '"s"', "{}", "[]")  # what counts as no mark of removal
-
-
-def _path(*steps: str) -> Column:
-    return F.array(*[F.lit(s) for s in steps]) if steps else F.array().cast("array<string>")
-
-
-def _up(path: Column) -> Column:
-    return F.slice(path, F.lit(1), F.size(path) - 1)
-
-
-def document_nodes(layers: DataFrame) -> DataFrame:
-    """(key, layer, path, pos, value) of every node of the layers' documents, the roots (an empty path) included; pos is a
-    guard's place in its list. One round for each level of the deepest document."""
-    spark = layers.sparkSession
-    at_guards = F.col("path") == _path(*GUARDS)
-    with last_key_counts(spark):
-        roots = layers.select("key", "layer", _path().alias("path"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("value"), F.to_json(F.try_parse_json(marked_json(F.col("document")))).alias("json"))
-    level = settled(roots.where(F.startswith("json", F.lit("{"))))
-    levels = [level]
-    while not (open_ := level.where("json is not null")).isEmpty():
-        each = open_.select("key", "layer", "path", F.parse_json("json").alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("at", "step", "sub"))
-        inside = lambda name: F.to_json(F.expr(f"try_variant_get(sub, '$.s{name}', 'variant')"))
-        guard = F.concat(F.lit("["), F.coalesce(F.substr(F.expr("try_variant_get(sub, '$.sid', 'string')"), F.lit(2)), F.lit("")), F.lit("]"))
-        each = each.select(
-            "key", "layer", F.concat("path", F.array(F.when(at_guards, guard).otherwise(F.substr("step", F.lit(2))))).alias("path"), F.when(at_guards, F.col("at")).alias("pos"), F.to_json("sub").alias("text"),
-            (at_guards & ~F.coalesce(inside("__remove__"), F.lit("null")).isin(*_UNSET)).alias("removed"),
-            F.forall(F.expr("try_variant_get(sub, '$', 'array<variant>')"), lambda x: F.startswith(F.to_json(x), F.lit("{"))).alias("objects"),
-        ).where("text is not null")
-        opens = F.when(at_guards, F.coalesce("objects", F.lit(False))).otherwise(F.startswith("text", F.lit("{"))) & ~F.col("removed")
-        rows = each.select("key", "layer", "path", "pos", F.when(F.col("removed"), REMOVED).when(~opens, unmarked_json(F.col("text"))).alias("value"), F.when(opens, F.col("text")).alias("json"))
-        # of guards of one id the last
-        last = F.row_number().over(W.partitionBy("key", "layer", "path").orderBy(F.col("pos").desc())) == 1
-        level = settled(rows.withColumn("__last", last).where("__last").drop("__last") if len(levels) == len(GUARDS) + 1 else rows)
-        levels.append(level)
-    nodes = levels[0]
-    for more in levels[1:]:
-        nodes = nodes.unionByName(more)
-    return nodes.drop("json")
-
-
-def node_histories(nodes: DataFrame) -> DataFrame:
-    """(key, path, history, kills): what the layers say of each node, in order, and the layers with a value above it."""
-    seen = nodes.groupBy("key", "path").agg(F.array_sort(F.collect_list(F.struct("layer", "pos", "value"))).alias("history"))
-    values = seen.select("key", F.col("path").alias("above"), F.transform(F.filter("history", lambda h: h["value"].isNotNull()), lambda h: h["layer"]).alias("kills")).where("size(kills) > 0")
-    above = seen.where("size(path) > 1").select("key", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))).alias("above"))
-    kills = above.join(values, ["key", "above"]).groupBy("key", "path").agg(F.array_distinct(F.flatten(F.collect_list("kills"))).alias("kills"))
-    return seen.join(kills, ["key", "path"], "left").withColumn("kills", F.coalesce("kills", F.array().cast("array<int>")))
-
-
-def merged_nodes(histories: DataFrame) -> DataFrame:
-    """(key, path, layer, value, place) of the nodes that are there once all layers are merged: the layer that set it last,
-    its value (null: an object), and of a guard its place: the layer that first named it since it was last gone, and where."""
-    last = F.element_at("history", -1)
-    live = histories.withColumns({"layer": last["layer"], "value": last["value"]}).where("not exists(kills, k -> k > layer)").where(~F.col("value").eqNullSafe(REMOVED))
-    gone = F.array_max(F.concat("kills", F.transform(F.filter("history", lambda h: h["value"].isNotNull()), lambda h: h["layer"])))
-    first = F.element_at(F.filter("history", lambda h: gone.isNull() | (h["layer"] > gone)), 1)
-    place = F.when((F.size("path") == 3) & (F.slice("path", 1, 2) == _path(*GUARDS)) & F.col("value").isNull(), F.concat(F.lpad(first["layer"].cast("string"), 10, "0"), F.lpad(first["pos"].cast("string"), 10, "0")))
-    return live.select("key", "path", "layer", "value", place.alias("place"))
-
-
-def document_text(merged: DataFrame) -> DataFrame:
-    """(key, document): canonical JSON text of merged nodes. Leaves in order of their paths are joined piece by piece: each
-    piece closes what the leaf before has open and this one has not, and opens what is new."""
-    merged = merged.where("size(path) > 0")
-    parents = merged.select("key", _up(F.col("path")).alias("path")).distinct()
-    in_list = (F.size("path") >= 3) & (F.slice("path", 1, 2) == _path(*GUARDS))
-    empty = merged.where("value is null").join(parents, ["key", "path"], "left_anti").withColumn("value", F.when(F.col("path") == _path(*GUARDS), "[]").otherwise("{}"))
-    leaves = merged.where("value is not null").unionByName(empty).withColumn("listed", in_list)
-    places = merged.where("place is not null").select("key", F.get("path", F.lit(2)).alias("guard"), "place")
-    leaves = leaves.drop("place").withColumn("guard", F.when(F.col("listed"), F.get("path", F.lit(2)))).join(places, ["key", "guard"], "left")
-    steps = F.when(F.col("listed"), F.concat(_path(*GUARDS), F.array("place"), F.slice("path", F.lit(4), F.size("path")))).otherwise(F.col("path"))
-    order = W.partitionBy("key").orderBy("steps")
-    rows = leaves.select("key", steps.alias("steps"), "listed", "value").withColumns({"before": F.lag("steps").over(order), "before_listed": F.lag("listed").over(order)})
-    differs = F.array_position(F.zip_with("before", "steps", lambda a, b: a.eqNullSafe(b)), False)
-
-    def closed(path: str, listed: str, down_to: Column) -> Column:
-        """The ends of the containers of a leaf, from the innermost to the one that holds `down_to` steps."""
-        depth = F.size(path) - 1
-        ends = F.transform(F.sequence(depth, down_to, F.lit(-1)), lambda t: F.when((t == 2) & F.col(listed), "]").otherwise("}"))
-        return F.when(depth >= down_to, F.array_join(ends, "")).otherwise("")
-
-    first_new = F.coalesce(differs.cast("int"), F.lit(1))
-    label = lambda t: F.when((t == 3) & F.col("listed"), "").otherwise(F.concat(json_text(F.element_at("steps", t)), F.lit(":")))
-    begin = lambda t: F.when(t == F.size("steps"), "").when((t == 2) & F.col("listed"), "[").otherwise("{")
-    opened = F.array_join(F.transform(F.sequence(first_new, F.size("steps")), lambda t: F.concat(label(t), begin(t))), "")
-    piece = F.concat(F.when(F.col("before").isNull(), "{").otherwise(F.concat(closed("before", "before_listed", first_new), F.lit(","))), opened, "value")
-    pieces = rows.select("key", "steps", piece.alias("piece"), F.concat(closed("steps", "listed", F.lit(1)), F.lit("}")).alias("end"))
-    whole = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("steps", "piece"))).alias("l"), F.max_by("end", "steps").alias("end"))
-    return whole.select("key", F.concat(F.array_join(F.transform("l", lambda x: x["piece"]), ""), "end").alias("document"))
+
+
+class _Guards(dict):
+    """Nodes of guards by `[id]`, in their order. Other objects are plain dicts, and what is no object its canonical text."""
+
+
+def _text(v) -> str:
+    """Canonical text of a marked value (see marked_json)."""
+    if isinstance(v, str):
+        return v[1:] if v.startswith("n") else json.dumps(v[1:], ensure_ascii=False)
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k[1:], ensure_ascii=False)}:{_text(x)}" for k, x in v.items()) + "}"
+    return "[" + ",".join(map(_text, v)) + "]" if isinstance(v, list) else json.dumps(v)
+
+
+def _node(v, *path: str):
+    """The node of a marked value; guards that a layer removes are REMOVED."""
+    if isinstance(v, dict):
+        return _text(v) if path == GUARDS else {k[1:]: _node(x, *path, k[1:]) for k, x in v.items()}
+    if path != GUARDS or not isinstance(v, list) or not all(isinstance(g, dict) for g in v):
+        return _text(v)
+    found = _Guards()
+    for g in v:
+        name = g.get("sid")
+        name = f"[{name[1:] if isinstance(name, str) else ''}]"
+        found.pop(name, None)
+        found[name] = REMOVED if g.get("s__remove__") not in (None, False, "n0", "s", {}, []) else _node(g, *path, name)
+    return found
+
+
+@lru_cache(256)
+def _document(marked: str | None) -> dict | None:
+    return _node(json.loads(marked)) if marked and marked.startswith("{") else None
+
+
+def _kept(node):
+    """A node without the guards that it removes."""
+    return type(node)((k, _kept(x)) for k, x in node.items() if x != REMOVED) if isinstance(node, dict) else node
+
+
+def _over(old, new, path: tuple, said: list):
+    """The node new over old, which both stay as they are; said gets (path, change, before, value) of each departure."""
+    value = lambda n: None if isinstance(n, dict) else n
+    if not (isinstance(old, dict) and isinstance(new, dict)):
+        if old != new:
+            said.append((path, "REPLACED", value(old), value(new)))
+        return _kept(new)
+    out = type(old)(old)
+    for k, v in new.items():
+        here = (*path, k)
+        if v == REMOVED:
+            if k in out:
+                said.append((here, "REMOVED", value(out.pop(k)), None))
+        elif k in out:
+            out[k] = _over(out[k], v, here, said)
+        else:
+            said.append((here, "ADDED", None, value(v)))
+            out[k] = _kept(v)
+    return out
+
+
+def _merged(documents: list) -> tuple[dict | None, list]:
+    """The node of all documents of a key, and (number, departures) of each that meets earlier ones."""
+    whole, steps = None, []
+    for i, marked in enumerate(documents):
+        new = _document(marked)
+        if new is not None and whole is None:
+            whole = _kept(new)
+        elif new is not None:
+            said: list = []
+            whole = _over(whole, new, (), said)
+            steps.append((i, said))
+    return whole, steps
+
+
+def _written(node) -> str:
+    """Canonical JSON text of a node."""
+    if isinstance(node, _Guards):
+        return "[" + ",".join(map(_written, node.values())) + "]"
+    if isinstance(node, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(node[k])}" for k in sorted(node)) + "}"
+    return node
+
+
+def _stamped(node: dict, found: bool, tenant: str | None, profile: str | None) -> dict:
+    """The node as a policy: kind, tenant and profile are the stamp's alone, and so is a status where there is none."""
+    out, meta = {k: v for k, v in node.items() if k != "kind"}, node.get("metadata")
+    # a metadata that is no object gives way to one
+    meta = {k: v for k, v in meta.items() if k not in ("tenant", "profile", "parent")} if isinstance(meta, dict) else {}
+    if found:
+        out["kind"] = '"Policy"'
+        meta = {"status": '"draft"', **meta, "tenant": json.dumps(tenant, ensure_ascii=False), "profile": json.dumps(profile or "", ensure_ascii=False)}
+    return {**out, "metadata": meta} if meta else {k: v for k, v in out.items() if k != "metadata"}
+
+
+def marked_documents(rows: DataFrame) -> DataFrame:
+    """rows with `marked`: their document as marked JSON with sorted keys, null where it is none."""
+    with last_key_counts(rows.sparkSession):
+        return rows.withColumn("marked", F.to_json(F.try_parse_json(marked_json(F.col("document")))))
+
+
+def _by_key(layers: DataFrame) -> DataFrame:
+    """(key, layers): the layers of each key in order, as (layer, name, marked)."""
+    rows = layers if "marked" in layers.columns else marked_documents(layers)
+    return rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("layer", "name", "marked"))).alias("layers"))
+
+
+def _each_key(rows: DataFrame, make: Callable[..., list[tuple]], out: list[T.StructField]) -> DataFrame:
+    """(key, *out) of rows, whose first column is key: the tuples that make gives for the others of each row."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in out]
+
+    def run(batches: Iterator) -> Iterator:
+        import sys
+
+        import pyarrow as pa
+
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # documents may be a thousand levels deep
+        for b in batches:
+            place, made = [], []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
+                new = make(*row)
+                place += [i] * len(new)
+                made += new
+            columns = [pa.array([m[j] for m in made], t) for j, (_, t) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), *columns], ["key", *(n for n, _ in fields)])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["key"], *out]))
 
 
 def merge_documents(layers: DataFrame) -> DataFrame:
-    """(key, document): the layers of each key merged."""
-    return document_text(merged_nodes(node_histories(document_nodes(layers))))
+    """(key, document): the layers of each key merged, as canonical JSON text."""
 
+    def make(documents: list) -> list[tuple]:
+        whole, _ = _merged(documents)
+        return [(_written(whole),)] if whole else []
 
-def compile_documents(layers: DataFrame, stamps: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    return _each_key(_by_key(layers).select("key", F.col("layers.marked").alias("d")), make, [T.StructField("document", T.StringType())])
+
+
+def compile_documents(layers: DataFrame, stamps: DataFrame) -> DataFrame:
     """(key, document) of the merged layers as policies: kind, the tenant and the profile of stamps (key, tenant, profile),
-    no parent, and the status draft if there is none. Keys without a sound layer have none. nodes: those of the layers, if
-    they are at hand."""
-    merged = merged_nodes(node_histories(document_nodes(layers) if nodes is None else nodes))
-    text = lambda *steps: F.col("path") == _path(*steps)
-    under_parent = F.slice("path", 1, 2) == _path("metadata", "parent")
-    bare = text("metadata") & F.col("value").isNotNull()  # a metadata that is no object gives way to one
-    rest = merged.where(~(text("kind") | (F.slice("path", 1, 1) == _path("kind")) | text("metadata", "tenant") | text("metadata", "profile") | under_parent | bare))
-    has_status = merged.where(text("metadata", "status")).select("key", F.lit(True).alias("has"))
-    keys = merged.select("key").distinct().join(stamps, "key").join(has_status, "key", "left")
-    stamp = lambda value, *steps: F.struct(_path(*steps).alias("path"), value.alias("value"))
-    set_ = [stamp(F.lit(None).cast("string"), "metadata"), stamp(F.lit('"Policy"'), "kind"), stamp(json_text(F.col("tenant")), "metadata", "tenant"), stamp(json_text(F.coalesce("profile", F.lit(""))), "metadata", "profile")]
-    new = keys.select("key", F.inline(F.concat(F.array(*set_), F.when(F.col("has").isNull(), F.array(stamp(F.lit('"draft"'), "metadata", "status"))).otherwise(F.array().cast("array<struct<path:array<string>,value:string>>")))))
-    new = new.select("key", "path", F.lit(None).cast("int").alias("layer"), "value", F.lit(None).cast("string").alias("place"))
-    return document_text(rest.where(~text("metadata")).unionByName(new))
-
-
-def document_trace(layers: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    no parent, and the status draft if there is none. Keys without a sound layer have none."""
+
+    def make(documents: list, found: bool | None, tenant: str | None, profile: str | None) -> list[tuple]:
+        whole, _ = _merged(documents)
+        node = None if whole is None else _stamped(whole, bool(found), tenant, profile)
+        return [(_written(node),)] if node else []
+
+    rows = _by_key(layers).join(stamps.select("key", F.lit(True).alias("found"), "tenant", "profile"), "key", "left")
+    return _each_key(rows.select("key", F.col("layers.marked").alias("d"), "found", "tenant", "profile"), make, [T.StructField("document", T.StringType())])
+
+
+def document_trace(layers: DataFrame) -> DataFrame:
     """(key, layer, name, path, change, before, value, replaced): where each layer departs from what the layers before it make
     up: ADDED for what is new at its highest path, REPLACED for another value (before, value: canonical JSON, null for
     objects), REMOVED for guards; replaced names the layer before, for the last two."""
-    histories = settled(node_histories(document_nodes(layers) if nodes is None else nodes))
-    parents = histories.select("key", F.col("path").alias("up"), F.col("history").alias("up_history"), F.col("kills").alias("up_kills"))
-    rows = histories.where("size(path) > 0").withColumn("up", _up(F.col("path"))).join(parents, ["key", "up"])
-    each = rows.select("key", "path", "history", "kills", "up_history", "up_kills", F.explode("history").alias("h"))
-    each = each.withColumns({"b": F.try_element_at(F.filter("history", lambda h: h["layer"] < F.col("h.layer")), F.lit(-1)), "u": F.try_element_at(F.filter("up_history", lambda h: h["layer"] < F.col("h.layer")), F.lit(-1))})
-    cut = lambda kills, entry: F.exists(kills, lambda k: (k > F.col(f"{entry}.layer")) & (k < F.col("h.layer")))
-    there = lambda kills, entry: F.col(entry).isNotNull() & ~cut(kills, entry) & ~F.col(f"{entry}.value").eqNullSafe(REMOVED)
-    before, above = there("kills", "b"), there("up_kills", "u") & F.col("u.value").isNull()
-    change = F.when(F.col("h.value") == REMOVED, F.when(before, "REMOVED")).when(~before, F.when(above, "ADDED")).when(~F.col("h.value").eqNullSafe(F.col("b.value")), "REPLACED")
-    text = F.array_join(F.transform("path", lambda s, i: F.when((i == 0) | ((i == 2) & (F.slice("path", 1, 2) == _path(*GUARDS))), s).otherwise(F.concat(F.lit("."), s))), "")
-    found = each.select("key", F.col("h.layer").alias("layer"), text.alias("path"), change.alias("change"), F.when(before, F.col("b.value")).alias("before"), F.nullif("h.value", F.lit(REMOVED)).alias("value")).where("change is not null")
-    names = layers.select("key", "layer", "name").withColumn("earlier", F.lag("name").over(W.partitionBy("key").orderBy("layer")))
-    return found.join(names, ["key", "layer"]).select("key", "layer", "name", "path", "change", "before", "value", F.when(F.col("change") != "ADDED", F.col("earlier")).alias("replaced"))
+
+    def path_text(path: tuple) -> str:
+        return "".join(s if i == 0 or (i == 2 and path[:2] == GUARDS) else f".{s}" for i, s in enumerate(path))
+
+    def make(numbers: list, names: list, documents: list) -> list[tuple]:
+        _, steps = _merged(documents)
+        return [(numbers[i], names[i], path_text(p), change, before, value, None if change == "ADDED" else names[i - 1]) for i, said in steps for p, change, before, value in said]
+
+    rows = _by_key(layers).select("key", *[F.col(f"layers.{c}").alias(c) for c in ("layer", "name", "marked")])
+    text = [T.StructField(c, T.StringType()) for c in ("name", "path", "change", "before", "value", "replaced")]
+    return _each_key(rows, make, [layers.schema["layer"], *text])
 
 
 def profile_layers(apps: DataFrame, packs: DataFrame, baseline: str = BASELINE) -> DataFrame:
-    """(key, layer, name, document) of apps (key, profile, document): the baseline, the packs of the profile from its root on
+    """(key, layer, name, document, marked) of apps (key, profile, document): the baseline, the packs of the profile from its root on
     (the baseline not again), the app's document if it has one. packs: (id, version, document). Apps whose profile or one of
     its ancestors is unknown, or whose profile meets itself, have no layers."""
     known = packs.select(F.concat_ws("@", "id", "version").alias("name"), "document", F.trim(F.coalesce(F.get_json_object("document", "$.metadata.parent"), F.lit(""))).alias("parent"))
     chains = resolve_chains(known.select(F.col("name").alias("id"), "parent"))
     sound = chains.where("not cycle and missing is null").select(F.col("id").alias("profile"), F.filter("path", lambda p: p != baseline).alias("path"))
     wanted = apps.select("key", "document", F.coalesce("profile", F.lit("")).alias("profile"))
-    plain = wanted.where(F.col("profile").isin("", baseline)).withColumn("path", _path())
+    plain = wanted.where(F.col("profile").isin("", baseline)).withColumn("path", F.array().cast("array<string>"))
     met = plain.unionByName(wanted.where(~F.col("profile").isin("", baseline)).join(sound, "profile").select(*plain.columns))
-    listed = met.select("key", F.posexplode(F.concat(F.array(F.lit(baseline)), "path")).alias("layer", "name")).join(known.select("name", "document"), "name")
+    read = marked_documents(known.select("name", "document"))  # once for each pack, not for each app
+    listed = meet(met.select("key", F.posexplode(F.concat(F.array(F.lit(baseline)), "path")).alias("layer", "name")), read, ["name"], known.count())
     own = met.where("document is not null").select("key", (F.size("path") + 1).alias("layer"), F.lit(APP).alias("name"), "document")
-    return listed.select("key", "layer", "name", "document").unionByName(own)
+    return listed.select("key", "layer", "name", "document", "marked").unionByName(marked_documents(own.repartition("key")))

@@ -8,6 +8,7 @@ import pytest
 from oracle import assert_same, connect
 
 from guardrail_spark import plans
+from guardrail_spark.operators import profiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,24 @@ def test_a_number_that_stands_twice(spark, tmp_path):
 def test_a_fan_out_is_counted_without_its_rows(spark):
     plan = plans.QUERIES["j3_fan_out"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan[plan.index("Join Inner") :].count("Aggregate [") == 2  # both sides of the join are counted below it
+
+
+def test_layers_of_a_key_meet_in_one_shuffle(spark):
+    deep = '{"a":' * 40 + "1.50" + "}" * 40
+    df = spark.createDataFrame([(1, 0, "l0", deep), (1, 1, "l1", '{"a":{"b":[true]}}'), (2, 0, "l0", deep)], "key long, layer int, name string, document string")
+    stamps = spark.createDataFrame([(1, "t", "p"), (2, "t", None)], "key long, tenant string, profile string")
+    merged = profiles.merge_documents(df)
+    for made in (merged, profiles.document_trace(df)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    whole = '{"a":' * 40 + "1.5" + "}" * 40
+    assert {r.key: r.document for r in merged.collect()} == {1: whole.removesuffix("}}") + ',"b":[true]}}', 2: whole}
+    assert [tuple(r) for r in profiles.document_trace(df).collect()] == [(1, 1, "l1", "a.b", "ADDED", None, "[true]", None)]
+    assert {r.key: r.document.rsplit(',"kind"')[1] for r in profiles.compile_documents(df, stamps).collect()} == {k: f':"Policy","metadata":{{"profile":"{p}","status":"draft","tenant":"t"}}}}' for k, p in ((1, "p"), (2, ""))}
+
+
+def test_documents_of_packs_are_read_before_they_meet_the_apps(spark):
+    plan = plans.policy_queries.layered(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join Inner, (name" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    reads = [line for line in plan.split("\n") if "marked" in line and "Project" in line]
+    assert any(depth(line) > depth(join) for line in reads)
