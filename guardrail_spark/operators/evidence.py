@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_double, canonical_ts, text_hash
+from ..sources.shared import Epochs, new_path, scratch, settled
 from .detection import SPAN
 
 # The fields that a chain's hash covers.
@@ -64,29 +65,62 @@ def event_hash(df: DataFrame) -> Column:
     return text_hash(canonical_json(df))
 
 
-def sequence_events(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """events with chain_seq: their place by (ts, event_id) after the head of their (tenant, app)."""
-    seq = F.row_number().over(W.partitionBy(*KEYS).orderBy("ts", "event_id")).cast("long")
-    out = events.withColumn("chain_seq", seq)
-    if heads is None:
-        return out
-    head = heads.select(*KEYS, F.col("chain_seq").alias("__head"))
-    return out.join(head, KEYS, "left").withColumn("chain_seq", F.col("chain_seq") + F.coalesce("__head", F.lit(0))).drop("__head")
+#: Rows that are put in order or linked together in one task.
+TOGETHER = 1 << 17
+_SAME_KEYS = [f"o.`{k}` <=> h.`{k}`" for k in KEYS]
 
 
-def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+def _with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """rows with the columns of heads (a row for each chain); a null tenant or app is one like any other."""
+    return rows.alias("o").join(heads.alias("h"), F.expr(" AND ".join(_SAME_KEYS)), "left").select("o.*", *[F.col(f"h.`{c}`") for c in heads.columns if c not in KEYS])
+
+
+def sequence_events(events: DataFrame, heads: DataFrame | None = None, together: int | None = None) -> DataFrame:
+    """events with chain_seq: their place by (ts, event_id) after the head of their (tenant, app). Events are sorted into
+    ranges of at most about `together` rows, however long a chain is; a number is the place in its range and what the
+    ranges before hold. The ranges are written once, so that they stay the same where the plan is run again."""
+    together = TOGETHER if together is None else together
+    order = [*KEYS, "ts", "event_id"]
+    n = events.count() // together + 1
+    ranges = settled((events.repartitionByRange(n, *order) if n > 1 else events.coalesce(1)).withColumn("__range", F.spark_partition_id()))
+    before = W.partitionBy(*KEYS).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranges.groupBy(*KEYS, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")))
+    if heads is not None:
+        starts = _with_heads(starts, heads.select(*KEYS, F.col("chain_seq").alias("__head"))).withColumn("__first", F.col("__first") + F.coalesce("__head", F.lit(0).cast("long")))
+    own = ranges.withColumn("__place", F.row_number().over(W.partitionBy(*KEYS, "__range").orderBy("ts", "event_id")))
+    same = " AND ".join([*_SAME_KEYS, "o.__range = h.__range"])
+    out = own.alias("o").join(starts.alias("h"), F.expr(same))
+    return out.select(*[F.col(f"o.`{c}`") for c in events.columns if c != "chain_seq"], (F.col("__first") + F.col("__place")).alias("chain_seq"))
+
+
+def build_chain(events: DataFrame, heads: DataFrame | None = None, together: int | None = None) -> DataFrame:
     """events with chain_seq, prev_event_hash and event_hash. A hash covers the one before it, so a chain is sequential
-    by nature: its rows stream through one task in batches, in order, with only the last hash kept. The canonical text
-    without that hash is made in columns."""
-    rows = sequence_events(minimize(events), heads)
-    mark = F.lit('"\x01"')
-    rows = rows.withColumn("__json", canonical_json(rows, prev_event_hash=mark))
+    by nature: it is linked in rounds of `together` rows of each chain, which stream through one task in order from the
+    head that the round before left. So no task grows with a chain, only the number of rounds does. The canonical text
+    without the hash before is made in columns, in parallel."""
+    linked = Epochs(events.sparkSession, new_path(events.sparkSession, "chain"))
+    with scratch(events.sparkSession):
+        out = _link(events, heads, TOGETHER if together is None else together, linked)
+    return linked.all(out)
+
+
+def _link(events: DataFrame, heads: DataFrame | None, together: int, linked: Epochs) -> str:
+    """Writes the rounds of build_chain as epochs of linked; gives their schema."""
+    rows = sequence_events(minimize(events), heads, together)
+    rows = rows.withColumn("__json", canonical_json(rows, prev_event_hash=F.lit('"\x01"'))).drop("prev_event_hash", "event_hash")
+    first = F.lit(0).cast("long")
     if heads is not None:
-        rows = rows.join(heads.select(*KEYS, F.col("event_hash").alias("__start")), KEYS, "left")
-    else:
-        rows = rows.withColumn("__start", F.lit(None).cast("string"))
-    rows = rows.drop("prev_event_hash", "event_hash").repartition(*KEYS).sortWithinPartitions(*KEYS, "chain_seq")
-    out = ", ".join(f"`{n}` {t}" for n, t in rows.drop("__json", "__start").dtypes) + ", prev_event_hash string, event_hash string"
+        heads = heads.select(*KEYS, F.col("chain_seq").alias("__head"), F.col("event_hash").alias("__start"))
+        rows = _with_heads(rows, heads.drop("__start"))
+        first = F.coalesce("__head", first)
+    fields = [n for n in rows.columns if n not in ("__json", "__head")]
+    rows = rows.withColumn("__round", F.floor((F.col("chain_seq") - first - 1) / together)).drop("__head")
+    spark, path = events.sparkSession, new_path(events.sparkSession, "rounds")
+    # rows of one round lie in a few files of its folder
+    rows.repartition("__round", F.col("chain_seq") % 16).write.partitionBy("__round").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    out = ", ".join(f"`{n}` {t}" for n, t in rows.select(*fields).dtypes) + ", prev_event_hash string, event_hash string"
+    last = rows.agg(F.max("__round")).first()[0]
 
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -104,7 +138,16 @@ def build_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
                 hashes.append(last)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], [*names, "prev_event_hash", "event_hash"])
 
-    return rows.mapInArrow(link, out)
+    for k in range(0 if last is None else last + 1):
+        part = rows.where(F.col("__round") == k).drop("__round")
+        if heads is None:
+            part = part.withColumn("__start", F.lit(None).cast("string"))
+        else:
+            part = _with_heads(part, heads.drop("__head") if k == 0 else heads)
+        part = part.repartition(*KEYS).sortWithinPartitions(*KEYS, "chain_seq")
+        linked.write(part.select(*fields, "__json", "__start").mapInArrow(link, out), k)
+        heads = linked.at(k).groupBy(*KEYS).agg(F.max_by("event_hash", "chain_seq").alias("__start"))
+    return out
 
 
 def chain_heads(chain: DataFrame) -> DataFrame:

@@ -4,13 +4,32 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_paths: ContextVar[list | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The paths that are made in it are gone at its end."""
+    made: list[str] = []
+    token = _paths.set(made)
+    try:
+        yield
+    finally:
+        _paths.reset(token)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under spark.checkpoint.dir, gone when the driver ends. Where the session has no such folder, a
     local session gets one; on a cluster each machine would see its own disk, so there it is an error."""
@@ -25,6 +44,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{jsc.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    made = _paths.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -75,8 +97,12 @@ class Epochs:
         at, files = self._folder(epoch - 1)
         return self.at(epoch - 1) if files.exists(at) else None
 
-    def all(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("__epoch")
+    def all(self, schema: str | None = None) -> DataFrame:
+        """The rows of all batches; with a schema, also where there was no batch."""
+        at, files = self._folder(0)
+        if schema and not files.exists(at):
+            return self.spark.createDataFrame([], schema)
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path).drop("__epoch")
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.columns import canonical_json_text, last_key_counts, text_hash
 from ..operators.detection import scan
 from ..operators.evidence import KEYS, build_chain
 from ..sources.records import EVENT
-from ..sources.shared import Epochs, new_path
+from ..sources.shared import Epochs, new_path, scratch
 
 
 def stream_guard(stream: DataFrame, detector: str, text: str = "text") -> DataFrame:
@@ -95,7 +95,8 @@ def chain_batches(stream: DataFrame, path: str, late: str = "append", delay: str
             seen = heads.agg(F.max("seen").alias("seen")).select((F.col("seen") - F.expr(f"interval {delay}")).alias("seen")).first().seen
             if seen is not None:
                 batch = batch.where(F.col("ts").isNull() | (F.col("ts") >= F.lit(seen).cast(batch.schema["ts"].dataType)))
-        Epochs(spark, f"{path}/chain").write(build_chain(batch, heads), epoch)
+        with scratch(spark):
+            Epochs(spark, f"{path}/chain").write(build_chain(batch, heads), epoch)
         linked = Epochs(spark, f"{path}/chain").at(epoch)
         new = linked.groupBy(*KEYS).agg(F.max("chain_seq").alias("chain_seq"), F.max_by("event_hash", "chain_seq").alias("event_hash"), F.max("ts").alias("seen"))
         if heads is not None:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 
 import pytest
 from oracle import assert_same, connect
+from pyspark.sql import functions as F
 
 from guardrail_spark import plans
-from guardrail_spark.operators import profiles
+from guardrail_spark.operators import evidence, profiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +66,22 @@ def test_documents_of_packs_are_read_before_they_meet_the_apps(spark):
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     reads = [line for line in plan.split("\n") if "marked" in line and "Project" in line]
     assert any(depth(line) > depth(join) for line in reads)
+
+
+def test_a_chain_is_the_same_in_rounds_of_any_length(spark):
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(f"e{i * 7 % 60:03}", t0 + datetime.timedelta(seconds=i // 9), [None, "t"][i % 5 > 0], "a", i / 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id string, ts timestamp, tenant string, app string, score double").withColumns({"evidence_mode": F.lit("none"), "spans": F.lit(None).cast(evidence.SPAN)})
+    fields = ["tenant", "app", "chain_seq", "event_id", "prev_event_hash", "event_hash"]
+    sort = lambda d: sorted(map(tuple, d.select(*fields).collect()), key=str)
+    whole = sort(evidence.build_chain(df))
+    for tenant in (None, "t"):
+        assert [r[3] for r in sorted((r for r in whole if r[0] == tenant), key=lambda r: r[2])] == [r[0] for r in sorted((r for r in rows if r[2] == tenant), key=lambda r: (r[1], r[0]))]
+    short = evidence.build_chain(df, together=5)
+    assert sort(short) == whole and short.columns == evidence.build_chain(df).columns
+    sizes = short.groupBy(F.input_file_name(), "tenant", "app").count().collect()
+    assert len(sizes) == 3 + 10 and max(r["count"] for r in sizes) == 5  # 12 and 48 rows
+    cut = t0 + datetime.timedelta(seconds=3)
+    heads = evidence.chain_heads(evidence.build_chain(df.where(F.col("ts") < cut), together=4))
+    assert set(sort(evidence.build_chain(df.where(F.col("ts") >= cut), heads, together=4))) == {r for r in whole if r[2] > {h.tenant: h.chain_seq for h in heads.collect()}[r[0]]}
+    assert evidence.build_chain(df.where("false")).collect() == []
