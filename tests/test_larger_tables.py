@@ -10,7 +10,7 @@ from oracle import assert_same, connect
 from pyspark.sql import functions as F
 
 from guardrail_spark import plans
-from guardrail_spark.operators import evidence, profiles
+from guardrail_spark.operators import evidence, policies, profiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +85,12 @@ def test_a_chain_is_the_same_in_rounds_of_any_length(spark):
     heads = evidence.chain_heads(evidence.build_chain(df.where(F.col("ts") < cut), together=4))
     assert set(sort(evidence.build_chain(df.where(F.col("ts") >= cut), heads, together=4))) == {r for r in whole if r[2] > {h.tenant: h.chain_seq for h in heads.collect()}[r[0]]}
     assert evidence.build_chain(df.where("false")).collect() == []
+
+
+def test_lines_of_versions_meet_in_parts(spark):
+    rows = [(f"p{i % 4}" if i % 11 else None, "ab"[i // 28 % 2] if i % 13 else "c", f"l{i % 7}" if i % 5 else None, i) for i in range(120)]
+    lines = spark.createDataFrame(rows, "policy_id string, side string, line string, n int")
+    diff = policies.diff_versions(lines, together=10)
+    want = [r for r in rows if r[1] in "ab" and not any(None not in (r[0], r[2]) and (r[0], r[2]) == (o[0], o[2]) and o[1] in "ab" and o[1] != r[1] for o in rows)]
+    assert sorted(map(tuple, diff.collect()), key=str) == sorted(want, key=str) and 20 < len(want) < 100
+    assert diff.columns == lines.columns and diff.rdd.getNumPartitions() == 13
