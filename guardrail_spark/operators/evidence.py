@@ -87,7 +87,7 @@ def sequence_events(events: DataFrame, heads: DataFrame | None = None, together:
     starts = ranges.groupBy(*KEYS, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long")))
     if heads is not None:
         starts = _with_heads(starts, heads.select(*KEYS, F.col("chain_seq").alias("__head"))).withColumn("__first", F.col("__first") + F.coalesce("__head", F.lit(0).cast("long")))
-    own = ranges.withColumn("__place", F.row_number().over(W.partitionBy(*KEYS, "__range").orderBy("ts", "event_id")))
+    own = ranges.repartition(n, *KEYS, "__range").withColumn("__place", F.row_number().over(W.partitionBy(*KEYS, "__range").orderBy("ts", "event_id")))
     same = " AND ".join([*_SAME_KEYS, "o.__range = h.__range"])
     out = own.alias("o").join(starts.alias("h"), F.expr(same))
     return out.select(*[F.col(f"o.`{c}`") for c in events.columns if c != "chain_seq"], (F.col("__first") + F.col("__place")).alias("chain_seq"))
@@ -117,7 +117,7 @@ def _link(events: DataFrame, heads: DataFrame | None, together: int, linked: Epo
     rows = rows.withColumn("__round", F.floor((F.col("chain_seq") - first - 1) / together)).drop("__head")
     spark, path = events.sparkSession, new_path(events.sparkSession, "rounds")
     # rows of one round lie in a few files of its folder
-    rows.repartition("__round", F.col("chain_seq") % 16).write.partitionBy("__round").parquet(path)
+    rows.repartition(events.count() // together + 1, "__round", F.col("chain_seq") % 16).write.partitionBy("__round").parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     out = ", ".join(f"`{n}` {t}" for n, t in rows.select(*fields).dtypes) + ", prev_event_hash string, event_hash string"
     last = rows.agg(F.max("__round")).first()[0]
