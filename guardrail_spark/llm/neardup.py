@@ -50,6 +50,7 @@ _B = _rng.integers(0, 1 << 32, (HASHES, 1), dtype=np.uint64).astype(np.uint32)
 _BLOCK = 512
 BUCKETS = 1 << 18  # counters that order shingles by rarity
 ROUNDS = 2  # of few links before the search for all
+ASKS = "array<struct<asks: boolean, __i: bigint, __j: bigint>>"
 
 
 def shingle_set(data: bytes, size: int) -> np.ndarray:
@@ -180,18 +181,23 @@ def _walk(least: float) -> Callable:
     return lambda batches: _batches(found(batches))
 
 
-def _blocks(rows: DataFrame, group: str, label: str) -> DataFrame:
+def _blocks(rows: DataFrame, group: str, label: str, known: DataFrame | None = None) -> DataFrame:
     """rows (group, k, label, ...) with asks and spot, for all pairs of a group's rows that differ in their labels. The
-    rows outside the group's commonest label ask; a block of those and a piece of all rows meet in one spot."""
+    rows outside the group's commonest label ask; a block of those and a piece of all rows meet in one spot. The columns of
+    known (k, ...) are added to the rows of groups with several labels, before these are copied to their spots."""
     count = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("__n"))
     head = count.groupBy(group).agg(F.sum("__n").alias("__m"), F.max_by(label, F.struct("__n", label)).alias("__head"), F.max("__n").alias("__most")).where("__m > __most")
     deal = lambda n: F.ceil(n / PIECE).cast("long")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    all_rows = rows.join(head.hint("merge"), group).withColumns({"__pieces": deal(F.col("__m")), "__asking": deal(F.col("__m") - F.col("__most"))})
-    asking = all_rows.where(F.col(label) != F.col("__head")).withColumns({"asks": F.lit(True), "__i": F.pmod(F.xxhash64("k", F.lit("asks")), F.col("__asking")), "__j": every(F.col("__pieces"))})
-    home = all_rows.withColumns({"asks": F.lit(False), "__i": every(F.col("__asking")), "__j": F.pmod(F.xxhash64("k"), F.col("__pieces"))})
-    met = asking.unionByName(home).withColumn("spot", F.xxhash64(group, "__i", "__j"))
-    return met.drop("__m", "__head", "__most", "__pieces", "__asking", "__i", "__j")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.alias("__i"), j.alias("__j"))
+    met = rows.join(head.hint("merge"), group)
+    met = met if known is None else met.join(known, "k")
+    met = met.withColumns({"__pieces": deal(F.col("__m")), "__asking": deal(F.col("__m") - F.col("__most"))})
+    own_i, own_j = F.pmod(F.xxhash64("k", F.lit("asks")), F.col("__asking")), F.pmod(F.xxhash64("k"), F.col("__pieces"))
+    home = F.transform(every(F.col("__asking")), lambda i: place(False, i, own_j))
+    asking = F.when(F.col(label) != F.col("__head"), F.transform(every(F.col("__pieces")), lambda j: place(True, own_i, j)))
+    met = met.select("*", F.inline(F.concat(home, F.coalesce(asking, F.array().cast(ASKS)))))
+    return met.withColumn("spot", F.xxhash64(group, "__i", "__j")).drop("__m", "__head", "__most", "__pieces", "__asking", "__i", "__j")
 
 
 def candidate_links(reps: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
@@ -294,21 +300,21 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(counts: np.ndarray, percent: int) -> Callable:
-    """(k, n, at, h): the first shingles of each set (k, h) in the order of their buckets' counts, so many
+    """(k, label, n, at, h): the first shingles of each set (k, label, h) in the order of their buckets' counts, so many
     that sets which reach the threshold share one; at is a shingle's place in that order, n the set's size. Any one order of
     all shingles will do; this one puts the frequent ones last."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for k, h in zip(b.column("k"), b.column("h")):
+            for k, label, h in zip(b.column("k"), b.column("label"), b.column("h")):
                 h = h.values.to_numpy()
                 n = len(h)
                 first = n - -(-n * percent // 100) + 1
                 h = h[np.lexsort((h, counts[h % BUCKETS]))[:first]]
-                out.append((np.full(first, k.as_py()), np.full(first, n), np.arange(first), h))
+                out.append((np.full(first, k.as_py()), np.full(first, label.as_py()), np.full(first, n), np.arange(first), h))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["k", "n", "at", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], ["k", "label", "n", "at", "h"])
 
     return listed
 
@@ -338,12 +344,14 @@ def _meet(percent: int, least: float, few: bool) -> Callable:
     return lambda batches: _batches(found(batches))
 
 
-def _linked(reps: DataFrame, sets: DataFrame, listed: DataFrame, rows: DataFrame, percent: int, few: bool) -> DataFrame:
-    """(a, b): links between those of the classes (k, label) whose labels differ, by prefix filter over the listed shingles
-    (k, n, at, h), confirmed on the full sets (k, h); reps: (k, sig) of all classes. All links, or few that join labels."""
+def _linked(reps: DataFrame, sets: DataFrame, counts: np.ndarray, rows: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(a, b): links between those of the classes (k, label) whose labels differ, by prefix filter over their sets (k, h),
+    confirmed on these; counts order the shingles; reps: (k, sig) of all classes. All links, or few that join labels.
+    Classes get their labels before their shingles are listed, and signatures join the listed rows before these are copied
+    to blocks: what a join makes grows with the sets, not with the copies."""
     n = shuffle_partitions(reps.sparkSession)
-    named = settled(listed.join(rows, "k"))
-    met = _blocks(named, "h", "label").join(reps.select("k", "sig"), "k").select("spot", "k", "label", "asks", "n", "at", "sig")
+    listed = sets.join(rows.select("k", "label").hint("merge"), "k").select("k", "label", "h").mapInArrow(_prefixes(counts, percent), "k long, label long, n long, at long, h long")
+    met = _blocks(settled(listed), "h", "label", reps.select("k", "sig")).select("spot", "k", "label", "asks", "n", "at", "sig")
     met = met.repartition(n, "spot").sortWithinPartitions("spot", "k").mapInArrow(_meet(percent, least_agreement(percent / 100), few), "a long, b long")
     side = lambda c: sets.select(F.col("k").alias(c), F.col("h").alias(f"h{c}"))
     pairs = met.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
@@ -355,15 +363,15 @@ def parted_links(reps: DataFrame, texts: DataFrame, rows: DataFrame, size: int,
     all classes. Labels that link at many pairs are joined by few of them first: `still` gives the classes (k, label) that
     are left under such links, and the last search is for all links between these. Without it, all links are found."""
     sets = settled(shingles_of(texts.select("k", "text").join(rows.select("k").hint("merge"), "k"), size))
-    listed = settled(sets.mapInArrow(_prefixes(shingle_counts(sets), percent), "k long, n long, at long, h long"))
+    counts = shingle_counts(sets)
     found = reps.sparkSession.createDataFrame([], "a long, b long")
     for _ in range(ROUNDS if still else 0):
-        new = settled(_linked(reps, sets, listed, rows, percent, True))
+        new = settled(_linked(reps, sets, counts, rows, percent, True))
         if new.isEmpty():
             break
         found = found.unionByName(new)
         rows = still(found)
-    return found.unionByName(settled(_linked(reps, sets, listed, rows, percent, False)))
+    return found.unionByName(settled(_linked(reps, sets, counts, rows, percent, False)))
 
 
 def grouped_rows(docs: DataFrame, size: int, percent: int, id_col: str, text: str, keep: list[str]) -> DataFrame:

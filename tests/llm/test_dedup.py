@@ -260,6 +260,38 @@ def test_near_spots_stay_bounded(spark, monkeypatch):
     assert all(frozenset((a, b)) in met for a in range(400) for b in range(a))
 
 
+def joined_rows(spark, run):
+    """What run gives, and the rows that joins over the classes made for it."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out, made = store.executionsCount(), run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = store.executionsList()
+    for i in range(before, executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = node.metrics()
+            for m in map(metrics.apply, range(metrics.size())):
+                if "Join" in node.name() and "[k#" in node.desc() and m.name() == "number of output rows":
+                    made += int(str(values.get(m.accumulatorId()).getOrElse(None) or 0).replace(",", "")) if values.contains(m.accumulatorId()) else 0
+    return out, made
+
+
+def test_joins_of_the_exact_search_grow_with_the_sets(spark, monkeypatch):
+    """Texts just below the threshold that share their listed shingles: twice the texts, twice the rows of joins, however
+    many blocks the rows are copied to."""
+    monkeypatch.setattr(neardup, "PIECE", 16)
+    made = []
+    for n in (100, 200):
+        rows = templated(n, own=4)
+        reps = spark.createDataFrame([(k, bytearray(neardup.signature(neardup.shingle_set(t.encode(), 3)).tobytes()), t) for k, t in rows], "k long, sig binary, text string")
+        find = lambda: neardup.parted_links(reps.select("k", "sig"), reps.select("k", "text"), reps.selectExpr("k", "k AS label"), 3, 85).collect()  # noqa: B023, E731
+        links, joined = joined_rows(spark, find)
+        assert {tuple(r) for r in links} == {(i, n + i) for i in range(0, n, 10)}
+        made.append(joined)
+    assert 0 < made[0] and made[1] < 2.6 * made[0], made
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_few_pairs_join_the_labels_of_a_spot(few):
     """Of equal signatures few pairs join all labels; a search for all pairs takes each once."""
