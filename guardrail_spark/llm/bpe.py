@@ -5,6 +5,9 @@ that share a passage share its chunks. A task encodes a chunk that it meets agai
 word or between words that belong together, so each join is repaired: the text about it, from the words on both sides, is
 encoded anew as one, and grows by a word on either side until it reproduces what both chunks have at its ends.
 
+A chunk's words go through the memo of `packing.WordEncoder`, which gives a word of Latin letters the ids of its letters in
+lower case and of its marks, so that each is encoded once.
+
 Only vocabularies that drop white space can be used (checked when the encoder is made). Caches are emptied when full,
 which costs time and never changes a result. Defined cases: null text is empty and has no ids; very long texts are
 encoded whole; repeated rows each get a row; other columns are ignored, whatever their names.
@@ -16,21 +19,21 @@ import hashlib
 import os
 import re
 from array import array
-from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import per_text
+from .packing import WordEncoder
 
 WINDOW = 16  # bytes that a cut depends on
 MEAN_BITS = 10  # chunks of 2**10 bytes on average
 MAX_CHUNKS, MAX_WORDS = 20_000, 300_000  # entries of the caches
 REACH = 2  # words on either side of a join that are encoded anew at first: the outer ones must come out as they were
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+NEAR = 64  # bytes before a join in which its words are looked for at first
 _WORD, _RUN = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -51,13 +54,22 @@ def cuts(data: bytes) -> list[int]:
     return np.unique(at[at < len(data)]).tolist()
 
 
-@dataclass(frozen=True, slots=True)
-class Chunk:
-    """Where the words of a chunk (runs without blanks) begin and end, and the ids of each."""
+def last_word(data: bytes, cut: int, n: int) -> int:
+    """Where the n-th last word (run without blanks) of data[:cut] begins, or 0 if there are not more than n."""
+    size = NEAR
+    while True:
+        low = max(0, cut - size)
+        starts = [m.start() for m in _WORD.finditer(data, low, cut)]
+        if len(starts) > n:  # the first may begin before
+            return starts[-n]
+        if not low:
+            return 0
+        size *= 4
+
 
-    starts: array
-    ends: array
-    ids: list[bytes]
+def nth_word(data: bytes, cut: int, end: int, n: int) -> int:
+    """Where the n-th word of data[cut:end] ends."""
+    return next(islice(_WORD.finditer(data, cut, end), n - 1, None)).end()
 
 
 class Encoder:
@@ -72,34 +84,26 @@ class Encoder:
         self.tokenizer.no_truncation()
         if self.ids_of("a b") != self.ids_of("a") + self.ids_of("b") or self.tokenizer.decoder is not None:
             raise ValueError("chunk reuse needs a vocabulary that drops white space and a plain decoder")
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.words: dict[bytes, bytes] = {}
-        self.chunks: dict[bytes, Chunk] = {}
+        self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size())]
+        self.known = WordEncoder(path, MAX_WORDS)
+        self.words = self.known.words
+        self.chunks: dict[bytes, list[bytes]] = {}
         self.joins: dict[bytes, list[bytes]] = {}
         self.new_chunks = self.met_chunks = 0
 
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def chunk(self, data: bytes) -> Chunk:
-        """A chunk's words and their ids; words that the worker has not met are encoded, all at once."""
+    def chunk(self, data: bytes) -> list[bytes]:
+        """The ids of a chunk's words; words that the worker has not met are encoded, all at once."""
         self.met_chunks += 1
         found = self.chunks.get(data)
         if found is not None:
             return found
         self.new_chunks += 1
-        words, memo = data.split(), self.words
-        missing = list({w for w in words if w not in memo})
-        if missing:
-            if len(memo) + len(missing) > MAX_WORDS:
-                memo.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)):
-                memo[w] = array("I", e.ids).tobytes()
-        edges = np.flatnonzero(np.diff(np.r_[True, _BLANK[np.frombuffer(data, np.uint8)], True])).tolist()
         if len(self.chunks) >= MAX_CHUNKS:
             self.chunks.clear()
-        found = self.chunks[data] = Chunk(array("I", edges[::2]), array("I", edges[1::2]), [memo[w] for w in words])
+        found = self.chunks[data] = self.known.of_words(data.split())
         return found
 
     def anew(self, data: bytes) -> list[bytes]:
@@ -122,26 +126,22 @@ class Encoder:
     def encode(self, data: bytes) -> bytes:
         """Ids of a text: those of its chunks, with the joins repaired."""
         bounds = [0, *cuts(data), len(data)]
-        first = self.chunk(data[: bounds[1]])
-        ids, starts = list(first.ids), list(first.starts)
+        ids = list(self.chunk(data[: bounds[1]]))
         for cut, end in zip(bounds[1:], bounds[2:]):
             chunk = self.chunk(data[cut:end])
-            n, size = REACH, len(chunk.ids)
+            n, size = REACH, len(chunk)
             while True:
                 left, right = min(n, len(ids)), min(n, size)
-                low = starts[-left] if left == n else 0
-                high = cut + chunk.ends[right - 1] if right == n else end
+                low = last_word(data, cut, n) if left == n else 0
+                high = nth_word(data, cut, end, n) if right == n else end
                 made = self.anew(data[low:high])
                 # an outer word is there to agree unless the text ends, or the next join goes on from it
-                if (left < n or made[0] == ids[-left]) and (right < n or made[-1] == chunk.ids[right - 1]):
+                if (left < n or made[0] == ids[-left]) and (right < n or made[-1] == chunk[right - 1]):
                     break
                 n += 1
             del ids[len(ids) - left :]
-            del starts[len(starts) - left :]
             ids += made
-            starts += [low + m.start() for m in _WORD.finditer(data[low:high])]
-            ids += chunk.ids[right:]
-            starts += [cut + x for x in chunk.starts[right:]]
+            ids += chunk[right:]
         return b"".join(ids)
 
     def forget(self) -> None:
@@ -150,7 +150,7 @@ class Encoder:
         self.joins.clear()
 
     def decode(self, ids: bytes) -> bytes:
-        return " ".join(map(self.tokens.__getitem__, array("I", ids))).encode()
+        return b" ".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
 @lru_cache(maxsize=1)

@@ -45,7 +45,8 @@ _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, word by word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self.most = MAX_WORDS if most is None else most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -75,27 +76,30 @@ class WordEncoder:
         wanted = list({p for parts in split.values() for p in parts if p not in self.parts})
         made = dict(zip(wanted, self._many(wanted)))
         found = {w: b"".join(made[p] if p in made else self.parts[p] for p in parts) for w, parts in split.items()}
-        if len(self.parts) + len(made) > MAX_WORDS:
+        if len(self.parts) + len(made) > self.most:
             self.parts.clear()
         self.parts.update((p, i) for p, i in made.items() if len(p) <= LONG_WORD)
         return found
 
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        ids = list(map(self.words.get, words))
+        missing = {w for w, i in zip(words, ids) if i is None}
+        if missing:
+            new = self._learn(missing)
+            ids = [new[w] if i is None else i for w, i in zip(words, ids)]
+            if len(self.words) + len(new) > self.most:
+                self.words.clear()
+            self.words.update((w, i) for w, i in new.items() if len(w) <= LONG_WORD)
+        return ids
+
     def encode(self, data: bytes) -> Iterator[bytes]:
         """The ids of UTF-8 text, slice by slice."""
         at = 0
         while at < len(data):
             cut = _BLANK.search(data, min(at + SLICE, len(data)))
             end = cut.end() if cut else len(data)
-            words = data[at:end].split()
-            ids = list(map(self.words.get, words))
-            missing = {w for w, i in zip(words, ids) if i is None}
-            if missing:
-                new = self._learn(missing)
-                ids = [new[w] if i is None else i for w, i in zip(words, ids)]
-                if len(self.words) + len(new) > MAX_WORDS:
-                    self.words.clear()
-                self.words.update((w, i) for w, i in new.items() if len(w) <= LONG_WORD)
-            yield b"".join(ids)
+            yield b"".join(self.of_words(data[at:end].split()))
             at = end
 
 

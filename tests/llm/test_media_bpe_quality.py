@@ -283,6 +283,28 @@ def test_joins_grow_until_they_agree(monkeypatch):
     assert fresh.encode(data) == ids and {3, 4, 5, 6} & set(seen) >= {4, 6}
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_marks(encoder, monkeypatch):
+    fresh, asked = bpe.Encoder(f"{TOKENIZERS}/{VOCABULARY}"), []
+    true = fresh.known._many
+    monkeypatch.setattr(fresh.known, "_many", lambda texts: asked.extend(texts) or true(texts))
+    text = "Alpha, alpha. ALPHA! alpha " * 3
+    assert fresh.encode(text.encode()) == array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    assert sorted(filter(None, asked)) == ["!", ",", ".", "alpha"]
+
+
+def test_words_about_a_cut(monkeypatch):
+    monkeypatch.setattr(bpe, "NEAR", 3)
+    rng = random.Random(5)
+    for _ in range(300):
+        data = "".join(rng.choices("ab \n", k=40)).encode()
+        cut = rng.randrange(41)
+        spans = [m.span() for m in bpe._WORD.finditer(data[:cut])]
+        after = [m.end() for m in bpe._WORD.finditer(data[cut:])]
+        for n in range(1, 5):
+            assert bpe.last_word(data, cut, n) == (spans[-n][0] if len(spans) > n else 0)
+            assert len(after) < n or bpe.nth_word(data, cut, 40, n) == cut + after[n - 1]
+
+
 def test_cuts_stand_between_characters():
     data = "".join(random.Random(1).choices("日本語テキスト né à éü", k=9000)).encode()
     at = bpe.cuts(data)
