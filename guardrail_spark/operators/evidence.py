@@ -154,24 +154,35 @@ def chain_heads(chain: DataFrame) -> DataFrame:
     return chain.groupBy(*KEYS).agg(F.max("chain_seq").alias("chain_seq"), F.max_by("event_hash", "chain_seq").alias("event_hash"))
 
 
+def _parts(chain: DataFrame) -> int:
+    """In how many parts a chain's rows meet, so that a task's rows don't grow with them."""
+    return 4 * chain.count() // TOGETHER + 1
+
+
 def chain_faults(chain: DataFrame) -> DataFrame:
     """chain with `reason`: what is wrong at each row with itself or with the row before it, if anything; the first fault of
     a chain is the one that a walk in order stops at. Rows meet the one before by (tenant, app, chain_seq), so that a long
-    chain is spread over all tasks. A number that is null, below 1, given twice or without the one before it is a gap."""
-    row = F.struct(*[F.col(f"`{c}`") for c in chain.columns], event_hash(chain).alias("__again"))
+    chain is spread over all tasks, of which there are as many as its rows ask for. A number that is null, below 1, given
+    twice or without the one before it is a gap."""
+    return _faults(chain, chain.columns)
+
+
+def _faults(chain: DataFrame, fields: list[str]) -> DataFrame:
+    """chain_faults with these fields only, of which chain_seq and both hashes are some: others need not be moved."""
+    row = F.struct(*[F.col(f"`{c}`") for c in fields], (F.col("event_hash") != event_hash(chain)).alias("__differs"))
     mine = F.struct(F.col("chain_seq").alias("seq"), row.alias("row"), F.lit(None).cast("string").alias("before"))
     ahead = F.struct((F.col("chain_seq") + 1).alias("seq"), F.when(F.lit(False), row).alias("row"), F.col("event_hash").alias("before"))
     place = W.partitionBy(*KEYS, "seq")
-    rows = chain.select(*KEYS, F.inline(F.array(mine, ahead)))
+    rows = chain.select(*KEYS, F.inline(F.array(mine, ahead))).repartition(_parts(chain), *KEYS, "seq")
     rows = rows.withColumns({"own": F.count("row").over(place), "all": F.count(F.lit(1)).over(place), "before": F.max("before").over(place)}).where("row is not null")
     gap = F.col("seq").isNull() | (F.col("seq") < 1) | (F.col("own") > 1) | ((F.col("seq") > 1) & (F.col("all") == F.col("own")))
-    reason = F.when(gap, "gap").when(~F.col("row.prev_event_hash").eqNullSafe(F.col("before")), "prev_hash").when(F.col("row.event_hash") != F.col("row.__again"), "event_hash")
-    return rows.select("row.*", reason.alias("reason")).drop("__again")
+    reason = F.when(gap, "gap").when(~F.col("row.prev_event_hash").eqNullSafe(F.col("before")), "prev_hash").when(F.col("row.__differs"), "event_hash")
+    return rows.select("row.*", reason.alias("reason")).drop("__differs")
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:
     """Per (tenant, app): rows checked, ok, the first bad sequence number with its reason, and the head."""
-    return chain_faults(chain).groupBy(*KEYS).agg(
+    return _faults(chain, [*KEYS, "chain_seq", "prev_event_hash", "event_hash"]).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("rows"), F.max_by("event_hash", "chain_seq").alias("head_hash"), F.min(F.when(F.col("reason").isNotNull(), F.struct("chain_seq", "reason"))).alias("bad")
     ).select(*KEYS, F.when(F.col("bad").isNull(), F.col("rows")).otherwise(F.greatest(F.col("bad.chain_seq") - 1, F.lit(0))).alias("checked"), F.col("bad").isNull().alias("ok"), F.col("bad.chain_seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"), "head_hash")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 
 import pytest
 from oracle import assert_same, connect
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from guardrail_spark import plans
 from guardrail_spark.operators import evidence, policies, profiles
+from guardrail_spark.sources.shared import new_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +96,26 @@ def test_lines_of_versions_meet_in_parts(spark):
     want = [r for r in rows if r[1] in "ab" and not any(None not in (r[0], r[2]) and (r[0], r[2]) == (o[0], o[2]) and o[1] in "ab" and o[1] != r[1] for o in rows)]
     assert sorted(map(tuple, diff.collect()), key=str) == sorted(want, key=str) and 20 < len(want) < 100
     assert diff.columns == lines.columns and diff.rdd.getNumPartitions() == 13
+
+
+def many_chains(spark, chains=6, length=10):
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(f"e{i:03}", t0 + datetime.timedelta(seconds=i), f"t{i % chains}", "a", i / 10) for i in range(chains * length)]
+    return spark.createDataFrame(rows, "event_id string, ts timestamp, tenant string, app string, score double").withColumns({"evidence_mode": F.lit("none"), "spans": F.lit(None).cast(evidence.SPAN)})
+
+
+def parts(df):
+    """Numbers of parts that the plan of df asks for by number."""
+    return [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_verification_has_as_many_parts_as_a_chain_asks_for(spark, monkeypatch):
+    chain = evidence.build_chain(many_chains(spark))
+    monkeypatch.setattr(evidence, "TOGETHER", 10)
+    forged = chain.withColumn("score", F.when((F.col("tenant") == "t1") & (F.col("chain_seq") == 4), -1.0).otherwise(F.col("score")))
+    report = evidence.verify_chain(forged)
+    assert parts(report) == [25] and "verdict" not in report._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    assert {r.tenant: (r.checked, r.ok, r.first_bad_seq, r.reason) for r in report.collect()} == {f"t{i}": (3, False, 4, "event_hash") if i == 1 else (10, True, None, None) for i in range(6)}
+    faults = evidence.chain_faults(forged)
+    assert faults.columns == [*chain.columns, "reason"]
+    assert [(r.event_id, r.score) for r in faults.where("reason is not null").collect()] == [("e019", -1.0)]
