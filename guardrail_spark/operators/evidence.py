@@ -202,10 +202,11 @@ def make_anchors(heads: DataFrame, anchors: DataFrame | None = None) -> DataFram
 
 
 def verify_anchors(anchors: DataFrame, chain: DataFrame) -> DataFrame:
-    """anchors with `ok`: they follow each other without a gap and carry the hash of their last event."""
+    """anchors with `ok`: they follow each other without a gap and carry the hash of their last event. Events come to the
+    anchors in as many parts as their number asks for."""
     order = W.partitionBy(*KEYS).orderBy("start_seq")
     rows = anchors.withColumn("__follows", F.col("start_seq") == F.coalesce(F.lag("end_seq").over(order), F.lit(0)) + 1)
-    ends = chain.select(*KEYS, F.col("chain_seq").alias("end_seq"), F.col("event_hash").alias("__hash"))
+    ends = chain.select(*KEYS, F.col("chain_seq").alias("end_seq"), F.col("event_hash").alias("__hash")).repartition(_parts(chain), *KEYS, "end_seq")
     joined = rows.join(ends, [*KEYS, "end_seq"], "left")
     return joined.withColumn("ok", F.col("__follows") & F.coalesce(F.col("__hash") == F.col("head_hash"), F.lit(False))).drop("__follows", "__hash")
 

@@ -119,3 +119,12 @@ def test_verification_has_as_many_parts_as_a_chain_asks_for(spark, monkeypatch):
     faults = evidence.chain_faults(forged)
     assert faults.columns == [*chain.columns, "reason"]
     assert [(r.event_id, r.score) for r in faults.where("reason is not null").collect()] == [("e019", -1.0)]
+
+
+def test_events_meet_their_anchors_in_parts(spark, monkeypatch):
+    chain = evidence.build_chain(many_chains(spark))
+    anchors = evidence.make_anchors(evidence.chain_heads(chain)).withColumn("head_hash", F.when(F.col("tenant") == "t1", "?").otherwise(F.col("head_hash")))
+    monkeypatch.setattr(evidence, "TOGETHER", 10)
+    checked = evidence.verify_anchors(anchors, chain)
+    assert parts(checked) == [25]
+    assert {r.tenant: r.ok for r in checked.collect()} == {f"t{i}": i != 1 for i in range(6)}
