@@ -128,3 +128,14 @@ def test_events_meet_their_anchors_in_parts(spark, monkeypatch):
     checked = evidence.verify_anchors(anchors, chain)
     assert parts(checked) == [25]
     assert {r.tenant: r.ok for r in checked.collect()} == {f"t{i}": i != 1 for i in range(6)}
+
+
+def test_the_events_of_a_bundle_stay_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over large tables
+    try:
+        df = plans.QUERIES["s7_export_bundle"](spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert_same(df, connect(SF), plans.ORACLES["s7_export_bundle"])
