@@ -100,6 +100,8 @@ def build_chain(events: DataFrame, heads: DataFrame | None = None, together: int
     without the hash before is made in columns, in parallel."""
     linked = Epochs(events.sparkSession, new_path(events.sparkSession, "chain"))
     with scratch(events.sparkSession):
+        # as a table heads are known to be small, so that the rows of a chain aren't brought together to meet theirs
+        heads = heads if heads is None else settled(heads.select(*KEYS, "chain_seq", "event_hash"))
         out = _link(events, heads, TOGETHER if together is None else together, linked)
     return linked.all(out)
 
@@ -120,33 +122,35 @@ def _link(events: DataFrame, heads: DataFrame | None, together: int, linked: Epo
     rows.repartition(events.count() // together + 1, "__round", F.col("chain_seq") % 16).write.partitionBy("__round").parquet(path)
     rows = spark.read.schema(rows.schema).parquet(path)
     out = ", ".join(f"`{n}` {t}" for n, t in rows.select(*fields).dtypes) + ", prev_event_hash string, event_hash string"
-    last = rows.agg(F.max("__round")).first()[0]
+    sizes = {r["__round"]: r["count"] for r in rows.groupBy("__round").count().collect()}
 
     def link(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, last = None, None
+        key = last = front = None
         for b in batches:
             names = [n for n in b.schema.names if n not in ("__json", "__start")]
             prevs, hashes = [], []
             for t, a, text, start in zip(*(b.column(c).to_pylist() for c in (*KEYS, "__json", "__start"))):
                 if (t, a) != key:
-                    key, last = (t, a), start
+                    key, last, front = (t, a), start, json.dumps(start)
                 prevs.append(last)
-                body = text.replace('"\x01"', json.dumps(last))
+                body = text.replace('"\x01"', front)
                 last = "sha256:" + hashlib.sha256(body.encode()).hexdigest()
+                front = f'"{last}"'
                 hashes.append(last)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], [*names, "prev_event_hash", "event_hash"])
 
-    for k in range(0 if last is None else last + 1):
+    for k in range(len(sizes)):
         part = rows.where(F.col("__round") == k).drop("__round")
         if heads is None:
             part = part.withColumn("__start", F.lit(None).cast("string"))
         else:
             part = _with_heads(part, heads.drop("__head") if k == 0 else heads)
-        part = part.repartition(*KEYS).sortWithinPartitions(*KEYS, "chain_seq")
+        # by range, as hashes bring several long chains to one task
+        part = part.repartitionByRange(2 * sizes[k] // together + 1, *KEYS).sortWithinPartitions(*KEYS, "chain_seq")
         linked.write(part.select(*fields, "__json", "__start").mapInArrow(link, out), k)
-        heads = linked.at(k).groupBy(*KEYS).agg(F.max_by("event_hash", "chain_seq").alias("__start"))
+        heads = settled(linked.at(k).groupBy(*KEYS).agg(F.max_by("event_hash", "chain_seq").alias("__start")))
     return out
 
 

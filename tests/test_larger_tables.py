@@ -104,6 +104,12 @@ def many_chains(spark, chains=6, length=10):
     return spark.createDataFrame(rows, "event_id string, ts timestamp, tenant string, app string, score double").withColumns({"evidence_mode": F.lit("none"), "spans": F.lit(None).cast(evidence.SPAN)})
 
 
+def test_long_chains_of_a_round_are_linked_in_tasks_of_their_own(spark):
+    out = evidence.build_chain(many_chains(spark), together=10)
+    assert out.count() == 60 and all(r.ok for r in evidence.verify_chain(out).collect())
+    assert [r.n for r in out.groupBy(F.input_file_name()).agg(F.countDistinct("tenant").alias("n")).collect()] == [1] * 6
+
+
 def parts(df):
     """Numbers of parts that the plan of df asks for by number."""
     return [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
