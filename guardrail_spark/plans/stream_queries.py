@@ -141,12 +141,14 @@ def linked(rows: DataFrame, late: str) -> DataFrame:
 
 
 def two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of two files, one of which comes late."""
+    """The events as a stream of two batches of as many files each, one of which comes late. The number of files follows
+    that of the events, so that no task writes them all."""
     path = new_path(spark, "late")
     rows = whole_events(spark, sf_dir)
+    n = rows.count() // evidence.TOGETHER + 1
     for k, part in enumerate((~F.expr(_LATE), F.expr(_LATE))):
-        rows.where(part).coalesce(1).write.parquet(f"{path}/part={k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+        rows.where(part).repartition(n).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).parquet(f"{path}/part=*")
 
 
 @query(f"{LINKS} SELECT {', '.join(_LINKED)} FROM h")

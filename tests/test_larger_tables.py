@@ -145,3 +145,14 @@ def test_the_events_of_a_bundle_stay_where_they_are(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert_same(df, connect(SF), plans.ORACLES["s7_export_bundle"])
+
+
+@pytest.mark.parametrize("query", ["t5_late_appended", "t5_late_dropped"])
+def test_late_events_come_in_as_many_files_as_they_ask_for(spark, monkeypatch, query):
+    monkeypatch.setattr(evidence, "TOGETHER", 300)
+    made = []
+    monkeypatch.setattr(plans.stream_queries, "new_path", lambda spark, name: made.append(new_path(spark, name)) or made[-1])
+    assert_same(plans.QUERIES[query](spark, SF), connect(SF), plans.ORACLES[query])
+    for k in (0, 1):
+        assert len(spark.read.parquet(f"{made[0]}/part={k}").inputFiles()) == 4  # 1,000 events
+    assert len(made) == 1
