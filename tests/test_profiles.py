@@ -4,9 +4,13 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from guardrail_spark import plans
 from guardrail_spark.operators import profiles
+from guardrail_spark.sources import shared
 
+SF = "/root/testdata/sf0.001"
 REMOVE = "__remove__"
 
 
@@ -119,3 +123,73 @@ def test_texts_that_are_no_documents(spark):
     df = spark.createDataFrame(rows, "key long, layer int, name string, document string")
     assert {r.key: r.document for r in profiles.merge_documents(df).collect()} == {1: '{"x":2}'}
     assert profiles.merge_documents(df.where("false")).collect() == []
+
+
+def test_stacks_give_what_layers_give(spark, monkeypatch):
+    packs = [(d["metadata"]["id"], d["metadata"]["version"], json.dumps(d)) for d in (BASE, INDUSTRY, REGION)]
+    packs += [("loop", "1", '{"metadata":{"parent":"loop@1"}}'), ("lost", "1", '{"metadata":{"parent":"gone@1"}}'), ("broken", "1", "nope"), ("over", "1", '{"metadata":{"parent":"broken@1"},"spec":{"guards":[{"id":"g-secrets-io","__remove__":1}]}}')]
+    names = [None, "", "baseline@1.0.0", "finance@1.0.0", "region@2.0.0", "broken@1", "over@1", "loop@1", "lost@1", "unknown@1"]
+    texts = [None, "nope", "{}", '{"spec":{"guards":[{"id":"g-halluc-out","threshold":0.80},{"id":"g-secrets-io","__remove__":true},{"id":5}]},"":{"a":1}}', '{"spec":{"guards":[{"id":"g-new"}],"defaults":7},"metadata":{"id":"baseline"}}']
+    rows = [(i * len(texts) + j, name, text) for i, name in enumerate(names) for j, text in enumerate(texts)]
+    apps = spark.createDataFrame(rows, "key long, profile string, document string")
+    assert [tuple(r)[3:] for r in profiles.document_trace(spark.createDataFrame([(1, 0, "a", '{"spec":{"guards":[{"id":"5"}]}}'), (1, 1, "b", '{"spec":{"guards":[{"id":5.0,"x":1},{"id":6}]}}')], "key long, layer int, name string, document string")).collect()] == [
+        ("spec.guards[5].id", "REPLACED", '"5"', "5", "a"), ("spec.guards[5].x", "ADDED", None, "1", None), ("spec.guards[6]", "ADDED", None, None, None),
+    ]
+    stamps = apps.where("key % 3 > 0").select("key", F.concat(F.lit("t"), "key").alias("tenant"), "profile")
+    for known, most in ((packs, 0), (packs[1:], 100_000), ([], 100_000)):  # all, without the baseline, none
+        monkeypatch.setattr(shared, "MOST_BROADCAST", most)
+        known = spark.createDataFrame(known, "id string, version string, document string")
+        layers, (own, stacks) = profiles.profile_layers(apps, known), profiles.profile_stacks(apps, known)
+        for got, want in (
+            (profiles.document_trace(own, stacks), profiles.document_trace(layers)),
+            (profiles.merge_documents(own, stacks), profiles.merge_documents(layers)),
+            (profiles.compile_documents(own, stamps, stacks), profiles.compile_documents(layers, stamps)),
+        ):
+            assert got.schema.simpleString() == want.schema.simpleString()
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_what_orders_share_is_traced_once(spark):
+    plan = plans.QUERIES["p4_document_trace"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    orders = [i for i, line in enumerate(plan) if "o_orderkey" in line and "Relation" in line]
+    above = lambda i: [line for n, line in enumerate(plan[:i]) if depth(line) < min(map(depth, plan[n + 1 : i + 1]))]
+    assert len(orders) == 2
+    for i in orders:  # their documents are not shuffled, and the departures of packs don't come from a document of each order
+        steps = [line.strip(" :+-").split("(")[0].split(" ")[0] for line in above(i)]
+        assert "Aggregate" not in steps and steps.count("RepartitionByExpression") == 1
+        assert "document" not in above(i)[steps.index("RepartitionByExpression") + 1]
+    assert sum("MapInArrow" in line for i in orders for line in above(i)) == 1
+
+
+def test_numbers_of_documents_are_canonical(spark):
+    numbers = "0 -0 -0.0 0e9 7 -12 1.0 1.50 0.1 1e2 1E+2 4E2 1e15 2e15 1e16 -1e15 1e-4 1e-5 1.5e-7 123456789.125 5e-324 1e22 123456789012345678901234567890 12345678901234567890.0 0.30000000000000004".split()
+    wrong = "1e999 -1e400 01 1. .5 +1 1e 0x1 1.2.3 1-2 NaN Infinity -".split()
+    strings = ['""', '":"', '"12:"', '":12"', '"n1"', '"s"', r'"a\"1,\\"', r'"\\\"2"', '"é\\u00e9\\n\\u001f"', '"\\ud83d\\ude00"']
+    texts = [f'{{"b": {x},"a":[{x}, {{"d":1,"c":{x}}}]}}' for x in (*numbers, *wrong, *strings)] + ['{"1:":{":2":3,"3":"4"}}', '{"x":"5}', '{"x":"a"5"}', '{"x":1,"x":[2.0]}', '{"x":"' + 'y\\"1' * 50_000 + '"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, document string")
+    got = {r.key: r.document for r in profiles.merge_documents(df.withColumns({"layer": F.lit(0), "name": F.lit("l")})).collect()}
+    last = lambda pairs: dict(sorted(dict(pairs).items()))
+
+    def number(t):
+        v = float(t)
+        return Number(t.replace("-0", "0") if t in ("0", "-0") else t if t.lstrip("-").isdigit() else str(int(v)) if v == int(v) and abs(v) <= 1e15 else repr(v))
+
+    for key, text in enumerate(texts):
+        try:
+            want = written(json.loads(text, parse_int=number, parse_float=number, parse_constant=float, object_pairs_hook=last))
+        except (ValueError, OverflowError):
+            want = None
+        assert got.get(key) == (None if want and ("NaN" in text or "Infinity" in text) else want), text
+
+
+class Number(str):
+    """Text of a number."""
+
+
+def written(v):
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{written(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(written, v)) + "]"
+    return str(v) if isinstance(v, Number) else json.dumps(v, ensure_ascii=False)
